@@ -33,32 +33,60 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_c(c), _STRIP, "")
 
 
+def na_from_stripped(t) -> Column:
+    """P2 second half: an already-stripped value; '' or 'na' (any case) -> NULL."""
+    t = _c(t)
+    return F.when(F.lower(t).isin("", "na"), F.lit(None).cast("string")).otherwise(t)
+
+
+def postal_digits(t) -> Column:
+    """P3 first half: keep ASCII digits of an NA-normalised value."""
+    return F.regexp_replace(_c(t), "[^0-9]", "")
+
+
+def postal_from_digits(d) -> Column:
+    """P3 second half: left-pad to 6; none or more than 6 digits -> NULL.
+    (lpad truncates longer input, so only pad when length <= 6.)"""
+    d = _c(d)
+    n = F.length(d)
+    return F.when((n > 0) & (n <= 6), F.lpad(d, 6, "0"))
+
+
+def ssic_from_na(t) -> Column:
+    """P4 on an NA-normalised value."""
+    t = _c(t)
+    return F.when(t.rlike("^[0-9]+$") & (F.length(t) < 5), F.lpad(t, 5, "0")).otherwise(t)
+
+
+def date_from_na(t) -> Column:
+    """P5 on an NA-normalised value."""
+    t = _c(t)
+    ok = t.rlike(_ISO_OK) & ~t.startswith("0000")
+    digits = F.regexp_replace(F.regexp_extract(t, _DATE_PART, 1), "-", "")
+    return F.when(ok, F.try_to_date(digits, "yyyyMMdd"))
+
+
+# Single-expression forms (handy in ad-hoc selects). Bulk cleaning uses the
+# staged projections in ``bizlens.operators.clean`` so each regex runs once.
+
 def normalize_na(c) -> Column:
     """Strip; empty or case-insensitive ``na`` -> NULL."""
-    t = strip_ws(c)
-    return F.when(F.lower(t).isin("", "na"), F.lit(None).cast("string")).otherwise(t)
+    return na_from_stripped(strip_ws(c))
 
 
 def normalize_postal(c) -> Column:
     """Keep ASCII digits; left-pad to 6; anything not 6 digits -> NULL."""
-    d = F.regexp_replace(normalize_na(c), "[^0-9]", "")
-    n = F.length(d)
-    # lpad truncates longer input, so only pad when n <= 6.
-    return F.when((n > 0) & (n <= 6), F.lpad(d, 6, "0"))
+    return postal_from_digits(postal_digits(normalize_na(c)))
 
 
 def normalize_ssic(c) -> Column:
     """An all-digit code shorter than 5 is left-padded to 5; else unchanged."""
-    t = normalize_na(c)
-    return F.when(t.rlike("^[0-9]+$") & (F.length(t) < 5), F.lpad(t, 5, "0")).otherwise(t)
+    return ssic_from_na(normalize_na(c))
 
 
 def normalize_date(c) -> Column:
     """P5: ISO date / datetime text -> DATE of its local date part; invalid -> NULL."""
-    t = normalize_na(c)
-    ok = t.rlike(_ISO_OK) & ~t.startswith("0000")
-    digits = F.regexp_replace(F.regexp_extract(t, _DATE_PART, 1), "-", "")
-    return F.when(ok, F.try_to_date(digits, "yyyyMMdd"))
+    return date_from_na(normalize_na(c))
 
 
 def ssic_norm(c) -> Column:

@@ -236,3 +236,8 @@ def entity_detail(fact: DataFrame, uen: str, columns) -> DataFrame:
 
 def month_range(lo: _dt.date, hi: _dt.date) -> tuple[int, int]:
     return yyyymm_of(lo), yyyymm_of(hi)
+
+
+def yyyymm_col(c: str):
+    """P9 for a date column, as used by rollups and month listings."""
+    return F.coalesce((F.year(c) * 100 + F.month(c)).cast("int"), F.lit(0))

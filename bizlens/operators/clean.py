@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions.cleaning import (
-    normalize_date,
-    normalize_na,
-    normalize_postal,
-    normalize_ssic,
+    date_from_na,
+    na_from_stripped,
+    postal_digits,
+    postal_from_digits,
+    ssic_from_na,
+    strip_ws,
 )
 from bizlens.schema import DATE_COLUMNS, KEEP_COLUMNS, NON_NULLABLE_COLUMNS, SSIC_COLUMNS
 
@@ -28,20 +30,31 @@ def keep_columns(df: DataFrame, columns=KEEP_COLUMNS, carry=()) -> DataFrame:
 
 
 def clean_record(df: DataFrame, carry=()) -> DataFrame:
-    """P10: contract projection with per-column normalisation (P2..P5)."""
+    """P10: contract projection with per-column normalisation (P2..P5).
+
+    Staged projections (strip -> NA -> digits -> final) so every regex is
+    evaluated once per value; Catalyst keeps the stages apart because they
+    reference non-trivial expressions more than once.
+    """
     df = keep_columns(df, carry=carry)
+    keep = [F.col(c) for c in carry]
+    s1 = df.select(*[strip_ws(c).alias(c) for c in KEEP_COLUMNS], *keep)
+    s2 = s1.select(*[na_from_stripped(c).alias(c) for c in KEEP_COLUMNS], *keep)
+    s3 = s2.select(
+        *[(postal_digits(c) if c == "postal_code" else F.col(c)).alias(c) for c in KEEP_COLUMNS], *keep
+    )
     out = []
     for c in KEEP_COLUMNS:
         if c == "postal_code":
-            e = normalize_postal(c)
+            e = postal_from_digits(c)
         elif c in SSIC_COLUMNS:
-            e = normalize_ssic(c)
+            e = ssic_from_na(c)
         elif c in DATE_COLUMNS:
-            e = normalize_date(c)
+            e = date_from_na(c)
         else:
-            e = normalize_na(c)
+            e = F.col(c)
         out.append(e.alias(c))
-    return df.select(*out, *[F.col(c) for c in carry])
+    return s3.select(*out, *keep)
 
 
 def not_null_default(df: DataFrame, columns=NON_NULLABLE_COLUMNS) -> DataFrame:

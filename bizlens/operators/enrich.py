@@ -45,20 +45,25 @@ def left_join_on_key(fact: DataFrame, dim: DataFrame, key: str, max_broadcast_by
 
 
 def enrich_geo(raw: DataFrame, postal_geo: DataFrame, drop_undated: bool = False,
-               max_broadcast_bytes=None) -> DataFrame:
+               max_broadcast_bytes=None, codes_cleaned: bool = False) -> DataFrame:
     """J1 + P8 + P9: raw fact LEFT JOIN latest postal geo -> enriched fact (18 cols).
 
     ``drop_undated`` reproduces the month-by-month rebuild, which loses rows
-    whose registration date is NULL.
+    whose registration date is NULL. ``codes_cleaned`` states that the codes
+    already went through P4 (our loader); P8 then reduces to '' -> NULL,
+    which keeps pushed-down filters on the normalised code small.
     """
     if drop_undated:
         raw = raw.filter(F.col("registration_incorporation_date").isNotNull())
+    def norm(c):
+        return F.nullif(F.col(c), F.lit("")) if codes_cleaned else ssic_norm(c)
+
     geo = latest_postal_geo(postal_geo)
     j = left_join_on_key(raw.select(*KEEP_COLUMNS), geo, "postal_code", max_broadcast_bytes)
     return j.select(
         *[F.col(c) for c in KEEP_COLUMNS[:10]],
-        ssic_norm("primary_ssic_code").alias("primary_ssic_norm"),
-        ssic_norm("secondary_ssic_code").alias("secondary_ssic_norm"),
+        norm("primary_ssic_code").alias("primary_ssic_norm"),
+        norm("secondary_ssic_code").alias("secondary_ssic_norm"),
         F.col("postal_code"),
         yyyymm("registration_incorporation_date").alias("registration_month"),
         *[F.col(c) for c in GEO_COLUMNS],

@@ -48,7 +48,7 @@ def _w(lo: dt.date, hi: dt.date) -> str:
 SELECT registration_month AS month, count(*) AS count FROM fact
 WHERE {_w(*WHOLE)} GROUP BY 1 ORDER BY 1""")
 def q2_trend(spark, sf):
-    fact = W.enriched_fact(spark, sf)
+    fact = W.warehouse_fact(spark, sf)
     return A.count_by_month(fact, FL.date_between(*WHOLE))
 
 
@@ -60,7 +60,7 @@ SELECT t.ssic_code, d.ssic_description, t.count FROM top t
 LEFT JOIN (SELECT ssic_code, min(ssic_description) AS ssic_description FROM ssic_dim
            WHERE ssic_code IS NOT NULL AND ssic_code <> '' GROUP BY 1) d ON t.ssic_code = d.ssic_code""")
 def q3_top_ssic(spark, sf):
-    fact = W.enriched_fact(spark, sf)
+    fact = W.warehouse_fact(spark, sf)
     top = A.top_by_key(fact, FL.date_between(*WHOLE), "primary_ssic_norm", 10, alias="ssic_code")
     return A.with_descriptions(top, W.ssic_dim(spark, sf))
 
@@ -76,7 +76,7 @@ _HOT_SQL = O.with_fact(O.SUBZONE) + f"""
 
 @register("Q4_hotspots", _HOT_SQL + " SELECT * FROM hot ORDER BY count DESC, subzone_id")
 def q4_hotspots(spark, sf):
-    fact = W.enriched_fact(spark, sf)
+    fact = W.warehouse_fact(spark, sf)
     return A.hotspots(fact, W.subzone_dim(spark, sf), FL.date_between(*WHOLE))
 
 
@@ -113,7 +113,7 @@ SELECT DATE '2000-01-01' AS period_start, DATE '2000-12-31' AS period_end,
             WHEN (SELECT k FROM tz) IS NOT NULL THEN 'subzone' ELSE 'unmapped' END AS hottest_area_type
 FROM tot""")
 def q1_overview(spark, sf):
-    fact = W.enriched_fact(spark, sf)
+    fact = W.warehouse_fact(spark, sf)
     return A.overview(fact, *YEAR_2000)
 
 
@@ -134,14 +134,14 @@ def _search_cond():
 SELECT {', '.join(SEARCH_COLUMNS)} FROM fact WHERE {_SEARCH_WHERE}
 ORDER BY {_SEARCH_ORDER} LIMIT 50 OFFSET 10""")
 def q5_search_page(spark, sf):
-    fact = W.enriched_fact(spark, sf)
+    fact = W.warehouse_fact(spark, sf)
     return A.search(fact, _search_cond(), SEARCH_COLUMNS, limit=50, offset=10)
 
 
 @register("Q5_search_total", O.with_fact() + f"""
 SELECT count(*) AS total FROM fact WHERE {_SEARCH_WHERE}""")
 def q5_search_total(spark, sf):
-    return A.search_total(W.enriched_fact(spark, sf), _search_cond())
+    return A.search_total(W.warehouse_fact(spark, sf), _search_cond())
 
 
 _DETAIL_ORDER = "registration_incorporation_date DESC NULLS LAST, " + ", ".join(
@@ -153,4 +153,237 @@ _DETAIL_ORDER = "registration_incorporation_date DESC NULLS LAST, " + ", ".join(
 SELECT {', '.join(DETAIL_COLUMNS)} FROM fact WHERE uen = '{DETAIL_UEN}'
 ORDER BY {_DETAIL_ORDER} LIMIT 1""")
 def q6_entity_detail(spark, sf):
-    return A.entity_detail(W.enriched_fact(spark, sf), DETAIL_UEN, DETAIL_COLUMNS)
+    return A.entity_detail(W.warehouse_fact(spark, sf), DETAIL_UEN, DETAIL_COLUMNS)
+
+
+# ------------------------------------------------- cleaning / dedup / profile ---
+
+from bizlens.operators import dedup as D  # noqa: E402
+from bizlens.operators import enrich as EN  # noqa: E402
+from bizlens.operators import profile as PR  # noqa: E402
+from bizlens.operators import rollups as RU  # noqa: E402
+from bizlens.schema import ENRICHED_COLUMNS, KEEP_COLUMNS  # noqa: E402
+from bizlens.sources import tpch  # noqa: E402
+
+_KEEP = ", ".join(KEEP_COLUMNS)
+
+
+@register("P10_clean_record", "WITH " + O.EXTRACT + f" SELECT {O.clean_cols()} FROM ext")
+def p10_clean_record(spark, sf):
+    return W.clean_extract(spark, sf)
+
+
+@register("P7_load_raw", O.with_fact() + f" SELECT {_KEEP} FROM raw")
+def p7_load_raw(spark, sf):
+    return W.raw_fact(spark, sf)
+
+
+_DEDUP_SQL = "WITH " + ",".join([O.EXTRACT, O.CLEAN]) + f"""
+, dd AS (
+  SELECT {_KEEP} FROM (
+    SELECT *, row_number() OVER (PARTITION BY uen
+        ORDER BY registration_incorporation_date DESC NULLS LAST, {O.ORDER_COLS}) AS rn
+    FROM cln WHERE uen IS NOT NULL AND uen <> '') WHERE rn = 1)"""
+
+
+def _dedup(spark, sf):
+    c = W.clean_extract(spark, sf, with_order=True)
+    return D.dedup_keep_latest(c, "uen", "registration_incorporation_date", "_ord").select(*KEEP_COLUMNS)
+
+
+@register("A9_dedup_keep_latest", _DEDUP_SQL + " SELECT * FROM dd")
+def a9_dedup_keep_latest(spark, sf):
+    return _dedup(spark, sf)
+
+
+@register("A10_latest_order_per_customer", """
+SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders) WHERE rn = 1""")
+def a10_latest_order_per_customer(spark, sf):
+    o = tpch.table(spark, sf, "orders")
+    return D.latest_by_key(o, "o_custkey", "o_orderdate", tiebreak=["o_orderkey"]).select(
+        "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+_PROFILE_UNION = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS total_rows, "
+    f"count(*) FILTER (WHERE {c} IS NULL OR CAST({c} AS VARCHAR) = '') AS null_count FROM dd"
+    for c in KEEP_COLUMNS
+)
+
+
+@register("A11_profile_nulls", _DEDUP_SQL + f"""
+SELECT column_name, total_rows, null_count,
+       CASE WHEN total_rows = 0 THEN 0.0 ELSE null_count * 100.0 / total_rows END AS null_percent
+FROM ({_PROFILE_UNION})""")
+def a11_profile_nulls(spark, sf):
+    return PR.profile_nulls(_dedup(spark, sf), KEEP_COLUMNS)
+
+
+@register("A11_profile_distinct", _DEDUP_SQL + """
+SELECT count(*) AS total_rows,
+       coalesce(string_agg(DISTINCT nullif(entity_status_description, ''), ','
+                ORDER BY nullif(entity_status_description, '')), '') AS distinct_status,
+       coalesce(string_agg(DISTINCT nullif(entity_type_description, ''), ','
+                ORDER BY nullif(entity_type_description, '')), '') AS distinct_type
+FROM dd""")
+def a11_profile_distinct(spark, sf):
+    return PR.profile_distinct(_dedup(spark, sf))
+
+
+# ------------------------------------------------------------ enrich / geo ---
+
+@register("J1_enrich_geo", O.with_fact() + " SELECT * FROM fact")
+def j1_enrich_geo(spark, sf):
+    return W.enriched_fact(spark, sf)
+
+
+@register("T4_rebuild_enriched", O.with_fact() + " SELECT * FROM fact WHERE registration_incorporation_date IS NOT NULL")
+def t4_rebuild_enriched(spark, sf):
+    return W.enriched_fact(spark, sf, drop_undated=True)
+
+
+_NEW_POSTALS = """
+SELECT DISTINCT postal_code FROM raw
+WHERE postal_code IS NOT NULL AND postal_code NOT IN (SELECT postal_code FROM geo)"""
+
+
+@register("J4_new_postals", O.with_fact() + _NEW_POSTALS)
+def j4_new_postals(spark, sf):
+    return EN.new_postals(W.raw_fact(spark, sf), tpch.postal_geo(spark, sf))
+
+
+@register("A7_remaining_postals", O.with_fact() + f" SELECT count(*) AS remaining_postals FROM ({_NEW_POSTALS})")
+def a7_remaining_postals(spark, sf):
+    return EN.remaining_postals(W.raw_fact(spark, sf), tpch.postal_geo(spark, sf))
+
+
+@register("L4_postal_worklist", O.with_fact() + _NEW_POSTALS + " ORDER BY postal_code LIMIT 5000")
+def l4_postal_worklist(spark, sf):
+    return EN.postal_worklist(W.raw_fact(spark, sf), tpch.postal_geo(spark, sf), limit=5000)
+
+
+@register("A8_distinct_months", O.with_fact() + f"""
+SELECT DISTINCT {O.month('registration_incorporation_date')} AS month FROM raw
+WHERE registration_incorporation_date IS NOT NULL ORDER BY month""")
+def a8_distinct_months(spark, sf):
+    raw = W.raw_fact(spark, sf)
+    return (raw.filter(F.col("registration_incorporation_date").isNotNull())
+            .select(A.yyyymm_col("registration_incorporation_date").alias("month"))
+            .distinct().orderBy("month"))
+
+
+# ---------------------------------------------------------------- rollups ---
+
+def _rollup_sql(name: str, where: str = "TRUE") -> str:
+    keys = RU.ROLLUP_KEYS[name]
+    k = ", ".join(keys)
+    return f"SELECT {k}, count(*) AS new_entities FROM fact WHERE {where} GROUP BY {k}"
+
+
+_ROLLUP_IDS = {
+    "R1": "new_entities_monthly_by_ssic",
+    "R2": "new_entities_monthly_by_subzone",
+    "R3": "new_entities_monthly_by_planning_area",
+    "R4": "top_ssic_by_area_month",
+}
+
+
+def _make_rollup(name):
+    def fn(spark, sf):
+        return RU.rollup(W.warehouse_fact(spark, sf), name)
+    return fn
+
+
+for _rid, _name in _ROLLUP_IDS.items():
+    register(f"{_rid}_{_name}", O.with_fact() + " " + _rollup_sql(_name))(_make_rollup(_name))
+
+
+def _merged_sql(name: str) -> str:
+    keys = RU.ROLLUP_KEYS[name]
+    text = [k for k in keys if k != "registration_month"]
+    sel = ", ".join(
+        ["registration_month"]
+        + [f"CASE WHEN coalesce({k}, '') = '' AND bool_or({k} IS NULL) THEN NULL "
+           f"ELSE coalesce({k}, '') END AS {k}" for k in text]
+    )
+    grp = ", ".join(["registration_month"] + [f"coalesce({k}, '')" for k in text])
+    return f"SELECT {sel}, count(*) AS new_entities FROM fact GROUP BY {grp}"
+
+
+@register("R5_merge_rollup", O.with_fact() + " " + _merged_sql("top_ssic_by_area_month"))
+def r5_merge_rollup(spark, sf):
+    name = "top_ssic_by_area_month"
+    fact = W.warehouse_fact(spark, sf)
+    old = RU.rollup(fact.filter(F.col("registration_month") < 200001), name)
+    delta = RU.rollup(fact.filter(F.col("registration_month") >= 200001), name)
+    return RU.merge_rollup(old, delta, name)
+
+
+# ------------------------------------------------------- area comparisons ---
+
+COMPARE_AREAS = ["AMERICA", "ASIA"]
+COMPARE_WINDOW = (dt.date(1999, 1, 1), dt.date(2000, 12, 31))
+
+
+@register("A6_compare_areas", O.with_fact() + f"""
+SELECT registration_month AS month, planning_area_id, count(*) AS count FROM fact
+WHERE {_w(*COMPARE_WINDOW)} AND planning_area_id IN ('AMERICA', 'ASIA')
+  AND starts_with(primary_ssic_norm, '00')
+GROUP BY 1, 2 ORDER BY 1, 2""")
+def a6_compare_areas(spark, sf):
+    fact = W.warehouse_fact(spark, sf)
+    cond = FL.all_of(FL.date_between(*COMPARE_WINDOW), FL.area_in(COMPARE_AREAS), FL.ssic_prefix("00"))
+    return A.count_by_month_area(fact, cond)
+
+
+@register("A4_top_planning_areas", O.with_fact() + f"""
+SELECT planning_area_id, count(*) AS count FROM fact WHERE {_w(*WHOLE)}
+GROUP BY 1 ORDER BY count DESC, planning_area_id ASC NULLS LAST LIMIT 10""")
+def a4_top_planning_areas(spark, sf):
+    return A.top_by_key(W.warehouse_fact(spark, sf), FL.date_between(*WHOLE), "planning_area_id", 10)
+
+
+@register("A4_top_subzones_in_area", O.with_fact() + f"""
+SELECT subzone_id, count(*) AS count FROM fact WHERE {_w(*WHOLE)} AND planning_area_id = 'ASIA'
+GROUP BY 1 ORDER BY count DESC, subzone_id ASC NULLS LAST LIMIT 10""")
+def a4_top_subzones_in_area(spark, sf):
+    cond = FL.all_of(FL.date_between(*WHOLE), FL.area_filter("ASIA"))
+    return A.top_by_key(W.warehouse_fact(spark, sf), cond, "subzone_id", 10)
+
+
+@register("A1_count_in_window", O.with_fact() + f"""
+SELECT count(*) AS count FROM fact WHERE {_w(*YEAR_2000)} AND subzone_id = 'NATION_3'""")
+def a1_count_in_window(spark, sf):
+    cond = FL.all_of(FL.date_between(*YEAR_2000), FL.area_filter("NATION_3", "subzone"))
+    return A.count_in_window(W.warehouse_fact(spark, sf), cond)
+
+
+@register("Q1_overview_area", O.with_fact() + f"""
+, cur AS (SELECT * FROM fact WHERE {_w(*YEAR_2000)} AND starts_with(primary_ssic_norm, '001')),
+tot AS (SELECT (SELECT count(*) FROM cur WHERE planning_area_id = 'EUROPE') AS value,
+               (SELECT count(*) FROM fact WHERE {_w(dt.date(1999, 1, 1), dt.date(1999, 12, 31))}
+                  AND starts_with(primary_ssic_norm, '001') AND planning_area_id = 'EUROPE') AS prev_value),
+ts AS (SELECT primary_ssic_norm AS k, count(*) AS n FROM cur WHERE planning_area_id = 'EUROPE' GROUP BY 1
+       ORDER BY n DESC, k ASC NULLS LAST LIMIT 1),
+tp AS (SELECT planning_area_id AS k, count(*) AS n FROM cur GROUP BY 1
+       ORDER BY n DESC, k ASC NULLS LAST LIMIT 1),
+tz AS (SELECT subzone_id AS k, count(*) AS n FROM cur GROUP BY 1
+       ORDER BY n DESC, k ASC NULLS LAST LIMIT 1)
+SELECT DATE '2000-01-01' AS period_start, DATE '2000-12-31' AS period_end,
+       'new_entities_30d' AS label, value, prev_value,
+       CASE WHEN prev_value <> 0 THEN round((value - prev_value) / prev_value * 100, 2) END AS change_yoy_pct,
+       (SELECT k FROM ts) AS top_ssic_code,
+       CASE WHEN (SELECT k FROM ts) IS NOT NULL THEN (SELECT n FROM ts) END AS top_ssic_count,
+       CASE WHEN (SELECT k FROM tp) IS NOT NULL THEN (SELECT k FROM tp)
+            WHEN (SELECT k FROM tz) IS NOT NULL THEN (SELECT k FROM tz) ELSE 'UNMAPPED' END AS hottest_area_id,
+       CASE WHEN (SELECT k FROM tp) IS NOT NULL THEN (SELECT n FROM tp)
+            WHEN (SELECT k FROM tz) IS NOT NULL THEN (SELECT n FROM tz) ELSE value END AS hottest_count,
+       CASE WHEN (SELECT k FROM tp) IS NOT NULL THEN 'planning_area'
+            WHEN (SELECT k FROM tz) IS NOT NULL THEN 'subzone' ELSE 'unmapped' END AS hottest_area_type
+FROM tot""")
+def q1_overview_area(spark, sf):
+    fact = W.warehouse_fact(spark, sf)
+    return A.overview(fact, *YEAR_2000, ssic_cond=FL.ssic_pattern_filter(["001*"]),
+                      area_cond=FL.area_filter("EUROPE"))
