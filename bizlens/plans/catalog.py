@@ -387,3 +387,63 @@ def q1_overview_area(spark, sf):
     fact = W.warehouse_fact(spark, sf)
     return A.overview(fact, *YEAR_2000, ssic_cond=FL.ssic_pattern_filter(["001*"]),
                       area_cond=FL.area_filter("EUROPE"))
+
+
+# --------------------------------------------------------------- taxonomy ---
+
+from bizlens.operators import taxonomy as TX  # noqa: E402
+from bizlens.sources import taxonomy as TS  # noqa: E402
+
+_TAX = TS.PACKAGED
+
+
+def _cats(spark):
+    return TS.categories(TS.read_taxonomy(spark, _TAX))
+
+
+@register("J6_category_counts", O.with_fact(O.taxonomy_ctes(_TAX)) + f"""
+SELECT c.id AS category_id, c.label AS label,
+  (SELECT count(*) FROM fact f WHERE {_w(*WHOLE)} AND EXISTS (
+     SELECT 1 FROM pats p WHERE p.category_id = c.id AND (
+       (p.pattern LIKE '%*' AND starts_with(f.primary_ssic_norm, rtrim(p.pattern, '*')))
+       OR (p.pattern NOT LIKE '%*' AND f.primary_ssic_norm = p.pattern)))) AS count
+FROM cats c""")
+def j6_category_counts(spark, sf):
+    fact = W.warehouse_fact(spark, sf)
+    return TX.category_counts(fact, _cats(spark), FL.date_between(*WHOLE))
+
+
+@register("F2_category_trend", O.with_fact() + f"""
+SELECT registration_month AS month, count(*) AS count FROM fact
+WHERE {_w(*WHOLE)} AND (starts_with(primary_ssic_norm, '0062') OR primary_ssic_norm = '00620')
+GROUP BY 1 ORDER BY 1""")
+def f2_category_trend(spark, sf):
+    fact = W.warehouse_fact(spark, sf)
+    pats = FL.resolve_ssic_patterns(None, "software", _cats(spark))
+    return A.count_by_month(fact, FL.all_of(FL.date_between(*WHOLE), FL.ssic_pattern_filter(pats)))
+
+
+@register("Q10_taxonomy_search", "WITH " + O.taxonomy_ctes(_TAX) + "," + O.TERMS + """
+SELECT t.query, coalesce(c.sector, 'other') AS sector,
+       coalesce(s.label, coalesce(c.sector, 'other')) AS sector_label,
+       c.id AS category_id, c.label AS category_label
+FROM terms t JOIN cats c ON (
+    contains(lower(c.label), lower(trim(t.query)))
+    OR EXISTS (SELECT 1 FROM (SELECT unnest(c.keywords) AS k) kk WHERE contains(lower(kk.k), lower(trim(t.query)))))
+LEFT JOIN secs s ON s.id = c.sector""")
+def q10_taxonomy_search(spark, sf):
+    tax = TS.read_taxonomy(spark, _TAX)
+    return TX.taxonomy_search(tpch.search_terms(spark, sf), TS.categories(tax), TS.sectors(tax))
+
+
+@register("Q11_resolve_category", "WITH " + O.taxonomy_ctes(_TAX) + "," + O.TERMS + """
+, lh AS (SELECT lower(label) AS k, arg_min(id, pos) AS id FROM cats GROUP BY 1),
+kh AS (SELECT lower(kw) AS k, arg_min(id, pos) AS id FROM (SELECT id, pos, unnest(keywords) AS kw FROM cats) GROUP BY 1)
+SELECT t.query AS text,
+  CASE WHEN trim(t.query) = '' THEN 'none' WHEN lh.id IS NOT NULL THEN 'label' WHEN kh.id IS NOT NULL THEN 'keyword'
+       WHEN regexp_full_match(trim(t.query), '[0-9]+') THEN 'ssic' ELSE 'none' END AS match_type,
+  CASE WHEN trim(t.query) = '' THEN NULL ELSE coalesce(lh.id, kh.id) END AS category_id,
+  CASE WHEN coalesce(lh.id, kh.id) IS NULL AND regexp_full_match(trim(t.query), '[0-9]+') THEN trim(t.query) END AS ssic
+FROM terms t LEFT JOIN lh ON lh.k = lower(trim(t.query)) LEFT JOIN kh ON kh.k = lower(trim(t.query))""")
+def q11_resolve_category(spark, sf):
+    return TX.resolve_category(tpch.search_terms(spark, sf, col="text"), _cats(spark))

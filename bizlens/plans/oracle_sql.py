@@ -171,3 +171,23 @@ def with_fact(*extra: str) -> str:
 
 def date_window(lo: str, hi: str, col: str = "registration_incorporation_date") -> str:
     return f"{col} BETWEEN DATE '{lo}' AND DATE '{hi}'"
+
+
+def taxonomy_ctes(path: str) -> str:
+    """tax, cats (pos, id, label, sector, keywords, ssic), secs, pats."""
+    return f"""
+tax AS (SELECT * FROM read_json('{path}', format = 'auto')),
+cats AS (
+  SELECT pos - 1 AS pos, c.id AS id, c.label AS label, c.sector AS sector,
+         coalesce(c.keywords, []) AS keywords, coalesce(c.ssic, []) AS ssic
+  FROM (SELECT unnest(categories) AS c, generate_subscripts(categories, 1) AS pos FROM tax)),
+secs AS (SELECT s.id AS id, s.label AS label FROM (SELECT unnest(sectors) AS s FROM tax)),
+pats AS (SELECT id AS category_id, unnest(ssic) AS pattern FROM cats)"""
+
+
+TERMS = """
+terms AS (
+  SELECT DISTINCT query FROM (
+    SELECT unnest(string_split(p_name, ' ')) AS query FROM part
+    UNION ALL SELECT p_name FROM part
+    UNION ALL SELECT CAST(p_size AS VARCHAR) FROM part))"""

@@ -172,3 +172,13 @@ __all__ = [
     "supplier_points",
     "table",
 ]
+
+
+def search_terms(spark: SparkSession, sf_dir: str, col: str = "query") -> DataFrame:
+    """Free-text inputs for category search: every distinct word of a part
+    name, every whole part name and every part size (digits)."""
+    p = table(spark, sf_dir, "part")
+    words = p.select(F.explode(F.split("p_name", " ")).alias(col))
+    names = p.select(F.col("p_name").alias(col))
+    sizes = p.select(F.col("p_size").cast("string").alias(col))
+    return words.unionByName(names).unionByName(sizes).distinct()
