@@ -26,7 +26,7 @@ ORACLE: dict[str, str] = {}
 WHOLE = (dt.date(1995, 1, 1), dt.date(2001, 12, 31))
 YEAR_2000 = (dt.date(2000, 1, 1), dt.date(2000, 12, 31))
 SEARCH_Q = "line 7"
-DETAIL_UEN = "4242"
+DETAIL_UEN = "00004242K"
 
 
 def register(name: str, sql: str | None = None):
@@ -447,3 +447,42 @@ SELECT t.query AS text,
 FROM terms t LEFT JOIN lh ON lh.k = lower(trim(t.query)) LEFT JOIN kh ON kh.k = lower(trim(t.query))""")
 def q11_resolve_category(spark, sf):
     return TX.resolve_category(tpch.search_terms(spark, sf, col="text"), _cats(spark))
+
+
+# -------------------------------------------------------------- questions ---
+
+from bizlens.operators import questions as QN  # noqa: E402
+
+AS_OF = dt.date.fromisoformat(tpch.AS_OF)
+_PARSED_COLS = ["question_id", "intent", "start_date", "end_date", "ssic", "area", "area_1", "area_2", "uen", "error"]
+_Q_BASE = O.with_fact() + "," + O.parse_sql(tpch.AS_OF)
+_DETAIL_ORDER_NL = "registration_incorporation_date DESC NULLS LAST, " + ", ".join(
+    f"{c} ASC NULLS LAST" for c in DETAIL_COLUMNS if c not in ("uen", "registration_incorporation_date")
+)
+
+
+def _parsed(spark, sf):
+    return QN.parse_questions(tpch.questions(spark, sf), AS_OF)
+
+
+@register("N8_parse_questions", "WITH " + O.parse_sql(tpch.AS_OF) + f" SELECT {', '.join(_PARSED_COLS)} FROM parsed")
+def n8_parse_questions(spark, sf):
+    return _parsed(spark, sf).select(*_PARSED_COLS)
+
+
+@register("N16_answer_questions", _Q_BASE + O.answers_sql() + " SELECT * FROM ans")
+def n16_answer_questions(spark, sf):
+    return QN.answer_rows(_parsed(spark, sf), W.warehouse_fact(spark, sf))
+
+
+@register("N13_entity_lookups", _Q_BASE + O.lookups_sql(DETAIL_COLUMNS, _DETAIL_ORDER_NL) + " SELECT * FROM lk")
+def n13_entity_lookups(spark, sf):
+    return QN.entity_lookups(_parsed(spark, sf), W.warehouse_fact(spark, sf))
+
+
+@register("N15_narratives", _Q_BASE + O.answers_sql() + O.lookups_sql(DETAIL_COLUMNS, _DETAIL_ORDER_NL)
+          + O.NARRATIVES + " SELECT * FROM nar")
+def n15_narratives(spark, sf):
+    parsed = _parsed(spark, sf)
+    fact = W.warehouse_fact(spark, sf)
+    return QN.narratives(parsed, QN.answer_rows(parsed, fact), QN.entity_lookups(parsed, fact))

@@ -55,7 +55,8 @@ def month(d: str) -> str:
 
 EXTRACT = """
 ext AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS uen,
+  SELECT (CASE WHEN length(CAST(l_orderkey AS VARCHAR)) < 8 THEN lpad(CAST(l_orderkey AS VARCHAR), 8, '0')
+               ELSE CAST(l_orderkey AS VARCHAR) END) || 'K' AS uen,
          'ORDER ' || CAST(l_orderkey AS VARCHAR) || ' LINE ' || CAST(l_linenumber AS VARCHAR) AS entity_name,
          ' ' || l_linestatus AS entity_status_description,
          l_returnflag AS entity_type_description,
@@ -191,3 +192,185 @@ terms AS (
     SELECT unnest(string_split(p_name, ' ')) AS query FROM part
     UNION ALL SELECT p_name FROM part
     UNION ALL SELECT CAST(p_size AS VARCHAR) FROM part))"""
+
+
+# ------------------------------------------------------------- questions ---
+
+_UEN_SQL = ("(CASE WHEN length(CAST({k} AS VARCHAR)) < 8 THEN lpad(CAST({k} AS VARCHAR), 8, '0') "
+            "ELSE CAST({k} AS VARCHAR) END) || 'K'")
+
+QUESTIONS = f"""
+nr AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
+qs AS (
+  SELECT 'region:' || r_regionkey || ':1' AS question_id, 'Top SSICs in ' || r_name || ' last 12 months' AS question FROM region
+  UNION ALL SELECT 'region:' || r_regionkey || ':2', 'Trend of new entities in ' || r_name || ' since 1998' FROM region
+  UNION ALL SELECT 'region:' || r_regionkey || ':3', 'Where are ssic 00' || r_regionkey || ' companies hottest in 2000' FROM region
+  UNION ALL SELECT 'region:' || r.r_regionkey || ':4', 'Compare ' || r.r_name || ' vs ' || coalesce(r2.r_name, 'AFRICA')
+         || ' for new F&B entities' FROM region r LEFT JOIN region r2 ON r2.r_regionkey - 1 = r.r_regionkey
+  UNION ALL SELECT 'region:' || r_regionkey || ':5', 'Why the spike in ' || r_name || ' 2000 to 1998' FROM region
+  UNION ALL SELECT 'region:' || r_regionkey || ':6', 'Show uen details for ' || r_name FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey || ':1', 'New entities with ssic 0' || n_nationkey || ' in ' || r_name
+         || ' last 6 months' FROM nr
+  UNION ALL SELECT 'nation:' || n_nationkey || ':2', 'Top industries for ' || r_name || ' 1999 and 2001' FROM nr
+  UNION ALL SELECT 'nation:' || n_nationkey || ':3', 'compare ' || r_name || ' vs ' || n_name || ' last 3 months' FROM nr
+  UNION ALL SELECT 'order:' || o_orderkey, 'Show uen ' || lower({_UEN_SQL.format(k='o_orderkey')}) || ' details' FROM orders
+  UNION ALL SELECT 'conv:' || conv_id || ':' || turn, text FROM conversations WHERE role = 'user'
+)"""
+
+_NB = r"(?:^|[^\p{L}\p{N}_])"
+_AREA_RE = _NB + r"(in|for)\s+([A-Za-z ]+?)(?:\s+last|\s+since|\s+from|\s+to|\s+[0-9]{4}|$)"
+_COMPARE_RE = r"(?i)compare\s+(.+?)\s+vs\s+(.+?)(?:\s+for|\s+last|\s+since|\s+[0-9]{4}|$)"
+_VS_RE = r"(?i)(.+?)\s+vs\s+(.+?)(?:\s+for|\s+last|\s+since|\s+[0-9]{4}|$)"
+_SSIC_RE = _NB + r"ssic\s*([0-9]{2,5})(?:$|[^\p{L}\p{N}_])"
+
+_KEYWORDS = [("f&b", "56"), ("food", "56"), ("restaurant", "56"), ("cafe", "56"), ("retail", "47"),
+             ("wholesale", "46"), ("finance", "64"), ("bank", "64"), ("insurance", "65"),
+             ("software", "62"), ("it", "62"), ("tech", "62")]
+
+
+def _ws_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def parse_sql(as_of: str) -> str:
+    """CTEs qs, p1, p2, parsed (the N1..N8 columns)."""
+    kw = " ".join(f"WHEN contains(t, '{k}') THEN '{v}'" for k, v in _KEYWORDS)
+    return QUESTIONS + f""",
+p1 AS (
+  SELECT question_id, question, lower(question) AS t,
+         regexp_extract_all(question, '[\\p{{L}}\\p{{N}}_]+') AS toks
+  FROM qs),
+p2 AS (
+  SELECT *,
+    upper(list_filter(toks, lambda x: regexp_full_match(x, '[0-9]{{8}}[A-Za-z]'))[1]) AS uen_tok,
+    CASE WHEN contains(t, 'uen') OR upper(list_filter(toks, lambda x: regexp_full_match(x, '[0-9]{{8}}[A-Za-z]'))[1]) IS NOT NULL
+           THEN 'ENTITY_LOOKUP'
+         WHEN contains(t, 'compare') OR contains(t, ' vs ') THEN 'COMPARE_AREAS'
+         WHEN contains(t, 'top') AND (contains(t, 'ssic') OR contains(t, 'industry') OR contains(t, 'industries'))
+           THEN 'TOP_INDUSTRIES_IN_AREA'
+         WHEN contains(t, 'where') AND (contains(t, 'cluster') OR contains(t, 'hot') OR contains(t, 'hottest'))
+           THEN 'HOTTEST_AREAS_FOR_INDUSTRY'
+         WHEN contains(t, 'why') OR contains(t, 'spike') THEN 'EXPLAIN_CHANGE'
+         ELSE 'NEW_ENTITIES_TREND' END AS intent,
+    CASE WHEN contains(t, 'last 12 months') OR contains(t, 'past 12 months') OR contains(t, 'last year') THEN 365
+         WHEN contains(t, 'last 6 months') THEN 180 WHEN contains(t, 'last 3 months') THEN 90
+         WHEN contains(t, 'last 24 months') THEN 730 END AS rel,
+    list_sort(list_transform(list_filter(toks, lambda x: regexp_full_match(x, '(19|20)[0-9]{{2}}')),
+                             lambda x: CAST(x AS INTEGER))) AS ys,
+    nullif(regexp_extract(question, '(?i){_SSIC_RE}', 1), '') AS ssic_tok,
+    CASE {kw} END AS kw_code,
+    nullif(trim(regexp_extract(question, '(?i){_AREA_RE}', 2)), '') AS area_tok,
+    CASE WHEN regexp_matches(question, '{_COMPARE_RE}')
+           THEN [{_ws_strip(f"regexp_extract(question, '{_COMPARE_RE}', 1)")},
+                 {_ws_strip(f"regexp_extract(question, '{_COMPARE_RE}', 2)")}]
+         WHEN regexp_matches(question, '{_VS_RE}')
+           THEN [{_ws_strip(f"regexp_extract(question, '{_VS_RE}', 1)")},
+                 {_ws_strip(f"regexp_extract(question, '{_VS_RE}', 2)")}] END AS areas_tok
+  FROM p1),
+p3 AS (
+  SELECT *,
+    CASE WHEN rel IS NOT NULL THEN DATE '{as_of}' - rel
+         WHEN len(ys) > 0 THEN make_date(ys[1], 1, 1)
+         ELSE DATE '{as_of}' - 720 END AS s0,
+    CASE WHEN rel IS NULL AND len(ys) > 0 THEN make_date(ys[len(ys)], 12, 31) ELSE DATE '{as_of}' END AS e0,
+    CASE WHEN intent = 'ENTITY_LOOKUP' AND uen_tok IS NULL THEN 'UEN not found in question'
+         WHEN intent = 'COMPARE_AREAS' AND areas_tok IS NULL THEN 'Provide two areas to compare' END AS error
+  FROM p2),
+p4 AS (
+  SELECT *, greatest(s0, e0) AS hi, least(s0, e0) AS lo0 FROM p3),
+parsed AS (
+  SELECT question_id, question, intent,
+    CASE WHEN error IS NULL AND intent <> 'ENTITY_LOOKUP' THEN
+      CASE WHEN hi - lo0 > 3650 THEN hi - 3650 ELSE lo0 END END AS start_date,
+    CASE WHEN error IS NULL AND intent <> 'ENTITY_LOOKUP' THEN hi END AS end_date,
+    CASE WHEN error IS NULL AND intent IN ('COMPARE_AREAS', 'HOTTEST_AREAS_FOR_INDUSTRY', 'EXPLAIN_CHANGE',
+                                           'NEW_ENTITIES_TREND') THEN coalesce(ssic_tok, kw_code) END AS ssic,
+    CASE WHEN error IS NULL AND intent IN ('TOP_INDUSTRIES_IN_AREA', 'EXPLAIN_CHANGE', 'NEW_ENTITIES_TREND')
+         THEN area_tok END AS area,
+    CASE WHEN error IS NULL AND intent = 'COMPARE_AREAS' THEN areas_tok[1] END AS area_1,
+    CASE WHEN error IS NULL AND intent = 'COMPARE_AREAS' THEN areas_tok[2] END AS area_2,
+    CASE WHEN error IS NULL AND intent = 'ENTITY_LOOKUP' THEN uen_tok END AS uen,
+    error
+  FROM p4)"""
+
+
+def answers_sql() -> str:
+    """CTE ans (question_id, intent, row_no, month, planning_area_id, ssic_code, count); needs parsed, fact."""
+    return """,
+m AS (
+  SELECT q.question_id, q.intent, f.registration_month AS month, f.planning_area_id, f.primary_ssic_norm
+  FROM parsed q JOIN fact f
+    ON f.registration_incorporation_date BETWEEN q.start_date AND q.end_date
+  WHERE q.error IS NULL AND q.intent <> 'ENTITY_LOOKUP'
+    AND (q.intent NOT IN ('TOP_INDUSTRIES_IN_AREA', 'EXPLAIN_CHANGE', 'NEW_ENTITIES_TREND')
+         OR q.area IS NULL OR f.planning_area_id = q.area)
+    AND (q.intent <> 'COMPARE_AREAS' OR f.planning_area_id IN (q.area_1, q.area_2))
+    AND (q.ssic IS NULL OR starts_with(f.primary_ssic_norm, q.ssic))),
+a1 AS (
+  SELECT question_id, intent, month, CAST(NULL AS VARCHAR) AS planning_area_id, CAST(NULL AS VARCHAR) AS ssic_code,
+         count(*) AS count, row_number() OVER (PARTITION BY question_id ORDER BY month) AS row_no
+  FROM m WHERE intent IN ('NEW_ENTITIES_TREND', 'EXPLAIN_CHANGE') GROUP BY question_id, intent, month),
+a2 AS (
+  SELECT question_id, intent, month, planning_area_id, CAST(NULL AS VARCHAR) AS ssic_code, count(*) AS count,
+         row_number() OVER (PARTITION BY question_id ORDER BY month, planning_area_id) AS row_no
+  FROM m WHERE intent = 'COMPARE_AREAS' GROUP BY question_id, intent, month, planning_area_id),
+a3 AS (
+  SELECT * FROM (
+    SELECT question_id, intent, CAST(NULL AS INTEGER) AS month, CAST(NULL AS VARCHAR) AS planning_area_id,
+           primary_ssic_norm AS ssic_code, count(*) AS count,
+           row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, primary_ssic_norm ASC NULLS LAST) AS row_no
+    FROM m WHERE intent = 'TOP_INDUSTRIES_IN_AREA' GROUP BY question_id, intent, primary_ssic_norm) WHERE row_no <= 10),
+a4 AS (
+  SELECT * FROM (
+    SELECT question_id, intent, CAST(NULL AS INTEGER) AS month, planning_area_id, CAST(NULL AS VARCHAR) AS ssic_code,
+           count(*) AS count,
+           row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, planning_area_id ASC NULLS LAST) AS row_no
+    FROM m WHERE intent = 'HOTTEST_AREAS_FOR_INDUSTRY' GROUP BY question_id, intent, planning_area_id) WHERE row_no <= 10),
+ans AS (
+  SELECT question_id, intent, CAST(row_no AS INTEGER) AS row_no, month, planning_area_id, ssic_code,
+         CAST(count AS BIGINT) AS count FROM a1
+  UNION ALL SELECT question_id, intent, CAST(row_no AS INTEGER), month, planning_area_id, ssic_code, CAST(count AS BIGINT) FROM a2
+  UNION ALL SELECT question_id, intent, CAST(row_no AS INTEGER), month, planning_area_id, ssic_code, CAST(count AS BIGINT) FROM a3
+  UNION ALL SELECT question_id, intent, CAST(row_no AS INTEGER), month, planning_area_id, ssic_code, CAST(count AS BIGINT) FROM a4)"""
+
+
+def lookups_sql(detail_cols, detail_order: str) -> str:
+    """CTE lk (question_id + detail columns); needs parsed, fact."""
+    cols = ", ".join(detail_cols)
+    return f""",
+lk_rows AS (
+  SELECT {cols} FROM (
+    SELECT *, row_number() OVER (PARTITION BY uen ORDER BY {detail_order}) AS rn
+    FROM fact WHERE uen IN (SELECT uen FROM parsed WHERE intent = 'ENTITY_LOOKUP' AND uen IS NOT NULL))
+  WHERE rn = 1),
+lk AS (
+  SELECT q.question_id, {", ".join("r." + c for c in detail_cols)}
+  FROM parsed q JOIN lk_rows r ON r.uen = q.uen
+  WHERE q.intent = 'ENTITY_LOOKUP' AND q.uen IS NOT NULL)"""
+
+
+NARRATIVES = """,
+fr AS (SELECT question_id, ssic_code, planning_area_id, count FROM ans WHERE row_no = 1),
+nr_rows AS (SELECT question_id, count(*) AS n_rows FROM ans GROUP BY 1),
+nar AS (
+  SELECT q.question_id, q.intent,
+    CAST(CASE WHEN q.intent = 'ENTITY_LOOKUP' THEN CASE WHEN lk.question_id IS NOT NULL THEN 1 ELSE 0 END
+         ELSE coalesce(c.n_rows, 0) END AS BIGINT) AS n_rows,
+    CASE WHEN q.error IS NOT NULL THEN NULL
+         WHEN q.intent = 'ENTITY_LOOKUP' THEN
+           CASE WHEN lk.question_id IS NULL THEN 'No entity found for that UEN.'
+                ELSE 'Found ' || coalesce(lk.entity_name, 'None') || ' ('
+                     || coalesce(lk.entity_status_description, 'None') || ').' END
+         WHEN coalesce(c.n_rows, 0) = 0 THEN 'No results for the selected filters.'
+         WHEN q.intent = 'TOP_INDUSTRIES_IN_AREA' THEN
+           'Top SSIC: ' || coalesce(fr.ssic_code, 'None') || ' with ' || CAST(fr.count AS VARCHAR) || ' new entities.'
+         WHEN q.intent = 'HOTTEST_AREAS_FOR_INDUSTRY' THEN
+           'Hottest planning area: ' || coalesce(fr.planning_area_id, 'None') || ' with ' || CAST(fr.count AS VARCHAR)
+           || ' new entities.'
+         WHEN q.intent = 'COMPARE_AREAS' THEN 'Compared areas across the selected period.'
+         WHEN q.intent = 'EXPLAIN_CHANGE' THEN 'Trend data prepared; use month-by-month view to spot spikes.'
+         ELSE 'Trend generated.' END AS narrative,
+    q.error
+  FROM parsed q LEFT JOIN fr ON fr.question_id = q.question_id
+  LEFT JOIN nr_rows c ON c.question_id = q.question_id
+  LEFT JOIN lk ON lk.question_id = q.question_id)"""

@@ -3,7 +3,8 @@
 The operators take column names, so the same code runs on the registry
 schema and on these derived frames. Mapping (one entity row per lineitem):
 
-  uen                    l_orderkey (duplicated keys exercise keep-latest dedup)
+  uen                    l_orderkey padded to 8 digits + 'K' (UEN shape; duplicated
+                         keys exercise keep-latest dedup)
   entity_name            'ORDER <orderkey> LINE <linenumber>'
   status / type          l_linestatus / l_returnflag (status padded with a space)
   constitution           ' Sole Proprietor ' when l_quantity > 25 else 'NA'
@@ -46,12 +47,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def uen_of(key) -> "F.Column":
+    """Business-style UEN text for a numeric key: 8+ digits and a letter."""
+    k = key.cast("string")
+    return F.concat(F.when(F.length(k) < 8, F.lpad(k, 8, "0")).otherwise(k), F.lit("K"))
+
+
 def registry_extract(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame:
     """Raw text rows as a registry CSV extract would deliver them."""
     li = table(spark, sf_dir, "lineitem")
     ship = F.col("l_shipdate")
     cols = [
-        F.col("l_orderkey").cast("string").alias("uen"),
+        uen_of(F.col("l_orderkey")).alias("uen"),
         F.concat(
             F.lit("ORDER "), F.col("l_orderkey").cast("string"),
             F.lit(" LINE "), F.col("l_linenumber").cast("string"),
@@ -182,3 +189,63 @@ def search_terms(spark: SparkSession, sf_dir: str, col: str = "query") -> DataFr
     names = p.select(F.col("p_name").alias(col))
     sizes = p.select(F.col("p_size").cast("string").alias(col))
     return words.unionByName(names).unionByName(sizes).distinct()
+
+
+AS_OF = "2001-11-04"
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, question): plain-language questions built from the data.
+
+    * per region: ranking, trend, hotspot, comparison (with the next region)
+      and change questions naming the region;
+    * per nation: code-filtered trend and top-industry questions;
+    * per order: a UEN lookup ("Show uen 00004242K details");
+    * every user turn of ``conversations``, whole text.
+    """
+    r = region_names(spark, sf_dir)
+    nxt = r.select((F.col("r_regionkey") - 1).alias("prev_key"), F.col("r_name").alias("next_name"))
+    r2 = r.join(F.broadcast(nxt), r.r_regionkey == nxt.prev_key, "left")
+    name = F.col("r_name")
+    rk = F.col("r_regionkey").cast("string")
+
+    def templates(prefix, key, texts):
+        """One row per (entity, template) through a single explode."""
+        items = [
+            F.struct(F.concat(F.lit(prefix), key, F.lit(f":{i}")).alias("question_id"), t.alias("question"))
+            for i, t in enumerate(texts, start=1)
+        ]
+        return F.inline(F.array(*items))
+
+    region_qs = r2.select(templates("region:", rk, [
+        F.concat(F.lit("Top SSICs in "), name, F.lit(" last 12 months")),
+        F.concat(F.lit("Trend of new entities in "), name, F.lit(" since 1998")),
+        F.concat(F.lit("Where are ssic 00"), rk, F.lit(" companies hottest in 2000")),
+        F.concat(F.lit("Compare "), name, F.lit(" vs "), F.coalesce(F.col("next_name"), F.lit("AFRICA")),
+                 F.lit(" for new F&B entities")),
+        F.concat(F.lit("Why the spike in "), name, F.lit(" 2000 to 1998")),
+        F.concat(F.lit("Show uen details for "), name),
+    ]))
+    n = table(spark, sf_dir, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    nk = F.col("n_nationkey").cast("string")
+    nation_qs = n.select(templates("nation:", nk, [
+        F.concat(F.lit("New entities with ssic 0"), nk, F.lit(" in "), name, F.lit(" last 6 months")),
+        F.concat(F.lit("Top industries for "), name, F.lit(" 1999 and 2001")),
+        F.concat(F.lit("compare "), name, F.lit(" vs "), F.col("n_name"), F.lit(" last 3 months")),
+    ]))
+    o = table(spark, sf_dir, "orders")
+    order_qs = o.select(
+        F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("question_id"),
+        F.concat(F.lit("Show uen "), F.lower(uen_of(F.col("o_orderkey"))), F.lit(" details")),
+    )
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    conv_qs = c.select(
+        F.concat(F.lit("conv:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+        .alias("question_id"),
+        F.col("text"),
+    )
+    out = None
+    for part in [region_qs, nation_qs, order_qs, conv_qs]:
+        part = part.toDF("question_id", "question")
+        out = part if out is None else out.unionByName(part)
+    return out
