@@ -486,3 +486,80 @@ def n15_narratives(spark, sf):
     parsed = _parsed(spark, sf)
     fact = W.warehouse_fact(spark, sf)
     return QN.narratives(parsed, QN.answer_rows(parsed, fact), QN.entity_lookups(parsed, fact))
+
+
+# ---------------------------------------------------------------- spatial ---
+
+from bizlens.operators import spatial as SP  # noqa: E402
+from bizlens.sources import geojson as GJ  # noqa: E402
+
+
+def _layer(spark, id_keys):
+    return GJ.match_layer(GJ.read_features(spark, GJ.PACKAGED_ZONES), id_keys)
+
+
+def _postal_points(spark, sf):
+    return tpch.supplier_points(spark, sf)
+
+
+@register("J5_point_in_polygon_subzone",
+          O.pip_sql(O.POSTAL_POINTS, GJ.PACKAGED_ZONES, GJ.SUBZONE_MATCH_KEYS, "subzone_id")
+          + " SELECT pid AS postal_code, subzone_id FROM hit")
+def j5_pip_subzone(spark, sf):
+    hits = SP.point_in_polygon(_postal_points(spark, sf), _layer(spark, GJ.SUBZONE_MATCH_KEYS),
+                               x_col="longitude", y_col="latitude", key_col="postal_code")
+    return hits.withColumnRenamed("feature_id", "subzone_id")
+
+
+@register("J5_point_in_polygon_planning",
+          O.pip_sql(O.POSTAL_POINTS, GJ.PACKAGED_ZONES, GJ.PLANNING_MATCH_KEYS, "planning_area_id")
+          + " SELECT pid AS postal_code, planning_area_id FROM hit")
+def j5_pip_planning(spark, sf):
+    hits = SP.point_in_polygon(_postal_points(spark, sf), _layer(spark, GJ.PLANNING_MATCH_KEYS),
+                               x_col="longitude", y_col="latitude", key_col="postal_code")
+    return hits.withColumnRenamed("feature_id", "planning_area_id")
+
+
+# ------------------------------------------------------------- pipelines ---
+
+from bizlens.plans import pipelines as PL  # noqa: E402
+from bizlens.operators import rollups as _RU  # noqa: E402
+
+GEO_UPDATED_AT = dt.datetime(2024, 6, 1)
+
+
+def _new_geo(spark, sf):
+    return PL.geo_enrich(
+        W.raw_fact(spark, sf), tpch.postal_geo(spark, sf), tpch.supplier_points(spark, sf),
+        _layer(spark, GJ.SUBZONE_MATCH_KEYS), _layer(spark, GJ.PLANNING_MATCH_KEYS), GEO_UPDATED_AT,
+    )
+
+
+_T3_SQL = (
+    O.with_fact() + ",\n" + O.POSTAL_POINTS + ","
+    + O.pip_ctes(GJ.PACKAGED_ZONES, GJ.SUBZONE_MATCH_KEYS, "subzone_id", "s") + ","
+    + O.pip_ctes(GJ.PACKAGED_ZONES, GJ.PLANNING_MATCH_KEYS, "planning_area_id", "p") + """,
+work AS (SELECT DISTINCT postal_code FROM raw
+         WHERE postal_code IS NOT NULL AND postal_code NOT IN (SELECT postal_code FROM geo)),
+newgeo AS (
+  SELECT w.postal_code, p.y AS latitude, p.x AS longitude, hs.subzone_id, hp.planning_area_id
+  FROM work w LEFT JOIN pts p ON p.pid = w.postal_code
+  LEFT JOIN hit_s hs ON hs.pid = w.postal_code LEFT JOIN hit_p hp ON hp.pid = w.postal_code)"""
+)
+
+
+@register("T3_geo_enrich", _T3_SQL + " SELECT * FROM newgeo")
+def t3_geo_enrich(spark, sf):
+    return _new_geo(spark, sf).drop("updated_at")
+
+
+@register("T3_rollup_after_geo", _T3_SQL + """,
+geo2 AS (SELECT postal_code, latitude, longitude, subzone_id, planning_area_id FROM lgeo
+         UNION ALL SELECT * FROM newgeo)
+SELECT """ + O.month("r.registration_incorporation_date") + """ AS registration_month, g.planning_area_id,
+       count(*) AS new_entities
+FROM raw r LEFT JOIN geo2 g ON r.postal_code = g.postal_code GROUP BY 1, 2""")
+def t3_rollup_after_geo(spark, sf):
+    geo = PL.upsert_postal_geo(tpch.postal_geo(spark, sf), _new_geo(spark, sf))
+    fact = PL.rebuild_enriched(W.raw_fact(spark, sf), geo)
+    return _RU.rollup(fact, "new_entities_monthly_by_planning_area")

@@ -374,3 +374,57 @@ nar AS (
   FROM parsed q LEFT JOIN fr ON fr.question_id = q.question_id
   LEFT JOIN nr_rows c ON c.question_id = q.question_id
   LEFT JOIN lk ON lk.question_id = q.question_id)"""
+
+
+# --------------------------------------------------------------- spatial ---
+
+def edges_values(path: str, id_keys) -> str:
+    """VALUES rows (seq, feature_id, x1, y1, x2, y2) of a GeoJSON layer: the
+    brute-force oracle's independent reading of the fixture file."""
+    import json
+
+    with open(path, encoding="utf-8") as fh:
+        data = json.load(fh)
+    rows = []
+    for seq, f in enumerate(data.get("features", [])):
+        props = f.get("properties") or {}
+        fid = next((str(props[k]) for k in id_keys if props.get(k) not in (None, "")), None)
+        geom = f.get("geometry") or {}
+        if fid is None:
+            continue
+        if geom.get("type") == "Polygon":
+            rings = geom["coordinates"]
+        elif geom.get("type") == "MultiPolygon":
+            rings = [r for poly in geom["coordinates"] for r in poly]
+        else:
+            rings = []
+        for ring in rings:
+            for (xa, ya), (xb, yb) in zip(ring, ring[1:]):
+                rows.append(f"({seq}, '{fid}', {float(xa)!r}, {float(ya)!r}, {float(xb)!r}, {float(yb)!r})")
+    return ",\n".join(rows)
+
+
+def pip_ctes(path: str, id_keys, out_col: str, tag: str, points: str = "pts") -> str:
+    """CTEs e_<tag>, t_<tag>, hit_<tag>(pid, out_col): brute-force even-odd
+    test of every point of ``points`` against every edge (no WITH keyword)."""
+    return f"""
+e_{tag}(seq, feature_id, x1, y1, x2, y2) AS (VALUES {edges_values(path, id_keys)}),
+t_{tag} AS (
+  SELECT p.pid, e.seq, e.feature_id,
+    sum(CASE WHEN ((e.y1 > p.y) <> (e.y2 > p.y)) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1
+             THEN 1 ELSE 0 END) AS n_cross,
+    max(CASE WHEN (e.x2 - e.x1) * (p.y - e.y1) = (e.y2 - e.y1) * (p.x - e.x1)
+              AND p.x BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
+              AND p.y BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2) THEN 1 ELSE 0 END) AS on_edge
+  FROM {points} p CROSS JOIN e_{tag} e GROUP BY 1, 2, 3),
+hit_{tag} AS (SELECT pid, arg_min(feature_id, seq) AS {out_col} FROM t_{tag}
+              WHERE n_cross % 2 = 1 AND on_edge = 0 GROUP BY 1)"""
+
+
+def pip_sql(points_cte: str, path: str, id_keys, out_col: str) -> str:
+    return "WITH " + points_cte + "," + pip_ctes(path, id_keys, out_col, "x") + ", hit AS (SELECT * FROM hit_x)"
+
+
+POSTAL_POINTS = """pts AS (
+  SELECT lpad(CAST(vec_id AS VARCHAR), 6, '0') AS pid, CAST(embedding[1] AS DOUBLE) AS x,
+         CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"""
