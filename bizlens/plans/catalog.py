@@ -563,3 +563,124 @@ def t3_rollup_after_geo(spark, sf):
     geo = PL.upsert_postal_geo(tpch.postal_geo(spark, sf), _new_geo(spark, sf))
     fact = PL.rebuild_enriched(W.raw_fact(spark, sf), geo)
     return _RU.rollup(fact, "new_entities_monthly_by_planning_area")
+
+
+# ------------------------------------------------------ sources (round trip) ---
+
+from bizlens.session import shared_dir  # noqa: E402
+from bizlens.sources import api_pages as AP  # noqa: E402
+from bizlens.sources import registry_csv as RC  # noqa: E402
+from bizlens.operators.clean import clean_record as _clean_record  # noqa: E402
+
+
+def _write_registry_csv(spark, sf) -> str:
+    """Land the registry extract as CSV files the way a source system might:
+    two batches with different header orders, one lacking a column, one
+    folder per registration year."""
+    root = shared_dir(spark, "registry-csv")
+    ext = tpch.registry_extract(spark, sf).withColumn(
+        "_year", F.substring("registration_incorporation_date", 1, 4))
+    iso = F.col("registration_incorporation_date").contains("-")
+    a_cols = list(reversed(KEEP_COLUMNS))
+    b_cols = [c for c in KEEP_COLUMNS if c != "company_type_description"]
+    ext.filter(iso).select(*a_cols, "_year").write.partitionBy("_year").option("header", True).csv(
+        root + "/batch_a")
+    ext.filter(~iso).select(*b_cols, "_year").write.partitionBy("_year").option("header", True).csv(
+        root + "/batch_b")
+    return root
+
+
+_S1_CLEAN = O.clean_cols().replace(
+    f"{O.na('company_type_description')} AS company_type_description",
+    f"CASE WHEN contains(registration_incorporation_date, '-') THEN {O.na('company_type_description')} "
+    "END AS company_type_description")
+
+
+@register("S1_read_registry_csv", "WITH " + O.EXTRACT + f" SELECT {_S1_CLEAN} FROM ext")
+def s1_read_registry_csv(spark, sf):
+    raw = RC.read_registry_csv(spark, _write_registry_csv(spark, sf))
+    return _clean_record(raw)
+
+
+@register("A12_per_file_report", "WITH " + O.EXTRACT + """
+SELECT CASE WHEN contains(registration_incorporation_date, '-') THEN 'batch_a' ELSE 'batch_b' END
+       || '/' || substr(registration_incorporation_date, 1, 4) AS resource_id,
+       count(*) AS fetched_rows, 0 AS error_rows
+FROM ext GROUP BY 1""")
+def a12_per_file_report(spark, sf):
+    raw = RC.read_registry_csv(spark, _write_registry_csv(spark, sf))
+    folder = F.regexp_extract("source_file", r"(batch_[ab])/_year=([0-9]{4})/", 0)
+    rep = PR.per_file_report(raw.withColumn("source_file", F.regexp_replace(
+        F.regexp_replace(folder, "/_year=", "/"), "/$", "")), error_col=RC.CORRUPT)
+    return rep.select("resource_id", "fetched_rows", "error_rows")
+
+
+@register("T1_clean_registry", None)
+def t1_clean_registry(spark, sf):
+    raw = RC.read_registry_csv(spark, _write_registry_csv(spark, sf))
+    return PL.clean_registry(raw)["clean"]
+
+
+def _write_pages(spark, sf) -> str:
+    """Land the extract as API pages: 100 order keys per page, one resource
+    per 10,000 keys; every 7th page (offset pattern) failed."""
+    root = shared_dir(spark, "api-pages")
+    ext = tpch.registry_extract(spark, sf)
+    key = F.expr("CAST(substring(uen, 1, length(uen) - 1) AS BIGINT)")
+    rec = F.create_map(*[x for c in KEEP_COLUMNS for x in (F.lit(c), F.col(c))],
+                       F.lit("extra_col"), F.lit("dropped"))
+    pages = (
+        ext.select((key / 100).cast("long").alias("page"), rec.alias("r"))
+        .groupBy("page").agg(F.collect_list("r").alias("records"))
+        .select(
+            F.concat(F.lit("res"), (F.col("page") / 100).cast("long").cast("string")).alias("resource_id"),
+            ((F.col("page") % 100) * 1000).alias("offset"),
+            (F.col("page") % 7 != 3).alias("success"),
+            F.when(F.col("page") % 7 == 3, F.lit("HTTP 503")).alias("error"),
+            "records",
+        )
+    )
+    totals = pages.groupBy("resource_id").agg(F.sum(F.size("records")).alias("total"))
+    pages.join(totals, "resource_id").select(
+        "resource_id", "offset", "success", "error",
+        F.struct(F.col("total").cast("long").alias("total"), "records").alias("result"),
+    ).write.json(root)
+    return root
+
+
+_PAGE_KEY = "CAST(substring(uen, 1, length(uen) - 1) AS BIGINT) // 100"
+
+
+@register("S2_read_api_pages", "WITH " + O.EXTRACT + f" SELECT {O.clean_cols()} FROM ext WHERE ({_PAGE_KEY}) % 7 <> 3")
+def s2_read_api_pages(spark, sf):
+    pages = AP.read_pages(spark, _write_pages(spark, sf))
+    return _clean_record(AP.page_records(pages))
+
+
+@register("S2_page_audit", "WITH " + O.EXTRACT + f"""
+, pg AS (SELECT ({_PAGE_KEY}) AS page, count(*) AS n FROM ext GROUP BY 1)
+SELECT 'res' || CAST(page // 100 AS VARCHAR) AS resource_id,
+       CAST(sum(n) AS BIGINT) AS total_rows,
+       CAST(sum(CASE WHEN page % 7 <> 3 THEN n ELSE 0 END) AS BIGINT) AS fetched_rows,
+       min((page % 100) * 1000) AS first_offset, max((page % 100) * 1000) AS last_offset,
+       CAST(count(*) FILTER (WHERE page % 7 = 3) AS BIGINT) AS failed_pages
+FROM pg GROUP BY 1""")
+def s2_page_audit(spark, sf):
+    return AP.page_audit(AP.read_pages(spark, _write_pages(spark, sf)))
+
+
+@register("S4_read_ssic_csv", "WITH " + O.SSIC_DIM.lstrip() + " SELECT * FROM ssic_dim")
+def s4_read_ssic_csv(spark, sf):
+    root = shared_dir(spark, "ssic-csv")
+    tpch.dim_ssic(spark, sf).toDF("SSIC_CODE", "SSIC_DESCRIPTION", "SECTION", "DIVISION").write.option(
+        "header", True).csv(root)
+    return RC.read_ssic_csv(spark, root)
+
+
+@register("S6_write_clean_csv", _DEDUP_SQL + " SELECT " + ", ".join(
+    f"CAST({c} AS VARCHAR) AS {c}" if c in ("registration_incorporation_date", "uen_issue_date") else c
+    for c in KEEP_COLUMNS) + " FROM dd")
+def s6_write_clean_csv(spark, sf):
+    path = shared_dir(spark, "clean-csv")
+    RC.write_clean(_dedup(spark, sf), path)
+    return spark.read.option("header", True).csv(path).select(*KEEP_COLUMNS)
