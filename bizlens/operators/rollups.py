@@ -28,16 +28,19 @@ def rollup(fact: DataFrame, name: str) -> DataFrame:
 
 
 def merge_rollup(old: DataFrame, delta: DataFrame, name: str) -> DataFrame:
-    """Union the two, sum counts per key; NULL and '' keys collapse.
+    """Fold a delta into a rollup (see ``sum_rollups``)."""
+    keys = ROLLUP_KEYS[name]
+    return sum_rollups(old.select(*keys, COUNT_COL).unionByName(delta.select(*keys, COUNT_COL)), name)
+
 
-    The merged key keeps a representative value: the non-empty one if any,
-    else NULL when a NULL was seen, else ''. Since they are the same key for
-    the reference, we emit NULL for the collapsed group when either was NULL.
+def sum_rollups(parts: DataFrame, name: str) -> DataFrame:
+    """R5 over any number of stacked partial rollups: sum counts per key,
+    where NULL and '' in a text key are the same key. The merged key is the
+    non-empty value, else NULL if any part had NULL, else ''.
     """
     keys = ROLLUP_KEYS[name]
-    u = old.select(*keys, COUNT_COL).unionByName(delta.select(*keys, COUNT_COL))
     text_keys = [k for k in keys if k != "registration_month"]
-    grouped = u.groupBy(
+    grouped = parts.groupBy(
         "registration_month", *[F.coalesce(F.col(k), F.lit("")).alias(k) for k in text_keys]
     ).agg(
         F.sum(COUNT_COL).cast("long").alias(COUNT_COL),

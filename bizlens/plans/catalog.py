@@ -684,3 +684,23 @@ def s6_write_clean_csv(spark, sf):
     path = shared_dir(spark, "clean-csv")
     RC.write_clean(_dedup(spark, sf), path)
     return spark.read.option("header", True).csv(path).select(*KEEP_COLUMNS)
+
+
+# -------------------------------------------------------------- streaming ---
+
+from bizlens.streaming import rollups as STR  # noqa: E402
+
+
+@register("ST4_stream_rollup", O.with_fact() + " " + _rollup_sql("top_ssic_by_area_month"))
+def st4_stream_rollup(spark, sf):
+    src = W.warehouse_path(spark, sf)
+    return STR.stream_rollup(spark, src, W.enriched_schema(spark, sf), "top_ssic_by_area_month",
+                             shared_dir(spark, "st-out"), shared_dir(spark, "st-ckpt"), max_files_per_trigger=16)
+
+
+@register("ST5_stream_rollup_deltas", O.with_fact() + " " + _merged_sql("new_entities_monthly_by_ssic"))
+def st5_stream_rollup_deltas(spark, sf):
+    src = W.warehouse_path(spark, sf)
+    return STR.stream_rollup_deltas(spark, src, W.enriched_schema(spark, sf), "new_entities_monthly_by_ssic",
+                                    shared_dir(spark, "st5-out"), shared_dir(spark, "st5-ckpt"),
+                                    max_files_per_trigger=16)

@@ -110,3 +110,13 @@ def warehouse_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bizlens.schema import ENRICHED_COLUMNS
 
     return spark.read.parquet(path).select(*ENRICHED_COLUMNS)
+
+
+def warehouse_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the materialised enriched fact (built on first use)."""
+    warehouse_fact(spark, sf_dir)
+    return _BUILT[_source_signature(spark, sf_dir)]
+
+
+def enriched_schema(spark: SparkSession, sf_dir: str):
+    return spark.read.parquet(warehouse_path(spark, sf_dir)).schema
