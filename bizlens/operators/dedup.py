@@ -27,10 +27,12 @@ def dedup_keep_latest(df: DataFrame, key: str, date_col: str, order_col: str) ->
         F.coalesce(-F.unix_date(F.col(date_col)), F.lit(_NO_DATE)).alias("d"),
         F.col(order_col).alias("o"),
     )
+    # min over one struct (rank first, then the row): a single comparison
+    # per input row, still a partial (map-side) aggregate.
     agg = (
         df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
         .groupBy(key)
-        .agg(F.min_by(F.struct(*[F.col(c) for c in value_cols]), rank).alias("_row"))
+        .agg(F.min(F.struct(rank.alias("_k"), *[F.col(c) for c in value_cols])).alias("_row"))
     )
     return agg.select(key, *[F.col("_row." + c).alias(c) for c in value_cols])
 
@@ -42,5 +44,5 @@ def latest_by_key(df: DataFrame, key: str, version_col: str, tiebreak: list[str]
     """
     value_cols = [c for c in df.columns if c != key]
     rank = F.struct(F.col(version_col), *[F.col(c) for c in (tiebreak or [])])
-    agg = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in value_cols]), rank).alias("_row"))
+    agg = df.groupBy(key).agg(F.max(F.struct(rank.alias("_k"), *[F.col(c) for c in value_cols])).alias("_row"))
     return agg.select(key, *[F.col("_row." + c).alias(c) for c in value_cols])

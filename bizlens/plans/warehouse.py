@@ -63,16 +63,17 @@ _BUILT: dict[tuple, str] = {}
 SORT_WITHIN = ["registration_month", "primary_ssic_norm", "subzone_id", "uen"]
 
 
-def write_fact(df: DataFrame, path: str, files_per_month: int | None = None) -> None:
+def write_fact(df: DataFrame, path: str) -> None:
     """Month-partitioned Parquet, clustered within files.
 
-    ``repartitionByRange(month, uen)`` gives each task a contiguous key range,
-    so a task writes into one or two month folders (no small-file explosion)
-    and a month holding a third of the rows is still split over many tasks.
+    A ``rebalance`` on the month sends each month to few tasks (no
+    small-file explosion: a task writes one month folder), and AQE splits a
+    month that holds a third of the rows into advisory-sized tasks and packs
+    small months together -- without the extra sampling pass a range
+    partitioning would make over the whole cleaning pipeline.
     """
-    n = files_per_month or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        df.repartitionByRange(n, "registration_month", "uen")
+        df.hint("rebalance", "registration_month")
         .sortWithinPartitions(*SORT_WITHIN)
         .write.mode("overwrite")
         .partitionBy("registration_month")
