@@ -9,9 +9,10 @@ positions.
 
 Each row carries ``source_file`` and ``_ord`` = (file path, split start,
 row id within the split), which orders rows as they appear in the files, so
-"first seen" is well defined without a shuffle. Malformed lines are kept in
-``_corrupt``; with ``stop_at_first_error`` a file's rows after its first
-malformed line are dropped, like a reader that stops at the first error.
+"first seen" is well defined without a shuffle. Lines with too few or too
+many fields are kept (missing fields NULL, extras ignored -- as a dict
+reader does) and also reported in ``_corrupt``; with ``stop_at_first_error``
+a file's rows after its first such line are dropped instead.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
 
 
 def read_registry_csv(spark: SparkSession, root: str, multi_line: bool = False,
-                      stop_at_first_error: bool = True) -> DataFrame:
+                      stop_at_first_error: bool = False) -> DataFrame:
     """Union by name of every CSV under ``root`` with source_file and _ord.
 
     ``multi_line`` allows quoted line breaks inside fields (files are then
@@ -89,10 +90,12 @@ def read_registry_csv(spark: SparkSession, root: str, multi_line: bool = False,
             .option("multiLine", multi_line)
             .csv(paths)
         )
-        # Spark refuses scans whose only data column is the corrupt-record
-        # column, so the exposed copy also references a data column (no-op).
-        first = F.col(f"`{header[0]}`") if header else F.lit(None).cast("string")
-        corrupt = F.coalesce(F.col(CORRUPT), F.when(F.length(first) < 0, first))
+        # The parser prunes columns, and a line is only checked against the
+        # columns a query reads; Spark also refuses scans whose only data
+        # column is the corrupt-record one. So the exposed copy references
+        # every data column (the added branch is never taken).
+        every = F.concat_ws("", *[F.col(f"`{c}`") for c in header]) if header else F.lit("")
+        corrupt = F.coalesce(F.col(CORRUPT), F.when(F.length(every) < 0, every))
         df = df.select(
             *[F.col(f"`{c}`") for c in header], corrupt.alias(CORRUPT),
             F.col("_metadata.file_path").alias("source_file"),
