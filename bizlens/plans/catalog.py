@@ -704,3 +704,26 @@ def st5_stream_rollup_deltas(spark, sf):
     return STR.stream_rollup_deltas(spark, src, W.enriched_schema(spark, sf), "new_entities_monthly_by_ssic",
                                     shared_dir(spark, "st5-out"), shared_dir(spark, "st5-ckpt"),
                                     max_files_per_trigger=16)
+
+
+REBUILD_MONTHS = [199800 + m for m in range(1, 13)]
+
+
+@register("S8_rebuild_months", _T3_SQL + """,
+geo2 AS (SELECT postal_code, latitude, longitude, subzone_id, planning_area_id FROM lgeo
+         UNION ALL SELECT * FROM newgeo),
+f2 AS (
+  SELECT f.uen, f.registration_month,
+         CASE WHEN f.registration_month BETWEEN 199801 AND 199812 THEN g.subzone_id ELSE f.subzone_id END AS subzone_id,
+         CASE WHEN f.registration_month BETWEEN 199801 AND 199812 THEN g.planning_area_id
+              ELSE f.planning_area_id END AS planning_area_id
+  FROM fact f LEFT JOIN geo2 g ON f.postal_code = g.postal_code)
+SELECT registration_month, subzone_id, planning_area_id, count(*) AS new_entities FROM f2 GROUP BY 1, 2, 3""")
+def s8_rebuild_months(spark, sf):
+    path = shared_dir(spark, "warehouse-copy")
+    W.write_fact(W.enriched_fact(spark, sf), path)
+    geo = PL.upsert_postal_geo(tpch.postal_geo(spark, sf), _new_geo(spark, sf))
+    W.rebuild_partitions(PL.rebuild_enriched(W.raw_fact(spark, sf), geo), path, REBUILD_MONTHS)
+    f = spark.read.parquet(path)
+    return f.groupBy("registration_month", "subzone_id", "planning_area_id").agg(
+        F.count(F.lit(1)).cast("long").alias("new_entities"))

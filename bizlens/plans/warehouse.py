@@ -121,3 +121,21 @@ def warehouse_path(spark: SparkSession, sf_dir: str) -> str:
 
 def enriched_schema(spark: SparkSession, sf_dir: str):
     return spark.read.parquet(warehouse_path(spark, sf_dir)).schema
+
+
+def rebuild_partitions(df: DataFrame, path: str, months: list[int] | None = None) -> None:
+    """Replace only the given month folders of a written fact (dynamic
+    partition overwrite, one distributed write); ``months=None`` rewrites the
+    whole table. Months not listed keep their files untouched."""
+    if months is None:
+        write_fact(df, path)
+        return
+    (
+        df.filter(F.col("registration_month").isin([int(m) for m in months]))
+        .hint("rebalance", "registration_month")
+        .sortWithinPartitions(*SORT_WITHIN)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("registration_month")
+        .parquet(path)
+    )
