@@ -452,6 +452,7 @@ def q11_resolve_category(spark, sf):
 # -------------------------------------------------------------- questions ---
 
 from bizlens.operators import questions as QN  # noqa: E402
+from bizlens.session import cut_lineage  # noqa: E402
 
 AS_OF = dt.date.fromisoformat(tpch.AS_OF)
 _PARSED_COLS = ["question_id", "intent", "start_date", "end_date", "ssic", "area", "area_1", "area_2", "uen", "error"]
@@ -461,8 +462,9 @@ _DETAIL_ORDER_NL = "registration_incorporation_date DESC NULLS LAST, " + ", ".jo
 )
 
 
-def _parsed(spark, sf):
-    return QN.parse_questions(tpch.questions(spark, sf), AS_OF)
+def _parsed(spark, sf, materialise: bool = False):
+    parsed = QN.parse_questions(tpch.questions(spark, sf), AS_OF)
+    return cut_lineage(parsed) if materialise else parsed
 
 
 @register("N8_parse_questions", "WITH " + O.parse_sql(tpch.AS_OF) + f" SELECT {', '.join(_PARSED_COLS)} FROM parsed")
@@ -472,18 +474,18 @@ def n8_parse_questions(spark, sf):
 
 @register("N16_answer_questions", _Q_BASE + O.answers_sql() + " SELECT * FROM ans")
 def n16_answer_questions(spark, sf):
-    return QN.answer_rows(_parsed(spark, sf), W.warehouse_fact(spark, sf))
+    return QN.answer_rows(_parsed(spark, sf, materialise=True), W.warehouse_fact(spark, sf))
 
 
 @register("N13_entity_lookups", _Q_BASE + O.lookups_sql(DETAIL_COLUMNS, _DETAIL_ORDER_NL) + " SELECT * FROM lk")
 def n13_entity_lookups(spark, sf):
-    return QN.entity_lookups(_parsed(spark, sf), W.warehouse_fact(spark, sf))
+    return QN.entity_lookups(_parsed(spark, sf, materialise=True), W.warehouse_fact(spark, sf))
 
 
 @register("N15_narratives", _Q_BASE + O.answers_sql() + O.lookups_sql(DETAIL_COLUMNS, _DETAIL_ORDER_NL)
           + O.NARRATIVES + " SELECT * FROM nar")
 def n15_narratives(spark, sf):
-    parsed = _parsed(spark, sf)
+    parsed = _parsed(spark, sf, materialise=True)
     fact = W.warehouse_fact(spark, sf)
     return QN.narratives(parsed, QN.answer_rows(parsed, fact), QN.entity_lookups(parsed, fact))
 

@@ -85,3 +85,11 @@ def local_path(path: str) -> str:
 def ensure_local_dir(path: str) -> None:
     if is_local_path(path):
         os.makedirs(local_path(path), exist_ok=True)
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and continue from the
+    written copy (reliable checkpoint: survives executor loss, truncates the
+    plan so later stages do not re-plan or recompute it)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
