@@ -18,6 +18,7 @@ from bizlens.operators import filters as FL
 from bizlens.plans import oracle_sql as O
 from bizlens.plans import warehouse as W
 from bizlens.schema import DETAIL_COLUMNS, SEARCH_COLUMNS
+from bizlens.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,7 +32,13 @@ DETAIL_UEN = "00004242K"
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return fn(spark, sf_dir)
+
+        entry.__name__ = fn.__name__
+        entry.__doc__ = fn.__doc__
+        QUERIES[name] = entry
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -182,7 +189,8 @@ _DEDUP_SQL = "WITH " + ",".join([O.EXTRACT, O.CLEAN]) + f"""
 , dd AS (
   SELECT {_KEEP} FROM (
     SELECT *, row_number() OVER (PARTITION BY uen
-        ORDER BY registration_incorporation_date DESC NULLS LAST, {O.ORDER_COLS}) AS rn
+        ORDER BY registration_incorporation_date DESC NULLS LAST, {O.ORDER_COLS},
+                 {", ".join(c + " ASC NULLS FIRST" for c in KEEP_COLUMNS[1:])}) AS rn
     FROM cln WHERE uen IS NOT NULL AND uen <> '') WHERE rn = 1)"""
 
 

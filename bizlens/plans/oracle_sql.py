@@ -73,7 +73,7 @@ ext AS (
   FROM lineitem
 )"""
 
-ORDER_COLS = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
+ORDER_COLS = "l_linenumber, l_partkey, l_suppkey"
 
 
 def clean_cols(src: str = "") -> str:

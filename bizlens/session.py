@@ -22,8 +22,25 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Fall back from whole-stage codegen for any stage whose generated method
+    # exceeds HotSpot's JIT limit (8000 bytes); such methods would otherwise
+    # run interpreted (the wide cleaning projections hit this).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Runtime SQL settings applied to a caller's session when still at Spark's default.
+RUNTIME_TUNING = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
+
+
+def tune(spark: SparkSession) -> None:
+    """Apply RUNTIME_TUNING to a session that still has Spark's defaults."""
+    for key, (default, value) in RUNTIME_TUNING.items():
+        try:
+            if spark.conf.get(key, default) == default:
+                spark.conf.set(key, value)
+        except Exception:  # noqa: BLE001 - a locked conf keeps its value
+            pass
+
 
 def get_session(
     app: str = "bizlens",
