@@ -14,8 +14,8 @@ def _parse(spark, texts):
 
 def test_representative_questions(spark):
     qs = [
-        "Top SSICs in Tampines last 12 months",
-        "Compare Jurong West vs Woodlands for new F&B entities",
+        "Top SSICs in Northgate last 12 months",
+        "Compare Riverside West vs Eastwood for new F&B entities",
         "Trend of new entities",
         "uen 12345678a",
         "Why the spike in retail 2021 to 2019",
@@ -25,9 +25,9 @@ def test_representative_questions(spark):
         "new software firms from 1990 to 2023",
     ]
     r = _parse(spark, qs)
-    assert r[0].intent == "TOP_INDUSTRIES_IN_AREA" and r[0].area == "Tampines" and r[0].ssic is None
+    assert r[0].intent == "TOP_INDUSTRIES_IN_AREA" and r[0].area == "Northgate" and r[0].ssic is None
     assert (r[0].end_date - r[0].start_date).days == 365 and r[0].end_date == AS_OF
-    assert r[1].intent == "COMPARE_AREAS" and (r[1].area_1, r[1].area_2) == ("Jurong West", "Woodlands")
+    assert r[1].intent == "COMPARE_AREAS" and (r[1].area_1, r[1].area_2) == ("Riverside West", "Eastwood")
     assert r[1].ssic == "56" and (r[1].end_date - r[1].start_date).days == 720
     assert r[2].intent == "NEW_ENTITIES_TREND" and r[2].ssic == "62" and r[2].area is None
     assert r[3].intent == "ENTITY_LOOKUP" and r[3].uen == "12345678A" and r[3].start_date is None
