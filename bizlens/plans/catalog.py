@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bizlens.operators import analytics as A
 from bizlens.operators import filters as FL
+from bizlens.plans import api as API
 from bizlens.plans import oracle_sql as O
 from bizlens.plans import warehouse as W
 from bizlens.schema import DETAIL_COLUMNS, SEARCH_COLUMNS
@@ -56,7 +57,7 @@ SELECT registration_month AS month, count(*) AS count FROM fact
 WHERE {_w(*WHOLE)} GROUP BY 1 ORDER BY 1""")
 def q2_trend(spark, sf):
     fact = W.warehouse_fact(spark, sf)
-    return A.count_by_month(fact, FL.date_between(*WHOLE))
+    return API.trends(fact, as_of=WHOLE[1], date_from=WHOLE[0])
 
 
 @register("Q3_top_ssic", O.with_fact(O.SSIC_DIM) + f"""
@@ -68,8 +69,7 @@ LEFT JOIN (SELECT ssic_code, min(ssic_description) AS ssic_description FROM ssic
            WHERE ssic_code IS NOT NULL AND ssic_code <> '' GROUP BY 1) d ON t.ssic_code = d.ssic_code""")
 def q3_top_ssic(spark, sf):
     fact = W.warehouse_fact(spark, sf)
-    top = A.top_by_key(fact, FL.date_between(*WHOLE), "primary_ssic_norm", 10, alias="ssic_code")
-    return A.with_descriptions(top, W.ssic_dim(spark, sf))
+    return API.top_ssic(fact, W.ssic_dim(spark, sf), as_of=WHOLE[1], date_from=WHOLE[0], limit=10)
 
 
 _HOT_SQL = O.with_fact(O.SUBZONE) + f"""
@@ -142,7 +142,7 @@ SELECT {', '.join(SEARCH_COLUMNS)} FROM fact WHERE {_SEARCH_WHERE}
 ORDER BY {_SEARCH_ORDER} LIMIT 50 OFFSET 10""")
 def q5_search_page(spark, sf):
     fact = W.warehouse_fact(spark, sf)
-    return A.search(fact, _search_cond(), SEARCH_COLUMNS, limit=50, offset=10)
+    return API.search(fact, q=SEARCH_Q, status="F", limit=50, offset=10)[1]
 
 
 @register("Q5_search_total", O.with_fact() + f"""
@@ -160,7 +160,7 @@ _DETAIL_ORDER = "registration_incorporation_date DESC NULLS LAST, " + ", ".join(
 SELECT {', '.join(DETAIL_COLUMNS)} FROM fact WHERE uen = '{DETAIL_UEN}'
 ORDER BY {_DETAIL_ORDER} LIMIT 1""")
 def q6_entity_detail(spark, sf):
-    return A.entity_detail(W.warehouse_fact(spark, sf), DETAIL_UEN, DETAIL_COLUMNS)
+    return API.entity_detail(W.warehouse_fact(spark, sf), DETAIL_UEN)
 
 
 # ------------------------------------------------- cleaning / dedup / profile ---
@@ -701,6 +701,18 @@ def s6_write_clean_csv(spark, sf):
 from bizlens.streaming import rollups as STR  # noqa: E402
 
 
+def _make_stream(name):
+    def fn(spark, sf):
+        return STR.stream_rollup(spark, W.warehouse_path(spark, sf), W.enriched_schema(spark, sf), name,
+                                 shared_dir(spark, "st-out"), shared_dir(spark, "st-ckpt"), max_files_per_trigger=16)
+    return fn
+
+
+for _sid, _rid in (("ST1", "R1"), ("ST2", "R2"), ("ST3", "R3")):
+    register(f"{_sid}_stream_{_ROLLUP_IDS[_rid]}", O.with_fact() + " " + _rollup_sql(_ROLLUP_IDS[_rid]))(
+        _make_stream(_ROLLUP_IDS[_rid]))
+
+
 @register("ST4_stream_rollup", O.with_fact() + " " + _rollup_sql("top_ssic_by_area_month"))
 def st4_stream_rollup(spark, sf):
     src = W.warehouse_path(spark, sf)
@@ -737,3 +749,59 @@ def s8_rebuild_months(spark, sf):
     f = spark.read.parquet(path)
     return f.groupBy("registration_month", "subzone_id", "planning_area_id").agg(
         F.count(F.lit(1)).cast("long").alias("new_entities"))
+
+
+# ------------------------------------------------ API surface with categories ---
+
+_REST = "(starts_with(primary_ssic_norm, '0010') OR primary_ssic_norm = '00200' OR primary_ssic_norm = '00201')"
+
+
+@register("Q1_overview_category", O.with_fact() + f"""
+, cur AS (SELECT * FROM fact WHERE {_w(*YEAR_2000)} AND {_REST}),
+tot AS (SELECT (SELECT count(*) FROM cur WHERE planning_area_id = 'ASIA') AS value,
+               (SELECT count(*) FROM fact WHERE {_w(dt.date(1999, 1, 1), dt.date(1999, 12, 31))}
+                  AND {_REST} AND planning_area_id = 'ASIA') AS prev_value),
+ts AS (SELECT primary_ssic_norm AS k, count(*) AS n FROM cur WHERE planning_area_id = 'ASIA' GROUP BY 1
+       ORDER BY n DESC, k ASC NULLS LAST LIMIT 1),
+tp AS (SELECT planning_area_id AS k, count(*) AS n FROM cur GROUP BY 1 ORDER BY n DESC, k ASC NULLS LAST LIMIT 1),
+tz AS (SELECT subzone_id AS k, count(*) AS n FROM cur GROUP BY 1 ORDER BY n DESC, k ASC NULLS LAST LIMIT 1)
+SELECT DATE '2000-01-01' AS period_start, DATE '2000-12-31' AS period_end,
+       'new_entities_30d' AS label, value, prev_value,
+       CASE WHEN prev_value <> 0 THEN round((value - prev_value) / prev_value * 100, 2) END AS change_yoy_pct,
+       (SELECT k FROM ts) AS top_ssic_code,
+       CASE WHEN (SELECT k FROM ts) IS NOT NULL THEN (SELECT n FROM ts) END AS top_ssic_count,
+       CASE WHEN (SELECT k FROM tp) IS NOT NULL THEN (SELECT k FROM tp)
+            WHEN (SELECT k FROM tz) IS NOT NULL THEN (SELECT k FROM tz) ELSE 'UNMAPPED' END AS hottest_area_id,
+       CASE WHEN (SELECT k FROM tp) IS NOT NULL THEN (SELECT n FROM tp)
+            WHEN (SELECT k FROM tz) IS NOT NULL THEN (SELECT n FROM tz) ELSE value END AS hottest_count,
+       CASE WHEN (SELECT k FROM tp) IS NOT NULL THEN 'planning_area'
+            WHEN (SELECT k FROM tz) IS NOT NULL THEN 'subzone' ELSE 'unmapped' END AS hottest_area_type
+FROM tot""")
+def q1_overview_category(spark, sf):
+    return API.overview(W.warehouse_fact(spark, sf), as_of=YEAR_2000[1], date_from=YEAR_2000[0],
+                        ssic_category="restaurants", area="ASIA", categories=_cats(spark))
+
+
+@register("Q4_hotspots_category", O.with_fact(O.SUBZONE) + """
+SELECT s.subzone_id, s.name, s.planning_area_id, s.geometry, count(*) AS count,
+       199901 AS month_start, 200112 AS month_end
+FROM fact e JOIN subzone s ON e.subzone_id = s.subzone_id
+WHERE e.registration_incorporation_date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31'
+  AND starts_with(e.primary_ssic_norm, '01') AND s.geometry IS NOT NULL AND s.geometry <> ''
+GROUP BY 1, 2, 3, 4""")
+def q4_hotspots_category(spark, sf):
+    return API.hotspots(W.warehouse_fact(spark, sf), W.subzone_dim(spark, sf), as_of=dt.date(2001, 12, 31),
+                        date_from=dt.date(1999, 1, 1), ssic_category="hardware_retail", categories=_cats(spark))
+
+
+@register("Q3_top_ssic_typed_code", O.with_fact(O.SSIC_DIM) + f"""
+, top AS (
+  SELECT primary_ssic_norm AS ssic_code, count(*) AS count FROM fact
+  WHERE {_w(*WHOLE)} AND primary_ssic_norm = '00042' AND subzone_id = 'NATION_1'
+  GROUP BY 1 ORDER BY count DESC, ssic_code ASC NULLS LAST LIMIT 15)
+SELECT t.ssic_code, d.ssic_description, t.count FROM top t
+LEFT JOIN (SELECT ssic_code, min(ssic_description) AS ssic_description FROM ssic_dim
+           WHERE ssic_code IS NOT NULL AND ssic_code <> '' GROUP BY 1) d ON t.ssic_code = d.ssic_code""")
+def q3_top_ssic_typed_code(spark, sf):
+    return API.top_ssic(W.warehouse_fact(spark, sf), W.ssic_dim(spark, sf), as_of=WHOLE[1], date_from=WHOLE[0],
+                        ssic=" 00042 ", area="NATION_1", area_type="subzone", limit=15)

@@ -28,8 +28,10 @@ def clean_extract(spark: SparkSession, sf_dir: str, with_order: bool = False) ->
 
 
 def enriched_fact(spark: SparkSession, sf_dir: str, drop_undated: bool = False) -> DataFrame:
+    # The geo dim has at most one row per supplier (unique nation key), so
+    # the supplier table's size bounds it.
     return enrich_geo(raw_fact(spark, sf_dir), tpch.postal_geo(spark, sf_dir), drop_undated=drop_undated,
-                      codes_cleaned=True)
+                      codes_cleaned=True, geo_size_bound=tpch.table(spark, sf_dir, "supplier"))
 
 
 def ssic_dim(spark: SparkSession, sf_dir: str, pad_codes: bool = True) -> DataFrame:

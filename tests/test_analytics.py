@@ -108,3 +108,25 @@ def test_taxonomy_search_and_resolve(spark):
     assert got == {"banking": ("label", "banking", None), " BOLT ": ("keyword", "hardware_retail", None),
                    "56111": ("ssic", None, "56111"), "nope": ("none", None, None)}
     assert F is not None
+
+
+def test_api_parameter_errors(spark):
+    import pytest
+
+    from bizlens.plans import api
+
+    fact = _fact(spark, [(dt.date(2024, 3, 1), 202403, "1", "E", "S", "L")])
+    cats = categories(read_taxonomy(spark))
+    with pytest.raises(FL.FilterError):
+        api.trends(fact, as_of=dt.date(2024, 6, 1), ssic="56a")
+    with pytest.raises(FL.FilterError):
+        api.trends(fact, as_of=dt.date(2024, 6, 1), ssic_category="nope", categories=cats)
+    with pytest.raises(FL.FilterError):
+        api.trends(fact, as_of=dt.date(2024, 6, 1), area="E", area_type="region")
+    with pytest.raises(FL.FilterError):
+        api.trends(fact, as_of=dt.date(2024, 6, 1), date_from="2024/01/01")
+    # defaults: trend window is 730 days back from as_of; blank ssic means no filter
+    assert api.trends(fact, as_of=dt.date(2024, 6, 1), ssic="  ").collect()[0]["count"] == 1
+    assert api.trends(fact, as_of=dt.date(2026, 6, 1)).count() == 0
+    # reversed bounds are not swapped -> empty
+    assert api.trends(fact, as_of=dt.date(2024, 6, 1), date_from="2024-12-31", date_to="2024-01-01").count() == 0
