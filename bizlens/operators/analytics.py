@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.cleaning import yyyymm_of
 from bizlens.operators.filters import DATE_COL, MONTH_COL, NORM_COL, all_of, date_between
+from bizlens.session import cut_lineage
 
 CNT = "count"
 
@@ -57,8 +58,10 @@ def with_descriptions(topk: DataFrame, dim_ssic: DataFrame, code_col: str = "ssi
 
     The dim is first semi-joined against the k codes (broadcasting the k-row
     side, bounded by k), then reduced to one deterministic description per
-    code (min), then left-joined back. NULL/'' codes get NULL.
+    code (min), then left-joined back. NULL/'' codes get NULL. The k rows are
+    checkpointed first so the fact is not scanned a second time for them.
     """
+    topk = cut_lineage(topk)
     codes = topk.select(F.col(code_col).alias("ssic_code")).filter(
         F.col("ssic_code").isNotNull() & (F.col("ssic_code") != "")
     )

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bizlens.plans.joins import checked_broadcast
+
 _POLY = "array<array<array<double>>>"
 _MULTI = "array<array<array<array<double>>>>"
 
@@ -78,7 +80,9 @@ def point_in_polygon(points: DataFrame, layer: DataFrame, x_col: str = "x", y_co
                         F.col(y_col).cast("double").alias("y")).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull())
     pts = pts.select("*", _cell(F.col("x"), g).alias("cx"), _cell(F.col("y"), g).alias("cy"))
-    cand = pts.join(feat_cells, ["cx", "cy"]).filter(
+    # Cell and band tables derive from the boundary layer alone (bounded by its
+    # size, not by the number of points), so they are broadcast after a size check.
+    cand = pts.join(checked_broadcast(feat_cells), ["cx", "cy"]).filter(
         F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
     ).select("pid", "x", "y", "seq", "feature_id", F.col("cy").alias("band"))
     edge_bands = edges.select(
@@ -93,7 +97,7 @@ def point_in_polygon(points: DataFrame, layer: DataFrame, x_col: str = "x", y_co
         & x.between(F.least(x1, x2), F.greatest(x1, x2))
         & y.between(F.least(y1, y2), F.greatest(y1, y2))
     )
-    tested = cand.join(edge_bands, ["seq", "band"]).groupBy("pid", "seq", "feature_id").agg(
+    tested = cand.join(checked_broadcast(edge_bands), ["seq", "band"]).groupBy("pid", "seq", "feature_id").agg(
         F.count_if(crosses).alias("n_cross"), F.max(on_edge.cast("int")).alias("on_edge")
     )
     inside = tested.filter((F.col("n_cross") % 2 == 1) & (F.col("on_edge") == 0))

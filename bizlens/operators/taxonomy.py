@@ -29,13 +29,15 @@ def patterns(cats: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def code_keys(codes: DataFrame, code_col: str) -> DataFrame:
+def code_keys(codes: DataFrame, code_col: str, carry=()) -> DataFrame:
     """Each code's match keys: its prefixes (kind 'prefix') and itself ('exact')."""
     c = F.col(code_col)
-    prefixes = F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(c, 1, n))
-    pre = codes.select(code_col, F.explode(prefixes).alias("value"), F.lit("prefix").alias("kind"))
-    exact = codes.select(code_col, c.alias("value"), F.lit("exact").alias("kind"))
-    return pre.unionByName(exact)
+    keys = F.concat(
+        F.transform(F.sequence(F.lit(0), F.length(c)),
+                    lambda n: F.struct(F.substring(c, 1, n).alias("value"), F.lit("prefix").alias("kind"))),
+        F.array(F.struct(c.alias("value"), F.lit("exact").alias("kind"))),
+    )
+    return codes.select(code_col, *carry, F.inline(keys))
 
 
 def code_categories(codes: DataFrame, cats: DataFrame, code_col: str = "code") -> DataFrame:
@@ -54,9 +56,18 @@ def category_counts(fact: DataFrame, cats: DataFrame, cond=None, code_col: str =
     pattern join runs on distinct codes, not on rows.
     """
     f = fact.filter(cond) if cond is not None else fact
-    per_code = f.groupBy(F.col(code_col).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    mapping = code_categories(per_code, cats, "code")
-    hits = per_code.join(mapping, "code").groupBy("category_id").agg(F.sum("n").alias("n"))
+    per_code = (
+        f.groupBy(F.col(code_col).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("code").isNotNull())
+    )
+    # per_code has one row per code, so a (code, category) pair appears more
+    # than once only when several patterns of one category match it.
+    hits = (
+        code_keys(per_code, "code", carry=("n",))
+        .join(F.broadcast(patterns(cats)), ["value", "kind"])
+        .select("code", "n", "category_id").distinct()
+        .groupBy("category_id").agg(F.sum("n").alias("n"))
+    )
     return (
         cats.select(F.col("id").alias("category_id"), "label")
         .join(hits, "category_id", "left")
