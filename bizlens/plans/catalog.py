@@ -615,7 +615,7 @@ def s1_read_registry_csv(spark, sf):
 @register("A12_per_file_report", "WITH " + O.EXTRACT + """
 SELECT CASE WHEN contains(registration_incorporation_date, '-') THEN 'batch_a' ELSE 'batch_b' END
        || '/' || substr(registration_incorporation_date, 1, 4) AS resource_id,
-       count(*) AS fetched_rows, 0 AS error_rows
+       count(*) AS fetched_rows, CAST(0 AS BIGINT) AS error_rows
 FROM ext GROUP BY 1""")
 def a12_per_file_report(spark, sf):
     raw = RC.read_registry_csv(spark, _write_registry_csv(spark, sf))
