@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions import questions as QF
+from bizlens.operators.filters import date_between
 from bizlens.plans.joins import checked_broadcast
 from bizlens.schema import DETAIL_COLUMNS
 
@@ -137,6 +138,13 @@ def answer_rows(parsed: DataFrame, fact: DataFrame) -> DataFrame:
     )
     slots = with_id.select("slot_id", *SLOT_COLUMNS).distinct()
     keys = _slot_keys(slots)
+    # Only the months some question asks about are read: the overall range of
+    # all slots (two scalars) becomes a partition filter on the fact.
+    lo, hi = slots.agg(F.min("start_date"), F.max("end_date")).first()
+    if lo is None:
+        fact = fact.filter(F.lit(False))  # no dated question: nothing to read
+    else:
+        fact = fact.filter(date_between(lo, hi))
     hits = _fact_keys(fact).join(checked_broadcast(keys), ["month", "area_key", "prefix_key"]).filter(
         F.col("registration_incorporation_date").between(F.col("start_date"), F.col("end_date"))
     )
