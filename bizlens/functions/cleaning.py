@@ -6,8 +6,12 @@ whole-stage codegen; nothing here runs Python per row.
 
 from __future__ import annotations
 
+import datetime as _dt
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Python's str.strip() removes Unicode White_Space plus the four ASCII
 # separators 0x1c-0x1f; Java's (?U)\s covers the former only.
@@ -23,6 +27,32 @@ _TZ = rf"(Z|[+-]{_HH}(:{_MM}(:{_MM})?|{_MM}({_MM})?)?)?"
 _DATE_PART = r"^(\d{4}-\d{2}-\d{2}|\d{8})"
 _ISO_OK = rf"(?s){_DATE_PART}(.{_TIME}{_TZ})?$"
 
+# The common forms -- a date, optionally 'T' or ' ' + HH:MM[:SS[.ffffff]] and
+# Z or +-HH:MM -- on which Python and this expression agree exactly (checked
+# on generated strings): handled in the JVM. Anything else non-empty goes to
+# Python's own datetime.fromisoformat, whose lenient corner cases (week
+# dates, fractions after the hour, offsets with seconds, ...) vary by version.
+_FAST_ISO = (r"^(\d{4}-\d{2}-\d{2}|\d{8})([T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?"
+             r"(Z|[+-]([01]\d|2[0-3]):[0-5]\d)?)?$")
+
+
+def _fromisoformat_dates(s: pd.Series) -> pd.Series:
+    out = pd.Series([None] * len(s), index=s.index, dtype=object)
+    mask = s.notna()
+
+    def one(v):
+        try:
+            return _dt.datetime.fromisoformat(v).date()
+        except ValueError:
+            return None
+
+    if mask.any():
+        out[mask] = s[mask].map(one)
+    return out
+
+
+python_iso_date = F.pandas_udf(_fromisoformat_dates, T.DateType())
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -73,7 +103,19 @@ def ssic_from_na(t) -> Column:
 
 
 def date_from_na(t) -> Column:
-    """P5 on an NA-normalised value."""
+    """P5 on an NA-normalised value: common ISO forms in the JVM; the rest
+    (rare) through a vectorised call of Python's datetime.fromisoformat, which
+    receives NULL for every row the JVM path handles."""
+    t = _c(t)
+    fast = t.rlike(_FAST_ISO)
+    digits = F.regexp_replace(F.regexp_extract(t, _DATE_PART, 1), "-", "")
+    jvm = F.when(~t.startswith("0000"), F.try_to_date(digits, "yyyyMMdd"))
+    return F.when(fast, jvm).when(t.isNotNull(), python_iso_date(F.when(~fast, t)))
+
+
+def date_from_na_jvm(t) -> Column:
+    """P5 approximated with one regex (no Python): equals fromisoformat except
+    for week dates and lenient corner forms."""
     t = _c(t)
     ok = t.rlike(_ISO_OK) & ~t.startswith("0000")
     digits = F.regexp_replace(F.regexp_extract(t, _DATE_PART, 1), "-", "")

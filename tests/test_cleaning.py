@@ -78,3 +78,32 @@ def test_staged_clean_equals_single_expressions(spark):
                        normalize_date("uen_issue_date"), normalize_na("uen")).collect()
     assert [tuple(r) for r in staged] == [tuple(r) for r in single]
     assert F is not None
+
+
+def test_normalize_date_equals_python_fromisoformat(spark):
+    """Generated ISO-like strings (week dates, odd separators, fractions, offsets)."""
+    import random
+
+    rnd = random.Random(11)
+
+    def gen():
+        y = rnd.choice(["2024", "1999", "0001", "0000", "2021", "20x4"])
+        m, d = rnd.choice(["01", "02", "12", "13", "1"]), rnd.choice(["01", "29", "31", "00"])
+        s = rnd.choice([f"{y}-{m}-{d}", f"{y}{m}{d}", f"{y}-W01-1", f"{y}W011", f"{y}-W53-7", f"{y}-W01", f"{y}-{m}"])
+        if rnd.random() < 0.6:
+            h, mi = rnd.choice(["00", "10", "23", "24", "7"]), rnd.choice(["00", "59", "60"])
+            body = rnd.choice([h, f"{h}:{mi}", f"{h}:{mi}:{mi}", f"{h}{mi}", f"{h}{mi}{mi}"])
+            body += rnd.choice(["", ".5", ".1234567", ",25", "."])
+            s += rnd.choice(["T", " ", "x", "t"]) + body + rnd.choice(
+                ["", "Z", "+08:00", "-0530", "+08", "+08:00:30.5", "+24:00", " +08:00"])
+        return s
+
+    vals = sorted({gen() for _ in range(1500)})
+
+    def py(v):
+        try:
+            return dt.datetime.fromisoformat(v.strip()).date()
+        except ValueError:
+            return None
+
+    assert _apply(spark, normalize_date, vals) == [py(v) for v in vals]
