@@ -805,3 +805,20 @@ LEFT JOIN (SELECT ssic_code, min(ssic_description) AS ssic_description FROM ssic
 def q3_top_ssic_typed_code(spark, sf):
     return API.top_ssic(W.warehouse_fact(spark, sf), W.ssic_dim(spark, sf), as_of=WHOLE[1], date_from=WHOLE[0],
                         ssic=" 00042 ", area="NATION_1", area_type="subzone", limit=15)
+
+
+_T2_FACT = O.ENRICHED.replace("fact AS (", "fact_csv AS (").replace("FROM raw r LEFT JOIN", "FROM raw_csv r LEFT JOIN")
+_T2_RAW = O.RAW.replace("raw AS (", "raw_csv AS (").replace("company_type_description, registration_incorporation_date",
+    "CASE WHEN registration_incorporation_date IS NOT NULL AND NOT iso_a THEN NULL "
+    "ELSE company_type_description END AS company_type_description, registration_incorporation_date")
+
+
+@register("T2_load_warehouse_from_csv", O.with_fact().replace(
+    "cln AS (\n  SELECT ", "cln AS (\n  SELECT contains(registration_incorporation_date, '-') AS iso_a, ", 1).replace(
+    "FROM ext\n)", "FROM ext\n)", 1) + "," + _T2_RAW + "," + _T2_FACT + " SELECT * FROM fact_csv")
+def t2_load_warehouse_from_csv(spark, sf):
+    raw = RC.read_registry_csv(spark, _write_registry_csv(spark, sf))
+    fact = PL.load_warehouse(raw, tpch.postal_geo(spark, sf))
+    path = shared_dir(spark, "warehouse-from-csv")
+    W.write_fact(fact, path)
+    return spark.read.parquet(path).select(*ENRICHED_COLUMNS)
