@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import csv
 import io
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,9 +75,13 @@ def read_registry_csv(spark: SparkSession, root: str, multi_line: bool = False,
     files = list_files(spark, root)
     if not files:
         raise FileNotFoundError(f"No CSV files found in {root}")
+    # First line of each file only; concurrent, since object stores have
+    # high per-request latency and there may be thousands of files.
+    with ThreadPoolExecutor(max_workers=min(32, len(files))) as pool:
+        headers = list(pool.map(lambda f: read_header(spark, f), files))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        groups.setdefault(read_header(spark, f), []).append(f)
+    for f, h in zip(files, headers):
+        groups.setdefault(h, []).append(f)
     frames = []
     for header, paths in groups.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
