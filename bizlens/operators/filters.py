@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions.cleaning import yyyymm_of
@@ -108,6 +108,29 @@ def area_filter(area: str | None, area_type: str = "planning_area") -> Column |
     return F.col(ALLOWED_AREA_TYPES[area_type]) == F.lit(area)
 
 
+def resolve_area(area: str | None, area_dim: DataFrame | None, id_col: str = "planning_area_id",
+                 name_col: str = "name") -> list[str] | None:
+    """Area names the UI/questions supply -> ids (the reference compares the
+    text to ids only). Returns the ids whose name equals ``area`` (case-
+    insensitive) plus ``area`` itself; only that one name's rows are fetched."""
+    if not area:
+        return None
+    if area_dim is None:
+        return [area]
+    rows = area_dim.filter(F.lower(F.col(name_col)) == F.lower(F.lit(area))).select(id_col).distinct().collect()
+    return sorted({area, *[r[0] for r in rows if r[0] is not None]})
+
+
+def area_filter_resolved(area: str | None, area_type: str = "planning_area", area_dim: DataFrame | None = None):
+    """F3 with name resolution: ``isin`` over the resolved ids."""
+    ids = resolve_area(area, area_dim, ALLOWED_AREA_TYPES.get(area_type, "planning_area_id"))
+    if ids is None:
+        return None
+    if area_type not in ALLOWED_AREA_TYPES:
+        raise FilterError("area_type must be planning_area or subzone")
+    return F.col(ALLOWED_AREA_TYPES[area_type]).isin(ids)
+
+
 def status_filter(status: str | None) -> Column | None:
     """F4."""
     return (F.col("entity_status_description") == F.lit(status)) if status else None

@@ -23,30 +23,38 @@ def _ssic_cond(ssic, ssic_category, categories):
     return FL.ssic_pattern_filter(pats)
 
 
+def _area_cond(area, area_type, area_dim):
+    """F3; with ``area_dim`` (a dim with the area's id and name columns) a
+    name is also accepted (``resolve_names``); default: id equality."""
+    if area_dim is None:
+        return FL.area_filter(area, area_type)
+    return FL.area_filter_resolved(area, area_type, area_dim)
+
+
 def overview(fact: DataFrame, as_of, date_from=None, date_to=None, ssic=None, ssic_category=None,
-             area=None, area_type="planning_area", categories=None) -> DataFrame:
+             area=None, area_type="planning_area", categories=None, area_dim=None) -> DataFrame:
     """Q1: one row -- window total and year-on-year change, top code, hottest area."""
     lo, hi = FL.resolve_window(date_from, date_to, as_of, FL.DEFAULT_DAYS["overview"])
     return A.overview(fact, lo, hi, ssic_cond=_ssic_cond(ssic, ssic_category, categories),
-                      area_cond=FL.area_filter(area, area_type))
+                      area_cond=_area_cond(area, area_type, area_dim))
 
 
 def trends(fact: DataFrame, as_of, date_from=None, date_to=None, ssic=None, ssic_category=None,
-           area=None, area_type="planning_area", categories=None) -> DataFrame:
+           area=None, area_type="planning_area", categories=None, area_dim=None) -> DataFrame:
     """Q2: (month, count) of new entities."""
     lo, hi = FL.resolve_window(date_from, date_to, as_of, FL.DEFAULT_DAYS["trend"])
     cond = FL.all_of(FL.date_between(lo, hi), _ssic_cond(ssic, ssic_category, categories),
-                     FL.area_filter(area, area_type))
+                     _area_cond(area, area_type, area_dim))
     return A.count_by_month(fact, cond)
 
 
 def top_ssic(fact: DataFrame, dim_ssic: DataFrame, as_of, date_from=None, date_to=None, ssic=None,
              ssic_category=None, area=None, area_type="planning_area", limit: int = 10,
-             categories=None) -> DataFrame:
+             categories=None, area_dim=None) -> DataFrame:
     """Q3: (ssic_code, ssic_description, count), top ``limit`` codes."""
     lo, hi = FL.resolve_window(date_from, date_to, as_of, FL.DEFAULT_DAYS["ranking"])
     cond = FL.all_of(FL.date_between(lo, hi), _ssic_cond(ssic, ssic_category, categories),
-                     FL.area_filter(area, area_type))
+                     _area_cond(area, area_type, area_dim))
     return A.with_descriptions(A.top_by_key(fact, cond, "primary_ssic_norm", limit, alias="ssic_code"), dim_ssic)
 
 

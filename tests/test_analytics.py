@@ -130,3 +130,16 @@ def test_api_parameter_errors(spark):
     assert api.trends(fact, as_of=dt.date(2026, 6, 1)).count() == 0
     # reversed bounds are not swapped -> empty
     assert api.trends(fact, as_of=dt.date(2024, 6, 1), date_from="2024-12-31", date_to="2024-01-01").count() == 0
+
+
+def test_area_name_resolution(spark):
+    from bizlens.plans import api
+
+    d = dt.date(2024, 3, 1)
+    fact = _fact(spark, [(d, 202403, "1", "PA1", "S", "L"), (d, 202403, "1", "PA2", "S", "L")])
+    dim = spark.createDataFrame([("PA1", "North Shore"), ("PA2", "South Bank")], "planning_area_id string, name string")
+    as_of = dt.date(2024, 6, 1)
+    assert api.trends(fact, as_of, area="north shore").count() == 0  # reference: ids only
+    got = api.trends(fact, as_of, area="north shore", area_dim=dim).collect()
+    assert [(r.month, r["count"]) for r in got] == [(202403, 1)]
+    assert api.trends(fact, as_of, area="PA2", area_dim=dim).collect()[0]["count"] == 1
