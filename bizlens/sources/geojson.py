@@ -35,19 +35,16 @@ FEATURES = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
     T.StructField("geometry", T.StringType()),
+    # keys whose JSON value is falsy in Python terms (0, false, "", [], {}, null)
+    T.StructField("falsy_keys", T.ArrayType(T.StringType())),
 ])
 
 _FILE_SCHEMA = "features array<struct<properties: map<string,string>, geometry: string>>"
 
 
 def _prop_text(v):
-    if v is None:
-        return None
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, (dict, list)):
-        return json.dumps(v, ensure_ascii=False)
-    return str(v)
+    """Property values as the reference's loader renders them (``str(value)``)."""
+    return None if v is None else str(v)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -57,13 +54,17 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
             data = json.load(fh)
         rows = [
             (i, {k: _prop_text(v) for k, v in (f.get("properties") or {}).items()},
-             json.dumps(f.get("geometry"), ensure_ascii=False) if f.get("geometry") is not None else None)
+             json.dumps(f.get("geometry"), ensure_ascii=False) if f.get("geometry") is not None else None,
+             [k for k, v in (f.get("properties") or {}).items() if not v])
             for i, f in enumerate(data.get("features", []))
         ]
         return spark.createDataFrame(rows, FEATURES)
+    # Spark's JSON reader turns numbers into text, so a numeric 0 cannot be told
+    # from "0" here: only empty values count as falsy on this path.
     raw = spark.read.schema(_FILE_SCHEMA).option("multiLine", True).json(path)
     return raw.select(F.posexplode("features").alias("seq", "f")).select(
-        F.col("seq").cast("long"), "f.properties", "f.geometry"
+        F.col("seq").cast("long"), "f.properties", "f.geometry",
+        F.map_keys(F.map_filter("f.properties", lambda k, v: v.isNull() | (v == ""))).alias("falsy_keys"),
     )
 
 
@@ -95,8 +96,12 @@ def planning_area_dim(features: DataFrame, keys=PLANNING_KEYS) -> DataFrame:
 
 
 def match_layer(features: DataFrame, id_keys) -> DataFrame:
-    """(seq, feature_id, geometry) for the point matcher; features without a
-    usable id are skipped."""
-    return features.select("seq", pick("properties", id_keys).alias("feature_id"), "geometry").filter(
-        F.col("feature_id").isNotNull()
-    )
+    """(seq, feature_id, geometry) for the point matcher: the first id key whose
+    value is truthy (so a numeric 0 id does not count, unlike in the dims);
+    features without one are skipped."""
+    fid = F.coalesce(*[
+        F.when(~F.array_contains(F.coalesce("falsy_keys", F.array().cast("array<string>")), F.lit(k)),
+               F.try_element_at(F.col("properties"), F.lit(k)))
+        for k in id_keys
+    ])
+    return features.select("seq", fid.alias("feature_id"), "geometry").filter(F.col("feature_id").isNotNull())

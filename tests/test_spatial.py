@@ -63,3 +63,18 @@ def test_subzone_dim_keys(spark, tmp_path):
     assert rows[0].subzone_id == "HOLE" and rows[0].name == "HOLE"
     assert rows[3].subzone_id == "no id" and rows[3].name == "no id"
     assert json.loads(rows[1].geometry)["type"] == "MultiPolygon"
+
+
+def test_falsy_ids_skipped_by_matcher_not_by_dim(spark, tmp_path):
+    layer = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"SUBZONE_C": 0, "id": "ALT"},
+         "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]]}},
+        {"type": "Feature", "properties": {"SUBZONE_C": 0},
+         "geometry": {"type": "Polygon", "coordinates": [[[2, 0], [3, 0], [3, 1], [2, 1], [2, 0]]]}},
+    ]}
+    p = tmp_path / "z.geojson"
+    p.write_text(json.dumps(layer))
+    feats = read_features(spark, str(p))
+    assert [r.subzone_id for r in subzone_dim(feats).orderBy("seq").collect()] == ["0", "0"]
+    ids = [r.feature_id for r in match_layer(feats, SUBZONE_MATCH_KEYS).orderBy("seq").collect()]
+    assert ids == ["ALT"]
