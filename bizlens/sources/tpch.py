@@ -44,9 +44,20 @@ def uen_of(key) -> "F.Column":
     return F.concat(F.when(F.length(k) < 8, F.lpad(k, 8, "0")).otherwise(k), F.lit("K"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    A small input stored as a few row groups scans as a few tasks; then the
+    cleaning regexes would run on a few cores. Only in that case is the input
+    redistributed (round-robin); a large input already has more splits than
+    cores and is left alone (no shuffle)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def registry_extract(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame:
     """Raw text rows as a registry CSV extract would deliver them."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     ship = F.col("l_shipdate")
     cols = [
         uen_of(F.col("l_orderkey")).alias("uen"),
