@@ -49,10 +49,13 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small input stored as a few row groups scans as a few tasks; then the
     cleaning regexes would run on a few cores. Only in that case is the input
-    redistributed (round-robin); a large input already has more splits than
-    cores and is left alone (no shuffle)."""
+    redistributed, by a hash of the whole row (uniform, deterministic on
+    retry, and without the local sort a round-robin repartition needs); a
+    large input already has more splits than cores and is left alone."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, F.xxhash64(*[F.col(c) for c in df.columns]))
 
 
 def registry_extract(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame:
