@@ -32,6 +32,8 @@ from bizlens.schema import DETAIL_COLUMNS
 _WITH_SSIC = [QF.COMPARE_AREAS, QF.HOTTEST_AREAS_FOR_INDUSTRY, QF.EXPLAIN_CHANGE, QF.NEW_ENTITIES_TREND]
 _WITH_AREA = [QF.TOP_INDUSTRIES_IN_AREA, QF.EXPLAIN_CHANGE, QF.NEW_ENTITIES_TREND]
 
+TOPK_BUCKETS = 64
+
 SLOT_COLUMNS = ["intent", "start_date", "end_date", "ssic", "area", "area_1", "area_2", "uen"]
 
 
@@ -164,9 +166,17 @@ def answer_rows(parsed: DataFrame, fact: DataFrame) -> DataFrame:
     # Row order per intent: month[, area] for series; count desc then key for rankings.
     k1 = F.when(ranked, -F.col("count")).otherwise(F.col("g_month").cast("long"))
     k2 = F.when(by_code, F.col("g_code")).otherwise(F.col("g_area"))
-    w = Window.partitionBy("slot_id").orderBy(k1.asc(), k2.asc_nulls_last())
+    # Top 10 per slot in two levels, so a ranking over a large key space is
+    # never one task: first per (slot, hash bucket of the key), then per slot
+    # over at most 10 x buckets candidates. Series slots have <= 242 rows.
+    bucket = F.when(ranked, F.pmod(F.xxhash64("g_area", "g_code"), F.lit(TOPK_BUCKETS))).otherwise(F.lit(0))
+    w1 = Window.partitionBy("slot_id", "_b").orderBy(k1.asc(), k2.asc_nulls_last())
+    w2 = Window.partitionBy("slot_id").orderBy(k1.asc(), k2.asc_nulls_last())
     answers = (
-        groups.select("*", F.row_number().over(w).alias("row_no"))
+        groups.withColumn("_b", bucket)
+        .withColumn("_r1", F.row_number().over(w1))
+        .filter(~ranked | (F.col("_r1") <= 10))
+        .withColumn("row_no", F.row_number().over(w2))
         .filter(~ranked | (F.col("row_no") <= 10))
         .select("slot_id", F.col("g_month").alias("month"), F.col("g_area").alias("planning_area_id"),
                 F.col("g_code").alias("ssic_code"), "count", "row_no")
