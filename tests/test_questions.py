@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from bizlens.operators.questions import answer_rows, entity_lookups, narratives, parse_questions
 
 AS_OF = dt.date(2024, 6, 30)
@@ -83,3 +85,31 @@ def test_answers_and_narratives(spark):
     assert nar[5] == "No entity found for that UEN."
     assert nar[6] == "No results for the selected filters."
     assert nar[0] == "Trend generated."
+
+
+def test_question_patterns_match_python_regex_engine(spark):
+    """The extraction patterns give the same groups in Spark (Java regex) and
+    in Python's ``regex`` module on generated questions."""
+    import random
+
+    import regex
+
+    from bizlens.functions import questions as QF
+
+    rnd = random.Random(3)
+    words = ["Top", "SSIC", "ssic62", "ssic 4711", "in", "IN", "for", "Jade Hill", "vs", "VS", "compare", "Compare",
+             "last", "since", "from", "to", "today", "2019", "2021", "12 months", "entities", "f&b", "retail",
+             "  ", "\t", "café", "Été", "x1", "12345678a", "uen", "north  shore", "2020s", "1999 "]
+    texts = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))) for _ in range(600)})
+    df = spark.createDataFrame([(t,) for t in texts], "q string")
+    pats = {"area": (QF._AREA, 2), "cmp1": (QF._COMPARE, 1), "cmp2": (QF._COMPARE, 2), "vs1": (QF._VS, 1),
+            "ssic": (QF._SSIC, 1)}
+    rows = df.select("q", *[F.regexp_extract("q", p, g).alias(k) for k, (p, g) in pats.items()]).collect()
+
+    def py(p, g, t):
+        m = regex.search(p, t)
+        return (m.group(g) or "") if m else ""
+
+    for r in rows:
+        for k, (p, g) in pats.items():
+            assert r[k] == py(p, g, r.q), (k, r.q)
