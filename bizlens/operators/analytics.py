@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.cleaning import yyyymm_of
+from bizlens.functions.numeric import python_round
 from bizlens.operators.filters import DATE_COL, MONTH_COL, NORM_COL, all_of, date_between
 from bizlens.session import cut_lineage
 
@@ -155,7 +156,7 @@ def overview(fact: DataFrame, start: _dt.date, end: _dt.date, ssic_cond=None, ar
         F.col("value").cast("long").alias("value"),
         F.col("prev_value").cast("long").alias("prev_value"),
         F.when(F.col("prev_value") != 0,
-               F.round((F.col("value") - F.col("prev_value")) / F.col("prev_value") * 100, 2))
+               python_round((F.col("value") - F.col("prev_value")) / F.col("prev_value") * 100, 2))
         .alias("change_yoy_pct"),
         F.when(F.col("top_ssic_code").isNotNull(), F.col("top_ssic_code")).alias("top_ssic_code"),
         F.when(F.col("top_ssic_code").isNotNull(), F.col("top_ssic_count")).cast("long").alias("top_ssic_count"),

@@ -143,3 +143,11 @@ def test_area_name_resolution(spark):
     got = api.trends(fact, as_of, area="north shore", area_dim=dim).collect()
     assert [(r.month, r["count"]) for r in got] == [(202403, 1)]
     assert api.trends(fact, as_of, area="PA2", area_dim=dim).collect()[0]["count"] == 1
+
+
+def test_yoy_rounds_like_python(spark):
+    d, p = dt.date(2024, 3, 1), dt.date(2023, 3, 1)
+    # (33 - 32) / 32 * 100 = 3.125 exactly: Python rounds half-to-even -> 3.12
+    rows = [(d, 202403, "1", "E", "S", "L")] * 33 + [(p, 202303, "1", "E", "S", "L")] * 32
+    ov = A.overview(_fact(spark, rows), dt.date(2024, 1, 1), dt.date(2024, 12, 31)).first()
+    assert ov.change_yoy_pct == round(1 / 32 * 100, 2) == 3.12
