@@ -14,12 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizlens.operators import analytics as A
+from bizlens.operators import dedup as D
+from bizlens.operators import enrich as EN
 from bizlens.operators import filters as FL
+from bizlens.operators import profile as PR
+from bizlens.operators import questions as QN
+from bizlens.operators import rollups as RU
+from bizlens.operators import spatial as SP
+from bizlens.operators import taxonomy as TX
+from bizlens.operators.clean import clean_record as _clean_record
 from bizlens.plans import api as API
 from bizlens.plans import oracle_sql as O
+from bizlens.plans import pipelines as PL
 from bizlens.plans import warehouse as W
-from bizlens.schema import DETAIL_COLUMNS, SEARCH_COLUMNS
-from bizlens.session import tune
+from bizlens.schema import DETAIL_COLUMNS, ENRICHED_COLUMNS, KEEP_COLUMNS, SEARCH_COLUMNS
+from bizlens.session import cut_lineage, shared_dir, tune
+from bizlens.sources import api_pages as AP
+from bizlens.sources import geojson as GJ
+from bizlens.sources import registry_csv as RC
+from bizlens.sources import taxonomy as TS
+from bizlens.sources import tpch
+from bizlens.streaming import rollups as STR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,12 +180,6 @@ def q6_entity_detail(spark, sf):
 
 # ------------------------------------------------- cleaning / dedup / profile ---
 
-from bizlens.operators import dedup as D  # noqa: E402
-from bizlens.operators import enrich as EN  # noqa: E402
-from bizlens.operators import profile as PR  # noqa: E402
-from bizlens.operators import rollups as RU  # noqa: E402
-from bizlens.schema import ENRICHED_COLUMNS, KEEP_COLUMNS  # noqa: E402
-from bizlens.sources import tpch  # noqa: E402
 
 _KEEP = ", ".join(KEEP_COLUMNS)
 
@@ -399,8 +408,6 @@ def q1_overview_area(spark, sf):
 
 # --------------------------------------------------------------- taxonomy ---
 
-from bizlens.operators import taxonomy as TX  # noqa: E402
-from bizlens.sources import taxonomy as TS  # noqa: E402
 
 _TAX = TS.PACKAGED
 
@@ -459,8 +466,6 @@ def q11_resolve_category(spark, sf):
 
 # -------------------------------------------------------------- questions ---
 
-from bizlens.operators import questions as QN  # noqa: E402
-from bizlens.session import cut_lineage  # noqa: E402
 
 AS_OF = dt.date.fromisoformat(tpch.AS_OF)
 _PARSED_COLS = ["question_id", "intent", "start_date", "end_date", "ssic", "area", "area_1", "area_2", "uen", "error"]
@@ -500,9 +505,6 @@ def n15_narratives(spark, sf):
 
 # ---------------------------------------------------------------- spatial ---
 
-from bizlens.operators import spatial as SP  # noqa: E402
-from bizlens.sources import geojson as GJ  # noqa: E402
-
 
 def _layer(spark, id_keys):
     return GJ.match_layer(GJ.read_features(spark, GJ.PACKAGED_ZONES), id_keys)
@@ -532,8 +534,6 @@ def j5_pip_planning(spark, sf):
 
 # ------------------------------------------------------------- pipelines ---
 
-from bizlens.plans import pipelines as PL  # noqa: E402
-from bizlens.operators import rollups as _RU  # noqa: E402
 
 GEO_UPDATED_AT = dt.datetime(2024, 6, 1)
 
@@ -572,16 +572,11 @@ FROM raw r LEFT JOIN geo2 g ON r.postal_code = g.postal_code GROUP BY 1, 2""")
 def t3_rollup_after_geo(spark, sf):
     geo = PL.upsert_postal_geo(tpch.postal_geo(spark, sf), _new_geo(spark, sf))
     fact = PL.rebuild_enriched(W.raw_fact(spark, sf), geo)
-    return _RU.rollup(fact, "new_entities_monthly_by_planning_area")
+    return RU.rollup(fact, "new_entities_monthly_by_planning_area")
 
 
 # ------------------------------------------------------ sources (round trip) ---
 
-from bizlens.session import shared_dir  # noqa: E402
-from bizlens.sources import api_pages as AP  # noqa: E402
-from bizlens.sources import registry_csv as RC  # noqa: E402
-from bizlens.operators.clean import clean_record as _clean_record  # noqa: E402
-
 
 def _write_registry_csv(spark, sf) -> str:
     """Land the registry extract as CSV files the way a source system might:
@@ -698,8 +693,6 @@ def s6_write_clean_csv(spark, sf):
 
 # -------------------------------------------------------------- streaming ---
 
-from bizlens.streaming import rollups as STR  # noqa: E402
-
 
 def _make_stream(name):
     def fn(spark, sf):

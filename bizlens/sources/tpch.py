@@ -24,8 +24,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlens.plans.joins import checked_broadcast
-
 GEO_VERSION_TS = "2024-01-01 00:00:00"
 
 # Columns that fix the "first seen" order of lineitem rows within one key
@@ -174,17 +172,6 @@ def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = [
-    "checked_broadcast",
-    "dim_planning_area",
-    "dim_ssic",
-    "dim_subzone",
-    "postal_geo",
-    "registry_extract",
-    "supplier_points",
-    "table",
-]
-
 
 def search_terms(spark: SparkSession, sf_dir: str, col: str = "query") -> DataFrame:
     """Free-text inputs for category search: every distinct word of a part
