@@ -67,6 +67,24 @@ WHITESPACE = (
 )
 
 
+def _python_digit_class() -> str:
+    """Regex class body of every character Python's str.isdigit() accepts,
+    derived from Python itself (as code point ranges)."""
+    cps = [c for c in range(0x110000) if chr(c).isdigit()]
+    ranges, start, prev = [], cps[0], cps[0]
+    for c in cps[1:] + [None]:
+        if c is not None and c == prev + 1:
+            prev = c
+            continue
+        ranges.append(f"\\x{{{start:X}}}" + (f"-\\x{{{prev:X}}}" if prev != start else ""))
+        if c is not None:
+            start = prev = c
+    return "".join(ranges)
+
+
+DIGITS = _python_digit_class()
+
+
 def strip_ws(c) -> Column:
     """Strip leading/trailing Unicode whitespace (Python ``str.strip``).
 
@@ -84,8 +102,8 @@ def na_from_stripped(t) -> Column:
 
 
 def postal_digits(t) -> Column:
-    """P3 first half: keep ASCII digits of an NA-normalised value."""
-    return F.regexp_replace(_c(t), "[^0-9]", "")
+    """P3 first half: keep the characters Python's isdigit() accepts."""
+    return F.regexp_replace(_c(t), f"[^{DIGITS}]", "")
 
 
 def postal_from_digits(d) -> Column:
@@ -97,9 +115,9 @@ def postal_from_digits(d) -> Column:
 
 
 def ssic_from_na(t) -> Column:
-    """P4 on an NA-normalised value."""
+    """P4 on an NA-normalised value (all characters isdigit() -> pad to 5)."""
     t = _c(t)
-    return F.when(t.rlike("^[0-9]+$") & (F.length(t) < 5), F.lpad(t, 5, "0")).otherwise(t)
+    return F.when(t.rlike(f"^[{DIGITS}]+$") & (F.length(t) < 5), F.lpad(t, 5, "0")).otherwise(t)
 
 
 def date_from_na(t) -> Column:
