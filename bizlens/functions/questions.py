@@ -14,7 +14,7 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bizlens.functions.cleaning import strip_ws
+from bizlens.functions.cleaning import WHITESPACE, strip_ws
 
 # Intent names.
 NEW_ENTITIES_TREND = "NEW_ENTITIES_TREND"
@@ -53,10 +53,16 @@ MAX_SPAN_DAYS = 365 * 10
 
 _W = r"[\p{L}\p{N}_]"
 _NB = rf"(?:^|[^\p{{L}}\p{{N}}_])"  # boundary before a word character
-_AREA = rf"(?i){_NB}(in|for)\s+([A-Za-z ]+?)(?:\s+last|\s+since|\s+from|\s+to|\s+[0-9]{{4}}|$)"
-_COMPARE = r"(?i)compare\s+(.+?)\s+vs\s+(.+?)(?:\s+for|\s+last|\s+since|\s+[0-9]{4}|$)"
-_VS = r"(?i)(.+?)\s+vs\s+(.+?)(?:\s+for|\s+last|\s+since|\s+[0-9]{4}|$)"
-_SSIC = rf"(?i){_NB}ssic\s*([0-9]{{2,5}})(?:$|[^\p{{L}}\p{{N}}_])"
+# Python's re semantics in Java: (?d) makes '\n' the only line terminator for
+# '.' and '$' (Python: '.' excludes only '\n'; '$' also matches before a final
+# '\n'); (?iu) folds case over Unicode; \s is Python's whitespace set.
+_S = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITESPACE) + "]"
+_FLAGS = "(?diu)"
+_AREA = (rf"{_FLAGS}{_NB}(in|for){_S}+([A-Za-z ]+?)"
+         rf"(?:{_S}+last|{_S}+since|{_S}+from|{_S}+to|{_S}+[0-9]{{4}}|$)")
+_COMPARE = rf"{_FLAGS}compare{_S}+(.+?){_S}+vs{_S}+(.+?)(?:{_S}+for|{_S}+last|{_S}+since|{_S}+[0-9]{{4}}|$)"
+_VS = rf"{_FLAGS}(.+?){_S}+vs{_S}+(.+?)(?:{_S}+for|{_S}+last|{_S}+since|{_S}+[0-9]{{4}}|$)"
+_SSIC = rf"{_FLAGS}{_NB}ssic{_S}*([0-9]{{2,5}})(?:$|[^\p{{L}}\p{{N}}_])"
 _TOKEN = rf"{_W}+"
 
 

@@ -99,7 +99,8 @@ def test_question_patterns_match_python_regex_engine(spark):
     rnd = random.Random(3)
     words = ["Top", "SSIC", "ssic62", "ssic 4711", "in", "IN", "for", "Jade Hill", "vs", "VS", "compare", "Compare",
              "last", "since", "from", "to", "today", "2019", "2021", "12 months", "entities", "f&b", "retail",
-             "  ", "\t", "café", "Été", "x1", "12345678a", "uen", "north  shore", "2020s", "1999 "]
+             "  ", "\t", "café", "Été", "x1", "12345678a", "uen", "north  shore", "2020s", "1999 ",
+             "\u3000", "\xa0in", "ſsic 56", "\r", "\n", "Kompare"]
     texts = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))) for _ in range(600)})
     df = spark.createDataFrame([(t,) for t in texts], "q string")
     pats = {"area": (QF._AREA, 2), "cmp1": (QF._COMPARE, 1), "cmp2": (QF._COMPARE, 2), "vs1": (QF._VS, 1),
@@ -107,6 +108,9 @@ def test_question_patterns_match_python_regex_engine(spark):
     rows = df.select("q", *[F.regexp_extract("q", p, g).alias(k) for k, (p, g) in pats.items()]).collect()
 
     def py(p, g, t):
+        # Python has no (?d) ('\n' is already its only terminator) and spells
+        # code points \UXXXXXXXX instead of \x{...}
+        p = regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\U%08X" % int(m.group(1), 16), p.replace("(?diu)", "(?iu)"))
         m = regex.search(p, t)
         return (m.group(g) or "") if m else ""
 
