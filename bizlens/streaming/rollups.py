@@ -4,10 +4,14 @@ The reference keeps its rollups current with insert-triggered materialised
 views summed by the storage engine. Here a file stream over the enriched
 fact's folder feeds either
 
-* ``stream_rollup`` (ST1..ST4): a stateful ``groupBy(keys).count()`` in
-  complete mode; every micro-batch overwrites the output with the full,
-  current rollup (idempotent, so a replayed batch is harmless). State is
-  bounded by months x keys, so no watermark is needed; or
+* ``stream_rollup`` (ST1..ST4): a stateful ``groupBy(keys).count()``. In
+  ``update`` mode (default) a micro-batch emits only the keys whose counts
+  changed, and only the month partitions those keys fall in are rewritten
+  (dynamic partition overwrite of the merged month: untouched keys kept,
+  changed keys replaced by their new totals). In ``complete`` mode every
+  batch rewrites the whole rollup. Both are idempotent, so a replayed batch
+  is harmless. State is bounded by months x keys, so no watermark is
+  needed; or
 * ``stream_rollup_deltas`` (ST5): a stateless per-batch rollup written to
   ``batch_id=<n>`` (overwrite, so replays are exactly-once), merged on read
   with R5 (``sum_rollups``).
@@ -21,23 +25,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from pyspark.sql import functions as F
+
 from bizlens.operators.rollups import ROLLUP_KEYS, rollup, sum_rollups
+from bizlens.session import cut_lineage
 
 
 def _source(spark: SparkSession, path: str, schema: T.StructType, max_files: int) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def _merge_touched_months(batch: DataFrame, out_path: str, name: str) -> None:
+    """Fold an update-mode batch (new totals of changed keys) into the rollup
+    table, rewriting only the month partitions the batch touches."""
+    spark = batch.sparkSession
+    keys = ROLLUP_KEYS[name]
+    changed = cut_lineage(batch)  # read once; the target is read below
+    if _exists(spark, out_path):
+        months = changed.select("registration_month").distinct()
+        old = spark.read.parquet(out_path).join(F.broadcast(months), "registration_month", "left_semi")
+        ck = changed.select(*[F.col(k).alias(f"_c_{k}") for k in keys])
+        same = [old[k].eqNullSafe(ck[f"_c_{k}"]) for k in keys]
+        cond = same[0]
+        for c in same[1:]:
+            cond = cond & c
+        kept = old.join(ck, cond, "left_anti")
+        merged = cut_lineage(kept.select(*keys, "new_entities").unionByName(changed.select(*keys, "new_entities")))
+    else:
+        merged = changed.select(*keys, "new_entities")
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("registration_month").parquet(out_path))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def stream_rollup(spark: SparkSession, source_path: str, schema: T.StructType, name: str,
-                  out_path: str, checkpoint: str, max_files_per_trigger: int = 16) -> DataFrame:
+                  out_path: str, checkpoint: str, max_files_per_trigger: int = 16,
+                  mode: str = "update") -> DataFrame:
     """ST1..ST4: run the stream to the end of the available files; return the rollup."""
     agg = rollup(_source(spark, source_path, schema, max_files_per_trigger), name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(out_path)
+        else:
+            _merge_touched_months(batch, out_path, name)
 
     q = (
-        agg.writeStream.outputMode("complete")
+        agg.writeStream.outputMode(mode)
         .foreachBatch(sink)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -16,9 +16,10 @@ def test_stream_equals_batch(spark):
     schema = spark.read.parquet(src).schema
     name = "new_entities_monthly_by_ssic"
     want = sorted((tuple(r) for r in rollup(df, name).collect()), key=str)
-    got = stream_rollup(spark, src, schema, name, shared_dir(spark, "o"), shared_dir(spark, "c"),
-                        max_files_per_trigger=2)
-    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    for mode in ("update", "complete"):
+        got = stream_rollup(spark, src, schema, name, shared_dir(spark, "o"), shared_dir(spark, "c"),
+                            max_files_per_trigger=2, mode=mode)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want, mode
     ckpt, out = shared_dir(spark, "c2"), shared_dir(spark, "o2")
     got2 = stream_rollup_deltas(spark, src, schema, name, out, ckpt, max_files_per_trigger=2)
     assert sorted((tuple(r) for r in got2.collect()), key=str) == want
