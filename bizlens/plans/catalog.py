@@ -630,13 +630,19 @@ def _write_pages(spark, sf) -> str:
     """Land the extract as API pages: 100 order keys per page, one resource
     per 10,000 keys; every 7th page (offset pattern) failed."""
     root = shared_dir(spark, "api-pages")
-    ext = tpch.registry_extract(spark, sf)
+    ext = tpch.registry_extract(spark, sf, with_order=True)
     key = F.expr("CAST(substring(uen, 1, length(uen) - 1) AS BIGINT)")
     rec = F.create_map(*[x for c in KEEP_COLUMNS for x in (F.lit(c), F.col(c))],
                        F.lit("extra_col"), F.lit("dropped"))
+    # Records are listed in line order within a page (a page is at most 100
+    # order keys, so the per-page list is bounded).
+    in_order = F.array_sort(
+        F.collect_list(F.struct(F.col("_ord").alias("o"), F.col("r"))),
+        lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0),
+    )
     pages = (
-        ext.select((key / 100).cast("long").alias("page"), rec.alias("r"))
-        .groupBy("page").agg(F.collect_list("r").alias("records"))
+        ext.select((key / 100).cast("long").alias("page"), "_ord", rec.alias("r"))
+        .groupBy("page").agg(F.transform(in_order, lambda x: x["r"]).alias("records"))
         .select(
             F.concat(F.lit("res"), (F.col("page") / 100).cast("long").cast("string")).alias("resource_id"),
             ((F.col("page") % 100) * 1000).alias("offset"),
@@ -815,3 +821,12 @@ def t2_load_warehouse_from_csv(spark, sf):
     path = shared_dir(spark, "warehouse-from-csv")
     W.write_fact(fact, path)
     return spark.read.parquet(path).select(*ENRICHED_COLUMNS)
+
+
+
+@register("T1_clean_registry_from_pages", _DEDUP_SQL.replace(
+    "FROM cln WHERE uen IS NOT NULL AND uen <> ''",
+    f"FROM cln WHERE uen IS NOT NULL AND uen <> '' AND ({_PAGE_KEY}) % 7 <> 3") + " SELECT * FROM dd")
+def t1_clean_registry_from_pages(spark, sf):
+    records = AP.page_records(AP.read_pages(spark, _write_pages(spark, sf)))
+    return PL.clean_registry(records)["clean"]
