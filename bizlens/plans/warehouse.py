@@ -78,6 +78,9 @@ def write_fact(df: DataFrame, path: str) -> None:
         df.hint("rebalance", "registration_month")
         .sortWithinPartitions(*SORT_WITHIN)
         .write.mode("overwrite")
+        # Point lookups (entity detail, UEN questions) push `uen = ...` to the
+        # scan; a bloom filter lets it skip row groups the min/max cannot.
+        .option("parquet.bloom.filter.enabled#uen", "true")
         .partitionBy("registration_month")
         .parquet(path)
     )
