@@ -28,6 +28,27 @@ DEFAULT_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Suggested settings for the ~100 TB, ~1000-executor target (pass as
+# ``get_session(extra=SCALE_CONF)`` or through the cluster's defaults):
+# * 100 TB / 256 MB splits ~ 400k scan tasks; shuffles start wide (AQE then
+#   coalesces small partitions to the advisory size, so small queries do not
+#   pay for the width) and a skewed partition is split once it exceeds 5x the
+#   median and 1 GB;
+# * broadcasts stay capped by our own size check (64 MB) and Spark's.
+SCALE_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
 # Runtime SQL settings applied to a caller's session when still at Spark's default.
 RUNTIME_TUNING = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
 
