@@ -50,8 +50,11 @@ def spread(df: DataFrame) -> DataFrame:
     redistributed, by a hash of the whole row (uniform, deterministic on
     retry, and without the local sort a round-robin repartition needs); a
     large input already has more splits than cores and is left alone."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= want:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view of the plan (e.g. Spark Connect)
         return df
     return df.repartition(want, F.xxhash64(*[F.col(c) for c in df.columns]))
 

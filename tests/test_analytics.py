@@ -151,3 +151,15 @@ def test_yoy_rounds_like_python(spark):
     rows = [(d, 202403, "1", "E", "S", "L")] * 33 + [(p, 202303, "1", "E", "S", "L")] * 32
     ov = A.overview(_fact(spark, rows), dt.date(2024, 1, 1), dt.date(2024, 12, 31)).first()
     assert ov.change_yoy_pct == round(1 / 32 * 100, 2) == 3.12
+
+
+def test_tag_categories_matches_or_filter(spark):
+    from bizlens.operators.taxonomy import tag_categories
+
+    cats = categories(read_taxonomy(spark))
+    codes = ["00100", "00620", "00629", "01000", "19999", None, "00200", "ABC"]
+    fact = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "row_id int, primary_ssic_norm string")
+    got = sorted((r.row_id, r.category_id) for r in tag_categories(fact, cats).collect())
+    want = sorted((r.row_id, c.id) for c in cats.collect()
+                  for r in fact.filter(FL.ssic_pattern_filter(c.ssic)).collect())
+    assert got == want
