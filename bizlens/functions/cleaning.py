@@ -7,8 +7,10 @@ whole-stage codegen; nothing here runs Python per row.
 from __future__ import annotations
 
 import datetime as _dt
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +53,9 @@ def _fromisoformat_dates(s: pd.Series) -> pd.Series:
     return out
 
 
+# Executors need not have this package installed: the function is shipped by
+# value (it only uses datetime and pandas there).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 python_iso_date = F.pandas_udf(_fromisoformat_dates, T.DateType())
 
 
