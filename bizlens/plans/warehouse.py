@@ -50,14 +50,6 @@ def subzone_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tpch.dim_subzone(spark, sf_dir)
 
 
-def with_month_col(df: DataFrame) -> DataFrame:
-    return df.withColumn(
-        "registration_month",
-        F.coalesce((F.year("registration_incorporation_date") * 100
-                    + F.month("registration_incorporation_date")).cast("int"), F.lit(0)),
-    )
-
-
 # ------------------------------------------------------------------ S7 ---
 
 _BUILT: dict[tuple, str] = {}
