@@ -716,7 +716,8 @@ for _sid, _rid in (("ST1", "R1"), ("ST2", "R2"), ("ST3", "R3")):
 def st4_stream_rollup(spark, sf):
     src = W.warehouse_path(spark, sf)
     return STR.stream_rollup(spark, src, W.enriched_schema(spark, sf), "top_ssic_by_area_month",
-                             shared_dir(spark, "st-out"), shared_dir(spark, "st-ckpt"), max_files_per_trigger=16)
+                             shared_dir(spark, "st-out"), shared_dir(spark, "st-ckpt"), max_files_per_trigger=16,
+                             mode="complete")
 
 
 @register("ST5_stream_rollup_deltas", O.with_fact() + " " + _merged_sql("new_entities_monthly_by_ssic"))

@@ -8,8 +8,9 @@ fact's folder feeds either
   ``update`` mode (default) a micro-batch emits only the keys whose counts
   changed, and only the month partitions those keys fall in are rewritten
   (dynamic partition overwrite of the merged month: untouched keys kept,
-  changed keys replaced by their new totals). In ``complete`` mode every
-  batch rewrites the whole rollup. Both are idempotent, so a replayed batch
+  changed keys replaced by their new totals); it pays off when the rollup is
+  much larger than what one batch changes. In ``complete`` mode every batch
+  rewrites the whole rollup (one write; best while the rollup is small). Both are idempotent, so a replayed batch
   is harmless. State is bounded by months x keys, so no watermark is
   needed; or
 * ``stream_rollup_deltas`` (ST5): a stateless per-batch rollup written to
@@ -40,7 +41,7 @@ def _merge_touched_months(batch: DataFrame, out_path: str, name: str) -> None:
     table, rewriting only the month partitions the batch touches."""
     spark = batch.sparkSession
     keys = ROLLUP_KEYS[name]
-    changed = cut_lineage(batch)  # read once; the target is read below
+    changed = batch.persist()  # used twice below; recomputable if evicted
     if _exists(spark, out_path):
         months = changed.select("registration_month").distinct()
         old = spark.read.parquet(out_path).join(F.broadcast(months), "registration_month", "left_semi")
@@ -50,11 +51,14 @@ def _merge_touched_months(batch: DataFrame, out_path: str, name: str) -> None:
         for c in same[1:]:
             cond = cond & c
         kept = old.join(ck, cond, "left_anti")
+        # The merge reads the partitions it will overwrite, so it is written
+        # from a reliable checkpoint, not from its own lineage.
         merged = cut_lineage(kept.select(*keys, "new_entities").unionByName(changed.select(*keys, "new_entities")))
     else:
         merged = changed.select(*keys, "new_entities")
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("registration_month").parquet(out_path))
+    changed.unpersist()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
