@@ -831,3 +831,18 @@ def t2_load_warehouse_from_csv(spark, sf):
 def t1_clean_registry_from_pages(spark, sf):
     records = AP.page_records(AP.read_pages(spark, _write_pages(spark, sf)))
     return PL.clean_registry(records)["clean"]
+
+
+@register("ST1_stream_events_by_day_type", """
+SELECT CAST(year(ts) * 100 + month(ts) AS INTEGER) AS month, CAST(ts AS DATE) AS day, event_type,
+       count(*) AS n
+FROM events GROUP BY 1, 2, 3""")
+def st1_stream_events_by_day_type(spark, sf):
+    schema = tpch.table(spark, sf, "events").schema
+    keys = [
+        (F.year("ts") * 100 + F.month("ts")).cast("int").alias("month"),
+        F.col("ts").cast("date").alias("day"),
+        F.col("event_type"),
+    ]
+    return STR.stream_counts(spark, sf, "events.parquet", schema, keys,
+                             shared_dir(spark, "st-events-out"), shared_dir(spark, "st-events-ckpt"))

@@ -106,3 +106,21 @@ def stream_rollup_deltas(spark: SparkSession, source_path: str, schema: T.Struct
     )
     q.awaitTermination()
     return sum_rollups(spark.read.parquet(out_root), name)
+
+
+def stream_counts(spark: SparkSession, source_dir: str, file_glob: str, schema: T.StructType, keys,
+                  out_path: str, checkpoint: str, max_files_per_trigger: int = 16) -> DataFrame:
+    """The same upkeep for any keyed count: a file stream over ``source_dir``
+    (files matching ``file_glob``), ``keys`` given as named Columns, complete
+    mode written idempotently per micro-batch."""
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+    agg = src.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out_path)
+
+    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_path)
