@@ -200,7 +200,7 @@ def entity_lookups(parsed: DataFrame, fact: DataFrame) -> DataFrame:
         fields += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
     rank = F.struct(*fields)
     best = rows.groupBy("uen").agg(
-        F.min_by(F.struct(*[F.col(c) for c in DETAIL_COLUMNS if c != "uen"]), rank).alias("r")
+        F.min(F.struct(rank.alias("_k"), *[F.col(c) for c in DETAIL_COLUMNS if c != "uen"])).alias("r")
     )
     found = best.select("uen", *[F.col("r." + c).alias(c) for c in DETAIL_COLUMNS if c != "uen"])
     return asks.select("question_id", "uen").join(found, "uen").select("question_id", *DETAIL_COLUMNS)
