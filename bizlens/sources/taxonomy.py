@@ -48,8 +48,9 @@ def read_taxonomy(spark: SparkSession, path: str | None = None) -> DataFrame:
             ],
         )
         return spark.createDataFrame([row], TAXONOMY)
-    if path.startswith("/") or path.startswith("file:"):
-        return spark.createDataFrame([([], [])], TAXONOMY)
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if local.startswith("/") and not os.path.isfile(local):
+        return spark.createDataFrame([([], [])], TAXONOMY)  # missing file -> empty lists
     return spark.read.schema(TAXONOMY).option("multiLine", True).json(path)
 
 

@@ -73,3 +73,19 @@ def test_api_pages(spark, tmp_path):
     assert sorted(r.uen for r in recs) == ["U1", "U2", "U3"] and "junk" not in page_records(df).columns
     a = page_audit(df).first()
     assert (a.total_rows, a.fetched_rows, a.first_offset, a.last_offset, a.failed_pages) == (3, 3, 0, 2, 1)
+
+
+def test_spark_reader_paths_for_uris(spark, tmp_path):
+    """Shared-storage URIs go through Spark's JSON reader and give the same rows."""
+    from bizlens.sources.geojson import PACKAGED_ZONES, SUBZONE_MATCH_KEYS, match_layer, read_features, subzone_dim
+    from bizlens.sources.taxonomy import PACKAGED, categories, read_taxonomy
+
+    local = sorted(tuple(r) for r in subzone_dim(read_features(spark, PACKAGED_ZONES)).drop("geometry").collect())
+    via_spark = read_features(spark, "file:" + PACKAGED_ZONES)
+    assert sorted(tuple(r) for r in subzone_dim(via_spark).drop("geometry").collect()) == local
+    assert sorted(r.feature_id for r in match_layer(via_spark, SUBZONE_MATCH_KEYS).collect()) == sorted(
+        r.feature_id for r in match_layer(read_features(spark, PACKAGED_ZONES), SUBZONE_MATCH_KEYS).collect())
+    a = sorted((r.id, tuple(r.ssic)) for r in categories(read_taxonomy(spark, PACKAGED)).collect())
+    b = sorted((r.id, tuple(r.ssic)) for r in categories(read_taxonomy(spark, "file:" + PACKAGED)).collect())
+    assert a == b and len(a) == 11
+    assert categories(read_taxonomy(spark, str(tmp_path / "missing.json"))).count() == 0
