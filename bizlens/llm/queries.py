@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from bizlens.llm import bpe, decontaminate, token_counts
+from bizlens.llm import bpe, decontaminate, language, quality, token_counts, urls
 
 QUERIES = {
+    "op1_url_filters": urls.op1,
     "op2_decontamination": decontaminate.op2,
+    "op4_quality_rules": quality.op4,
     "op6_token_counts": token_counts.op6,
+    "op7_language_id": language.op7,
     "op10_bpe": bpe.op10,
 }
 
 ORACLE = {
+    "op1_url_filters": urls.OP1_SQL,
     "op2_decontamination": decontaminate.OP2_SQL,
 }
