@@ -2,8 +2,8 @@
 
 Each rule looks at one trait of a text and votes good (+1), bad (-1) or abstains
 (0). Nobody knows which rules to trust, so expectation-maximisation estimates,
-from the votes of all documents, how often each rule votes good on good and bad
-on bad texts and how common good texts are; a document's posterior probability
+from the votes of all documents, how often each rule is right when it votes
+and how common good texts are; a document's posterior probability
 of being good follows from its votes. A text is kept if that is at least
 ``threshold`` and the two base rules hold, instead of having to pass every rule.
 
@@ -48,9 +48,13 @@ STOP_WORDS = frozenset(
 RULES = (
     "length", "word_length", "symbols", "line_repeats", "run_repeats",
     "capitals", "exclamations", "function_words", "sentence_ends", "top_word",
+    "punctuation", "distinct_words", "echoes",
 )
+#: Rules that also vote for a text.
+SPEAK_FOR = ("function_words", "sentence_ends", "punctuation")
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _CONTINUED = bytes(range(0x80, 0xC0))
 
 STATS = (
@@ -75,11 +79,6 @@ def _repeated_words(hashes: np.ndarray) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _band(value: float, good: float, bad: float) -> int:
-    """+1 up to ``good``, -1 above ``bad``, else no vote."""
-    return 1 if value <= good else -1 if value > bad else 0
-
-
 def measure(text: bytes | None) -> tuple[int, int, int, int, int, int]:
     """The base counts and the votes, the latter as one base-3 number."""
     text = text or b""
@@ -96,20 +95,23 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int, int]:
     upper = len(text) - len(text.translate(None, _UPPER))
     letters = upper + len(text) - len(text.translate(None, _LOWER))
     _, counts = np.unique(hashes, return_counts=True)
-    stops = len(STOP_WORDS.intersection(words))
+    stops = sum(map(STOP_WORDS.__contains__, words)) / n
     ends = (text.count(b".") + text.count(b"?")) / n
-    mean = word_chars / n
+    marks = len(text) - len(text.translate(None, _MARKS))
     votes = (
-        1 if n >= 60 else -1 if n < MIN_WORDS else 0,
-        1 if 3 <= mean <= 10 else -1 if mean < 2 or mean > 14 else 0,
-        _band(symbols / n, 0.02, 0.1),
-        _band(dup_lines / len(lines), 0.1, 0.3),
-        _band(repeated / n, 0.05, 0.2),
-        _band(upper / letters, 0.15, 0.4) if letters >= 20 else 0,
-        _band(text.count(b"!") / n, 0.05, 0.2),
-        1 if stops >= 2 else 0 if stops or n < 2 * MIN_WORDS else -1,
-        (1 if 0.01 <= ends <= 0.5 else -1 if ends > 1 or n >= 100 and not ends else 0),
-        _band(counts.max() / n, 0.15, 0.3) if n >= MIN_WORDS else 0,
+        -1 if n < MIN_WORDS else 0,
+        -1 if not 2.5 <= word_chars / n <= 14 else 0,
+        -1 if symbols > 0.1 * n else 0,
+        -1 if dup_lines > 0.3 * len(lines) else 0,
+        -1 if repeated > 0.2 * n else 0,
+        -1 if upper > 0.4 * letters and letters >= 20 else 0,
+        -1 if text.count(b"!") > 0.2 * n else 0,
+        1 if stops >= 0.06 else -1 if stops < 0.02 and n >= 2 * MIN_WORDS else 0,
+        1 if 0.01 <= ends <= 0.5 else -1 if n >= 100 and ends < 0.002 else 0,
+        -1 if counts.max() > 0.25 * n and n >= MIN_WORDS else 0,
+        -1 if marks > 0.5 * n else 1 if marks < 0.3 * n else 0,
+        -1 if len(counts) < 0.3 * n and n >= MIN_WORDS else 0,
+        -1 if np.count_nonzero(hashes[1:] == hashes[:-1]) > 0.3 * n else 0,
     )
     code = 0
     for v in votes:
@@ -129,37 +131,40 @@ def votes_of(codes: np.ndarray) -> np.ndarray:
 
 
 class VoteModel:
-    """Class share and each rule's rate of right votes on good and on bad texts."""
+    """Share of good texts, and how often each rule is right when it votes.
 
-    #: Pseudo-counts that hold a rule near its start until documents say otherwise.
-    START_RIGHT, PSEUDO = 0.8, 2.0
+    Different kinds of junk set off different rules, and junk that sets off one rule
+    alone gives no evidence on it; left alone, expectation-maximisation then makes
+    the largest kind of junk the whole bad class. So each estimate is averaged with
+    what is believed of it beforehand (a prior that weighs as much as the votes):
+    a rule that speaks against a text is precise, one that speaks for it less so."""
+
+    SHARE, AGAINST, FOR, LIMITS = 0.8, 0.9, 0.7, (0.55, 0.99)
 
     def __init__(self) -> None:
-        self.share = 0.8
-        self.right_good = np.full(len(RULES), self.START_RIGHT)
-        self.right_bad = np.full(len(RULES), self.START_RIGHT)
+        self.share = self.SHARE
+        self.believed = np.where(np.isin(RULES, SPEAK_FOR), self.FOR, self.AGAINST)
+        self.accuracy = self.believed
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        good, bad = votes == 1, votes == -1
-        log = math.log(self.share) - math.log1p(-self.share)
-        log = log + good @ (np.log(self.right_good) - np.log1p(-self.right_bad))
-        log = log + bad @ (np.log1p(-self.right_good) - np.log(self.right_bad))
+        weight = np.log(self.accuracy) - np.log1p(-self.accuracy)
+        log = math.log(self.share) - math.log1p(-self.share) + votes @ weight
         return 1 / (1 + np.exp(-np.clip(log, -700, 700)))
 
     def fit(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> VoteModel:
+        """Expectation (posterior of each pattern), then maximisation, until still."""
         if not counts.sum():
             return self
         good, bad = votes == 1, votes == -1
+        voted = counts @ (good | bad)
         for _ in range(rounds):
             p = self.posterior(votes)
-            of_good, of_bad = p * counts, (1 - p) * counts
-            before = self.right_good, self.right_bad
-            prior = self.START_RIGHT * self.PSEUDO
-            rate = lambda hit, all_: (hit + prior) / (all_ + self.PSEUDO)
-            self.right_good = rate(of_good @ good, of_good @ (good | bad))
-            self.right_bad = rate(of_bad @ bad, of_bad @ (good | bad))
-            self.share = float((of_good.sum() + 4) / (counts.sum() + 5))
-            if max(np.abs(a - b).max() for a, b in zip(before, (self.right_good, self.right_bad))) < 1e-9:
+            right = (p * counts) @ good + ((1 - p) * counts) @ bad
+            before = self.accuracy
+            seen = np.divide(right, voted, out=self.believed.copy(), where=voted > 0)
+            self.accuracy = np.clip((seen + self.believed) / 2, *self.LIMITS)
+            self.share = float((p @ counts / counts.sum() + self.SHARE) / 2)
+            if np.abs(self.accuracy - before).max() < 1e-9:
                 break
         return self
 
