@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bizlens.llm import bpe, decontaminate, language, quality, token_counts, urls
+from bizlens.llm import bpe, decontaminate, language, pii, quality, token_counts, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4,
     "op6_token_counts": token_counts.op6,
     "op7_language_id": language.op7,
+    "op9_pii": pii.op9,
     "op10_bpe": bpe.op10,
 }
 

@@ -215,7 +215,8 @@ def unwanted_sites(pages: DataFrame, labels: tuple[str, ...] = UNWANTED) -> Data
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, verdict)")
     return judge(pages, rules, unwanted_sites(pages))
 
 
