@@ -27,7 +27,7 @@ ALNUM = bytes(
 #: The ASCII white space: space and U+0009 to U+000D.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Entries a per-worker cache may hold before it starts anew.
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def as_text(column: pa.Array) -> list[str | None]:
     return column.cast(pa.string()).to_pylist()
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that only a few texts at a time are Python objects."""
+    return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def map_batches(
     df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]]
 ) -> DataFrame:
@@ -74,7 +79,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in (b for whole in batches for b in sliced(whole)):
             columns = step(batch)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -94,7 +99,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in (b for whole in batches for b in sliced(whole)):
             yield batch.filter(pa.array(step(batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -144,3 +149,10 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     if 0 < len(hashes) < size:
         return window_hashes(hashes, len(hashes)) ^ np.uint64(len(hashes))
     return np.unique(window_hashes(hashes, size))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and go on from what was written."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

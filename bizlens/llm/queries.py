@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bizlens.llm import bpe, decontaminate, language, pii, quality, token_counts, urls
+from bizlens.llm import bpe, decontaminate, jaccard, language, pii, quality, token_counts, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1,
     "op2_decontamination": decontaminate.op2,
+    "op3_jaccard_join": jaccard.op3,
     "op4_quality_rules": quality.op4,
     "op6_token_counts": token_counts.op6,
     "op7_language_id": language.op7,
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLE = {
     "op1_url_filters": urls.OP1_SQL,
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op3_jaccard_join": jaccard.OP3_SQL,
 }

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from bizlens.llm.common import as_text, ship
 
 #: Entries per piece of a vector, and tasks that add up a piece's first sums.
-PIECE = 1 << 14
-FAN = 16
+PIECE = 1 << 16
+FAN = 4
 
 _SCHEMA = "piece int, salt int, rows long, sums binary"
 _FIELDS = [("piece", pa.int32()), ("salt", pa.int32()), ("rows", pa.int64()), ("sums", pa.binary())]
@@ -70,10 +70,9 @@ def summed_vectors(
             cuts = range(0, size, PIECE)
             yield _rows({(k, salt): (rows, total[c : c + PIECE]) for k, c in enumerate(cuts)})
 
-    pieces = -(-size // PIECE)
     first = frame.mapInArrow(run, _SCHEMA)
-    second = first.repartition(pieces * FAN, "piece", "salt").mapInArrow(_added(True), _SCHEMA)
-    last = second.repartition(pieces, "piece").mapInArrow(_added(False), _SCHEMA)
+    second = first.repartition("piece", "salt").mapInArrow(_added(True), _SCHEMA)
+    last = second.repartition("piece").mapInArrow(_added(False), _SCHEMA)
     out, rows = np.zeros(size, np.int64), 0
     for r in last.select("piece", "rows", "sums").collect():
         v = np.frombuffer(zlib.decompress(r.sums), np.int64)
