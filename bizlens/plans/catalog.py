@@ -583,15 +583,17 @@ def _write_registry_csv(spark, sf) -> str:
     two batches with different header orders, one lacking a column, one
     folder per registration year."""
     root = shared_dir(spark, "registry-csv")
-    ext = tpch.registry_extract(spark, sf).withColumn(
+    ext = tpch.registry_extract(spark, sf, with_order=True).withColumn(
         "_year", F.substring("registration_incorporation_date", 1, 4))
     iso = F.col("registration_incorporation_date").contains("-")
     a_cols = list(reversed(KEEP_COLUMNS))
     b_cols = [c for c in KEEP_COLUMNS if c != "company_type_description"]
-    ext.filter(iso).select(*a_cols, "_year").write.partitionBy("_year").option("header", True).csv(
-        root + "/batch_a")
-    ext.filter(~iso).select(*b_cols, "_year").write.partitionBy("_year").option("header", True).csv(
-        root + "/batch_b")
+    # A key's rows land in one file per batch and year, in line order, so that
+    # arrival order is a matter of the data and not of task timing.
+    placed = ext.repartition("uen").sortWithinPartitions("_year", "uen", "_ord", *KEEP_COLUMNS)
+    for name, which, cols in (("batch_a", iso, a_cols), ("batch_b", ~iso, b_cols)):
+        placed.filter(which).select(*cols, "_year").write.partitionBy("_year").options(
+            **RC.WRITE_DIALECT).csv(f"{root}/{name}")
     return root
 
 
@@ -620,7 +622,18 @@ def a12_per_file_report(spark, sf):
     return rep.select("resource_id", "fetched_rows", "error_rows")
 
 
-@register("T1_clean_registry", None)
+# Arrival order of a key's rows: batch a before b, its folders by year, rows by line order.
+_T1_SQL = "WITH " + ",".join([O.EXTRACT]) + f"""
+, cln AS (SELECT {_S1_CLEAN}, contains(ext.registration_incorporation_date, '-') AS batch_a,
+                 substr(ext.registration_incorporation_date, 1, 4) AS folder, {O.ORDER_COLS} FROM ext)
+SELECT {_KEEP} FROM (
+  SELECT *, row_number() OVER (PARTITION BY uen
+      ORDER BY registration_incorporation_date DESC NULLS LAST, batch_a DESC, folder, {O.ORDER_COLS},
+               {", ".join(c + " ASC NULLS FIRST" for c in KEEP_COLUMNS[1:])}) AS rn
+  FROM cln WHERE uen IS NOT NULL AND uen <> '') WHERE rn = 1"""
+
+
+@register("T1_clean_registry", _T1_SQL)
 def t1_clean_registry(spark, sf):
     raw = RC.read_registry_csv(spark, _write_registry_csv(spark, sf))
     return PL.clean_registry(raw)["clean"]
@@ -683,8 +696,8 @@ def s2_page_audit(spark, sf):
 @register("S4_read_ssic_csv", "WITH " + O.SSIC_DIM.lstrip() + " SELECT * FROM ssic_dim")
 def s4_read_ssic_csv(spark, sf):
     root = shared_dir(spark, "ssic-csv")
-    tpch.dim_ssic(spark, sf).toDF("SSIC_CODE", "SSIC_DESCRIPTION", "SECTION", "DIVISION").write.option(
-        "header", True).csv(root)
+    tpch.dim_ssic(spark, sf).toDF("SSIC_CODE", "SSIC_DESCRIPTION", "SECTION", "DIVISION").write.options(
+        **RC.WRITE_DIALECT).csv(root)
     return RC.read_ssic_csv(spark, root)
 
 
@@ -694,7 +707,8 @@ def s4_read_ssic_csv(spark, sf):
 def s6_write_clean_csv(spark, sf):
     path = shared_dir(spark, "clean-csv")
     RC.write_clean(_dedup(spark, sf), path)
-    return spark.read.option("header", True).csv(path).select(*KEEP_COLUMNS)
+    return spark.read.option("header", True).options(**RC.DIALECT).option("multiLine", True).csv(path).select(
+        *KEEP_COLUMNS)
 
 
 # -------------------------------------------------------------- streaming ---

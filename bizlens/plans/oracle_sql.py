@@ -57,7 +57,13 @@ EXTRACT = """
 ext AS (
   SELECT (CASE WHEN length(CAST(l_orderkey AS VARCHAR)) < 8 THEN lpad(CAST(l_orderkey AS VARCHAR), 8, '0')
                ELSE CAST(l_orderkey AS VARCHAR) END) || 'K' AS uen,
-         'ORDER ' || CAST(l_orderkey AS VARCHAR) || ' LINE ' || CAST(l_linenumber AS VARCHAR) AS entity_name,
+         CASE l_linenumber
+           WHEN 1 THEN 'ORDER "' || CAST(l_orderkey AS VARCHAR) || '" LINE ' || CAST(l_linenumber AS VARCHAR)
+           WHEN 2 THEN 'ORDER ' || CAST(l_orderkey AS VARCHAR) || ', LINE ' || CAST(l_linenumber AS VARCHAR)
+           WHEN 3 THEN 'ORDER ' || CAST(l_orderkey AS VARCHAR) || ' LINE ' || CAST(l_linenumber AS VARCHAR) || chr(92)
+           WHEN 4 THEN 'ORDER ' || CAST(l_orderkey AS VARCHAR) || chr(10) || 'LINE ' || CAST(l_linenumber AS VARCHAR)
+           WHEN 5 THEN '  ORDER ' || CAST(l_orderkey AS VARCHAR) || ' LINE ' || CAST(l_linenumber AS VARCHAR) || ' '
+           ELSE 'ORDER ' || CAST(l_orderkey AS VARCHAR) || ' LINE ' || CAST(l_linenumber AS VARCHAR) END AS entity_name,
          ' ' || l_linestatus AS entity_status_description,
          l_returnflag AS entity_type_description,
          CASE WHEN l_quantity > 25 THEN ' Sole Proprietor ' ELSE 'NA' END AS business_constitution_description,

@@ -1,7 +1,7 @@
 """S1 registry CSV extracts, S4 industry-code CSV, S6 clean-table writer.
 
-S1 reads every ``*.csv`` under a folder (recursively, in path order) as text
-columns bound **by name**: files are grouped by their header line, each group
+S1 reads every ``*.csv`` under a folder (its subfolders included, in path order) as
+text columns bound **by name**: files are grouped by their header line, each group
 is one multi-file ``spark.read.csv`` (positional binding is right inside a
 group), and the groups are combined with ``unionByName(allowMissingColumns)``.
 A single multi-path read would bind every file by the first file's column
@@ -29,6 +29,13 @@ from bizlens.functions.cleaning import normalize_na, normalize_ssic
 
 CORRUPT = "_corrupt"
 
+# The standard dialect, reading and writing: quotes inside a quoted field are
+# doubled, a backslash is an ordinary character, padding belongs to the field.
+DIALECT = {
+    "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+WRITE_DIALECT = {**DIALECT, "header": "true", "emptyValue": "", "nullValue": ""}
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -65,12 +72,13 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(next(csv.reader(io.StringIO(line)), []))
 
 
-def read_registry_csv(spark: SparkSession, root: str, multi_line: bool = False,
+def read_registry_csv(spark: SparkSession, root: str, multi_line: bool = True,
                       stop_at_first_error: bool = False) -> DataFrame:
     """Union by name of every CSV under ``root`` with source_file and _ord.
 
-    ``multi_line`` allows quoted line breaks inside fields (files are then
-    read whole by one task each).
+    Quoted fields may hold line breaks, so a file is read whole by one task and
+    files in parallel. ``multi_line=False`` also splits large files, for extracts
+    known to have no line break inside a field.
     """
     files = list_files(spark, root)
     if not files:
@@ -92,6 +100,7 @@ def read_registry_csv(spark: SparkSession, root: str, multi_line: bool = False,
             .option("encoding", "UTF-8")
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT)
+            .options(**DIALECT)
             .option("multiLine", multi_line)
             .csv(paths)
         )
@@ -130,7 +139,7 @@ def read_registry_csv(spark: SparkSession, root: str, multi_line: bool = False,
 def read_ssic_csv(spark: SparkSession, path: str, pad_codes: bool = True) -> DataFrame:
     """Industry codes; each field from its lower-case header, else UPPER-case;
     NA-normalised. Codes are padded like the fact's codes unless ``pad_codes=False``."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).options(**DIALECT).option("multiLine", True).csv(path)
     cols = set(raw.columns)
 
     def field(name):
@@ -148,9 +157,9 @@ def read_ssic_csv(spark: SparkSession, path: str, pad_codes: bool = True) -> Dat
 
 def write_clean(df: DataFrame, path: str) -> None:
     """The clean table as Parquet (path ending .parquet) or CSV with a header
-    (NULL -> empty field)."""
+    (NULL -> empty field, fields quoted only where they must be)."""
     w = df.write.mode("overwrite")
     if path.lower().rstrip("/").endswith(".parquet"):
         w.parquet(path)
     else:
-        w.option("header", True).csv(path)
+        w.options(**WRITE_DIALECT).csv(path)

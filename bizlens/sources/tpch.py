@@ -5,7 +5,8 @@ schema and on these derived frames. Mapping (one entity row per lineitem):
 
   uen                    l_orderkey padded to 8 digits + 'K' (UEN shape; duplicated
                          keys exercise keep-latest dedup)
-  entity_name            'ORDER <orderkey> LINE <linenumber>'
+  entity_name            'ORDER <orderkey> LINE <linenumber>', on lines 1 to 5 with quotes, a comma,
+                         a closing backslash, a line break, padding
   status / type          l_linestatus / l_returnflag (status padded with a space)
   constitution           ' Sole Proprietor ' when l_quantity > 25 else 'NA'
   company type           'Exempt Private' when l_discount > 0.05 else ''
@@ -59,16 +60,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want, F.xxhash64(*[F.col(c) for c in df.columns]))
 
 
+def _entity_name(order, line) -> "F.Column":
+    """Names with what real company names hold: quotes, commas, a closing
+    backslash, a line break, padding (by line number)."""
+    number = line.cast("string")
+    return (
+        F.when(line == 1, F.concat(F.lit('ORDER "'), order, F.lit('" LINE '), number))
+        .when(line == 2, F.concat(F.lit("ORDER "), order, F.lit(", LINE "), number))
+        .when(line == 3, F.concat(F.lit("ORDER "), order, F.lit(" LINE "), number, F.lit("\\")))
+        .when(line == 4, F.concat(F.lit("ORDER "), order, F.lit("\nLINE "), number))
+        .when(line == 5, F.concat(F.lit("  ORDER "), order, F.lit(" LINE "), number, F.lit(" ")))
+        .otherwise(F.concat(F.lit("ORDER "), order, F.lit(" LINE "), number))
+    )
+
+
 def registry_extract(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame:
     """Raw text rows as a registry CSV extract would deliver them."""
     li = spread(table(spark, sf_dir, "lineitem"))
     ship = F.col("l_shipdate")
     cols = [
         uen_of(F.col("l_orderkey")).alias("uen"),
-        F.concat(
-            F.lit("ORDER "), F.col("l_orderkey").cast("string"),
-            F.lit(" LINE "), F.col("l_linenumber").cast("string"),
-        ).alias("entity_name"),
+        _entity_name(F.col("l_orderkey").cast("string"), F.col("l_linenumber")).alias("entity_name"),
         F.concat(F.lit(" "), F.col("l_linestatus")).alias("entity_status_description"),
         F.col("l_returnflag").alias("entity_type_description"),
         F.when(F.col("l_quantity") > 25, F.lit(" Sole Proprietor "))

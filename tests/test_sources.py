@@ -1,13 +1,14 @@
 """S1 by-name union (reordered headers, missing column, BOM), arrival order,
 stop at the first malformed line; S2 pages; T1 end to end."""
 
+import csv
 import json
 
 from bizlens.operators.clean import clean_record
 from bizlens.operators.dedup import dedup_keep_latest
 from bizlens.plans.pipelines import clean_registry
 from bizlens.sources.api_pages import page_audit, page_records, read_pages
-from bizlens.sources.registry_csv import read_registry_csv, read_ssic_csv
+from bizlens.sources.registry_csv import read_registry_csv, read_ssic_csv, write_clean
 
 
 def _write(path, text):
@@ -89,3 +90,28 @@ def test_spark_reader_paths_for_uris(spark, tmp_path):
     b = sorted((r.id, tuple(r.ssic)) for r in categories(read_taxonomy(spark, "file:" + PACKAGED)).collect())
     assert a == b and len(a) == 11
     assert categories(read_taxonomy(spark, str(tmp_path / "missing.json"))).count() == 0
+
+
+AWKWARD = [
+    ("U1", 'ACME "BEST" PTE', "1"), ("U2", 'A "B", C LTD', "456"), ("U3", "BACK\\", "789"),
+    ("U4", "TWO\nLINES", "12"), ("U5", "  padded ", "3"), ("U6", "", "4"), ("U7", 'half"quote', "5"),
+]
+
+
+def test_reads_what_the_csv_module_writes(spark, tmp_path):
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows([("uen", "entity_name", "postal_code"), *AWKWARD])
+    got = {r.uen: (r.entity_name or "", r.postal_code) for r in read_registry_csv(spark, str(tmp_path)).collect()}
+    assert got == {u: (n, p) for u, n, p in AWKWARD}
+
+
+def test_csv_module_reads_what_is_written(spark, tmp_path):
+    rows = [*AWKWARD, ("U8", None, "6")]
+    write_clean(spark.createDataFrame(rows, "uen string, entity_name string, postal_code string").coalesce(1),
+                str(tmp_path / "out"))
+    part = next((tmp_path / "out").glob("part-*.csv"))
+    text = part.read_text(encoding="utf-8")
+    with open(part, newline="", encoding="utf-8") as f:
+        got = {r["uen"]: (r["entity_name"], r["postal_code"]) for r in csv.DictReader(f)}
+    assert got == {u: (n or "", p) for u, n, p in rows}
+    assert '"ACME ""BEST"" PTE"' in text and "U6,,4" in text and "U8,,6" in text
