@@ -33,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import CACHE_ENTRIES, as_bytes, as_text, map_batches, table
+from bizlens.llm.common import as_bytes, as_text, map_batches, table
 from bizlens.llm.token_counts import CACHED_CHARS, WHITE, byte_symbols, merge_list, tokenizer_path
 
 #: The pre-split pattern of word_bpe_49k.json (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+".replace(r"\s", WHITE)
 
+#: Words, stretches and arcs that a worker keeps, each.
+CACHED = 1 << 17
+
 
 class MergeAutomaton:
     """The token automaton of a merge list; states are named by the label of
@@ -83,7 +86,7 @@ class MergeAutomaton:
             return True
         known = self.arcs.get((state, label))
         if known is None:
-            if len(self.arcs) >= CACHE_ENTRIES:
+            if len(self.arcs) >= CACHED:
                 self.arcs.clear()
             known = self.arcs[state, label] = self._arc(state, label, len(self.labels))
         return known
@@ -156,33 +159,32 @@ class WordBpe:
         self.space = re.compile(f"[{WHITE}]+")
         self.label = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
         self.ids = [self.vocab.get(label, -1) for label in self.automaton.labels]
-        self.words: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[bytes, int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _stretch(self, stretch: str) -> tuple[bytes, int]:
+    def _stretch(self, stretch: str) -> bytes:
         text = unicodedata.normalize("NFC", stretch)
         text = text.lower() if text.isascii() else "".join(c.lower() for c in text)
-        ids: list[int] = []
-        for word in self.word.findall(text):
-            ids += self.words.get(word) or self._word(word)
-        out = struct.pack(f"<{len(ids)}I", *ids), len(ids)
+        known, make = self.words, self._word
+        out = b"".join([known.get(w) or make(w) for w in self.word.findall(text)])
         if len(stretch) <= CACHED_CHARS:
-            if len(self.known) >= CACHE_ENTRIES:
+            if len(self.known) >= CACHED:
                 self.known.clear()
             self.known[stretch] = out
         return out
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         symbols = [self.chars[b] for b in word.encode()]
         symbols[-1] += self.suffix
-        ids = [self.ids[s] for s in self.automaton.walk(symbols)]
+        path = self.automaton.walk(symbols)
+        ids = struct.pack(f"<{len(path)}I", *[self.ids[s] for s in path])
         if len(word) <= CACHED_CHARS:
-            if len(self.words) >= CACHE_ENTRIES:
+            if len(self.words) >= CACHED:
                 self.words.clear()
             self.words[word] = ids
         return ids
 
-    def _plain(self, text: str) -> list[tuple[bytes, int]]:
+    def _plain(self, text: str) -> list[bytes]:
         # str.split() also cuts at U+001C to U+001F, which are no white space here
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         known, make = self.known, self._stretch
@@ -195,15 +197,16 @@ class WordBpe:
         if not text:
             return b"", 0
         if self.cut and any(s in text for s in self.added):
-            parts: list[tuple[bytes, int]] = []
+            parts: list[bytes] = []
             for k, piece in enumerate(self.cut.split(text)):
                 if k % 2:
-                    parts.append((struct.pack("<I", self.added[piece]), 1))
+                    parts.append(struct.pack("<I", self.added[piece]))
                 else:
                     parts += self._plain(piece)
         else:
             parts = self._plain(text)
-        return b"".join([p[0] for p in parts]), sum([p[1] for p in parts])
+        ids = b"".join(parts)
+        return ids, len(ids) // 4
 
     def decode(self, ids: bytes | None) -> str:
         """The labels of the ids, one space between two, as the library gives them
