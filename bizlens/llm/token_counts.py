@@ -23,10 +23,12 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import CACHE_ENTRIES, as_text, map_batches, table
+from bizlens.llm.common import as_text, map_batches, table
 
 #: Pieces longer than this are counted anew each time, to bound the cache.
 CACHED_CHARS = 64
+#: Pieces, and pre-tokens, that a worker keeps.
+CACHED = 1 << 18
 LIMIT = 512
 #: Unicode White_Space, the class \s of the tokenizer library (Python's \s is wider).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -112,7 +114,7 @@ class _Merged(dict):
     def __missing__(self, token: str) -> int:
         n = self.merger.count(token.encode())
         if len(token) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= CACHED:
                 self.clear()
             self[token] = n
         return n
@@ -173,7 +175,7 @@ class _Counts(dict):
             raise _NoCut
         n = self.counter.whole(self.lead + piece)
         if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= CACHED:
                 self.clear()
             self[piece] = n
         return n
