@@ -6,57 +6,27 @@ whole-stage codegen; nothing here runs Python per row.
 
 from __future__ import annotations
 
-import datetime as _dt
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Python's str.strip() removes Unicode White_Space plus the four ASCII
-# separators 0x1c-0x1f; Java's (?U)\s covers the former only.
-_WS = r"[\s\x1c-\x1f]"
-_STRIP = rf"(?U)^{_WS}+|{_WS}+$"
-
-# ISO date forms accepted by Python 3.12 datetime.fromisoformat (date part,
-# optional separator + time + offset). Week dates (2024-W01-1) are not covered.
-_HH = r"([01]\d|2[0-3])"
-_MM = r"[0-5]\d"
-_TIME = rf"{_HH}(:{_MM}(:{_MM}([.,]\d+)?)?|{_MM}({_MM}([.,]\d+)?)?)?"
-_TZ = rf"(Z|[+-]{_HH}(:{_MM}(:{_MM})?|{_MM}({_MM})?)?)?"
-_DATE_PART = r"^(\d{4}-\d{2}-\d{2}|\d{8})"
-_ISO_OK = rf"(?s){_DATE_PART}(.{_TIME}{_TZ})?$"
 
-# The common forms -- a date, optionally 'T' or ' ' + HH:MM[:SS[.ffffff]] and
-# Z or +-HH:MM -- on which Python and this expression agree exactly (checked
-# on generated strings): handled in the JVM. Anything else non-empty goes to
-# Python's own datetime.fromisoformat, whose lenient corner cases (week
-# dates, fractions after the hour, offsets with seconds, ...) vary by version.
+# The common ISO forms: a date, optionally 'T' or ' ' + HH:MM[:SS[.ffffff]] and
+# Z or +-HH:MM. The general forms below are only tried on other texts.
 _FAST_ISO = (r"^(\d{4}-\d{2}-\d{2}|\d{8})([T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?"
              r"(Z|[+-]([01]\d|2[0-3]):[0-5]\d)?)?$")
+_DATE_PART = r"^(\d{4}-\d{2}-\d{2}|\d{8})"
 
 
-def _fromisoformat_dates(s: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(s), index=s.index, dtype=object)
-    mask = s.notna()
-
-    def one(v):
-        try:
-            return _dt.datetime.fromisoformat(v).date()
-        except ValueError:
-            return None
-
-    if mask.any():
-        out[mask] = s[mask].map(one)
-    return out
+def _time_of_day(fraction: str, end: str = "") -> str:
+    """HH, HH:MM, HH:MM:SS, HHMM or HHMMSS, each with a fraction or ``end``."""
+    f, mm = f"({fraction}|{end})", r"[0-5]\d"
+    return rf"([01]\d|2[0-3])({f}|:{mm}({f}|:{mm}{f})|{mm}({f}|{mm}{f}))"
 
 
-# Executors need not have this package installed: the function is shipped by
-# value (it only uses datetime and pandas there).
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-python_iso_date = F.pandas_udf(_fromisoformat_dates, T.DateType())
+# What Python's datetime.fromisoformat takes as a time. In front of an offset it
+# overlooks an empty fraction and one character behind a complete field.
+_TIME = _time_of_day(r"[.,]\d+")
+_GENERAL_TIME = (rf"^(?s:{_TIME}|" + _time_of_day(r"[.,](\d{0,5}|\d{6,}[^\d]?)", r"[^\d]?")
+                 + rf"(Z|[+-]{_TIME}))$")
 
 
 def _c(c) -> Column:
@@ -88,27 +58,26 @@ def _python_digit_class() -> str:
 
 
 DIGITS = _python_digit_class()
+_ASCII = r"^[\x00-\x7F]*$"
 
 
 def strip_ws(c) -> Column:
-    """Strip leading/trailing Unicode whitespace (Python ``str.strip``).
-
-    The regex only runs when the first or last character is whitespace
-    (a set lookup), which is rare in real extracts."""
-    x = _c(c)
-    edge = F.substring(x, 1, 1).isin(WHITESPACE) | F.substring(x, -1, 1).isin(WHITESPACE)
-    return F.when(edge, F.regexp_replace(x, _STRIP, "")).otherwise(x)
+    """Strip leading/trailing Unicode whitespace (Python ``str.strip``)."""
+    return F.trim(_c(c), F.lit("".join(WHITESPACE)))
 
 
 def na_from_stripped(t) -> Column:
     """P2 second half: an already-stripped value; '' or 'na' (any case) -> NULL."""
     t = _c(t)
-    return F.when(F.lower(t).isin("", "na"), F.lit(None).cast("string")).otherwise(t)
+    missing = (F.length(t) <= 2) & F.lower(t).isin("", "na")
+    return F.when(missing, F.lit(None).cast("string")).otherwise(t)
 
 
 def postal_digits(t) -> Column:
     """P3 first half: keep the characters Python's isdigit() accepts."""
-    return F.regexp_replace(_c(t), f"[^{DIGITS}]", "")
+    t = _c(t)
+    plain = t.rlike(_ASCII)  # one small character class for nearly all values
+    return F.when(plain, F.regexp_replace(t, "[^0-9]", "")).otherwise(F.regexp_replace(t, f"[^{DIGITS}]", ""))
 
 
 def postal_from_digits(d) -> Column:
@@ -122,27 +91,47 @@ def postal_from_digits(d) -> Column:
 def ssic_from_na(t) -> Column:
     """P4 on an NA-normalised value (all characters isdigit() -> pad to 5)."""
     t = _c(t)
-    return F.when(t.rlike(f"^[{DIGITS}]+$") & (F.length(t) < 5), F.lpad(t, 5, "0")).otherwise(t)
+    return F.when((F.length(t) < 5) & t.rlike(f"^[{DIGITS}]+$"), F.lpad(t, 5, "0")).otherwise(t)
+
+
+def _general_iso_date(t) -> Column:
+    """P5 on the rarer forms: ISO week dates, any separator, lenient times."""
+    n = F.length(t)
+    at = lambda i: F.substring(t, i + 1, 1)
+    digits = lambda i: F.length(F.regexp_extract(F.substr(t, F.lit(i + 1)), "^[0-9]*", 0))
+    basic_week = digits(7) + 7
+    # where the date part ends
+    end = (
+        F.when(n == 7, 7)
+        .when((at(4) == "-") & (at(5) != "W"), 10)
+        .when(at(4) == "-", F.when((n > 8) & (at(8) == "-"),
+                                   F.when(n == 9, 0).when((n > 10) & at(10).rlike("[0-9]"), 8).otherwise(10))
+              .otherwise(8))
+        .when(at(4) == "W", F.when(basic_week < 9, basic_week).when(basic_week % 2 == 0, 7).otherwise(8))
+        .otherwise(8)
+    )
+    day, time = F.substr(t, F.lit(1), end), F.substr(t, end + 2)
+    timed = (n <= end) | time.rlike(_GENERAL_TIME)
+    compact = F.replace(day, F.lit("-"), F.lit(""))
+    calendar = F.when(day.rlike(_DATE_PART + "$") & ~day.startswith("0000"), F.try_to_date(compact, "yyyyMMdd"))
+    year, week = F.substring(compact, 1, 4).cast("int"), F.substring(compact, 6, 2).cast("int")
+    weekday = F.coalesce(F.nullif(F.substring(compact, 8, 1), F.lit("")), F.lit("1")).cast("int")
+    fourth = F.make_date(year, F.lit(1), F.lit(4))  # always in week 1
+    monday = F.date_add(fourth, week * 7 - 7 - F.weekday(fourth))
+    in_year = (week >= 1) & weekday.between(1, 7) & (F.year(F.date_add(monday, 3)) == year) & (year > 0)
+    found = F.date_add(monday, weekday - 1)
+    is_week = day.rlike(r"^(\d{4}-W\d{2}(-\d)?|\d{4}W\d{2}\d?)$")
+    week_date = F.when(is_week & in_year & (F.year(found) <= 9999), found)
+    return F.when((n >= 7) & timed, F.coalesce(calendar, week_date))
 
 
 def date_from_na(t) -> Column:
-    """P5 on an NA-normalised value: common ISO forms in the JVM; the rest
-    (rare) through a vectorised call of Python's datetime.fromisoformat, which
-    receives NULL for every row the JVM path handles."""
-    t = _c(t)
-    fast = t.rlike(_FAST_ISO)
-    digits = F.regexp_replace(F.regexp_extract(t, _DATE_PART, 1), "-", "")
-    jvm = F.when(~t.startswith("0000"), F.try_to_date(digits, "yyyyMMdd"))
-    return F.when(fast, jvm).when(t.isNotNull(), python_iso_date(F.when(~fast, t)))
-
-
-def date_from_na_jvm(t) -> Column:
-    """P5 approximated with one regex (no Python): equals fromisoformat except
-    for week dates and lenient corner forms."""
+    """P5 on an NA-normalised value: the common ISO forms by one pattern, the
+    other forms that Python's datetime.fromisoformat accepts by rule."""
     t = _c(t)
-    ok = t.rlike(_ISO_OK) & ~t.startswith("0000")
-    digits = F.regexp_replace(F.regexp_extract(t, _DATE_PART, 1), "-", "")
-    return F.when(ok, F.try_to_date(digits, "yyyyMMdd"))
+    digits = F.replace(F.substr(t, F.lit(1), F.when(F.substring(t, 5, 1) == "-", 10).otherwise(8)), F.lit("-"), F.lit(""))
+    common = F.when(~t.startswith("0000"), F.try_to_date(digits, "yyyyMMdd"))
+    return F.when(t.rlike(_FAST_ISO), common).otherwise(_general_iso_date(t))
 
 
 # Single-expression forms (handy in ad-hoc selects). Bulk cleaning uses the
@@ -154,7 +143,7 @@ def normalize_na(c) -> Column:
 
 
 def normalize_postal(c) -> Column:
-    """Keep ASCII digits; left-pad to 6; anything not 6 digits -> NULL."""
+    """Keep what Python's isdigit() accepts; left-pad to 6; anything not 6 long -> NULL."""
     return postal_from_digits(postal_digits(normalize_na(c)))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.cleaning import (
     date_from_na,
-    date_from_na_jvm,
     na_from_stripped,
     postal_digits,
     postal_from_digits,
@@ -30,13 +29,9 @@ def keep_columns(df: DataFrame, columns=KEEP_COLUMNS, carry=()) -> DataFrame:
     return df.select(*cols, *[F.col(c) for c in carry if c in present])
 
 
-def clean_record(df: DataFrame, carry=(), exact_dates: bool = True) -> DataFrame:
+def clean_record(df: DataFrame, carry=()) -> DataFrame:
     """P10: contract projection with per-column normalisation (P2..P5).
 
-    ``exact_dates=False`` parses dates with one JVM regex only (no Python
-    worker), which differs from ``fromisoformat`` on ISO week dates and a
-    few lenient forms.
-
     Staged projections (strip -> NA -> digits -> final) so every regex is
     evaluated once per value; Catalyst keeps the stages apart because they
     reference non-trivial expressions more than once.
@@ -55,7 +50,7 @@ def clean_record(df: DataFrame, carry=(), exact_dates: bool = True) -> DataFrame
         elif c in SSIC_COLUMNS:
             e = ssic_from_na(c)
         elif c in DATE_COLUMNS:
-            e = date_from_na(c) if exact_dates else date_from_na_jvm(c)
+            e = date_from_na(c)
         else:
             e = F.col(c)
         out.append(e.alias(c))

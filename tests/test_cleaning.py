@@ -140,14 +140,15 @@ def test_postal_and_code_follow_python_isdigit(spark):
     assert _apply(spark, normalize_ssic, vals) == [code(v) for v in vals]
 
 
-def test_jvm_only_dates_and_output_rename(spark):
+def test_week_dates_and_output_rename(spark):
     from bizlens.operators.clean import rename_output
 
     df = spark.createDataFrame([("u", "2024-02-29", "2024-W01-1")],
                                "uen string, registration_incorporation_date string, uen_issue_date string")
-    exact = clean_record(df).first()
-    jvm = clean_record(df, exact_dates=False).first()
-    assert exact.registration_incorporation_date == jvm.registration_incorporation_date == dt.date(2024, 2, 29)
-    assert exact.uen_issue_date == dt.date(2024, 1, 1) and jvm.uen_issue_date is None  # week date: Python only
+    out = clean_record(df)
+    row = out.first()
+    assert row.registration_incorporation_date == dt.date(2024, 2, 29)
+    assert row.uen_issue_date == dt.date(2024, 1, 1)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     renamed = rename_output(spark.createDataFrame([(202401, 3)], "m int, cnt long"), ["month", "count"])
     assert renamed.columns == ["month", "count"]
