@@ -27,15 +27,24 @@ ALNUM = bytes(
 #: The ASCII white space: space and U+0009 to U+000D.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Entries a per-worker cache may hold before it starts anew.
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows per Arrow batch: rows hold whole texts, so Spark's 10,000 would be large.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's Python files to the executors once per session."""
+    """Make the session fit for text rows: smaller Arrow batches than Spark's default
+    (a setting of the user's own stays), and the package's Python files sent to the
+    executors once."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size, "10000") == "10000":
+        spark.conf.set(size, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_bizlens_shipped", False):
         return
