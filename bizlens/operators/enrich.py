@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.cleaning import ssic_norm, yyyymm
 from bizlens.operators.dedup import latest_by_key
-from bizlens.plans.joins import DEFAULT_MAX_BROADCAST_BYTES, fits_broadcast
+from bizlens.plans.joins import fits_broadcast
 from bizlens.schema import ENRICHED_COLUMNS, KEEP_COLUMNS
 
 GEO_COLUMNS = ["latitude", "longitude", "subzone_id", "planning_area_id"]
@@ -23,8 +23,7 @@ def latest_postal_geo(postal_geo: DataFrame) -> DataFrame:
     ).select("postal_code", *GEO_COLUMNS)
 
 
-def left_join_on_key(fact: DataFrame, dim: DataFrame, key: str, max_broadcast_bytes=None,
-                     size_bound: DataFrame | None = None) -> DataFrame:
+def left_join_on_key(fact: DataFrame, dim: DataFrame, key: str, max_broadcast_bytes=None) -> DataFrame:
     """Left equi-join where NULL keys never match.
 
     Small dim: broadcast hash join, no shuffle of the fact. Large dim:
@@ -35,11 +34,6 @@ def left_join_on_key(fact: DataFrame, dim: DataFrame, key: str, max_broadcast_by
     """
     extra = [c for c in dim.columns if c != key]
     small = fits_broadcast(dim, max_broadcast_bytes)
-    if not small and size_bound is not None:
-        # The caller vouches that the dim has at most one (similarly wide) row
-        # per row of ``size_bound``; allow a 4x margin on that bound.
-        limit = max_broadcast_bytes or DEFAULT_MAX_BROADCAST_BYTES
-        small = fits_broadcast(size_bound, limit // 4)
     if small:
         return fact.join(F.broadcast(dim), key, "left")
     salted = F.coalesce(
@@ -52,8 +46,7 @@ def left_join_on_key(fact: DataFrame, dim: DataFrame, key: str, max_broadcast_by
 
 
 def enrich_geo(raw: DataFrame, postal_geo: DataFrame, drop_undated: bool = False,
-               max_broadcast_bytes=None, codes_cleaned: bool = False,
-               geo_size_bound: DataFrame | None = None) -> DataFrame:
+               max_broadcast_bytes=None, codes_cleaned: bool = False) -> DataFrame:
     """J1 + P8 + P9: raw fact LEFT JOIN latest postal geo -> enriched fact (18 cols).
 
     ``drop_undated`` reproduces the month-by-month rebuild, which loses rows
@@ -67,7 +60,7 @@ def enrich_geo(raw: DataFrame, postal_geo: DataFrame, drop_undated: bool = False
         return F.nullif(F.col(c), F.lit("")) if codes_cleaned else ssic_norm(c)
 
     geo = latest_postal_geo(postal_geo)
-    j = left_join_on_key(raw.select(*KEEP_COLUMNS), geo, "postal_code", max_broadcast_bytes, geo_size_bound)
+    j = left_join_on_key(raw.select(*KEEP_COLUMNS), geo, "postal_code", max_broadcast_bytes)
     return j.select(
         *[F.col(c) for c in KEEP_COLUMNS[:10]],
         norm("primary_ssic_code").alias("primary_ssic_norm"),
@@ -94,7 +87,7 @@ def remaining_postals(raw: DataFrame, postal_geo: DataFrame) -> DataFrame:
     return new_postals(raw, postal_geo).agg(F.count(F.lit(1)).alias("remaining_postals"))
 
 
-def postal_worklist(raw: DataFrame, postal_geo: DataFrame, limit: int | None = 5000) -> DataFrame:
-    """L4: a deterministic batch of the worklist (smallest codes first)."""
+def postal_worklist(raw: DataFrame, postal_geo: DataFrame, limit: int | None) -> DataFrame:
+    """L4: a deterministic batch of the worklist (smallest codes first; None: all)."""
     w = new_postals(raw, postal_geo).orderBy("postal_code")
     return w.limit(limit) if limit else w

@@ -8,7 +8,7 @@ question in one pass over the fact:
 2. the fact is pre-aggregated to (date, month, area, code) counts -- a
    partial aggregate, so hot keys fold map-side;
 3. each aggregate row is fanned out to the match keys it can satisfy
-   (area or '*', each code prefix of length 2..5 or '*'), each slot to the
+   (its area or any, each code prefix of length 2..5 or any), each slot to the
    months its range covers (at most 121 after the 10-year clamp) and to its
    area/prefix keys;
 4. one equi-join on (month, area_key, prefix_key) + the residual date test
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from bizlens.functions import questions as QF
 from bizlens.operators.filters import date_between
-from bizlens.plans.joins import checked_broadcast
 from bizlens.schema import DETAIL_COLUMNS
 
 _WITH_SSIC = [QF.COMPARE_AREAS, QF.HOTTEST_AREAS_FOR_INDUSTRY, QF.EXPLAIN_CHANGE, QF.NEW_ENTITIES_TREND]
 _WITH_AREA = [QF.TOP_INDUSTRIES_IN_AREA, QF.EXPLAIN_CHANGE, QF.NEW_ENTITIES_TREND]
 
 TOPK_BUCKETS = 64
+# Slot keys that may be broadcast: rows of some 200 bytes, 64 MB at most.
+MAX_BROADCAST_KEYS = 300_000
 
 SLOT_COLUMNS = ["intent", "start_date", "end_date", "ssic", "area", "area_1", "area_2", "uen"]
 
@@ -88,7 +89,16 @@ def parse_questions(questions: DataFrame, as_of: _dt.date, id_col: str = "questi
 
 
 def _slot_id():
-    return F.xxhash64(*[F.col(c) for c in SLOT_COLUMNS])
+    """The slots as one text that tells every combination apart (NULLs too)."""
+    return F.to_json(F.struct(*SLOT_COLUMNS))
+
+
+# Match keys begin with what they are, so that no value can read as "any".
+_ANY = "any"
+
+
+def _key(value):
+    return F.concat(F.lit("="), value)
 
 
 def _fact_keys(fact: DataFrame) -> DataFrame:
@@ -100,10 +110,10 @@ def _fact_keys(fact: DataFrame) -> DataFrame:
     )
     norm = F.col("primary_ssic_norm")
     prefixes = F.array(
-        F.lit("*"),
-        *[F.when(F.length(norm) >= n, F.substring(norm, 1, n)) for n in range(2, 6)],
+        F.lit(_ANY),
+        *[F.when(F.length(norm) >= n, _key(F.substring(norm, 1, n))) for n in range(2, 6)],
     )
-    areas = F.array(F.lit("*"), F.col("planning_area_id"))
+    areas = F.array(F.lit(_ANY), _key(F.col("planning_area_id")))
     return (
         agg.select("*", F.explode(F.array_compact(areas)).alias("area_key"))
         .select("*", F.explode(F.array_compact(prefixes)).alias("prefix_key"))
@@ -115,9 +125,10 @@ def _slot_keys(slots: DataFrame) -> DataFrame:
     """Each non-lookup slot fanned out to (month, area_key, prefix_key)."""
     s = slots.filter(F.col("start_date").isNotNull())
     area_keys = (
-        F.when(F.col("intent") == QF.COMPARE_AREAS, F.array_distinct(F.array("area_1", "area_2")))
-        .when(F.col("intent").isin(_WITH_AREA), F.array(F.coalesce("area", F.lit("*"))))
-        .otherwise(F.array(F.lit("*")))
+        F.when(F.col("intent") == QF.COMPARE_AREAS,
+               F.array_distinct(F.array(_key(F.col("area_1")), _key(F.col("area_2")))))
+        .when(F.col("intent").isin(_WITH_AREA), F.array(F.coalesce(_key(F.col("area")), F.lit(_ANY))))
+        .otherwise(F.array(F.lit(_ANY)))
     )
     first = F.trunc("start_date", "month")
     last = F.trunc("end_date", "month")
@@ -126,7 +137,7 @@ def _slot_keys(slots: DataFrame) -> DataFrame:
     return s.select(
         "slot_id", "intent", "start_date", "end_date",
         F.explode(area_keys).alias("area_key"),
-        F.coalesce("ssic", F.lit("*")).alias("prefix_key"),
+        F.coalesce(_key(F.col("ssic")), F.lit(_ANY)).alias("prefix_key"),
         F.explode(months).alias("month"),
     )
 
@@ -142,12 +153,17 @@ def answer_rows(parsed: DataFrame, fact: DataFrame) -> DataFrame:
     keys = _slot_keys(slots)
     # Only the months some question asks about are read: the overall range of
     # all slots (two scalars) becomes a partition filter on the fact.
-    lo, hi = slots.agg(F.min("start_date"), F.max("end_date")).first()
+    # The third scalar counts what the slots fan out to (two areas at most), which no
+    # size estimate of the plan would show: it decides on the broadcast.
+    months = F.months_between(F.trunc("end_date", "month"), F.trunc("start_date", "month")) + 1
+    lo, hi, fan_out = slots.agg(F.min("start_date"), F.max("end_date"), F.sum(2 * months)).first()
     if lo is None:
         fact = fact.filter(F.lit(False))  # no dated question: nothing to read
     else:
         fact = fact.filter(date_between(lo, hi))
-    hits = _fact_keys(fact).join(checked_broadcast(keys), ["month", "area_key", "prefix_key"]).filter(
+    if fan_out is not None and fan_out <= MAX_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    hits = _fact_keys(fact).join(keys, ["month", "area_key", "prefix_key"]).filter(
         F.col("registration_incorporation_date").between(F.col("start_date"), F.col("end_date"))
     )
     # One aggregate for every intent: grouping keys that an intent does not

@@ -16,6 +16,7 @@ from bizlens.operators import analytics as A
 from bizlens.operators import filters as FL
 from bizlens.operators import questions as QN
 from bizlens.schema import DETAIL_COLUMNS, SEARCH_COLUMNS
+from bizlens.session import cut_lineage
 
 
 def _ssic_cond(ssic, ssic_category, categories):
@@ -87,7 +88,7 @@ def categories_table(tax: DataFrame) -> DataFrame:
 
 def chat(questions: DataFrame, fact: DataFrame, as_of: _dt.date) -> dict[str, DataFrame]:
     """Q8/Q9: intent + slots, answer rows, entity rows and one narrative per question."""
-    parsed = QN.parse_questions(questions, as_of)
+    parsed = cut_lineage(QN.parse_questions(questions, as_of))  # parsed once for all outputs
     answers = QN.answer_rows(parsed, fact)
     lookups = QN.entity_lookups(parsed, fact)
     return {"parsed": parsed, "answers": answers, "lookups": lookups,

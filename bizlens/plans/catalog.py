@@ -276,9 +276,9 @@ def a7_remaining_postals(spark, sf):
     return EN.remaining_postals(W.raw_fact(spark, sf), tpch.postal_geo(spark, sf))
 
 
-@register("L4_postal_worklist", O.with_fact() + _NEW_POSTALS + " ORDER BY postal_code LIMIT 5000")
+@register("L4_postal_worklist", O.with_fact() + _NEW_POSTALS + " ORDER BY postal_code LIMIT 3")
 def l4_postal_worklist(spark, sf):
-    return EN.postal_worklist(W.raw_fact(spark, sf), tpch.postal_geo(spark, sf), limit=5000)
+    return EN.postal_worklist(W.raw_fact(spark, sf), tpch.postal_geo(spark, sf), limit=3)
 
 
 @register("A8_distinct_months", O.with_fact() + f"""
@@ -503,6 +503,12 @@ def n15_narratives(spark, sf):
     return QN.narratives(parsed, QN.answer_rows(parsed, fact), QN.entity_lookups(parsed, fact))
 
 
+@register("Q9_chat", _Q_BASE + O.answers_sql() + O.lookups_sql(DETAIL_COLUMNS, _DETAIL_ORDER_NL)
+          + O.NARRATIVES + " SELECT * FROM nar")
+def q9_chat(spark, sf):
+    return API.chat(tpch.questions(spark, sf), W.warehouse_fact(spark, sf), AS_OF)["narratives"]
+
+
 # ---------------------------------------------------------------- spatial ---
 
 
@@ -640,8 +646,10 @@ def t1_clean_registry(spark, sf):
 
 
 def _write_pages(spark, sf) -> str:
-    """Land the extract as API pages: 100 order keys per page, one resource
-    per 10,000 keys; every 7th page (offset pattern) failed."""
+    """Land the extract as API pages: 100 order keys per page, one resource per
+    10,000 keys. Every 7th page and each resource's first and last page failed (every
+    other of them does not say so but lacks ``success``), and each resource ends
+    with a successful page without records."""
     root = shared_dir(spark, "api-pages")
     ext = tpch.registry_extract(spark, sf, with_order=True)
     key = F.expr("CAST(substring(uen, 1, length(uen) - 1) AS BIGINT)")
@@ -653,19 +661,23 @@ def _write_pages(spark, sf) -> str:
         F.collect_list(F.struct(F.col("_ord").alias("o"), F.col("r"))),
         lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0),
     )
+    failed = (F.col("page") % 7 == 3) | (F.col("page") % 100).isin(0, 99)
     pages = (
         ext.select((key / 100).cast("long").alias("page"), "_ord", rec.alias("r"))
         .groupBy("page").agg(F.transform(in_order, lambda x: x["r"]).alias("records"))
         .select(
             F.concat(F.lit("res"), (F.col("page") / 100).cast("long").cast("string")).alias("resource_id"),
             ((F.col("page") % 100) * 1000).alias("offset"),
-            (F.col("page") % 7 != 3).alias("success"),
-            F.when(F.col("page") % 7 == 3, F.lit("HTTP 503")).alias("error"),
+            F.when(failed & (F.col("page") % 2 == 1), F.lit(None).cast("boolean")).otherwise(~failed).alias("success"),
+            F.when(failed, F.lit("HTTP 503")).alias("error"),
             "records",
         )
     )
     totals = pages.groupBy("resource_id").agg(F.sum(F.size("records")).alias("total"))
-    pages.join(totals, "resource_id").select(
+    closing = totals.select(
+        "resource_id", F.lit(100_000).cast("long").alias("offset"), F.lit(True).alias("success"),
+        F.lit(None).cast("string").alias("error"), F.slice(F.array(F.create_map(F.lit(""), F.lit(""))), 1, 0).alias("records"))
+    pages.unionByName(closing).join(totals, "resource_id").select(
         "resource_id", "offset", "success", "error",
         F.struct(F.col("total").cast("long").alias("total"), "records").alias("result"),
     ).write.json(root)
@@ -673,21 +685,23 @@ def _write_pages(spark, sf) -> str:
 
 
 _PAGE_KEY = "CAST(substring(uen, 1, length(uen) - 1) AS BIGINT) // 100"
+_PAGE_FAILED = f"(({_PAGE_KEY}) % 7 = 3 OR ({_PAGE_KEY}) % 100 IN (0, 99))"
 
 
-@register("S2_read_api_pages", "WITH " + O.EXTRACT + f" SELECT {O.clean_cols()} FROM ext WHERE ({_PAGE_KEY}) % 7 <> 3")
+@register("S2_read_api_pages", "WITH " + O.EXTRACT + f" SELECT {O.clean_cols()} FROM ext WHERE NOT {_PAGE_FAILED}")
 def s2_read_api_pages(spark, sf):
     pages = AP.read_pages(spark, _write_pages(spark, sf))
     return _clean_record(AP.page_records(pages))
 
 
 @register("S2_page_audit", "WITH " + O.EXTRACT + f"""
-, pg AS (SELECT ({_PAGE_KEY}) AS page, count(*) AS n FROM ext GROUP BY 1)
+, pg AS (SELECT ({_PAGE_KEY}) AS page, NOT {_PAGE_FAILED} AS good, count(*) AS n FROM ext GROUP BY 1, 2)
 SELECT 'res' || CAST(page // 100 AS VARCHAR) AS resource_id,
        CAST(sum(n) AS BIGINT) AS total_rows,
-       CAST(sum(CASE WHEN page % 7 <> 3 THEN n ELSE 0 END) AS BIGINT) AS fetched_rows,
-       min((page % 100) * 1000) AS first_offset, max((page % 100) * 1000) AS last_offset,
-       CAST(count(*) FILTER (WHERE page % 7 = 3) AS BIGINT) AS failed_pages
+       CAST(coalesce(sum(n) FILTER (WHERE good), 0) AS BIGINT) AS fetched_rows,
+       min((page % 100) * 1000) FILTER (WHERE good) AS first_offset,
+       max((page % 100) * 1000) FILTER (WHERE good) AS last_offset,
+       CAST(count(*) FILTER (WHERE NOT good) AS BIGINT) AS failed_pages
 FROM pg GROUP BY 1""")
 def s2_page_audit(spark, sf):
     return AP.page_audit(AP.read_pages(spark, _write_pages(spark, sf)))
@@ -841,7 +855,7 @@ def t2_load_warehouse_from_csv(spark, sf):
 
 @register("T1_clean_registry_from_pages", _DEDUP_SQL.replace(
     "FROM cln WHERE uen IS NOT NULL AND uen <> ''",
-    f"FROM cln WHERE uen IS NOT NULL AND uen <> '' AND ({_PAGE_KEY}) % 7 <> 3") + " SELECT * FROM dd")
+    f"FROM cln WHERE uen IS NOT NULL AND uen <> '' AND NOT {_PAGE_FAILED}") + " SELECT * FROM dd")
 def t1_clean_registry_from_pages(spark, sf):
     records = AP.page_records(AP.read_pages(spark, _write_pages(spark, sf)))
     return PL.clean_registry(records)["clean"]

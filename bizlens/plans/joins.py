@@ -25,7 +25,17 @@ def estimated_bytes(df: DataFrame) -> int:
         return -1
 
 
+def grows_rows(df: DataFrame) -> bool:
+    """Whether the plan explodes rows, which its size estimate does not show."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(name in plan for name in ("Generate ", "Expand ", "MapInArrow", "MapInPandas", "FlatMapGroups"))
+
+
 def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether the estimate is within the bound and can be trusted. Plans that make
+    more rows than they read are left to run-time sizes (AQE)."""
+    if grows_rows(df):
+        return False
     limit = DEFAULT_MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
     size = estimated_bytes(df)
     return 0 <= size <= limit

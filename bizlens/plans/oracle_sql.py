@@ -215,6 +215,8 @@ qs AS (
          || ' for new F&B entities' FROM region r LEFT JOIN region r2 ON r2.r_regionkey - 1 = r.r_regionkey
   UNION ALL SELECT 'region:' || r_regionkey || ':5', 'Why the spike in ' || r_name || ' 2000 to 1998' FROM region
   UNION ALL SELECT 'region:' || r_regionkey || ':6', 'Show uen details for ' || r_name FROM region
+  UNION ALL SELECT 'region:' || r_regionkey || ':7', 'compare * vs ' || r_name || ' last 3650 days' FROM region
+  UNION ALL SELECT 'region:' || r_regionkey || ':8', 'compare ' || r_name || ' vs ' || r_name || ' from 1970 to 2000' FROM region
   UNION ALL SELECT 'nation:' || n_nationkey || ':1', 'New entities with ssic 0' || n_nationkey || ' in ' || r_name
          || ' last 6 months' FROM nr
   UNION ALL SELECT 'nation:' || n_nationkey || ':2', 'Top industries for ' || r_name || ' 1999 and 2001' FROM nr

@@ -28,10 +28,8 @@ def clean_extract(spark: SparkSession, sf_dir: str, with_order: bool = False) ->
 
 
 def enriched_fact(spark: SparkSession, sf_dir: str, drop_undated: bool = False) -> DataFrame:
-    # The geo dim has at most one row per supplier (unique nation key), so
-    # the supplier table's size bounds it.
     return enrich_geo(raw_fact(spark, sf_dir), tpch.postal_geo(spark, sf_dir), drop_undated=drop_undated,
-                      codes_cleaned=True, geo_size_bound=tpch.table(spark, sf_dir, "supplier"))
+                      codes_cleaned=True)
 
 
 def ssic_dim(spark: SparkSession, sf_dir: str, pad_codes: bool = True) -> DataFrame:
@@ -79,16 +77,17 @@ def write_fact(df: DataFrame, path: str) -> None:
 
 
 def _source_signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Application, folder, and every source file's name, length and time."""
     sig = [spark.sparkContext.applicationId, sf_dir]
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for name in ("lineitem", "supplier", "nation", "region"):
-            p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-            st = p.getFileSystem(conf).getContentSummary(p)
-            sig.append((name, st.getLength(), st.getFileCount()))
-    except Exception:  # noqa: BLE001 - signature is best effort
-        pass
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in ("lineitem", "supplier", "nation", "region"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            sig.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return tuple(sig)
 
 

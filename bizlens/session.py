@@ -7,7 +7,6 @@ session has none (local tests) do we pick one ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -98,7 +97,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        # Tests / local runs only: nothing configured, so choose our own.
+        # A folder of our own only does where driver and executors are one machine.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="bizlens-ckpt-")
         sc.setCheckpointDir(root)
     elif not sc.getCheckpointDir():
@@ -112,19 +113,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/bizlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def ensure_local_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(local_path(path), exist_ok=True)
-
-
 def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder and continue from the
     written copy (reliable checkpoint: survives executor loss, truncates the

@@ -42,13 +42,15 @@ def page_records(pages: DataFrame, columns=KEEP_COLUMNS) -> DataFrame:
 
 
 def page_audit(pages: DataFrame) -> DataFrame:
-    """Per resource: reported total, rows fetched from successful pages, first
-    and last offset seen, failed pages."""
-    ok = F.col("success")
+    """Per resource: reported total, rows fetched from successful pages, first and
+    last offset of the successful pages that held records, failed pages (a page
+    that does not say it succeeded has failed)."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    held = F.when(ok, F.coalesce(F.size("result.records"), F.lit(0))).otherwise(0)
     return pages.groupBy("resource_id").agg(
         F.max(F.when(ok, F.col("result.total"))).alias("total_rows"),
-        F.sum(F.when(ok, F.size("result.records")).otherwise(0)).cast("long").alias("fetched_rows"),
-        F.min("offset").alias("first_offset"),
-        F.max("offset").alias("last_offset"),
+        F.sum(F.greatest(held, F.lit(0))).cast("long").alias("fetched_rows"),
+        F.min(F.when(held > 0, F.col("offset"))).alias("first_offset"),
+        F.max(F.when(held > 0, F.col("offset"))).alias("last_offset"),
         F.count_if(~ok).cast("long").alias("failed_pages"),
     )

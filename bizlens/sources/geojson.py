@@ -2,18 +2,15 @@
 
 A FeatureCollection becomes one row per feature with its file position
 (``seq``), its properties as a string map and the geometry kept as JSON text.
-Files on shared storage are read by Spark (multiLine JSON); a file only the
-driver can see (the fixture shipped with the package) is parsed there.
+Files are read by Spark, values typed as in the file, wherever the file is.
 """
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PACKAGED_ZONES = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "data", "zones.geojson")
 
@@ -31,40 +28,36 @@ PLANNING_KEYS = {
 SUBZONE_MATCH_KEYS = ["SUBZONE_C", "subzone_id", "id"]
 PLANNING_MATCH_KEYS = ["PLN_AREA_C", "planning_area_id", "id"]
 
-FEATURES = T.StructType([
-    T.StructField("seq", T.LongType()),
-    T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("geometry", T.StringType()),
-    # keys whose JSON value is falsy in Python terms (0, false, "", [], {}, null)
-    T.StructField("falsy_keys", T.ArrayType(T.StringType())),
-])
+_FILE_SCHEMA = "features array<struct<properties: map<string, variant>, geometry: variant>>"
 
-_FILE_SCHEMA = "features array<struct<properties: map<string,string>, geometry: string>>"
 
-
-def _prop_text(v):
-    """Property values as the reference's loader renders them (``str(value)``)."""
-    return None if v is None else str(v)
+def _text(v) -> "F.Column":
+    """A property as the reference's loader renders it: text as it is, others as
+    Python's ``str`` writes them; null stays null."""
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull() | (kind == "VOID"), F.lit(None).cast("string"))
+        .when(kind == "STRING", F.variant_get(v, "$", "string"))
+        .when(kind == "BOOLEAN", F.initcap(F.to_json(v)))
+        .otherwise(F.to_json(v))
+    )
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, properties map<string,string>, geometry JSON text) per feature."""
-    if os.path.isfile(path):
-        with open(path, encoding="utf-8") as fh:
-            data = json.load(fh)
-        rows = [
-            (i, {k: _prop_text(v) for k, v in (f.get("properties") or {}).items()},
-             json.dumps(f.get("geometry"), ensure_ascii=False) if f.get("geometry") is not None else None,
-             [k for k, v in (f.get("properties") or {}).items() if not v])
-            for i, f in enumerate(data.get("features", []))
-        ]
-        return spark.createDataFrame(rows, FEATURES)
-    # Spark's JSON reader turns numbers into text, so a numeric 0 cannot be told
-    # from "0" here: only empty values count as falsy on this path.
+    """(seq, properties map<string,string>, geometry JSON text, falsy_keys) per
+    feature; ``falsy_keys`` are those whose JSON value is null, false, zero or empty."""
+    path = f"file://{path}" if path == PACKAGED_ZONES else path  # shipped with the package
     raw = spark.read.schema(_FILE_SCHEMA).option("multiLine", True).json(path)
-    return raw.select(F.posexplode("features").alias("seq", "f")).select(
-        F.col("seq").cast("long"), "f.properties", "f.geometry",
-        F.map_keys(F.map_filter("f.properties", lambda k, v: v.isNull() | (v == ""))).alias("falsy_keys"),
+    f = raw.select(F.posexplode("features").alias("seq", "f")).select(
+        F.col("seq").cast("long").alias("seq"),
+        F.coalesce("f.properties", F.create_map().cast("map<string,variant>")).alias("p"), "f.geometry",
+    )
+    falsy = F.map_filter("p", lambda k, v: v.isNull() | F.to_json(v).rlike(r'^(null|false|-?0(\.0*)?([eE].*)?|""|\[\]|\{\})$'))
+    return f.select(
+        "seq",
+        F.transform_values("p", lambda k, v: _text(v)).alias("properties"),
+        F.when(F.schema_of_variant("geometry") != "VOID", F.to_json("geometry")).alias("geometry"),
+        F.map_keys(falsy).alias("falsy_keys"),
     )
 
 

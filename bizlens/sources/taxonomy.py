@@ -1,14 +1,11 @@
 """Industry-category taxonomy ({sectors: [...], categories: [...]}).
 
-A shared-storage path is read by Spark (multiLine JSON, explicit schema).
-A file that only the driver can see (the copy shipped in this package) is a
-few KB of configuration and is parsed on the driver into a DataFrame.
-A missing file gives empty sectors and categories.
+Read by Spark (multiLine JSON, explicit schema) from any file system. A missing
+file gives empty sectors and categories.
 """
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,24 +31,15 @@ TAXONOMY = T.StructType(
 
 
 def read_taxonomy(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """One row: (sectors array, categories array)."""
+    """One row: (sectors array, categories array); both empty where there is no file."""
     path = path or PACKAGED
-    if os.path.isfile(path):
-        with open(path, encoding="utf-8") as fh:
-            data = json.load(fh)
-        row = (
-            [(s.get("id"), s.get("label")) for s in data.get("sectors", [])],
-            [
-                (c.get("id"), c.get("label"), c.get("sector"), c.get("keywords"),
-                 [str(x) for x in c.get("ssic", [])], c.get("approx"))
-                for c in data.get("categories", [])
-            ],
-        )
-        return spark.createDataFrame([row], TAXONOMY)
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if local.startswith("/") and not os.path.isfile(local):
-        return spark.createDataFrame([([], [])], TAXONOMY)  # missing file -> empty lists
-    return spark.read.schema(TAXONOMY).option("multiLine", True).json(path)
+    path = f"file://{path}" if path == PACKAGED else path
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return spark.createDataFrame([([], [])], TAXONOMY)
+    found = spark.read.schema(TAXONOMY).option("multiLine", True).json(path)
+    return found.select(*[F.coalesce(c, F.array().cast(TAXONOMY[c].dataType)).alias(c) for c in TAXONOMY.names])
 
 
 def categories(tax: DataFrame) -> DataFrame:

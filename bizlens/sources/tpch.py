@@ -232,6 +232,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(" for new F&B entities")),
         F.concat(F.lit("Why the spike in "), name, F.lit(" 2000 to 1998")),
         F.concat(F.lit("Show uen details for "), name),
+        F.concat(F.lit("compare * vs "), name, F.lit(" last 3650 days")),
+        F.concat(F.lit("compare "), name, F.lit(" vs "), name, F.lit(" from 1970 to 2000")),
     ]))
     n = table(spark, sf_dir, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
     nk = F.col("n_nationkey").cast("string")

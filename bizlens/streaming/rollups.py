@@ -5,14 +5,12 @@ views summed by the storage engine. Here a file stream over the enriched
 fact's folder feeds either
 
 * ``stream_rollup`` (ST1..ST4): a stateful ``groupBy(keys).count()``. In
-  ``update`` mode (default) a micro-batch emits only the keys whose counts
-  changed, and only the month partitions those keys fall in are rewritten
-  (dynamic partition overwrite of the merged month: untouched keys kept,
-  changed keys replaced by their new totals); it pays off when the rollup is
-  much larger than what one batch changes. In ``complete`` mode every batch
-  rewrites the whole rollup (one write; best while the rollup is small). Both are idempotent, so a replayed batch
-  is harmless. State is bounded by months x keys, so no watermark is
-  needed; or
+  ``update`` mode (default) a micro-batch emits the new totals of the keys whose
+  counts changed and writes them to ``batch_id=<n>``; readers take each key's newest
+  total. Nothing written before is touched, so a batch that dies half-way loses
+  nothing, and its replay overwrites its own folder alone. In ``complete`` mode every
+  batch rewrites the whole rollup (best while the rollup is small). State is bounded
+  by months x keys, so no watermark is needed; or
 * ``stream_rollup_deltas`` (ST5): a stateless per-batch rollup written to
   ``batch_id=<n>`` (overwrite, so replays are exactly-once), merged on read
   with R5 (``sum_rollups``).
@@ -29,42 +27,16 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from bizlens.operators.rollups import ROLLUP_KEYS, rollup, sum_rollups
-from bizlens.session import cut_lineage
 
 
 def _source(spark: SparkSession, path: str, schema: T.StructType, max_files: int) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def _merge_touched_months(batch: DataFrame, out_path: str, name: str) -> None:
-    """Fold an update-mode batch (new totals of changed keys) into the rollup
-    table, rewriting only the month partitions the batch touches."""
-    spark = batch.sparkSession
-    keys = ROLLUP_KEYS[name]
-    changed = batch.persist()  # used twice below; recomputable if evicted
-    if _exists(spark, out_path):
-        months = changed.select("registration_month").distinct()
-        old = spark.read.parquet(out_path).join(F.broadcast(months), "registration_month", "left_semi")
-        ck = changed.select(*[F.col(k).alias(f"_c_{k}") for k in keys])
-        same = [old[k].eqNullSafe(ck[f"_c_{k}"]) for k in keys]
-        cond = same[0]
-        for c in same[1:]:
-            cond = cond & c
-        kept = old.join(ck, cond, "left_anti")
-        # The merge reads the partitions it will overwrite, so it is written
-        # from a reliable checkpoint, not from its own lineage.
-        merged = cut_lineage(kept.select(*keys, "new_entities").unionByName(changed.select(*keys, "new_entities")))
-    else:
-        merged = changed.select(*keys, "new_entities")
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("registration_month").parquet(out_path))
-    changed.unpersist()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def newest_totals(written: DataFrame, keys: list[str]) -> DataFrame:
+    """The rollup from totals written per batch: of each key the newest one."""
+    newest = written.groupBy(*keys).agg(F.max(F.struct("batch_id", "new_entities")).alias("t"))
+    return newest.select(*keys, F.col("t.new_entities").alias("new_entities"))
 
 
 def stream_rollup(spark: SparkSession, source_path: str, schema: T.StructType, name: str,
@@ -72,12 +44,11 @@ def stream_rollup(spark: SparkSession, source_path: str, schema: T.StructType, n
                   mode: str = "update") -> DataFrame:
     """ST1..ST4: run the stream to the end of the available files; return the rollup."""
     agg = rollup(_source(spark, source_path, schema, max_files_per_trigger), name)
+    keys = ROLLUP_KEYS[name]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(out_path)
-        else:
-            _merge_touched_months(batch, out_path, name)
+        to = out_path if mode == "complete" else f"{out_path}/batch_id={batch_id}"
+        batch.select(*keys, "new_entities").write.mode("overwrite").parquet(to)
 
     q = (
         agg.writeStream.outputMode(mode)
@@ -87,7 +58,8 @@ def stream_rollup(spark: SparkSession, source_path: str, schema: T.StructType, n
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(out_path).select(*ROLLUP_KEYS[name], "new_entities")
+    written = spark.read.parquet(out_path)
+    return written.select(*keys, "new_entities") if mode == "complete" else newest_totals(written, keys)
 
 
 def stream_rollup_deltas(spark: SparkSession, source_path: str, schema: T.StructType, name: str,

@@ -79,17 +79,29 @@ def test_api_pages(spark, tmp_path):
 def test_spark_reader_paths_for_uris(spark, tmp_path):
     """Shared-storage URIs go through Spark's JSON reader and give the same rows."""
     from bizlens.sources.geojson import PACKAGED_ZONES, SUBZONE_MATCH_KEYS, match_layer, read_features, subzone_dim
-    from bizlens.sources.taxonomy import PACKAGED, categories, read_taxonomy
-
-    local = sorted(tuple(r) for r in subzone_dim(read_features(spark, PACKAGED_ZONES)).drop("geometry").collect())
-    via_spark = read_features(spark, "file:" + PACKAGED_ZONES)
-    assert sorted(tuple(r) for r in subzone_dim(via_spark).drop("geometry").collect()) == local
-    assert sorted(r.feature_id for r in match_layer(via_spark, SUBZONE_MATCH_KEYS).collect()) == sorted(
-        r.feature_id for r in match_layer(read_features(spark, PACKAGED_ZONES), SUBZONE_MATCH_KEYS).collect())
-    a = sorted((r.id, tuple(r.ssic)) for r in categories(read_taxonomy(spark, PACKAGED)).collect())
-    b = sorted((r.id, tuple(r.ssic)) for r in categories(read_taxonomy(spark, "file:" + PACKAGED)).collect())
-    assert a == b and len(a) == 11
-    assert categories(read_taxonomy(spark, str(tmp_path / "missing.json"))).count() == 0
+    from bizlens.sources.taxonomy import PACKAGED, categories, read_taxonomy, sectors
+
+    shipped = read_features(spark, PACKAGED_ZONES)
+    assert shipped.count() == subzone_dim(shipped).count() > match_layer(shipped, SUBZONE_MATCH_KEYS).count() > 0
+    assert categories(read_taxonomy(spark, PACKAGED)).count() == categories(read_taxonomy(spark)).count() > 0
+    missing = read_taxonomy(spark, str(tmp_path / "none.json"))
+    assert categories(missing).count() == sectors(missing).count() == 0
+    # typed ids: a numeric 0 names a dimension row but no layer to match; blank and missing ids
+    _write(tmp_path / "z.geojson", json.dumps({"type": "FeatureCollection", "features": [
+        {"properties": {"SUBZONE_C": 0, "SUBZONE_N": "Zero"}, "geometry": {"type": "Point", "coordinates": [1.5, 2]}},
+        {"properties": {"SUBZONE_C": "0", "n": 1.5, "b": True}, "geometry": None},
+        {"properties": {"SUBZONE_C": "", "SUBZONE_N": "Blank"}, "geometry": None},
+        {"properties": None, "geometry": None},
+        {"properties": {"id": 7}, "geometry": None},
+    ]}))
+    feats = read_features(spark, str(tmp_path / "z.geojson"))
+    rows = feats.orderBy("seq").collect()
+    assert rows[0].properties == {"SUBZONE_C": "0", "SUBZONE_N": "Zero"} and rows[0].falsy_keys == ["SUBZONE_C"]
+    assert json.loads(rows[0].geometry) == {"type": "Point", "coordinates": [1.5, 2]} and rows[1].geometry is None
+    assert rows[1].properties == {"SUBZONE_C": "0", "n": "1.5", "b": "True"} and rows[1].falsy_keys == []
+    assert [r.subzone_id for r in subzone_dim(feats).orderBy("seq").collect()] == ["0", "0", "Blank", "unknown", "7"]
+    assert [(r.seq, r.feature_id) for r in match_layer(feats, SUBZONE_MATCH_KEYS).orderBy("seq").collect()] == [
+        (1, "0"), (4, "7")]
 
 
 AWKWARD = [
