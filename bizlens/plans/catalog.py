@@ -725,6 +725,48 @@ def s6_write_clean_csv(spark, sf):
         *KEEP_COLUMNS)
 
 
+def _write_boundaries(spark, sf) -> str:
+    """Land the nations as a boundary layer: numeric ids (the first is 0), one
+    feature without an id and one with a blank id, and one without geometry."""
+    na = tpch.nation_areas(spark, sf)
+    key = F.col("n_nationkey")
+    props = F.concat_ws(
+        ",",
+        F.when(key == 2, F.lit('"SUBZONE_C":""')).when(key != 1, F.concat(F.lit('"SUBZONE_C":'), key.cast("string"))),
+        F.concat(F.lit('"SUBZONE_N":"'), F.col("n_name"), F.lit('"')),
+        F.concat(F.lit('"PLN_AREA_C":"'), F.col("r_name"), F.lit('"')),
+    )
+    point = F.concat(F.lit('{"type":"Point","coordinates":['), key.cast("string"), F.lit(",1.5]}"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{'), props, F.lit('},"geometry":'),
+                       F.when(key == 3, F.lit("null")).otherwise(point), F.lit("}"))
+    # 25 nations, whatever the scale
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), feature.alias("f")))), lambda x: x["f"])
+    root = shared_dir(spark, "boundaries")
+    na.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}"))
+           .alias("value")).coalesce(1).write.text(root)
+    return root
+
+
+@register("S3_subzone_dim", """
+SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS seq,
+       CASE WHEN n_nationkey IN (1, 2) THEN n_name ELSE CAST(n_nationkey AS VARCHAR) END AS subzone_id,
+       n_name AS name, r_name AS planning_area_id, n_nationkey <> 3 AS has_geometry
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def s3_subzone_dim(spark, sf):
+    dim = GJ.subzone_dim(GJ.read_features(spark, _write_boundaries(spark, sf)))
+    return dim.withColumn("has_geometry", F.col("geometry").isNotNull()).drop("geometry")
+
+
+@register("S3_match_layer", """
+SELECT seq, CAST(n_nationkey AS VARCHAR) AS feature_id FROM (
+  SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS seq
+  FROM nation JOIN region ON n_regionkey = r_regionkey)
+WHERE n_nationkey NOT IN (0, 1, 2)""")
+def s3_match_layer(spark, sf):
+    feats = GJ.read_features(spark, _write_boundaries(spark, sf))
+    return GJ.match_layer(feats, GJ.SUBZONE_MATCH_KEYS).drop("geometry")
+
+
 # -------------------------------------------------------------- streaming ---
 
 

@@ -5,7 +5,7 @@ T2 load_warehouse   S1 -> P10 + P6 + P7 -> J1 + P8 + P9 -> S7
 T3 geo_enrich       J4 worklist -> coordinates -> J5 x 2 -> S9 -> S8
 T4 rebuild_enriched J1 again with the merged geo dim (optionally dropping undated rows)
 
-Each step is a lazy DataFrame; only the writers run jobs.
+Each step is a lazy DataFrame; jobs are run by the writers and where lineage is cut (T3).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from bizlens.operators.enrich import enrich_geo, postal_worklist
 from bizlens.operators.profile import per_file_report, profile_distinct, profile_nulls
 from bizlens.operators.spatial import point_in_polygon
 from bizlens.schema import KEEP_COLUMNS
+from bizlens.session import cut_lineage
 
 
 def clean_registry(extract: DataFrame, order_col: str = "_ord") -> dict[str, DataFrame]:
@@ -62,7 +63,8 @@ def geo_enrich(raw: DataFrame, postal_geo: DataFrame, coordinates: DataFrame, su
     coords = coordinates.groupBy("postal_code").agg(
         F.min_by(F.struct("latitude", "longitude"), F.struct("latitude", "longitude")).alias("c")
     ).select("postal_code", "c.latitude", "c.longitude")
-    located = work.join(coords, "postal_code", "left")
+    # Used by both layers and by the rows without coordinates: computed once.
+    located = cut_lineage(work.join(coords, "postal_code", "left"))
     found = located.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     sub = point_in_polygon(found, subzone_layer, x_col="longitude", y_col="latitude", key_col="postal_code")
     plan = point_in_polygon(found, planning_layer, x_col="longitude", y_col="latitude", key_col="postal_code")
