@@ -87,6 +87,14 @@ def test_answers_and_narratives(spark):
     assert nar[0] == "Trend generated."
 
 
+def test_star_is_an_area_name_like_any_other(spark):
+    qs = ["compare * vs EAST last 12 months", "compare EAST vs EAST last 12 months"]
+    df = spark.createDataFrame(list(enumerate(qs)), "question_id long, question string")
+    got = sorted((r.question_id, r.planning_area_id, r["count"])
+                 for r in answer_rows(parse_questions(df, AS_OF), _fact(spark)).collect())
+    assert got == [(0, "EAST", 2), (1, "EAST", 2)]
+
+
 def test_question_patterns_match_python_regex_engine(spark):
     """The extraction patterns give the same groups in Spark (Java regex) and
     in Python's ``regex`` module on generated questions."""

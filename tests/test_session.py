@@ -25,6 +25,13 @@ def test_checked_broadcast_bounds(spark, tmp_path):
     assert not fits_broadcast(unknown)
 
 
+def test_exploded_rows_are_not_trusted(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "small"))
+    grown = spark.read.parquet(str(tmp_path / "small")).selectExpr("id", "explode(sequence(1, 100000)) AS n")
+    assert not fits_broadcast(grown)
+    assert "broadcast" not in _plan(checked_broadcast(grown)).lower()
+
+
 def test_tune_only_touches_defaults(spark):
     key = "spark.sql.codegen.hugeMethodLimit"
     old = spark.conf.get(key)
