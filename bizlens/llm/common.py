@@ -165,3 +165,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps: it does so once the driver
+    has collected the frames that used them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ similarity reaches ``percent`` / 100. Sets are ordered rarest shingle first, so
 linked sets share a shingle within their first ``n - ceil(t n) + 1`` (prefix filter);
 only these are joined. Pairs must also pass the length filter, the positional filter
 (what can still follow the shared shingle) and the suffix filter (an upper bound
-of the overlap from how many shingles lie in each of 16 sections of the hash range).
+of the overlap from how many shingles lie in each of 32 sections of the hash range).
 What is left is verified once per pair on the whole sets.
 
 Rarity comes from counts over all documents in a fixed number of hash buckets:
@@ -37,6 +37,7 @@ from bizlens.llm.common import (
     WORD_HASHES,
     as_bytes,
     map_batches,
+    release,
     shingle_set,
     stored,
     table,
@@ -46,9 +47,13 @@ from bizlens.llm.sums import summed_vectors
 
 #: Buckets in which shingles are counted: 16 MB, whatever the corpus.
 BUCKETS = 1 << 21
-SECTIONS = 16
+SECTIONS = 32
+#: A section's count is held in 16 bits; at this one it is taken as unbounded.
+_FULL = 32767
 #: Cross-component pairs per posting up to which they are verified at once.
 PAIRS_PER_POSTING = 4
+#: Links per posting that a round with hubs must find to be followed by another.
+HUB_YIELD = 0.01
 
 
 def text_set(text: bytes | None, size: int) -> np.ndarray:
@@ -96,14 +101,15 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n = len(found)
                 rarity = counts[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 first = np.lexsort((found, rarity))[: prefix_length(n, percent) if n else 0]
-                sections = np.bincount((found >> np.uint64(60)).astype(np.int64), minlength=SECTIONS)
+                sections = np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=SECTIONS)
+                sections = np.minimum(sections, _FULL).astype(np.int16)
                 for column, value in zip(out, (n, digest(found), found[first].view(np.int64), sections)):
                     column.append(value)
             return [batch.column(0), batch.column(1), out[0], pa.array(out[1], pa.binary()), out[2], out[3]]
 
         return step
 
-    schema = "key long, doc_id long, n int, digest binary, prefix array<long>, sections array<int>"
+    schema = "key long, doc_id long, n int, digest binary, prefix array<long>, sections array<short>"
     return map_batches(_keyed(docs), schema, make)
 
 
@@ -112,8 +118,9 @@ def _may_link(percent: int) -> Column:
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     total = x("n") + y("n")
     rest = 1 + F.least(x("n") - x("pos") - 1, y("n") - y("pos") - 1)
-    shared = F.zip_with(x("sections"), y("sections"), lambda p, q: F.least(p, q))
-    overlap = F.aggregate(shared, F.lit(0), lambda a, v: a + v)
+    least_n = F.least(x("n"), y("n"))
+    least = lambda p, q: F.when((p == _FULL) & (q == _FULL), least_n).otherwise(F.least(p, q).cast("int"))
+    overlap = F.aggregate(F.zip_with(x("sections"), y("sections"), least), F.lit(0), lambda a, v: a + v)
     need = percent * total  # overlap >= t / (1 + t) * total
     return (
         (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n")))
@@ -170,13 +177,18 @@ def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -
     postings = exploded.withColumn("m", F.count("*").over(by_shingle)).where("m > 1").drop("m")
     traits = classes.select("key", "digest", "sections")
     postings = stored(postings.join(traits, "key"), "postings")
+    release(classes.sparkSession)
     total = postings.count()
     if not total:
         return None
-    links = None
-    current = postings.withColumn("component", F.col("key"))
-    merged, rounds, tested = None, 0, None
+    links = tested = merged = None
+    labels, rounds = None, 0
     while True:
+        current = postings.withColumn("component", F.col("key"))
+        if labels is not None:
+            current = postings.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
+                "component", F.coalesce("component", "key")
+            )
         left = current.groupBy("h", "component").agg(F.count("*").alias("c"))
         left = left.groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         open_ = stored(left.where("s * s > q").select("h", "s", "q"), "open")
@@ -184,7 +196,7 @@ def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -
         if not across:
             return links
         current = current.join(open_.select("h"), "h", "left_semi")
-        last = across <= PAIRS_PER_POSTING * total or merged == 0
+        last = across <= PAIRS_PER_POSTING * total or (merged is not None and merged < HUB_YIELD * total)
         pairs = _all_pairs(current, percent) if last else _hub_pairs(current, percent, rounds)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -195,16 +207,32 @@ def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -
             return links
         merged = found.count()
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if merged:
-            labels = stored(components(links), "labels")
-            current = (
-                postings.join(labels, postings["key"] == labels["node"], "left")
-                .drop("node")
-                .withColumn("component", F.coalesce("component", "key"))
-            )
+        labels = _labels(found, labels)
         rounds += 1
 
 
+def _labels(found: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, component after a hub round: nodes with one label are in one component
+    (not always the other way round; that is left to the end). A hub takes the least
+    label around it, its members take the hub's, and labels stand for one another."""
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if labels is not None:  # links between labels
+        name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
+        both = both.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
+            F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")
+        )
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = stored(least, "least")
+    via = both.join(least.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m2"))
+    step = least.join(via, "a").select("a", F.least("m", "m2").alias("component"))
+    if labels is None:
+        return stored(step.withColumnRenamed("a", "node"), "labels")
+    moved = labels.join(step.select(F.col("a").alias("component"), F.col("component").alias("c")), "component", "left")
+    moved = moved.select("node", F.coalesce("c", "component").alias("component"))
+    new = step.select(F.col("a").alias("node"), "component").join(labels.select("node"), "node", "left_anti")
+    return stored(moved.unionByName(new), "labels")
+
+
 def _pair(x: Column | str = "x", y: Column | str = "y") -> list[Column]:
     """a, b, da, db of a pair of postings, the smaller key first."""
     first = F.col("x.key") < F.col("y.key")
@@ -217,7 +245,12 @@ def _pair(x: Column | str = "x", y: Column | str = "y") -> list[Column]:
 
 def _hub_pairs(postings: DataFrame, percent: int, round_: int) -> DataFrame:
     """Each class with the one hub that it shares most prefix shingles with."""
+    # first the class with most shared shingles, which an original has of its copies
     order = F.xxhash64("key", F.lit(round_)).alias("o")
+    if not round_:
+        degree = postings.groupBy("key").agg((-F.count("*")).alias("d"))
+        postings = postings.join(degree, "key")
+        order = F.struct("d", order).alias("o")
     traits = F.struct(order, "key", "n", "pos", "digest", "sections", "component")
     hubs = postings.groupBy("h").agg(F.min(traits).alias("y"))
     shared = (
@@ -294,6 +327,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         F.max(F.col("key") == F.col("kept_key")).alias("stays"), F.count("*").alias("c")
     )
     kept = stored(kept.where("stays").select(F.col("key").alias(name), "c"), "kept")
+    release(docs.sparkSession)
     keyed = docs.withColumn(name, _key())
     once = keyed.join(kept.where("c = 1").select(name), name, "left_semi")
     again = kept.where("c > 1").select(name)
