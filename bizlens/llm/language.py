@@ -147,11 +147,11 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
 
         return step
 
-    sample = (
-        train.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-        .orderBy("h", "doc_id", "lang", "text")
-        .limit(sample_rows)
-    )
+    # the lowest hashes are found without the texts, so that no task gathers those
+    train = train.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    highest = train.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    sample = train.where(F.col("h") <= (0 if highest is None else highest)).limit(sample_rows)
+    sample = sample.orderBy("h", "doc_id", "lang", "text")
     rows = map_batches(
         sample.select("lang", "text"), "lang string, places array<int>, counts array<float>", make
     ).toArrow()
