@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import as_bytes, map_batches, mixed, stored, table
+from bizlens.llm.common import as_bytes, map_batches, mixed, release, stored, table
 
 LENGTH, SAMPLE, BLOCK = 200, 64, 8
 #: Texts are sampled in overlapping pieces of this many starts (place fits 24 bits).
@@ -187,14 +187,14 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     first_rows = anchors(docs).withColumnRenamed("g", "c").withColumn("weight", F.lit(1))
     alike, further = _settled(first_rows, run)
     covered = [alike.select("key", F.col("first").alias("a"), (F.col("first") + F.col("more") + LENGTH).alias("b"))]
-    _free(spark)
+    release(spark)
 
     # the bytes around each run that is left, once
     need = further.groupBy("key").agg(F.collect_list(F.struct("first", "more", "ahead", "weight")).alias("need"))
     texts = _packed(docs).select("key", "packed").join(need, "key")
     fields = "key long, first int, more short, ahead short, weight int, bytes binary"
     around = stored(map_batches(texts, fields, lambda: _around), "around")
-    _free(spark)
+    release(spark)
 
     spot = ["key", "first", "place", "low", "high"]
     blocks = map_batches(around, "key long, first int, place int, low short, high short, weight int, c long, u long", lambda: _blocks)
@@ -203,7 +203,7 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
         "key", (F.col("place") - F.col(high)).alias("a"), (F.col("place") - F.col(low) + LENGTH).alias("b")
     ]
     covered.append(alike.select(*to_bytes("low", "high")))
-    _free(spark)
+    release(spark)
 
     left = further.groupBy("key", "first").agg(F.collect_list(F.struct("low", "high", "weight")).alias("blocks"))
     held = around.select("key", "first", "ahead", "bytes").join(left, ["key", "first"])
@@ -213,20 +213,11 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     again = strings.groupBy("c").agg(F.sum("weight").alias("w")).where("w > 1").select("c")
     last = stored(strings.select("key", "a", "c").join(again, "c", "left_semi").select("key", "a"), "strings")
     covered.append(last.select("key", "a", (F.col("a") + LENGTH).alias("b")))
-    _free(spark)
+    release(spark)
     every = covered[0].unionByName(covered[1]).unionByName(covered[2])
     return every.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished rounds (it does so once the
-    driver has collected the frames that used them)."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _around(batch):
     """The bytes of each run that is left, from its first start on."""
     out: list = [[], [], [], [], [], []]
@@ -240,42 +231,55 @@ def _around(batch):
     return [*out[:5], pa.array(out[5], pa.binary())]
 
 
+def _joined(column: pa.Array) -> tuple[Ranks, np.ndarray]:
+    """Ranks of all the byte strings of a column, and where each begins. (A rank does
+    not depend on where its bytes are.)"""
+    strings = as_bytes(column)
+    ends = np.cumsum([len(x) for x in strings], dtype=np.int64)
+    return Ranks(b"".join(strings)), np.concatenate([[0], ends])[:-1].astype(np.int64)
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that each give ``counts`` results: the results' rows, and their number
+    within the row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _numbers(batch, *columns: int) -> list[np.ndarray]:
+    return [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in columns]
+
+
 def _blocks(batch):
     """Blocks of starts by their distance to the anchor, aligned so that equal strings
     fall into equal blocks: ranks of what all strings of a block have in common (c)
     and of all that the block's part of the run covers (u)."""
-    out: list = [[], [], [], [], [], [], [], []]
-    columns = [batch.column(k).to_pylist() for k in range(5)]
-    for key, first, more, ahead, weight, text in zip(*columns, as_bytes(batch.column(5))):
-        ranks = Ranks(text)
-        near, far = ahead - more, ahead  # distances of the run's last and first start
-        block = np.arange(near // BLOCK, far // BLOCK + 1)
-        low, high = np.maximum(block * BLOCK, near), np.minimum(block * BLOCK + BLOCK - 1, far)
-        c = _with(ranks.of(ahead - block * BLOCK, ahead - block * BLOCK - BLOCK + 1 + LENGTH), block)
-        u = _with(ranks.of(ahead - high, ahead - low + LENGTH), low * 256 + high)
-        k = len(block)
-        values = (
-            np.full(k, key), np.full(k, first), np.full(k, first + ahead), low, high, np.full(k, weight),
-            c.view(np.int64), u.view(np.int64),
-        )
-        for column, v in zip(out, values):
-            column.append(v)
-    return [np.concatenate(c) if c else [] for c in out]
+    key, first, more, ahead, weight = _numbers(batch, 0, 1, 2, 3, 4)
+    ranks, base = _joined(batch.column(5))
+    near, far = ahead - more, ahead  # distances of the run's last and first start
+    row, number = _spread(far // BLOCK - near // BLOCK + 1)
+    block = (near // BLOCK)[row] + number
+    low = np.maximum(block * BLOCK, near[row])
+    high = np.minimum(block * BLOCK + BLOCK - 1, far[row])
+    place = (base + ahead)[row]
+    c = _with(ranks.of(place - block * BLOCK, place - block * BLOCK - BLOCK + 1 + LENGTH), block)
+    u = _with(ranks.of(place - high, place - low + LENGTH), low * 256 + high)
+    return [key[row], first[row], (first + ahead)[row], low, high, weight[row], c.view(np.int64), u.view(np.int64)]
 
 
 def _strings(batch):
     """Each string of the blocks that are left, with the rank of all its bytes."""
-    out: list = [[], [], [], []]
-    columns = [batch.column(k).to_pylist() for k in (0, 1, 2)]
-    for key, first, ahead, text, blocks in zip(*columns, as_bytes(batch.column(3)), batch.column(4).to_pylist()):
-        ranks = Ranks(text)
-        for b in blocks:
-            start = ahead - np.arange(b["low"], b["high"] + 1)
-            c = ranks.of(start, start + LENGTH)
-            values = (np.full(len(start), key), first + start, np.full(len(start), b["weight"]), c.view(np.int64))
-            for column, v in zip(out, values):
-                column.append(v)
-    return [np.concatenate(c) if c else [] for c in out]
+    key, first, ahead = _numbers(batch, 0, 1, 2)
+    ranks, base = _joined(batch.column(3))
+    blocks = batch.column(4)
+    row = np.repeat(np.arange(len(key)), np.asarray(blocks.value_lengths()))
+    low, high, weight = (
+        blocks.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)
+    )
+    block, number = _spread(high - low + 1)
+    row, start = row[block], ahead[row][block] - low[block] - number
+    c = ranks.of(base[row] + start, base[row] + start + LENGTH)
+    return [key[row], first[row] + start, weight[block], c.view(np.int64)]
 
 
 RESULT = (
