@@ -21,6 +21,8 @@ shuffled; a text with many copies is looked up once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,10 @@ PATTERNS = {
     "name": r"(?<!\p{L})(?:" + _ADDRESSES + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\p{L})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity holds one of these characters or strings; looking for them is cheap,
+#: so the pattern itself only runs over texts that have one.
+_MARKS = "[0-9@=:]"
+_STRINGS = ["AKIA", *(f"gh{c}_" for c in "pousr"), *_ADDRESSES.split("|")]
 
 #: Given names by gender and script, and syllables for surnames (own choice).
 GIVEN = {
@@ -246,6 +252,10 @@ def distinct_surrogates(units: DataFrame, key: str = KEY) -> DataFrame:
             return done.select("kind", "norm", "drawn")
 
 
+def _any_of(text: Column, strings: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in strings])
+
+
 def _fresh(name: str, taken: list[str]) -> str:
     while name.lower() in {t.lower() for t in taken}:
         name += "_"
@@ -255,14 +265,14 @@ def _fresh(name: str, taken: list[str]) -> str:
 def replace(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced; n_chars, where there is such a
     column, follows the new text. ``count`` names a column for the entities' number."""
-    found_in, hash_, drawn_, number = (
-        _fresh(n, [*docs.columns, count or ""]) for n in ("_found", "_hash", "_drawn", "_n")
+    hash_, drawn_, parts_, number = (
+        _fresh(n, [*docs.columns, count or ""]) for n in ("_hash", "_drawn", "_parts", "_n")
     )
-    pattern = F.lit(PATTERN)
     text = F.col("text")
-    plain = docs.where(~F.coalesce(text.rlike(PATTERN), F.lit(False))).withColumn(number, F.lit(0).cast("long"))
-    held = docs.where(text.rlike(PATTERN))
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    may_hold = F.coalesce(text.rlike(_MARKS) | _any_of(text, _STRINGS), F.lit(False))
+    plain = docs.where(~may_hold).withColumn(number, F.lit(0).cast("long"))
+    held = docs.where(may_hold)
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     digest = F.sha2(text.cast("binary"), 256)
     # one row for each distinct text with entities
     texts = held.select(digest.alias("h"), found.alias("f")).groupBy("h").agg(F.first("f").alias("f"))
@@ -274,22 +284,24 @@ def replace(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFr
     written = rows.withColumn("kind", F.col("u.kind")).withColumn("norm", F.col("u.norm")).join(
         drawn, ["kind", "norm"]
     )
-    written = written.select("h", F.struct("p", "q", _written(F.col("u"), F.col("drawn")).alias("s")).alias("x"))
-    by_text = written.groupBy("h").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    by_text = by_text.select(F.col("h").alias(hash_), F.col("x").alias(drawn_))
-
-    parts = F.split(text, PATTERN, -1)
-    after = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: p)
-    piece = lambda p, i: F.concat(
-        F.array_join(F.transform(F.filter(F.col(drawn_), lambda x: x["p"] == i), lambda x: x["s"]), ""), p
-    )
-    new_text = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(after, piece), ""))
+    written = written.select("h", "p", F.struct("q", _written(F.col("u"), F.col("drawn")).alias("s")).alias("x"))
+    # an entity's units in order, then a text's entities in order
+    one = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]), "")
+    whole = written.groupBy("h", "p").agg(one.alias("s"))
+    by_text = whole.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("p", "s"))).alias("x"))
+    by_text = by_text.select(F.col("h").alias(hash_), F.transform("x", lambda x: x["s"]).alias(drawn_))
+
+    parts = F.col(parts_)
+    after = F.slice(parts, F.lit(2), F.size(parts))
+    told = F.array_join(F.zip_with(F.col(drawn_), after, lambda d, p: F.concat(d, p)), "")
+    new_text = F.concat(F.get(parts, F.lit(0)), F.coalesce(told, F.lit("")))
     changed = (
         held.withColumn(hash_, digest)
-        .join(by_text, hash_)
+        .join(by_text, hash_, "left")
+        .withColumn(parts_, F.when(F.col(drawn_).isNull(), F.array(text)).otherwise(F.split(text, PATTERN, -1)))
         .withColumn(number, (F.size(parts) - 1).cast("long"))
         .withColumn("text", new_text)
-        .drop(hash_, drawn_)
+        .drop(hash_, drawn_, parts_)
     )
     if "n_chars" in docs.columns:
         kept = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
