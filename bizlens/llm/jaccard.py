@@ -134,7 +134,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     wanted = pairs.select(F.col("a").alias("key"), F.col("da").alias("digest")).unionByName(
         pairs.select(F.col("b").alias("key"), F.col("db").alias("digest"))
     ).distinct()
-    held = texts.join(wanted, "key").select("key", "digest", "text")
+    # one plan at every size: no broadcast that only small inputs could have
+    held = texts.join(wanted.hint("merge"), "key").select("key", "digest", "text")
     side = lambda k, d: held.select(F.col("key").alias(k), F.col("digest").alias(d), F.col("text").alias(f"t{k}"))
     both = pairs.join(side("a", "da"), ["a", "da"]).join(side("b", "db"), ["b", "db"])
 
