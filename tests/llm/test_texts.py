@@ -58,6 +58,29 @@ def test_lines_against_brute_force(spark):
         assert (r.doc_id, r.text, [(s["start"], s["end"]) for s in r.removed]) == (i, "\n".join(kept), spans)
 
 
+def test_lines_without_spaces_and_passages_of_short_lines(spark):
+    han, thai, wide = "今天天气很好我们一起去公园散步", "วันนี้อากาศดีมากเราไปเดินเล่น", "x" * lines.MIN_CHARS
+    verse = [f"verse {k} of the song" for k in range(12)]  # 60 words, five to a line
+    words = [f"item{k}" for k in range(60)]
+    rows = [
+        (1, "\n".join([han, thai, wide, "你好", *verse, "a long line that is only in the first text"])),
+        (2, "\n".join([wide, "你好", thai, "other words stand here", *verse[:5], "", *verse[5:], "and there", han])),
+        (3, "\n".join(words)), (4, "\n".join(["before", *words, "behind"])), (5, "\n".join(verse[:9])),
+        (6, "\n".join(verse[:9])), (7, "\n".join(["again"] * 120)), (8, "\n".join([han] * 3)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lines.dedup(docs).collect()}
+    for i, text in rows:
+        left = "".join(c for k, c in enumerate(text) if not any(s["start"] <= k < s["end"] for s in got[i].removed))
+        assert left.replace("\n", "") == got[i].text.replace("\n", "")
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
+    assert got[2].text == "你好\nother words stand here\nand there"
+    assert got[4].text == "before\nbehind"
+    assert got[5].text == rows[4][1] and got[6].text == rows[5][1]  # 45 words: below RUN_WORDS
+    assert got[7].text == "\n".join(["again"] * lines.RUN_WORDS)  # the first passage stays whole
+    assert got[8].text == ""
+
+
 def test_decontamination_in_blocks(spark):
     rng = random.Random(6)
     items = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 30)))) for i in range(30)]
