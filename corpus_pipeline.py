@@ -37,7 +37,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, and the text they decode to."""
-    return bpe.encoded_and_decoded(docs)
+    return bpe.decode(bpe.encode(docs))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -95,6 +95,20 @@ def test_pipeline_against_plain_python(spark):
         assert got[i].n_tokens == coder.encode(texts[i])[1]
 
 
+def test_pipeline_yields_ids_and_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    coder = bpe.coder(bpe.tokenizer_path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in pii.replace(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        assert (bytes(got[i].ids), got[i].n_tokens) == coder.encode(text)
+        assert got[i].decoded == coder.decode(bytes(got[i].ids))
+
+
 def test_pipeline_import_errors_are_not_hidden():
     import corpus_pipeline
 
