@@ -13,7 +13,8 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Each round is two small aggregations; a node's neighbours are only ever folded
     to their minimum, never collected, so a node of many links is no large group.
-    The rounds end when nothing changes, after about log(longest path) of them."""
+    The rounds end when nothing changes, after about log(longest path) of them; it is
+    an error if they still change after ``max_rounds``."""
     edges = links.select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).where("u <> v").distinct()
@@ -32,6 +33,8 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         if _same(edges, after):
             break
         edges = after
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return (
         edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

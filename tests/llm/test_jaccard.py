@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from bizlens.llm import jaccard
 from bizlens.llm.components import components as linked
 
@@ -48,3 +50,10 @@ def test_long_chain(spark):
     links = spark.range(64).selectExpr("id + 1 AS a", "id AS b")
     got = {r.node: r.component for r in linked(links).collect()}
     assert got == dict.fromkeys(range(65), 0)
+
+
+def test_components_that_still_change_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        linked(path, max_rounds=1)
+    assert {r.component for r in linked(path).collect()} == {0}
