@@ -7,8 +7,10 @@ most of them zero. A temperature, fitted on sample rows left out of training,
 calibrates the probabilities.
 
 Document frequencies cover every document that may be learned from. The
-classifier is fitted on a sample of ``sample_rows`` of them (lowest hash of
-doc_id), a bounded number of sparse vectors on the driver.
+classifier knows every language that occurs in them and is fitted on the rows of
+lowest hash of doc_id in each language: an equal share of ``sample_rows``, but
+``LEAST_ROWS`` at least, or all it has. That is a number of sparse vectors on the
+driver that grows with the languages only.
 
 Defined cases: null text and text without a letter give ``und`` with score 0, as
 does everything when there is nothing to learn from; rows without lang are not
@@ -19,7 +21,7 @@ predicted one by one; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bizlens.llm.common import as_text, map_batches, mixed, ship, table
@@ -28,6 +30,8 @@ from bizlens.llm.sums import summed_vectors
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 3000
+#: Rows of each language that a sample has room for, however many languages there are.
+LEAST_ROWS = 20
 UNKNOWN = "und"
 
 
@@ -147,26 +151,35 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
 
         return step
 
-    # the lowest hashes are found without the texts, so that no task gathers those
+    langs = sorted(r[0] for r in train.select("lang").distinct().collect())
+    model = Classifier(langs, idf)
+    if not langs:
+        return model
+    share = max(LEAST_ROWS, sample_rows // len(langs))
+    # the lowest hashes are found without the texts, first in 64 parts of a language
     train = train.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-    highest = train.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample = train.where(F.col("h") <= (0 if highest is None else highest)).limit(sample_rows)
+    lowest = train.select("lang", "h", F.pmod(F.xxhash64("h"), F.lit(64)).alias("part"))
+    for by in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+        lowest = lowest.withColumn("place", place).where(F.col("place") <= share).drop("place")
+    tops = lowest.groupBy("lang").agg(F.max("h").alias("top")).collect()
+    tops = train.sparkSession.createDataFrame([tuple(r) for r in tops], "lang string, top long")
+    sample = train.join(F.broadcast(tops), "lang").where("h <= top")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))  # of rows with one hash
+    sample = sample.withColumn("place", place).where(F.col("place") <= share)
     sample = sample.orderBy("h", "doc_id", "lang", "text")
     rows = map_batches(
         sample.select("lang", "text"), "lang string, places array<int>, counts array<float>", make
     ).toArrow()
-    langs = sorted(set(rows.column(0).to_pylist()))
-    model = Classifier(langs, idf)
-    examples = []
+    examples, aside, seen = [], [], dict.fromkeys(langs, 0)
     for lang, at, counts in zip(*(rows.column(k).to_pylist() for k in range(3))):
         at = np.array(at, np.int64)
         x = np.array(counts) * idf[at]
         norm = np.sqrt(x @ x)
-        examples.append((at, x / norm if norm else x, langs.index(lang)))
-    if not examples:
-        return model
-    aside = examples[::5]  # for the temperature
-    train_ftrl([e for k, e in enumerate(examples) if k % 5] or examples, model)
+        seen[lang] += 1  # each fifth of a language is for the temperature
+        (examples if seen[lang] % 5 else aside).append((at, x / norm if norm else x, langs.index(lang)))
+    train_ftrl(examples, model)
+    aside = aside or examples
     scores = np.array([x @ model.weights[at] + model.bias for at, x, _ in aside])
     return calibrate(model, scores, np.array([y for _, _, y in aside]))
 

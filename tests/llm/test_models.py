@@ -11,6 +11,15 @@ from .helpers import components
 SF = "/root/testdata/sf0.01"
 
 
+def test_rare_language_is_learned(spark):
+    common = [(i, f"the river {i} runs over the hill and the sea" if i % 2 else f"der fluss {i} und das meer sind kalt", "en" if i % 2 else "de") for i in range(8000)]
+    rare = [(10_000 + i, f"το ποτάμι {i} και η θάλασσα είναι κρύα", "el") for i in range(3)]
+    model = language.fit(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"), 300)
+    assert model.langs == ["de", "el", "en"]
+    asked = spark.createDataFrame([(1, "η θάλασσα και το ποτάμι"), (2, "das meer und der fluss"), (3, "the sea and the hill")], "doc_id long, text string")
+    assert [r.lang_pred for r in sorted(language.predict(asked, model).collect())] == ["el", "de", "en"]
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.op7(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
