@@ -1,8 +1,9 @@
-"""Suffix-array dedup: bytes of 200-byte strings that start anywhere else too.
+"""Suffix dedup: bytes of 200-byte strings that start anywhere else too.
 
-A distributed suffix array by prefix doubling gives every position a rank for its
-first k bytes, then for 2k, until ranks are unique or k passes the threshold. Done
-for every byte that needs the whole text many times over in each round, so here
+This replaces prefix doubling, which gives every position a rank for its first k
+bytes, then for 2k, until ranks are unique or k passes the threshold, and for every
+byte needs the whole text many times over in each round (not measured here). No rank
+pairs are sorted and no length is doubled; substrings are grouped by hash instead
 
 * only sampled positions take part at first. The anchor of a ``LENGTH``-byte string is
   its ``SAMPLE``-byte substring of least hash (the first of equals), so equal strings
