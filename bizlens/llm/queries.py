@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from bizlens.llm import bpe, decontaminate, jaccard, language, lines, pii, quality, suffixes, token_counts, urls
+from bizlens.llm import (
+    bpe,
+    decontaminate,
+    jaccard,
+    language,
+    lines,
+    pii,
+    quality,
+    secret_scan,
+    suffixes,
+    token_counts,
+    urls,
+)
 
 QUERIES = {
     "op1_url_filters": urls.op1,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8,
     "op9_pii": pii.op9,
     "op10_bpe": bpe.op10,
+    "op11_secret_scan": secret_scan.op11,
 }
 
 ORACLE = {
@@ -22,4 +35,5 @@ ORACLE = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op3_jaccard_join": jaccard.OP3_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op11_secret_scan": secret_scan.OP11_SQL,
 }
