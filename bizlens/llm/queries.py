@@ -10,6 +10,7 @@ from bizlens.llm import (
     lines,
     pii,
     quality,
+    resample,
     secret_scan,
     suffixes,
     token_counts,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_pii": pii.op9,
     "op10_bpe": bpe.op10,
     "op11_secret_scan": secret_scan.op11,
+    "op12_importance_resampling": resample.op12,
 }
 
 ORACLE = {
@@ -36,4 +38,5 @@ ORACLE = {
     "op3_jaccard_join": jaccard.OP3_SQL,
     "op5_line_dedup": lines.OP5_SQL,
     "op11_secret_scan": secret_scan.OP11_SQL,
+    "op12_importance_resampling": resample.OP12_SQL,
 }
