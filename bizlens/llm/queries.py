@@ -8,6 +8,7 @@ from bizlens.llm import (
     jaccard,
     language,
     lines,
+    manifest,
     pii,
     quality,
     resample,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_bpe": bpe.op10,
     "op11_secret_scan": secret_scan.op11,
     "op12_importance_resampling": resample.op12,
+    "op13_merkle_manifest": manifest.op13,
 }
 
 ORACLE = {
@@ -39,4 +41,5 @@ ORACLE = {
     "op5_line_dedup": lines.OP5_SQL,
     "op11_secret_scan": secret_scan.OP11_SQL,
     "op12_importance_resampling": resample.OP12_SQL,
+    "op13_merkle_manifest": manifest.OP13_SQL,
 }
