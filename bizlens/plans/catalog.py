@@ -615,6 +615,21 @@ def s1_read_registry_csv(spark, sf):
     return _clean_record(raw)
 
 
+@register("S1_read_split_csv", "WITH " + O.EXTRACT + f" SELECT {_S1_CLEAN} FROM ext")
+def s1_read_split_csv(spark, sf):
+    """The same files, the large ones cut into ranges that begin anywhere."""
+    root = _write_registry_csv(spark, sf)
+    size = max(1024, max(n for _, n in RC.list_files(spark, root)) // 3)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        raw = cut_lineage(RC.read_registry_csv(spark, root, split_above=size))
+    finally:
+        spark.conf.set(name, before)
+    return _clean_record(raw)
+
+
 @register("A12_per_file_report", "WITH " + O.EXTRACT + """
 SELECT CASE WHEN contains(registration_incorporation_date, '-') THEN 'batch_a' ELSE 'batch_b' END
        || '/' || substr(registration_incorporation_date, 1, 4) AS resource_id,

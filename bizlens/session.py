@@ -7,8 +7,10 @@ session has none (local tests) do we pick one ourselves.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -85,6 +87,24 @@ def get_session(
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's files to the executors once, for steps that run Python there
+    (the archive is code, no data; Spark's own file server distributes it)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_bizlens_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="bizlens-code-"), "bizlens_code.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith((".py", ".json", ".geojson")):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(out)
+    sc._bizlens_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only if unset."""
     sc = spark.sparkContext

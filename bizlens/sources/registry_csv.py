@@ -21,11 +21,12 @@ import csv
 import io
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizlens.functions.cleaning import normalize_na, normalize_ssic
+from bizlens.sources.split_csv import read_records
 
 CORRUPT = "_corrupt"
 
@@ -34,6 +35,9 @@ CORRUPT = "_corrupt"
 DIALECT = {
     "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
+PARSING = {
+    **DIALECT, "encoding": "UTF-8", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+}
 WRITE_DIALECT = {**DIALECT, "header": "true", "emptyValue": "", "nullValue": ""}
 
 
@@ -43,8 +47,8 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def list_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[str]:
-    """All files under ``root`` ending in ``suffix``, sorted by path (metadata only)."""
+def list_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[tuple[str, int]]:
+    """Path and bytes of all files under ``root`` ending in ``suffix``, by path (metadata only)."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
@@ -55,7 +59,7 @@ def list_files(spark: SparkSession, root: str, suffix: str = ".csv") -> list[str
         name = st.getPath().toString()
         base = st.getPath().getName()
         if name.endswith(suffix) and not base.startswith((".", "_")):
-            out.append(name)
+            out.append((name, st.getLen()))
     return sorted(out)
 
 
@@ -72,54 +76,68 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(next(csv.reader(io.StringIO(line)), []))
 
 
+def _column_names(header: tuple[str, ...]) -> list[str]:
+    """Names to read a header's columns by: of a repeated one the last column counts."""
+    return [
+        name if name not in header[k + 1 :] else f"_repeated_{k}" for k, name in enumerate(header)
+    ]
+
+
+def _order(path: Column, block: Column, row: Column) -> Column:
+    return F.struct(path.alias("f"), block.alias("b"), row.alias("r")).alias("_ord")
+
+
+def _read_whole(spark: SparkSession, paths: list[str], schema: T.StructType, multi_line: bool) -> DataFrame:
+    """Files that one task each reads."""
+    path = F.col("_metadata.file_path")
+    rows = spark.read.schema(schema).options(header=True, multiLine=multi_line, **PARSING).csv(paths)
+    order = _order(path, F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.select(*[F.col(f"`{c}`") for c in schema.names], path.alias("source_file"), order)
+
+
+def _read_split(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """Files that many tasks each read."""
+    records = read_records(spark, paths).where(F.col("text") != "")
+    parsed = F.from_csv("text", schema.simpleString(), {**PARSING, "multiLine": "true"})
+    rows = records.select(parsed.alias("_row"), "source_file", _order(F.col("source_file"), F.col("b"), F.col("r")))
+    return rows.select(*[F.col(f"_row.`{c}`") for c in schema.names], "source_file", "_ord")
+
+
 def read_registry_csv(spark: SparkSession, root: str, multi_line: bool = True,
-                      stop_at_first_error: bool = False) -> DataFrame:
+                      stop_at_first_error: bool = False, split_above: int | None = None) -> DataFrame:
     """Union by name of every CSV under ``root`` with source_file and _ord.
 
-    Quoted fields may hold line breaks, so a file is read whole by one task and
-    files in parallel. ``multi_line=False`` also splits large files, for extracts
-    known to have no line break inside a field.
+    Quoted fields may hold line breaks. A file of more than ``split_above`` bytes (by
+    default what Spark puts into one task) is read by many tasks, see ``split_csv``; a
+    smaller one is parsed by one task. ``multi_line=False`` leaves out the scan for
+    open quotes, for extracts known to have no line break inside a field.
     """
     files = list_files(spark, root)
     if not files:
         raise FileNotFoundError(f"No CSV files found in {root}")
+    if split_above is None:
+        split_above = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+            spark.conf.get("spark.sql.files.maxPartitionBytes")))
     # First line of each file only; concurrent, since object stores have
     # high per-request latency and there may be thousands of files.
     with ThreadPoolExecutor(max_workers=min(32, len(files))) as pool:
-        headers = list(pool.map(lambda f: read_header(spark, f), files))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f, h in zip(files, headers):
-        groups.setdefault(h, []).append(f)
+        headers = list(pool.map(lambda f: read_header(spark, f[0]), files))
+    groups: dict[tuple, list[str]] = {}
+    for (path, size), header in zip(files, headers):
+        groups.setdefault((header, multi_line and size > split_above), []).append(path)
     frames = []
-    for header, paths in groups.items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
-                              + [T.StructField(CORRUPT, T.StringType())])
-        df = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("encoding", "UTF-8")
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .options(**DIALECT)
-            .option("multiLine", multi_line)
-            .csv(paths)
-        )
+    for (header, large), paths in groups.items():
+        names = _column_names(header)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+        df = _read_split(spark, paths, schema) if large else _read_whole(spark, paths, schema, multi_line)
         # The parser prunes columns, and a line is only checked against the
         # columns a query reads; Spark also refuses scans whose only data
         # column is the corrupt-record one. So the exposed copy references
         # every data column (the added branch is never taken).
-        every = F.concat_ws("", *[F.col(f"`{c}`") for c in header]) if header else F.lit("")
+        every = F.concat_ws("", *[F.col(f"`{c}`") for c in names]) if names else F.lit("")
         corrupt = F.coalesce(F.col(CORRUPT), F.when(F.length(every) < 0, every))
-        df = df.select(
-            *[F.col(f"`{c}`") for c in header], corrupt.alias(CORRUPT),
-            F.col("_metadata.file_path").alias("source_file"),
-            F.struct(
-                F.col("_metadata.file_path").alias("f"),
-                F.col("_metadata.file_block_start").alias("b"),
-                F.monotonically_increasing_id().alias("r"),
-            ).alias("_ord"),
-        )
-        frames.append(df)
+        wanted = [F.col(f"`{c}`") for c, name in zip(names, header) if c == name]
+        frames.append(df.select(*wanted, corrupt.alias(CORRUPT), "source_file", "_ord"))
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
