@@ -61,7 +61,10 @@ _FLAGS = "(?diu)"
 _AREA = (rf"{_FLAGS}{_NB}(in|for){_S}+([A-Za-z ]+?)"
          rf"(?:{_S}+last|{_S}+since|{_S}+from|{_S}+to|{_S}+[0-9]{{4}}|$)")
 _COMPARE = rf"{_FLAGS}compare{_S}+(.+?){_S}+vs{_S}+(.+?)(?:{_S}+for|{_S}+last|{_S}+since|{_S}+[0-9]{{4}}|$)"
-_VS = rf"{_FLAGS}(.+?){_S}+vs{_S}+(.+?)(?:{_S}+for|{_S}+last|{_S}+since|{_S}+[0-9]{{4}}|$)"
+# A match that starts inside a line also starts at the line's begin, so only those are tried.
+_VS = rf"{_FLAGS}(?<![^\n])(.+?){_S}+vs{_S}+(.+?)(?:{_S}+for|{_S}+last|{_S}+since|{_S}+[0-9]{{4}}|$)"
+# What both comparisons need, found by position before either is tried.
+_HAS_VS = rf"(?iu){_S}vs{_S}"
 _SSIC = rf"{_FLAGS}{_NB}ssic{_S}*([0-9]{{2,5}})(?:$|[^\p{{L}}\p{{N}}_])"
 _TOKEN = rf"{_W}+"
 
@@ -156,11 +159,11 @@ def extract_area(q) -> Column:
 def extract_compare_areas(q) -> Column:
     """[A, B] from 'compare A vs B ...' (fallback 'A vs B ...'); NULL if none."""
     q = _c(q)
-    m1 = q.rlike(_COMPARE)
-    m2 = q.rlike(_VS)
-    a = F.when(m1, F.regexp_extract(q, _COMPARE, 1)).when(m2, F.regexp_extract(q, _VS, 1))
-    b = F.when(m1, F.regexp_extract(q, _COMPARE, 2)).when(m2, F.regexp_extract(q, _VS, 2))
-    return F.when(a.isNotNull(), F.array(strip_ws(a), strip_ws(b)))
+
+    def sides(pattern):
+        return F.array(*(strip_ws(F.regexp_extract(q, pattern, k)) for k in (1, 2)))
+
+    return F.when(q.rlike(_HAS_VS), F.when(q.rlike(_COMPARE), sides(_COMPARE)).when(q.rlike(_VS), sides(_VS)))
 
 
 def extract_ssic(q) -> Column:

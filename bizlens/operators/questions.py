@@ -1,19 +1,20 @@
 """Question analytics over a table of questions (N1..N16).
 
 ``parse_questions`` turns (question_id, question) rows into intent + slot
-columns with built-in expressions. ``answer_questions`` answers every
-question in one pass over the fact:
-
-1. slots are de-duplicated (many questions share a slot);
-2. the fact is pre-aggregated to (date, month, area, code) counts -- a
-   partial aggregate, so hot keys fold map-side;
-3. each aggregate row is fanned out to the match keys it can satisfy
-   (its area or any, each code prefix of length 2..5 or any), each slot to the
-   months its range covers (at most 121 after the 10-year clamp) and to its
-   area/prefix keys;
-4. one equi-join on (month, area_key, prefix_key) + the residual date test
-   selects exactly the rows each slot's query would count -- no range or
-   nested-loop join;
+columns with built-in expressions. ``answer_rows`` answers every question
+from running totals:
+
+1. slots are de-duplicated (many questions share a slot). What a slot counts is
+   its scope: an area or any with a code prefix or any (series by month), the
+   codes of an area (ranking), the areas of a prefix (ranking);
+2. the days at which some slot needs a total cut the calendar into spans. The fact is
+   aggregated to counts per span of the scopes that are asked for, and of each
+   code or area within a ranking's scope -- partial aggregates, so hot keys fold
+   map-side;
+3. each of these series is summed up over its spans (at most a calendar of them);
+4. a slot joins the totals on (scope, day) only, and a count is the total at
+   the end minus the total before the begin: rows joined do not depend on the
+   length of the range;
 5. per-intent group-bys and top-k per slot produce the answer rows.
 """
 
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from bizlens.functions import questions as QF
 from bizlens.operators.filters import date_between
 from bizlens.schema import DETAIL_COLUMNS
+from bizlens.session import cut_lineage
 
 _WITH_SSIC = [QF.COMPARE_AREAS, QF.HOTTEST_AREAS_FOR_INDUSTRY, QF.EXPLAIN_CHANGE, QF.NEW_ENTITIES_TREND]
 _WITH_AREA = [QF.TOP_INDUSTRIES_IN_AREA, QF.EXPLAIN_CHANGE, QF.NEW_ENTITIES_TREND]
 
 TOPK_BUCKETS = 64
-# Slot keys that may be broadcast: rows of some 200 bytes, 64 MB at most.
-MAX_BROADCAST_KEYS = 300_000
+# Scopes that may be broadcast: rows of some 200 bytes, 64 MB at most.
+MAX_BROADCAST_SCOPES = 300_000
 
 SLOT_COLUMNS = ["intent", "start_date", "end_date", "ssic", "area", "area_1", "area_2", "uen"]
 
@@ -93,55 +95,117 @@ def _slot_id():
     return F.to_json(F.struct(*SLOT_COLUMNS))
 
 
-# Match keys begin with what they are, so that no value can read as "any".
+# Keys begin with what they are, so that no value can read as "any".
 _ANY = "any"
+# What a scope is asked for: a series by month, its codes, its areas.
+_SERIES, _CODES, _AREAS = "series", "codes", "areas"
+_SCOPE = ["kind", "area_key", "prefix_key"]
 
 
 def _key(value):
     return F.concat(F.lit("="), value)
 
 
-def _fact_keys(fact: DataFrame) -> DataFrame:
-    """Pre-aggregated fact fanned out to its match keys."""
-    agg = (
-        fact.filter(F.col("registration_incorporation_date").isNotNull())
-        .groupBy("registration_incorporation_date", "registration_month", "planning_area_id", "primary_ssic_norm")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    norm = F.col("primary_ssic_norm")
-    prefixes = F.array(
-        F.lit(_ANY),
-        *[F.when(F.length(norm) >= n, _key(F.substring(norm, 1, n))) for n in range(2, 6)],
-    )
-    areas = F.array(F.lit(_ANY), _key(F.col("planning_area_id")))
-    return (
-        agg.select("*", F.explode(F.array_compact(areas)).alias("area_key"))
-        .select("*", F.explode(F.array_compact(prefixes)).alias("prefix_key"))
-        .withColumnRenamed("registration_month", "month")
-    )
-
-
-def _slot_keys(slots: DataFrame) -> DataFrame:
-    """Each non-lookup slot fanned out to (month, area_key, prefix_key)."""
+def _scopes(slots: DataFrame) -> DataFrame:
+    """The scope of each dated slot; one per area for a comparison."""
     s = slots.filter(F.col("start_date").isNotNull())
+    intent = F.col("intent")
+    kind = (
+        F.when(intent == QF.TOP_INDUSTRIES_IN_AREA, F.lit(_CODES))
+        .when(intent == QF.HOTTEST_AREAS_FOR_INDUSTRY, F.lit(_AREAS))
+        .otherwise(F.lit(_SERIES))
+    )
     area_keys = (
-        F.when(F.col("intent") == QF.COMPARE_AREAS,
-               F.array_distinct(F.array(_key(F.col("area_1")), _key(F.col("area_2")))))
-        .when(F.col("intent").isin(_WITH_AREA), F.array(F.coalesce(_key(F.col("area")), F.lit(_ANY))))
+        F.when(intent == QF.COMPARE_AREAS, F.array_distinct(F.array(_key(F.col("area_1")), _key(F.col("area_2")))))
+        .when(intent.isin(_WITH_AREA), F.array(F.coalesce(_key(F.col("area")), F.lit(_ANY))))
         .otherwise(F.array(F.lit(_ANY)))
     )
-    first = F.trunc("start_date", "month")
-    last = F.trunc("end_date", "month")
-    months = F.transform(F.sequence(first, last, F.expr("INTERVAL 1 MONTH")),
-                         lambda d: (F.year(d) * 100 + F.month(d)).cast("int"))
     return s.select(
-        "slot_id", "intent", "start_date", "end_date",
+        "slot_id", "intent", "start_date", "end_date", kind.alias("kind"),
         F.explode(area_keys).alias("area_key"),
         F.coalesce(_key(F.col("ssic")), F.lit(_ANY)).alias("prefix_key"),
-        F.explode(months).alias("month"),
     )
 
 
+def _points(scopes: DataFrame) -> DataFrame:
+    """The days whose totals make up a slot's counts, with their signs: the end and the
+    day before the begin, of every month for a series and of the range for a ranking."""
+    whole = F.array(F.struct(
+        F.col("start_date").alias("lo"), F.col("end_date").alias("hi"), F.lit(None).cast("int").alias("month")))
+    months = F.transform(
+        F.sequence(F.trunc("start_date", "month"), F.trunc("end_date", "month"), F.expr("INTERVAL 1 MONTH")),
+        lambda d: F.struct(
+            F.greatest(d, F.col("start_date")).alias("lo"), F.least(F.last_day(d), F.col("end_date")).alias("hi"),
+            (F.year(d) * 100 + F.month(d)).cast("int").alias("month")),
+    )
+    spans = scopes.select("*", F.explode(F.when(F.col("kind") == _SERIES, months).otherwise(whole)).alias("span"))
+    ends = F.array(
+        F.struct(F.col("span.hi").alias("day"), F.lit(1).alias("sign")),
+        F.struct(F.date_sub("span.lo", 1).alias("day"), F.lit(-1).alias("sign")),
+    )
+    return spans.select(
+        "slot_id", "intent", *_SCOPE, F.col("span.month").alias("month"), F.explode(ends).alias("end")
+    ).select("slot_id", "intent", *_SCOPE, "month", "end.day", "end.sign")
+
+
+def _calendar(spark, days: list[_dt.date]) -> DataFrame:
+    """(on, day): for every date the next of ``days``. One row per date of the calendar."""
+    rows, begin = [], min(days, default=None)
+    for day in sorted(days):
+        rows += [(begin + _dt.timedelta(k), day) for k in range((day - begin).days + 1)]
+        begin = day + _dt.timedelta(1)
+    return F.broadcast(spark.createDataFrame(rows, "on date, day date"))
+
+
+def _spans(fact: DataFrame, wanted: DataFrame, days: dict[str, set], small: bool) -> DataFrame:
+    """Counts per span (named by its last day) of every wanted scope and of each member
+    that it ranks. Keys that nobody asks for are dropped before anything is shuffled.
+    ``days``: what the slots of a kind need; ``small``: the scopes may be broadcast."""
+    def asked(kinds, *columns):
+        found = wanted.filter(F.col("kind").isin(kinds)).select(*columns)
+        return F.broadcast(found) if small else found
+
+    def dated(kinds):
+        rows = fact.select(F.col("registration_incorporation_date").alias("on"),
+                           F.col("planning_area_id").alias("area"), F.col("primary_ssic_norm").alias("norm"))
+        needed = set().union(*(days.get(k, ()) for k in kinds))
+        return rows.join(_calendar(fact.sparkSession, list(needed)), "on")
+
+    norm, area_key = F.col("norm"), _key(F.col("area"))
+    prefixes = F.array_compact(F.array(
+        F.lit(_ANY), *[F.when(F.length(norm) >= n, _key(F.substring(norm, 1, n))) for n in range(2, 6)]))
+    areas = F.explode(F.array_compact(F.array(F.lit(_ANY), area_key))).alias("area_key")
+    none, total = F.lit(None).cast("string"), F.sum("n").alias("n")
+
+    by_prefix = dated([_SERIES, _AREAS]).select("day", "area", F.explode(prefixes).alias("prefix_key"))
+    by_prefix = by_prefix.join(asked([_SERIES, _AREAS], "prefix_key"), "prefix_key", "left_semi")
+    by_prefix = by_prefix.groupBy("day", "area", "prefix_key").agg(F.count(F.lit(1)).alias("n"))
+    series = by_prefix.select(F.lit(_SERIES).alias("kind"), "day", areas, "prefix_key", none.alias("member"), "n")
+    ranked = by_prefix.select(
+        F.lit(_AREAS).alias("kind"), "day", F.lit(_ANY).alias("area_key"), "prefix_key", F.col("area").alias("member"), "n")
+    both = series.unionByName(ranked).join(asked([_SERIES, _AREAS], *_SCOPE), _SCOPE, "left_semi")
+    both = both.groupBy(*_SCOPE, "member", "day").agg(total)
+
+    codes = dated([_CODES]).select("day", areas, F.col("norm").alias("member"))
+    codes = codes.join(asked([_CODES], "area_key"), "area_key", "left_semi")
+    codes = codes.groupBy("area_key", "member", "day").agg(F.count(F.lit(1)).alias("n"))
+    return both.unionByName(codes.select(
+        F.lit(_CODES).alias("kind"), "area_key", F.lit(_ANY).alias("prefix_key"), "member", "day", "n"))
+
+
+def _totals(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """(scope, member, day, total): the running total of each series at every day that
+    some slot needs."""
+    days = points.select(*_SCOPE, "day").distinct()
+    members = spans.select(*_SCOPE, "member").distinct()
+    probes = members.join(days, _SCOPE).select(*_SCOPE, "member", "day", F.lit(0).cast("long").alias("n"),
+                                               F.lit(True).alias("probe"))
+    both = spans.select(*_SCOPE, "member", "day", "n", F.lit(False).alias("probe")).unionByName(probes)
+    # one series: at most a calendar of spans and one of days asked for
+    w = Window.partitionBy(*_SCOPE, "member").orderBy("day", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("total", F.sum("n").over(w)).filter("probe").drop("n", "probe")
+
+
 def answer_rows(parsed: DataFrame, fact: DataFrame) -> DataFrame:
     """N9..N12, N14, N16: one row per (question, answer row):
     (question_id, intent, row_no, month, planning_area_id, ssic_code, count).
@@ -149,36 +213,30 @@ def answer_rows(parsed: DataFrame, fact: DataFrame) -> DataFrame:
     with_id = parsed.filter(F.col("error").isNull() & (F.col("intent") != QF.ENTITY_LOOKUP)).withColumn(
         "slot_id", _slot_id()
     )
-    slots = with_id.select("slot_id", *SLOT_COLUMNS).distinct()
-    keys = _slot_keys(slots)
-    # Only the months some question asks about are read: the overall range of
-    # all slots (two scalars) becomes a partition filter on the fact.
-    # The third scalar counts what the slots fan out to (two areas at most), which no
-    # size estimate of the plan would show: it decides on the broadcast.
-    months = F.months_between(F.trunc("end_date", "month"), F.trunc("start_date", "month")) + 1
-    lo, hi, fan_out = slots.agg(F.min("start_date"), F.max("end_date"), F.sum(2 * months)).first()
-    if lo is None:
-        fact = fact.filter(F.lit(False))  # no dated question: nothing to read
-    else:
-        fact = fact.filter(date_between(lo, hi))
-    if fan_out is not None and fan_out <= MAX_BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    hits = _fact_keys(fact).join(keys, ["month", "area_key", "prefix_key"]).filter(
-        F.col("registration_incorporation_date").between(F.col("start_date"), F.col("end_date"))
-    )
+    slots = cut_lineage(with_id.select("slot_id", *SLOT_COLUMNS).distinct())
+    scopes = cut_lineage(_scopes(slots))
+    points = _points(scopes)
+    # The driver sees the days that some slot needs (at most a calendar per kind) and the
+    # number of scopes, which no size estimate of the plan would show: it decides on the
+    # broadcast. Only the days some question asks about are read.
+    days = {r["kind"]: set(r["days"]) for r in points.groupBy("kind").agg(F.collect_set("day").alias("days")).collect()}
+    every = set().union(*days.values())
+    fact = fact.filter(date_between(min(every), max(every)) if every else F.lit(False))
+    small = scopes.count() <= MAX_BROADCAST_SCOPES
+    spans = cut_lineage(_spans(fact, scopes.select(*_SCOPE), days, small))
+    hits = points.join(_totals(spans, points), [*_SCOPE, "day"])
     # One aggregate for every intent: grouping keys that an intent does not
     # use are NULL, so they do not split its groups.
     intent = F.col("intent")
-    monthly = intent.isin(QF.NEW_ENTITIES_TREND, QF.EXPLAIN_CHANGE, QF.COMPARE_AREAS)
     by_area = intent.isin(QF.COMPARE_AREAS, QF.HOTTEST_AREAS_FOR_INDUSTRY)
     by_code = intent == QF.TOP_INDUSTRIES_IN_AREA
     ranked = intent.isin(QF.TOP_INDUSTRIES_IN_AREA, QF.HOTTEST_AREAS_FOR_INDUSTRY)
+    compared = intent == QF.COMPARE_AREAS
+    area = F.when(compared, F.expr("substring(area_key, 2)")).when(by_area, F.col("member"))
     groups = hits.groupBy(
-        "slot_id", "intent",
-        F.when(monthly, F.col("month")).alias("g_month"),
-        F.when(by_area, F.col("planning_area_id")).alias("g_area"),
-        F.when(by_code, F.col("primary_ssic_norm")).alias("g_code"),
-    ).agg(F.sum("n").alias("count"))
+        "slot_id", "intent", F.col("month").alias("g_month"), area.alias("g_area"),
+        F.when(by_code, F.col("member")).alias("g_code"),
+    ).agg(F.sum(F.col("sign") * F.col("total")).alias("count")).filter("count > 0")
     # Row order per intent: month[, area] for series; count desc then key for rankings.
     k1 = F.when(ranked, -F.col("count")).otherwise(F.col("g_month").cast("long"))
     k2 = F.when(by_code, F.col("g_code")).otherwise(F.col("g_area"))

@@ -125,3 +125,55 @@ def test_question_patterns_match_python_regex_engine(spark):
     for r in rows:
         for k, (p, g) in pats.items():
             assert r[k] == py(p, g, r.q), (k, r.q)
+
+
+def test_long_questions(spark):
+    """No comparison, one at the end, one in a later line: each in one pass."""
+    import time
+
+    words = " ".join(f"word{k}" for k in range(20_000))
+    texts = [f"compare {words}", f"{words}\n{words}", f"{words} vs Eastwood", f"compare A vs {words}", f"x {words}\nNorth Gate vs Eastwood\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "question_id long, question string")
+    parse_questions(df.limit(1), AS_OF).collect()
+    began = time.time()
+    got = {r.question_id: r for r in parse_questions(df, AS_OF).collect()}
+    assert time.time() - began < 10
+    assert got[0].error and got[2].area_2 == "Eastwood" and got[2].area_1 == words
+    assert got[3].area_1 == "A" and (got[4].area_1, got[4].area_2) == ("North Gate", "Eastwood")
+
+
+def test_running_totals_against_counting(spark):
+    """Answers equal a plain count over the range, whatever the slots share."""
+    import random
+    from collections import Counter
+
+    rnd = random.Random(5)
+    areas, codes = ["EAST", "WEST", None], ["56101", "56", "62011", "6", None, "47110"]
+    day = lambda: dt.date(2014, 1, 1) + dt.timedelta(rnd.randrange(3900))
+    rows = [(day(), rnd.choice(areas), rnd.choice(codes)) for _ in range(900)] + [(None, "EAST", "56")] * 3
+    fact = spark.createDataFrame(rows, "registration_incorporation_date date, planning_area_id string, primary_ssic_norm string")
+    fact = fact.withColumn("registration_month", F.expr(
+        "year(registration_incorporation_date) * 100 + month(registration_incorporation_date)"))
+    texts = [f"{kind}{place}{what} {when}" for kind in ("Trend of firms", "Top industries", "Where hot firms", "why")
+             for place in ("", " in EAST", " in NOWHERE") for what in (" food", " ssic 6201", " ssic 56101", "")
+             for when in ("last 3 months", "last 12 months", "2015 to 2019", "2020", "")]
+    texts += ["compare EAST vs WEST 2016 to 2018", "compare EAST vs EAST for food 2016", "compare X vs WEST last 6 months"]
+    df = spark.createDataFrame(list(enumerate(texts)), "question_id long, question string")
+    parsed = parse_questions(df, AS_OF).collect()
+    got: dict = {}
+    for r in answer_rows(parse_questions(df, AS_OF), fact).collect():
+        got.setdefault(r.question_id, []).append((r.row_no, r.month, r.planning_area_id, r.ssic_code, r["count"]))
+    last = lambda k: (k is None, k or "")
+    for q in parsed:
+        held = [r for r in rows if r[0] and q.start_date <= r[0] <= q.end_date
+                and (q.ssic is None or (r[2] or "").startswith(q.ssic)) and (q.area is None or r[1] == q.area)]
+        if q.intent == "COMPARE_AREAS":
+            n = Counter((r[0].year * 100 + r[0].month, r[1]) for r in held if r[1] in (q.area_1, q.area_2))
+            want = [(m, a, None, c) for (m, a), c in sorted(n.items())]
+        elif q.intent == "TOP_INDUSTRIES_IN_AREA":
+            want = [(None, None, k, c) for k, c in sorted(Counter(r[2] for r in held).items(), key=lambda x: (-x[1], last(x[0])))][:10]
+        elif q.intent == "HOTTEST_AREAS_FOR_INDUSTRY":
+            want = [(None, k, None, c) for k, c in sorted(Counter(r[1] for r in held).items(), key=lambda x: (-x[1], last(x[0])))][:10]
+        else:
+            want = [(m, None, None, c) for m, c in sorted(Counter(r[0].year * 100 + r[0].month for r in held).items())]
+        assert sorted(got.get(q.question_id, [])) == [(k + 1, *w) for k, w in enumerate(want)], (q.question, q.intent)
