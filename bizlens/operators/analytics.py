@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from bizlens.functions.cleaning import yyyymm_of
 from bizlens.functions.numeric import python_round
 from bizlens.operators.filters import DATE_COL, MONTH_COL, NORM_COL, all_of, date_between
+from bizlens.operators.paging import page
 from bizlens.session import cut_lineage
 
 CNT = "count"
@@ -212,17 +213,15 @@ def hotspot_intensity(hot: DataFrame) -> DataFrame:
     )
 
 
+def search_order(columns) -> list:
+    """Newest registration first (NULL dates last), uen and then the rest as tiebreak."""
+    return [F.col(DATE_COL).desc_nulls_last(), F.col("uen").asc(),
+            *[F.col(c).asc_nulls_last() for c in columns if c not in (DATE_COL, "uen")]]
+
+
 def search(fact: DataFrame, cond, columns, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Q5 page: newest registration first (NULL dates last), uen as tiebreak."""
-    if limit < 0 or offset < 0:
-        raise ValueError("limit and offset must be non-negative")
-    page = fact.filter(cond).select(*columns).orderBy(
-        F.col(DATE_COL).desc_nulls_last(), F.col("uen").asc(),
-        *[F.col(c).asc_nulls_last() for c in columns if c not in (DATE_COL, "uen")]
-    )
-    if offset:
-        page = page.offset(offset)
-    return page.limit(limit)
+    """Q5 page, in search order; deep pages are located by counts (L2)."""
+    return page(fact.filter(cond).select(*columns), search_order(columns), limit, offset)
 
 
 def search_total(fact: DataFrame, cond) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bizlens.operators import analytics as A
 from bizlens.operators import filters as FL
 from bizlens.operators import questions as QN
+from bizlens.operators.name_index import NameIndex
 from bizlens.schema import DETAIL_COLUMNS, SEARCH_COLUMNS
 from bizlens.session import cut_lineage
 
@@ -70,8 +71,11 @@ def hotspots(fact: DataFrame, dim_subzone: DataFrame, as_of, date_from=None, dat
 
 
 def search(fact: DataFrame, q=None, ssic=None, ssic_category=None, status=None, limit: int = 50,
-           offset: int = 0, categories=None) -> tuple[DataFrame, DataFrame]:
-    """Q5: (total, page) -- the total before paging and the requested page."""
+           offset: int = 0, categories=None, index: NameIndex | None = None) -> tuple[DataFrame, DataFrame]:
+    """Q5: (total, page) -- the total before paging and the requested page. With a
+    name index of the fact only the text's candidates are read."""
+    if index is not None and q:
+        fact = index.rows(q)
     cond = FL.all_of(FL.text_search(q), FL.status_filter(status), _ssic_cond(ssic, ssic_category, categories))
     return A.search_total(fact, cond), A.search(fact, cond, SEARCH_COLUMNS, limit=limit, offset=offset)
 

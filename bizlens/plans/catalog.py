@@ -17,6 +17,7 @@ from bizlens.operators import analytics as A
 from bizlens.operators import dedup as D
 from bizlens.operators import enrich as EN
 from bizlens.operators import filters as FL
+from bizlens.operators import name_index as NI
 from bizlens.operators import profile as PR
 from bizlens.operators import questions as QN
 from bizlens.operators import rollups as RU
@@ -166,6 +167,32 @@ def q5_search_total(spark, sf):
     return A.search_total(W.warehouse_fact(spark, sf), _search_cond())
 
 
+# Rare, frequent, short and absent texts, one with a quote, one that is a key.
+SEARCH_TEXTS = ["order 123", "RDER 77 ", "line 7", "99", "ne", 'er "5', "order 1 line", "no such name", "00000007K", "12\nline"]
+
+
+@register("F5_search_by_index", O.with_fact() + """
+, asked(q) AS (VALUES """ + ", ".join("('" + t.replace("\n", "' || chr(10) || '") + "')" for t in SEARCH_TEXTS) + """)
+SELECT q, uen, entity_name, registration_incorporation_date FROM fact, asked
+WHERE position(lower(q) IN lower(entity_name)) > 0 OR uen = q""")
+def f5_search_by_index(spark, sf):
+    return NI.search_texts(W.name_index(spark, sf), SEARCH_TEXTS)
+
+
+@register("Q5_search_page_by_index", O.with_fact() + f"""
+SELECT {', '.join(SEARCH_COLUMNS)} FROM fact WHERE position('order 12' IN lower(entity_name)) > 0
+ORDER BY {_SEARCH_ORDER} LIMIT 50 OFFSET 10""")
+def q5_search_page_by_index(spark, sf):
+    return API.search(W.warehouse_fact(spark, sf), q="Order 12", limit=50, offset=10, index=W.name_index(spark, sf))[1]
+
+
+@register("L2_deep_page", O.with_fact() + f"""
+SELECT {', '.join(SEARCH_COLUMNS)} FROM fact WHERE entity_status_description = 'F'
+ORDER BY {_SEARCH_ORDER} LIMIT 50 OFFSET 15000""")
+def l2_deep_page(spark, sf):
+    return API.search(W.warehouse_fact(spark, sf), status="F", limit=50, offset=15000)[1]
+
+
 _DETAIL_ORDER = "registration_incorporation_date DESC NULLS LAST, " + ", ".join(
     f"{c} ASC NULLS LAST" for c in DETAIL_COLUMNS if c != "registration_incorporation_date"
 )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bizlens.functions.cleaning import normalize_na, normalize_ssic
 from bizlens.operators.clean import clean_for_load, clean_record
 from bizlens.operators.enrich import enrich_geo
+from bizlens.operators.name_index import NameIndex, write_name_index
 from bizlens.sources import tpch
 
 
@@ -115,6 +116,20 @@ def warehouse_path(spark: SparkSession, sf_dir: str) -> str:
     return _BUILT[_source_signature(spark, sf_dir)]
 
 
+_INDEXED: dict[str, str] = {}
+
+
+def name_index(spark: SparkSession, sf_dir: str) -> NameIndex:
+    """The name index of the materialised fact (written on first use)."""
+    from bizlens.session import shared_dir
+
+    fact, path = warehouse_fact(spark, sf_dir), warehouse_path(spark, sf_dir)
+    if path not in _INDEXED:
+        _INDEXED[path] = shared_dir(spark, "name-index")
+        write_name_index(fact, _INDEXED[path])
+    return NameIndex(spark, _INDEXED[path], fact)
+
+
 def enriched_schema(spark: SparkSession, sf_dir: str):
     return spark.read.parquet(warehouse_path(spark, sf_dir)).schema
 
