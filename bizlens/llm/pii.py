@@ -37,25 +37,33 @@ _ADDRESS = {
 }
 _ADDRESSES = "|".join(_ADDRESS.values())
 _LABEL = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:['’-]\p{Lu}\p{Ll}+){0,3}"
+_TOKENS = "AKIA|gh[pousr]_|xox[abeoprs]-|AIza|Bearer "
+#: Draws after which a format is taken to be exhausted.
+MAX_DRAWS = 64
 #: In the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|"
+    # possessive and bounded: one step per label, and at most the lengths that mail has
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,127}+",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abeoprs]-[A-Za-z0-9-]{10,250}|"
+    r"AIza[A-Za-z0-9_-]{35}|Bearer [A-Za-z0-9._~+/-]{16,4000}+=?=?|"
     + _LABEL
     + r"[A-Za-z0-9+/_-]{8,})(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])"
-    r"|(?<![0-9A-Za-z])\+[0-9]{8,14}(?![0-9])",
+    r"|(?<![0-9A-Za-z])\+[0-9]{8,14}(?![0-9])"
+    r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?=(?:[ .()-]{0,3}[0-9]){6})(?:[ .-]{1,2}\(?[0-9]{1,8}\)?){1,6}(?![0-9])"
+    r"|(?<![0-9A-Za-z])\([0-9]{2,5}\)[ .-]?[0-9]{5,8}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9A-Za-z])",
-    "name": r"(?<!\p{L})(?:" + _ADDRESSES + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\p{L})",
+    "name": r"(?<!\p{L})(?:" + _ADDRESSES + rf")\.? {_NAME}(?: (?:\p{{Lu}}\. )?{_NAME})?(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity holds one of these characters or strings; looking for them is cheap,
 #: so the pattern itself only runs over texts that have one.
 _MARKS = "[0-9@=:]"
-_STRINGS = ["AKIA", *(f"gh{c}_" for c in "pousr"), *_ADDRESSES.split("|")]
+_STRINGS = ["AKIA", "AIza", "Bearer ", "xox", *(f"gh{c}_" for c in "pousr"), *_ADDRESSES.split("|")]
 
 #: Given names by gender and script, and syllables for surnames (own choice).
 GIVEN = {
@@ -88,7 +96,7 @@ def _kind(found: Column) -> Column:
     """Which pattern found the text; the alternatives differ in their forms."""
     return (
         F.when(F.contains(found, F.lit("@")), "email")
-        .when(found.rlike(r"^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_|" + _LABEL + ")"), "secret")
+        .when(found.rlike(r"^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_|xox[abeoprs]-|AIza|Bearer |" + _LABEL + ")"), "secret")
         .when(found.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip")
         .when(found.rlike(r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]"), "iban")
         .when(found.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
@@ -112,7 +120,7 @@ def _unit(lead, kind, norm, raw) -> Column:
 def _units(found: Column) -> Column:
     """What of the entity is replaced: text kept before it, kind, normal form, text."""
     kind = _kind(found)
-    label = F.regexp_extract(found, "^(?:AKIA|gh[pousr]_|" + _LABEL + ")", 0)
+    label = F.regexp_extract(found, f"^(?:{_TOKENS}|" + _LABEL + ")", 0)
     secret = F.substr(found, F.length(label) + 1)
     country = F.regexp_extract(found, r"^\+[0-9]{1,3}(?:[ .-]|(?=\())[ ]?|^\+[0-9]{2}", 0)
     phone = F.substr(found, F.length(country) + 1)
@@ -157,9 +165,10 @@ def _mod97(text: Column) -> Column:
     )
 
 
-def surrogate(kind: Column, norm: Column, attempt: int, key: str = KEY) -> Column:
-    """The ``attempt``-th surrogate of a normal form."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, F.lit(str(attempt)), norm)
+def surrogate(kind: Column, norm: Column, attempt: int, key: str = KEY, digest: Column | None = None) -> Column:
+    """The ``attempt``-th surrogate of a normal form. ``digest``: that of ``norm``, where it
+    is at hand; it is looked at for every character."""
+    seed = F.concat_ws("\x1f", F.lit(key), kind, F.lit(str(attempt)), F.sha2(norm, 256) if digest is None else digest)
     stream = F.concat(*(F.sha2(F.concat(F.lit(x), seed).cast("binary"), 512) for x in "01"))
     byte = lambda i: F.conv(F.substr(stream, (i * 2) % 256 + 1, F.lit(2)), 16, 10).cast("int")
     at = lambda i: F.lit(i)
@@ -167,7 +176,7 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str = KEY) -> Colum
     lower, upper = letters("a"), letters("A")
     digit = lambda i: (byte(i) % 10).cast("string")
     alike = lambda c, i: (
-        F.when(c.rlike("[0-9]"), digit(i)).when(c.rlike("[a-z]"), lower(i)).when(c.rlike("[A-Z]"), upper(i)).otherwise(c)
+        F.when(c.rlike("[0-9]"), digit(i)).when(c.rlike(r"\p{Ll}"), lower(i)).when(c.rlike(r"\p{Lu}"), upper(i)).otherwise(c)
     )
     mapped = F.array_join(F.transform(_chars(norm), alike), "")
     positive = F.array_join(F.transform(_chars(norm), lambda c, i: (byte(i) % 9 + 1).cast("string")), "")
@@ -175,8 +184,10 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str = KEY) -> Colum
 
     local, domain = F.substring_index(mapped, "@", 1), F.substring_index(mapped, "@", -1)
     top = F.substring_index(norm, ".", -1)
+    # a short address has few surrogates of its form: later draws may be longer
+    more = F.concat(F.lit(""), *(lower(at(200 + k)) for k in range(min(max(attempt - 2, 0), 16))))
     email = F.concat(
-        local, F.lit("@"), F.substring_index(domain, ".", 1), F.lit(".example"),
+        local, F.lit("@"), F.substring_index(domain, ".", 1), more, F.lit(".example"),
         F.when(top.isin("com", "net", "org"), F.concat(F.lit("."), top)).otherwise(""),
     )
     body = F.concat(F.substring(norm, 1, 1), F.substr(mapped, F.lit(2), F.length(norm) - 2))
@@ -234,11 +245,11 @@ def _written(unit: Column, drawn: Column) -> Column:
 def distinct_surrogates(units: DataFrame, key: str = KEY) -> DataFrame:
     """kind, norm, drawn: a surrogate for each distinct (kind, norm), different from
     every other surrogate and from every real entity of the kind."""
-    units = cut_lineage(units.distinct())
+    units = cut_lineage(units.distinct().withColumn("digest", F.sha2("norm", 256)))
     real = units.select("kind", F.col("norm").alias("taken"))
     done, left, attempt = None, units, 0
     while True:
-        drawn = left.withColumn("drawn", surrogate(F.col("kind"), F.col("norm"), attempt, key))
+        drawn = left.withColumn("drawn", surrogate(F.col("kind"), F.col("norm"), attempt, key, F.col("digest")))
         form = F.when(F.col("kind").rlike("^(?:given|surname)"), F.lower("drawn")).otherwise(F.col("drawn"))
         drawn = drawn.withColumn("taken", form)
         free = drawn.join(real, ["kind", "taken"], "left_anti")
@@ -250,6 +261,9 @@ def distinct_surrogates(units: DataFrame, key: str = KEY) -> DataFrame:
         attempt += 1
         if left.isEmpty():
             return done.select("kind", "norm", "drawn")
+        if attempt == MAX_DRAWS:
+            short = left.groupBy("kind", F.length("norm").alias("n")).count().limit(5).collect()
+            raise RuntimeError(f"no free surrogates of the form after {attempt} draws: {short}")
 
 
 def _any_of(text: Column, strings: list[str]) -> Column:
