@@ -1,22 +1,23 @@
 """Substring dedup by line hashing.
 
-A text's units are its lines, normalised (A-Z lower-cased, white space runs to one
-space, trimmed). A line is long if it has ``min_words`` words or ``MIN_CHARS`` code
-points or more, where two code points of a script without spaces count as a word
-besides. Each long line is hashed to 128 bits. Short lines are hashed in passages:
-from each line of a run of short lines (blank lines neither count nor end the run)
-as many as make ``run_words`` words, so a passage is found wherever it lies in a run,
-but for a tail smaller than one short line. Short lines outside such passages are
-left alone.
+A text's pieces are its lines, cut further behind each sentence end (``.``, ``!`` or ``?``
+with white space after it), so that a passage is found inside a longer line as well.
+Pieces are normalised (A-Z lower-cased, white space runs to one space, trimmed). A
+piece is long if it has ``min_words`` words or ``MIN_CHARS`` code points or more, where
+two code points of a script without spaces count as a word besides. Each long piece
+is hashed to 128 bits. Short ones are hashed in passages: from each piece of a run of
+short ones (blank ones neither count nor end the run) as many as make ``run_words``
+words, so a passage is found wherever it lies in a run, but for a tail smaller than
+one short piece. Short pieces outside such passages are left alone.
 
 Of all occurrences of a digest in the corpus the earliest ranked one stays (lowest
-doc_id, then text hash, then place in the text) and the lines of the others go; a
+doc_id, then text hash, then place in the text) and the pieces of the others go; a
 passage that overlaps the one it repeats loses only what lies behind it. Offsets of
-what goes are kept as code points of the original text; the rest is joined again by
-line feeds.
+what goes are kept as code points of the original text. The rest is joined again as
+it stood; a line of which nothing is left goes with its line feed.
 
 Counting is a partial aggregation per digest, and occurrences meet only the one
-surviving place of their digest, so a line that a third of all documents share
+surviving place of their digest, so a piece that a third of all documents share
 makes no large group.
 
 Defined cases: null text stays null and has no units; empty text has none either;
@@ -45,6 +46,7 @@ NO_SPACES = re.compile(
     "[\u0e00-\u109f\u1780-\u17ff\u2e80-\u312f\u31a0-\ua4cf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]"
 )
 
+_SENTENCE = re.compile(rb"([.!?][ \t\x0b\x0c\r]+)")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -61,8 +63,13 @@ def size(words: list[bytes]) -> tuple[int, int]:
     return len(words) + len(NO_SPACES.findall(text)) // 2, len(text)
 
 
+def pieces(line: bytes) -> list[bytes]:
+    """The sentences of a line, each with the white space behind it."""
+    return _SENTENCE.sub(rb"\1\n", line).split(b"\n")
+
+
 def passages(run: list[tuple[int, bytes, int]], run_words: int | None) -> list[tuple[int, int, bytes]]:
-    """First line, last line and content of each passage of a run of short lines
+    """First piece, last piece and content of each passage of a run of short pieces
     (place, normal form, words)."""
     found, end, held = [], 0, 0
     if run_words is None:
@@ -81,11 +88,11 @@ def passages(run: list[tuple[int, bytes, int]], run_words: int | None) -> list[t
 def text_units(
     text: bytes, min_words: int = MIN_WORDS, run_words: int | None = RUN_WORDS
 ) -> list[tuple[int, int, bytes]]:
-    """First line, last line and content of each unit of a text."""
+    """First piece, last piece and content of each unit of a text."""
     found: list[tuple[int, int, bytes]] = []
     run: list[tuple[int, bytes, int]] = []
-    for k, line in enumerate(text.split(b"\n")):
-        words = line.translate(_LOWER).split()
+    for k, piece in enumerate(p for line in text.split(b"\n") for p in pieces(line)):
+        words = piece.translate(_LOWER).split()
         if len(words) < min_words:
             n, chars = size(words)
             if n < min_words and chars < MIN_CHARS:
@@ -99,7 +106,7 @@ def text_units(
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = RUN_WORDS) -> DataFrame:
-    """doc_id, th (text hash), unit (its first line), last (its last line), digest of
+    """doc_id, th (text hash), unit (its first piece), last (its last piece), digest of
     every unit that counts."""
 
     def make():
@@ -124,7 +131,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = R
 def removals(
     docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = RUN_WORDS
 ) -> DataFrame:
-    """doc_id, th, gone (first and last lines of what another occurrence stands for)."""
+    """doc_id, th, gone (first and last pieces of what another occurrence stands for)."""
     found = units(docs, min_words, run_words)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "unit", "last")
     kept = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("end"))
@@ -144,8 +151,8 @@ RESULT = (
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = RUN_WORDS) -> DataFrame:
     """One row per document: n_units, n_removed, n_removed_chars, removed (offsets in
-    the original text, ends exclusive), text (what is left). Without ``run_words``, short
-    lines are left alone wherever they lie."""
+    the original text, ends exclusive), text (what is left); n_units counts pieces. Without
+    ``run_words``, short pieces are left alone wherever they lie."""
     gone = removals(docs, min_words, run_words).select(F.col("doc_id").alias("i"), F.col("th").alias("h"), "gone")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash(), "text")
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["i"]) & (rows["th"] == gone["h"]), "left")
@@ -154,17 +161,22 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = R
         def step(batch):
             out: tuple = ([], [], [], [], [])
             for text, gone in zip(as_text(batch.column(1)), batch.column(2).to_pylist()):
-                lines = text.split("\n") if text else []
                 drop = {k for g in gone or () for k in range(g["start"], g["last"] + 1)}
-                spans, at, kept = [], 0, []
-                for k, line in enumerate(lines):
-                    if k in drop:
-                        spans.append({"start": at, "end": at + len(line)})
-                    else:
-                        kept.append(line)
-                    at += len(line) + 1
+                spans, at, n, kept = [], 0, 0, []
+                for line in text.split("\n") if text else ():
+                    left = []
+                    for piece in map(bytes.decode, pieces(line.encode())):
+                        if n in drop:
+                            spans.append({"start": at, "end": at + len(piece)})
+                        else:
+                            left.append(piece)
+                        at += len(piece)
+                        n += 1
+                    at += 1
+                    if left:
+                        kept.append("".join(left))
                 values = (
-                    len(lines), len(spans), sum(s["end"] - s["start"] for s in spans), spans,
+                    n, len(spans), sum(s["end"] - s["start"] for s in spans), spans,
                     "\n".join(kept) if text else text,
                 )
                 for column, v in zip(out, values):
@@ -177,27 +189,66 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = R
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without passages of short lines: OP5_SQL has no such unit."""
-    return dedup(table(spark, sf_dir, "documents"), run_words=None).drop("removed")
+    found = dedup(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"]))
+    return found.withColumn("removed", F.array_join(spans, ","))
 
 
+#: The code points of NO_SPACES.
+_SQL_NO_SPACES = (
+    r"[\x{0e00}-\x{109f}\x{1780}-\x{17ff}\x{2e80}-\x{312f}\x{31a0}-\x{a4cf}\x{f900}-\x{faff}"
+    r"\x{ff66}-\x{ff9f}\x{1b000}-\x{1b16f}\x{20000}-\x{3ffff}]"
+)
+
 #: Needs distinct doc_ids, as the given tables have.
-OP5_SQL = r"""
+OP5_SQL = rf"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln
   FROM documents WHERE text <> ''),
+cut AS (
+  SELECT doc_id, ln, string_split(regexp_replace(line, '([.!?][\x20\x09\x0B\x0C\x0D]+)', '\1' || chr(10), 'g'), chr(10)) AS ps FROM lines),
+pieces AS (
+  SELECT doc_id, ln, piece, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) - 1 AS p
+  FROM (SELECT doc_id, ln, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM cut)),
+placed AS (
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + ln - 1 AS a
+  FROM pieces),
 normal AS (
-  SELECT *, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM lines),
+  SELECT *, array_to_string(w, ' ') AS norm, len(w) AS words FROM (
+    SELECT *, list_filter(regexp_split_to_array(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM placed)),
+sized AS (
+  SELECT *, n >= {MIN_WORDS} OR length(norm) >= {MIN_CHARS} AS long FROM (
+    SELECT *, words + len(regexp_extract_all(norm, '{_SQL_NO_SPACES}')) // 2 AS n FROM normal)),
+runs AS (SELECT *, sum(CAST(long AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM sized),
+shorts AS (
+  SELECT doc_id, p, norm, n, run, sum(n) OVER (PARTITION BY doc_id, run ORDER BY p) AS upto, sum(n) OVER (PARTITION BY doc_id, run) AS total
+  FROM runs WHERE NOT long AND words > 0),
+ends AS (
+  SELECT s.doc_id, s.run, s.p AS unit, min(e.p) AS last FROM shorts s JOIN shorts e
+    ON s.doc_id = e.doc_id AND s.run = e.run AND e.p >= s.p AND e.upto - s.upto + s.n >= {RUN_WORDS}
+  WHERE s.total >= {RUN_WORDS} GROUP BY ALL),
+units AS (
+  SELECT doc_id, p AS unit, p AS last, norm AS content FROM sized WHERE long
+  UNION ALL
+  SELECT e.doc_id, unit, last, string_agg(norm, chr(10) ORDER BY p) FROM ends e JOIN shorts x
+    ON e.doc_id = x.doc_id AND e.run = x.run AND x.p BETWEEN unit AND last GROUP BY e.doc_id, unit, last),
 ranked AS (
-  SELECT *, len(w) >= 6 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, p) > 1 AS gone
-  FROM normal),
-done AS (
-  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-    coalesce(sum(length(line)) FILTER (gone), 0) AS n_removed_chars,
-    coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '') AS text
-  FROM ranked GROUP BY doc_id)
+  SELECT *, first(doc_id) OVER same AS first_id, first(unit) OVER same AS first_unit, first(last) OVER same AS first_last
+  FROM units WINDOW same AS (PARTITION BY content ORDER BY doc_id, unit)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = first_id THEN greatest(unit, first_last + 1) ELSE unit END, last + 1)) AS p
+  FROM ranked WHERE (doc_id, unit) <> (first_id, first_unit)),
+marked AS (SELECT placed.*, gone.p IS NOT NULL AS gone FROM placed LEFT JOIN gone USING (doc_id, p)),
+kept AS (
+  SELECT doc_id, ln, string_agg(piece, '' ORDER BY p) FILTER (NOT gone) AS line FROM marked GROUP BY doc_id, ln),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY ln) AS text FROM kept GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, sum(length(piece)) FILTER (gone) AS chars,
+    string_agg(concat(a, ':', a + length(piece)), ',' ORDER BY p) FILTER (gone) AS removed
+  FROM marked GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-  CAST(coalesce(n_removed_chars, 0) AS BIGINT) AS n_removed_chars, coalesce(done.text, d.text) AS text
-FROM documents d LEFT JOIN done USING (doc_id)
+  CAST(coalesce(chars, 0) AS BIGINT) AS n_removed_chars, coalesce(removed, '') AS removed,
+  CASE WHEN d.text <> '' THEN coalesce(texts.text, '') ELSE d.text END AS text
+FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN texts USING (doc_id)
 """
