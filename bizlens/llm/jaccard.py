@@ -2,11 +2,14 @@
 
 Texts become sets of word shingles (64-bit hashes). Two sets link if their Jaccard
 similarity reaches ``percent`` / 100. Sets are ordered rarest shingle first, so two
-linked sets share a shingle within their first ``n - ceil(t n) + 1`` (prefix filter);
-only these are joined. Pairs must also pass the length filter, the positional filter
-(what can still follow the shared shingle) and the suffix filter (an upper bound
-of the overlap from how many shingles lie in each of 32 sections of the hash range).
-What is left is verified once per pair on the whole sets.
+linked sets share ``m`` shingles within their first ``n - ceil(t n) + m`` (prefix
+filter; ``m`` grows with the set, see ``common``); only these are joined. Shingles
+without a second set of fitting length (length filter) and sets that are left with
+too few of them are dropped before any pair is made, so that words which meet by
+chance do not multiply. Pairs must share enough prefix shingles and pass the
+positional filter (what can still follow the last of them) and the suffix filter (an
+upper bound of the overlap from how many shingles lie in each of 32 sections of the
+hash range). What is left is verified once per pair on the whole sets.
 
 Rarity comes from counts over all documents in a fixed number of hash buckets:
 any one order is right, and frequent shingles stand out in their bucket. Equal sets
@@ -54,6 +57,8 @@ _FULL = 32767
 PAIRS_PER_POSTING = 4
 #: Links per posting that a round with hubs must find to be followed by another.
 HUB_YIELD = 0.01
+#: One more common prefix shingle is asked for with every so many shingles of a set.
+COMMON_STEP = 64
 
 
 def text_set(text: bytes | None, size: int) -> np.ndarray:
@@ -70,6 +75,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def common(n: int, percent: int) -> int:
+    """Shingles that a set of ``n`` must share with a linked set no smaller than it
+    within both prefixes of ``prefix_length(n) + common(n) - 1``."""
+    return min(-(-percent * n // 100), 2 + n // COMMON_STEP)
+
+
+def _least_overlap(n: str, percent: int) -> Column:
+    return F.expr(f"int(({percent} * {n} + 99) div 100)")
+
+
+def _common(n: str, percent: int) -> Column:
+    return F.least(_least_overlap(n, percent), F.expr(f"int(2 + {n} div {COMMON_STEP})"))
+
+
 def _key() -> Column:
     """What stands for a row: its doc_id, or its text's hash if it has none."""
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
@@ -100,7 +119,8 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 found = text_set(t, size)
                 n = len(found)
                 rarity = counts[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                first = np.lexsort((found, rarity))[: prefix_length(n, percent) if n else 0]
+                prefix = prefix_length(n, percent) + common(n, percent) - 1 if n else 0
+                first = np.lexsort((found, rarity))[:prefix]
                 sections = np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=SECTIONS)
                 sections = np.minimum(sections, _FULL).astype(np.int16)
                 for column, value in zip(out, (n, digest(found), found[first].view(np.int64), sections)):
@@ -113,31 +133,52 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_batches(_keyed(docs), schema, make)
 
 
-def _may_link(percent: int) -> Column:
-    """Length, positional and suffix filter on columns n, pos, sections of x and y."""
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    total = x("n") + y("n")
-    rest = 1 + F.least(x("n") - x("pos") - 1, y("n") - y("pos") - 1)
-    least_n = F.least(x("n"), y("n"))
+def _fitting_lengths(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def postings_of(classes: DataFrame, percent: int) -> DataFrame:
+    """h, cid, n, pos: the prefix shingles that may count for some link.
+
+    A shingle counts for a set if another set of fitting length has it: the next one
+    by length on either side tells. A set needs as many of them as it must share with
+    the smallest set of fitting length. Both are asked twice, as each thins the other."""
+    kept = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "h"))
+    by_length = Window.partitionBy("h").orderBy("n")
+    for _ in range(2):
+        kept = kept.select("*", F.lag("n").over(by_length).alias("less"), F.lead("n").over(by_length).alias("more"))
+        near = lambda other: F.col(other).isNotNull() & _fitting_lengths("n", other, percent)
+        kept = kept.where(near("less") | near("more")).select("h", "cid", "n", "pos")
+        kept = kept.withColumn("c", F.count("*").over(Window.partitionBy("cid")))
+        smallest = kept.withColumn("s", _least_overlap("n", percent))
+        kept = smallest.where(F.col("c") >= _common("s", percent)).select("h", "cid", "n", "pos")
+    return kept
+
+
+def may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """a, b, ka, da, kb, db of those pairs (a, b) that pass the suffix filter."""
+    side = lambda c: traits.select(
+        F.col("cid").alias(c), F.col("key").alias(f"k{c}"), F.col("digest").alias(f"d{c}"),
+        F.col("n").alias(f"n{c}"), F.col("sections").alias(f"s{c}"),
+    )
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    least_n = F.least("na", "nb")
     least = lambda p, q: F.when((p == _FULL) & (q == _FULL), least_n).otherwise(F.least(p, q).cast("int"))
-    overlap = F.aggregate(F.zip_with(x("sections"), y("sections"), least), F.lit(0), lambda a, v: a + v)
-    need = percent * total  # overlap >= t / (1 + t) * total
-    return (
-        (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n")))
-        & ((100 + percent) * rest >= need)
-        & ((100 + percent) * overlap >= need)
-    )
+    overlap = F.aggregate(F.zip_with("sa", "sb", least), F.lit(0), lambda acc, v: acc + v)
+    # overlap >= t / (1 + t) * total
+    alike = both.where((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb")))
+    return alike.select("a", "b", "ka", "da", "kb", "db")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b: keys; da, db: digests) whose whole sets link."""
-    wanted = pairs.select(F.col("a").alias("key"), F.col("da").alias("digest")).unionByName(
-        pairs.select(F.col("b").alias("key"), F.col("db").alias("digest"))
+    """The pairs (a, b: classes; ka, kb: keys of texts; da, db: digests) whose whole sets link."""
+    wanted = pairs.select(F.col("ka").alias("key"), F.col("da").alias("digest")).unionByName(
+        pairs.select(F.col("kb").alias("key"), F.col("db").alias("digest"))
     ).distinct()
     # one plan at every size: no broadcast that only small inputs could have
     held = texts.join(wanted.hint("merge"), "key").select("key", "digest", "text")
-    side = lambda k, d: held.select(F.col("key").alias(k), F.col("digest").alias(d), F.col("text").alias(f"t{k}"))
-    both = pairs.join(side("a", "da"), ["a", "da"]).join(side("b", "db"), ["b", "db"])
+    side = lambda c: held.select(F.col("key").alias(f"k{c}"), F.col("digest").alias(f"d{c}"), F.col("text").alias(f"t{c}"))
+    both = pairs.join(side("a"), ["ka", "da"]).join(side("b"), ["kb", "db"])
 
     def make():
         def step(batch):
@@ -172,23 +213,24 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
     """Links (a, b) between classes whose components are those of all links.
 
-    ``classes``: key, n, digest, prefix, sections. None if no two share a shingle."""
-    exploded = classes.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
-    by_shingle = Window.partitionBy("h")
-    postings = exploded.withColumn("m", F.count("*").over(by_shingle)).where("m > 1").drop("m")
-    traits = classes.select("key", "digest", "sections")
-    postings = stored(postings.join(traits, "key"), "postings")
+    ``classes``: cid, key, n, digest, prefix, sections. None if no two may link."""
+    postings = stored(postings_of(classes, percent), "postings")
     release(classes.sparkSession)
     total = postings.count()
     if not total:
         return None
+    candidates = postings.select("cid").distinct()
+    traits = stored(classes.join(candidates, "cid", "left_semi").select("cid", "key", "n", "digest", "sections"), "traits")
+    # the texts that any pair can need, once for all rounds
+    texts = stored(texts.join(traits.select("key").distinct().hint("merge"), "key", "left_semi"), "texts")
+    release(classes.sparkSession)
     links = tested = merged = None
     labels, rounds = None, 0
     while True:
-        current = postings.withColumn("component", F.col("key"))
+        current = postings.withColumn("component", F.col("cid"))
         if labels is not None:
-            current = postings.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
-                "component", F.coalesce("component", "key")
+            current = postings.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
+                "component", F.coalesce("component", "cid")
             )
         left = current.groupBy("h", "component").agg(F.count("*").alias("c"))
         left = left.groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
@@ -200,13 +242,15 @@ def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -
         last = across <= PAIRS_PER_POSTING * total or (merged is not None and merged < HUB_YIELD * total)
         pairs = _all_pairs(current, percent) if last else _hub_pairs(current, percent, rounds)
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(may_link(pairs, traits, percent), "pairs")
         found = stored(verified(pairs, texts, size, percent), "found")
+        release(classes.sparkSession)
         links = found if links is None else links.unionByName(found)
         if last:
             return links
         merged = found.count()
+        pairs = pairs.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = _labels(found, labels)
         rounds += 1
@@ -234,75 +278,69 @@ def _labels(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     return stored(moved.unionByName(new), "labels")
 
 
-def _pair(x: Column | str = "x", y: Column | str = "y") -> list[Column]:
-    """a, b, da, db of a pair of postings, the smaller key first."""
-    first = F.col("x.key") < F.col("y.key")
-    pick = lambda c, p, q: F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}"))
-    return [
-        pick("key", "x", "y").alias("a"), pick("key", "y", "x").alias("b"),
-        pick("digest", "x", "y").alias("da"), pick("digest", "y", "x").alias("db"),
-    ]
-
-
 def _hub_pairs(postings: DataFrame, percent: int, round_: int) -> DataFrame:
-    """Each class with the one hub that it shares most prefix shingles with."""
+    """Each class with the one hub that it shares most prefix shingles with, if more
+    than one (a pair of a single one is left to the last round)."""
     # first the class with most shared shingles, which an original has of its copies
-    order = F.xxhash64("key", F.lit(round_)).alias("o")
+    order = F.xxhash64("cid", F.lit(round_)).alias("o")
     if not round_:
-        degree = postings.groupBy("key").agg((-F.count("*")).alias("d"))
-        postings = postings.join(degree, "key")
+        degree = postings.groupBy("cid").agg((-F.count("*")).alias("d"))
+        postings = postings.join(degree, "cid")
         order = F.struct("d", order).alias("o")
-    traits = F.struct(order, "key", "n", "pos", "digest", "sections", "component")
-    hubs = postings.groupBy("h").agg(F.min(traits).alias("y"))
-    shared = (
-        postings.select("h", F.struct("key", "n", "pos", "digest", "sections", "component").alias("x"))
-        .join(hubs, "h")
-        .where((F.col("x.component") != F.col("y.component")) & _may_link(percent))
+    hubs = postings.groupBy("h").agg(F.min(F.struct(order, "cid", "n", "component")).alias("y"))
+    shared = postings.join(hubs, "h").where(
+        (F.col("component") != F.col("y.component")) & _fitting_lengths("n", "y.n", percent)
     )
-    counted = shared.groupBy(
-        F.col("x.key").alias("member"), F.col("y.key").alias("hub"),
-        F.col("x.digest").alias("dm"), F.col("y.digest").alias("dh"),
-    ).agg(F.count("*").alias("c"))
-    best = counted.groupBy("member", "dm").agg(F.max(F.struct("c", "hub", "dh")).alias("b"))
-    first = F.col("member") < F.col("b.hub")
-    either = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
-    return best.select(
-        either("member", "b.hub").alias("a"), either("b.hub", "member").alias("b"),
-        either("dm", "b.dh").alias("da"), either("b.dh", "dm").alias("db"),
-    ).distinct()
+    counted = shared.groupBy("cid", F.col("y.cid").alias("hub")).agg(F.count("*").alias("c"))
+    best = counted.where("c > 1").groupBy("cid").agg(F.max(F.struct("c", "hub")).alias("b"))
+    return best.select(F.least("cid", "b.hub").alias("a"), F.greatest("cid", "b.hub").alias("b")).distinct()
 
 
 def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Every pair across components that shares a prefix shingle and may link."""
-    one = lambda n: postings.select("h", F.struct("key", "n", "pos", "digest", "sections", "component").alias(n))
-    across = (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    """Every pair across components with enough common prefix shingles, by the length
+    filter and the positional filter behind the last of them."""
+    one = lambda n: postings.select("h", *[F.col(c).alias(f"{c}_{n}") for c in ("cid", "n", "pos", "component")])
+    across = (F.col("cid_x") < F.col("cid_y")) & (F.col("component_x") != F.col("component_y"))
     left, right = one("x"), one("y").withColumnRenamed("h", "h2")
-    joined = left.join(right, (F.col("h") == F.col("h2")) & across & _may_link(percent))
-    return joined.select(*_pair()).distinct()
+    joined = left.join(right, (F.col("h") == F.col("h2")) & across & _fitting_lengths("n_x", "n_y", percent))
+    shared = joined.groupBy(F.col("cid_x").alias("a"), F.col("cid_y").alias("b"), "n_x", "n_y").agg(
+        F.count("*").alias("c"), F.max("pos_x").alias("last_x"), F.max("pos_y").alias("last_y")
+    )
+    smaller = shared.withColumn("n", F.least("n_x", "n_y"))
+    behind = F.least(F.expr("n_x - last_x - 1"), F.expr("n_y - last_y - 1"))
+    enough = (100 + percent) * (F.col("c") + behind) >= percent * (F.col("n_x") + F.col("n_y"))
+    return smaller.where((F.col("c") >= _common("n", percent)) & enough).select("a", "b")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """key, doc_id, n_shingles, component_id, kept_key for every row. ``kept_key`` is
     the key of the one document of the group that stands for it."""
     rows = stored(described(docs, size, percent), "described")
-    classes = rows.where("n > 0").groupBy("digest").agg(
+    release(docs.sparkSession)
+    same = rows.where("n > 0").groupBy("digest").agg(
         F.min("key").alias("key"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("sections").alias("sections"),
+        F.min("doc_id").alias("first_id"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("key").alias("k"))).alias("stay"),
     )
+    same = stored(same, "sets")
+    # a class is named by its key; of sets that share one, all but one by their digest
+    named = same.groupBy("key").agg(F.min("digest").alias("named"))
+    others = stored(same.select("digest", "key").join(named, "key").where("digest <> named").select("digest"), "others")
+    classes = same.withColumn("cid", F.col("key"))
+    if not others.isEmpty():
+        marked = same.join(others.withColumn("other", F.lit(True)), "digest", "left")
+        classes = marked.withColumn("cid", F.when(F.col("other"), F.xxhash64("digest")).otherwise(F.col("key")))
     links = class_links(classes, _keyed(docs).select("key", "text"), size, percent)
     light = rows.select("key", "doc_id", "n", "digest")
-    least = light.where("n > 0").groupBy("digest").agg(
-        F.min("key").alias("class_key"), F.min("doc_id").alias("first_id"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("key").alias("k"))).alias("stay"),
-    )
+    of_class = classes.select("digest", "cid", "first_id", "stay")
     if links is None:
-        of_class = least.withColumn("group", F.col("class_key"))
+        of_class = of_class.withColumn("group", F.col("cid"))
     else:
-        labels = components(links)
-        of_class = least.join(labels, least["class_key"] == labels["node"], "left").withColumn(
-            "group", F.coalesce("component", "class_key")
-        )
+        of_class = of_class.join(components(links).withColumnRenamed("node", "cid"), "cid", "left")
+        of_class = of_class.withColumn("group", F.coalesce("component", "cid"))
     of_class = stored(of_class.select("digest", "group", "first_id", "stay"), "classes")
+    release(docs.sparkSession)
     of_group = of_class.groupBy("group").agg(
         F.min("first_id").alias("component_id"), F.min("stay").alias("stay")
     )
