@@ -53,9 +53,7 @@ BUCKETS = 1 << 21
 SECTIONS = 32
 #: A section's count is held in 16 bits; at this one it is taken as unbounded.
 _FULL = 32767
-#: Cross-component pairs per posting up to which they are verified at once.
-PAIRS_PER_POSTING = 4
-#: Links per posting that a round with hubs must find to be followed by another.
+#: Links per candidate set that a round with hubs must find to be followed by another.
 HUB_YIELD = 0.01
 #: One more common prefix shingle is asked for with every so many shingles of a set.
 COMMON_STEP = 64
@@ -155,6 +153,15 @@ def postings_of(classes: DataFrame, percent: int) -> DataFrame:
     return kept
 
 
+def _alike_sections(x: str, y: str, n_x: str, n_y: str, percent: int) -> Column:
+    """Suffix filter: the overlap is at most the sum of the lesser section counts."""
+    least_n = F.least(n_x, n_y)
+    least = lambda p, q: F.when((p == _FULL) & (q == _FULL), least_n).otherwise(F.least(p, q).cast("int"))
+    overlap = F.aggregate(F.zip_with(x, y, least), F.lit(0), lambda acc, v: acc + v)
+    # overlap >= t / (1 + t) * total
+    return (100 + percent) * overlap >= percent * (F.col(n_x) + F.col(n_y))
+
+
 def may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """a, b, ka, da, kb, db of those pairs (a, b) that pass the suffix filter."""
     side = lambda c: traits.select(
@@ -162,11 +169,7 @@ def may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
         F.col("n").alias(f"n{c}"), F.col("sections").alias(f"s{c}"),
     )
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    least_n = F.least("na", "nb")
-    least = lambda p, q: F.when((p == _FULL) & (q == _FULL), least_n).otherwise(F.least(p, q).cast("int"))
-    overlap = F.aggregate(F.zip_with("sa", "sb", least), F.lit(0), lambda acc, v: acc + v)
-    # overlap >= t / (1 + t) * total
-    alike = both.where((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb")))
+    alike = both.where(_alike_sections("sa", "sb", "na", "nb", percent))
     return alike.select("a", "b", "ka", "da", "kb", "db")
 
 
@@ -216,11 +219,11 @@ def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -
     ``classes``: cid, key, n, digest, prefix, sections. None if no two may link."""
     postings = stored(postings_of(classes, percent), "postings")
     release(classes.sparkSession)
-    total = postings.count()
-    if not total:
+    if postings.isEmpty():
         return None
     candidates = postings.select("cid").distinct()
     traits = stored(classes.join(candidates, "cid", "left_semi").select("cid", "key", "n", "digest", "sections"), "traits")
+    sets = traits.count()
     # the texts that any pair can need, once for all rounds
     texts = stored(texts.join(traits.select("key").distinct().hint("merge"), "key", "left_semi"), "texts")
     release(classes.sparkSession)
@@ -234,13 +237,12 @@ def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -
             )
         left = current.groupBy("h", "component").agg(F.count("*").alias("c"))
         left = left.groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        open_ = stored(left.where("s * s > q").select("h", "s", "q"), "open")
-        across = open_.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        if not across:
+        open_ = stored(left.where("s * s > q").select("h"), "open")
+        if open_.isEmpty():
             return links
-        current = current.join(open_.select("h"), "h", "left_semi")
-        last = across <= PAIRS_PER_POSTING * total or (merged is not None and merged < HUB_YIELD * total)
-        pairs = _all_pairs(current, percent) if last else _hub_pairs(current, percent, rounds)
+        current = current.join(open_, "h", "left_semi")
+        last = merged is not None and merged < HUB_YIELD * sets
+        pairs = _all_pairs(current, traits, percent) if last else _hub_pairs(current, percent, rounds)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(may_link(pairs, traits, percent), "pairs")
@@ -296,13 +298,25 @@ def _hub_pairs(postings: DataFrame, percent: int, round_: int) -> DataFrame:
     return best.select(F.least("cid", "b.hub").alias("a"), F.greatest("cid", "b.hub").alias("b")).distinct()
 
 
-def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
+def _all_pairs(postings: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Every pair across components with enough common prefix shingles, by the length
-    filter and the positional filter behind the last of them."""
-    one = lambda n: postings.select("h", *[F.col(c).alias(f"{c}_{n}") for c in ("cid", "n", "pos", "component")])
+    filter, the suffix filter and the positional filter.
+
+    A shared shingle of a linked pair has at most min(positions) common ones before
+    it and the rest of either set behind it, so all of its shared shingles stay in the
+    join and are counted; then the last of them bounds what can follow."""
+    columns = ("cid", "n", "pos", "component", "sections")
+    held = postings.join(traits.select("cid", "sections"), "cid")
+    one = lambda n: held.select("h", *[F.col(c).alias(f"{c}_{n}") for c in columns])
     across = (F.col("cid_x") < F.col("cid_y")) & (F.col("component_x") != F.col("component_y"))
+    around = F.expr("least(pos_x, pos_y) + 1 + least(n_x - pos_x - 1, n_y - pos_y - 1)")
+    may = (
+        _fitting_lengths("n_x", "n_y", percent)
+        & ((100 + percent) * around >= percent * (F.col("n_x") + F.col("n_y")))
+        & _alike_sections("sections_x", "sections_y", "n_x", "n_y", percent)
+    )
     left, right = one("x"), one("y").withColumnRenamed("h", "h2")
-    joined = left.join(right, (F.col("h") == F.col("h2")) & across & _fitting_lengths("n_x", "n_y", percent))
+    joined = left.join(right, (F.col("h") == F.col("h2")) & across & may)
     shared = joined.groupBy(F.col("cid_x").alias("a"), F.col("cid_y").alias("b"), "n_x", "n_y").agg(
         F.count("*").alias("c"), F.max("pos_x").alias("last_x"), F.max("pos_y").alias("last_y")
     )

@@ -35,10 +35,40 @@ def test_against_all_pairs(spark):
 
 
 def test_hub_rounds(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", 0)  # hubs until they merge nothing
+    monkeypatch.setattr(jaccard, "HUB_YIELD", 1e-9)  # hubs until they merge nothing
     _check(spark, _rows(5), 5, 80)
 
 
+def test_one_hub_round(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HUB_YIELD", 1e9)  # the rest by all pairs that are left
+    _check(spark, _rows(7), 4, 85)
+
+
+def test_linked_sets_share_enough_prefix_shingles():
+    rng = random.Random(11)
+    for percent in (80, 85):
+        for _ in range(3000):
+            n = rng.randrange(1, 400)
+            same = set(rng.sample(range(2000), n))
+            other = set(rng.sample(sorted(same), rng.randrange(1, n + 1))) | set(rng.sample(range(2000), n // 9))
+            if 100 * len(same & other) < percent * len(same | other):
+                continue
+            prefix = lambda s: set(sorted(s)[: jaccard.prefix_length(len(s), percent) + jaccard.common(len(s), percent) - 1])
+            needed = jaccard.common(min(len(same), len(other)), percent)
+            assert len(prefix(same) & prefix(other)) >= needed
+            smallest = -(-percent * max(len(same), len(other)) // 100)
+            assert needed >= jaccard.common(smallest, percent)
+
+
+def test_sets_of_one_doc_id(spark):
+    text = " ".join(f"a{k}" for k in range(40))
+    docs = spark.createDataFrame(
+        [(7, text), (7, " ".join(f"b{k}" for k in range(40))), (9, text + " more")], "doc_id long, text string"
+    )
+    got = jaccard.groups(docs, 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(7, 37, 7), (7, 37, 7), (9, 38, 7)]
+
+
 def test_prefix_length_finds_every_partner():
     for percent in (80, 85):
         for n in range(1, 400):
