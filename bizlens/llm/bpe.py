@@ -10,12 +10,15 @@ behind ``w`` the arcs that the state behind ``v`` has at that time.
 Written out, the arcs are a square table over the vocabulary (2.4e9 entries for
 49 k tokens), so states keep only their gadget (left part, right part, time) and
 an arc's existence is followed back through the gadgets on first use and kept
-in a bounded transition table. Encoding a word walks its symbols: at each place
-the one token that ends there and has an arc from the state reached at its start
-continues the path. Decoding emits the labels of the arcs.
+in a bounded transition table. Encoding a word reads each symbol once: a table of
+transitions over all labels names the tokens that end at the symbol, and the one
+with an arc from the state reached at its start continues the path. Decoding
+emits the labels of the arcs.
 
-Words are pre-split (normalised to NFC, lower-cased, cut by the file's pattern);
-a bounded per-worker cache answers repeated stretches between white space.
+Words are pre-split (normalised to NFC, lower-cased, cut by the file's pattern).
+Per worker, stretches between white space, words and arcs are kept in two
+generations each: a full table becomes the old one, which is asked before
+anything is worked out anew, and the older one goes.
 
 Defined cases: null or empty text has no ids and decodes to the empty string;
 special strings inside a text are one id each; repeated rows are encoded one by
@@ -29,6 +32,7 @@ import re
 import struct
 import unicodedata
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +43,40 @@ from bizlens.llm.token_counts import CACHED_CHARS, WHITE, byte_symbols, merge_li
 #: The pre-split pattern of word_bpe_49k.json (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+".replace(r"\s", WHITE)
 
-#: Words, stretches and arcs that a worker keeps, each.
+#: Words, stretches and arcs that a worker keeps, each, in one of two generations.
 CACHED = 1 << 17
 
 
+class Recent(dict):
+    """A dict of bounded size; what was put in lately is found again."""
+
+    def __init__(self, size: int = CACHED) -> None:
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def revive(self, key):
+        """The value of a key that only the old generation may hold, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+
 class MergeAutomaton:
     """The token automaton of a merge list; states are named by the label of
     the arcs that lead to them (0: the start)."""
 
     def __init__(self, merges: list[tuple[str, str]], symbols: list[str]) -> None:
         self.labels = [""]
+        #: one character for each symbol, and the labels spelled in them
+        self.letter = {s: chr(1 + k) for k, s in enumerate(symbols)}
+        self.spelled = [""]
         self.number: dict[str, int] = {}
         self.left, self.right, self.time = [0], [0], [-1]
         self.gadget: dict[tuple[int, int], int] = {}
@@ -61,7 +89,7 @@ class MergeAutomaton:
             self.gadget[u, v] = time
             if a + b not in self.number:  # else the label exists; its first gadget stands
                 self._state(a + b, u, v, time)
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs = Recent()
         # an arc w appears only where u was followed by v when its gadget was added
         self.arc_of: dict[str, int] = {}
         real = [True] * len(self.labels)
@@ -70,12 +98,16 @@ class MergeAutomaton:
                 u, v = self.left[t], self.right[t]
                 real[t] = real[u] and real[v] and self._arc(u, v, self.time[t])
             if real[t]:
-                self.arc_of[self.labels[t]] = t
-        self.longest = max(map(len, self.labels))
+                self.arc_of[self.spelled[t]] = t
+        self.ends = ahocorasick.Automaton()
+        for spelled, t in self.arc_of.items():
+            self.ends.add_word(spelled, (t, len(spelled)))
+        self.ends.make_automaton()
 
     def _state(self, label: str, left: int, right: int, time: int) -> None:
         self.number[label] = len(self.labels)
         self.labels.append(label)
+        self.spelled.append(self.spelled[left] + self.spelled[right] if left else self.letter[label])
         self.left.append(left)
         self.right.append(right)
         self.time.append(time)
@@ -84,11 +116,13 @@ class MergeAutomaton:
         """Whether the state has the arc once all gadgets are in."""
         if not state:
             return True
-        known = self.arcs.get((state, label))
+        key = state * len(self.labels) + label
+        known = self.arcs.get(key)
+        if known is None:
+            known = self.arcs.revive(key)
         if known is None:
-            if len(self.arcs) >= CACHED:
-                self.arcs.clear()
-            known = self.arcs[state, label] = self._arc(state, label, len(self.labels))
+            known = self._arc(state, label, len(self.labels))
+            self.arcs.keep(key, known)
         return known
 
     def _arc(self, p: int, t: int, limit: int) -> bool:
@@ -109,34 +143,36 @@ class MergeAutomaton:
 
     def walk(self, symbols: list[str]) -> list[int]:
         """Labels along the one path that spells the symbols."""
-        word, n = "".join(symbols), len(symbols)
+        return self.path("".join([self.letter[s] for s in symbols]))
+
+    def path(self, word: str) -> list[int]:
+        """The same for a word written in the symbols' letters."""
         if (whole := self.arc_of.get(word)) is not None:
             return [whole]
-        cut = [0]  # where each symbol begins in the word
-        for s in symbols:
-            cut.append(cut[-1] + len(s))
-        at, start = [0] * (n + 1), [0] * (n + 1)  # the state behind each symbol
-        get, arcs, longest = self.arc_of.get, self.arcs, self.longest
-        for end in range(1, n + 1):
-            stop = cut[end]
-            for first in range(end - 1, max(-1, end - longest - 1), -1):
-                token = get(word[cut[first] : stop])
-                if token is not None:
-                    state = at[first]
-                    known = arcs.get((state, token)) if state else True
-                    if known is None:
-                        known = self.arc(state, token)
-                    if known:
-                        at[end], start[end] = token, first
-                        break
-            else:
-                raise AssertionError(word)
+        n = len(word)
+        at, size = [0] * (n + 1), [0] * (n + 1)  # behind each symbol: the state, its label's length
+        known, width = self.arcs.get, len(self.labels)
+        for last, (token, length) in self.ends.iter(word):
+            end = last + 1
+            if size[end]:
+                continue
+            state = at[end - length]
+            if state:
+                there = known(state * width + token)
+                if there is None:
+                    there = self.arc(state, token)
+                if not there:
+                    continue
+            at[end], size[end] = token, length
         path, end = [], n
         while end:
+            if not size[end]:
+                raise AssertionError(word)
             path.append(at[end])
-            end = start[end]
+            end -= size[end]
         return path[::-1]
 
+
 class WordBpe:
     """Encoder and decoder of a word-end BPE file."""
 
@@ -148,9 +184,12 @@ class WordBpe:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
-        self.chars = byte_symbols()
-        symbols = [c for c in self.chars] + [c + self.suffix for c in self.chars]
+        chars = byte_symbols()
+        symbols = list(dict.fromkeys(chars + [c + self.suffix for c in chars]))
         self.automaton = MergeAutomaton(merge_list(model), symbols)
+        letter = self.automaton.letter
+        self.inner = {b: letter[c] for b, c in enumerate(chars)}
+        self.final = [letter[c + self.suffix] for c in chars]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         cut = sorted(added, key=len, reverse=True)
@@ -159,29 +198,34 @@ class WordBpe:
         self.space = re.compile(f"[{WHITE}]+")
         self.label = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
         self.ids = [self.vocab.get(label, -1) for label in self.automaton.labels]
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words = Recent()
+        self.known = Recent()
 
     def _stretch(self, stretch: str) -> bytes:
-        text = unicodedata.normalize("NFC", stretch)
-        text = text.lower() if text.isascii() else "".join(c.lower() for c in text)
-        known, make = self.words, self._word
-        out = b"".join([known.get(w) or make(w) for w in self.word.findall(text)])
-        if len(stretch) <= CACHED_CHARS:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[stretch] = out
+        short = len(stretch) <= CACHED_CHARS
+        if short and (out := self.known.revive(stretch)) is not None:
+            return out
+        if stretch.isascii():
+            text = stretch.lower()
+        else:
+            text = "".join([c.lower() for c in unicodedata.normalize("NFC", stretch)])
+        known, make = self.words.get, self._word
+        out = b"".join([known(w) or make(w) for w in self.word.findall(text)])
+        if short:
+            self.known.keep(stretch, out)
         return out
 
     def _word(self, word: str) -> bytes:
-        symbols = [self.chars[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        path = self.automaton.walk(symbols)
-        ids = struct.pack(f"<{len(path)}I", *[self.ids[s] for s in path])
-        if len(word) <= CACHED_CHARS:
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            self.words[word] = ids
+        short = len(word) <= CACHED_CHARS
+        if short and (ids := self.words.revive(word)) is not None:
+            return ids
+        data = word.encode()
+        spelled = data[:-1].decode("latin-1").translate(self.inner) + self.final[data[-1]]
+        number = self.ids
+        path = [number[s] for s in self.automaton.path(spelled)]
+        ids = struct.pack(f"<{len(path)}I", *path)
+        if short:
+            self.words.keep(word, ids)
         return ids
 
     def _plain(self, text: str) -> list[bytes]:
