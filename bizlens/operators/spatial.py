@@ -4,18 +4,21 @@ contains the point (points on a boundary are not contained).
 Plan, all equi-joins:
 
 * every feature's rings become an edge table (seq, feature_id, x1, y1, x2, y2);
-* candidates: each feature is fanned out to the grid cells its bounding box
-  covers, each point to its own cell -> join on (cx, cy), keep bbox hits;
-* refinement: edges are fanned out to the horizontal bands (cell rows) their
-  y-range covers, a candidate pair joins its feature's edges on
+* every feature gets the grid level that fits its own extent: cells are powers
+  of two, between a quarter and a half of the longer side, so that a feature
+  covers at most 5 x 5 cells however much the layer's features differ in size;
+* candidates: features are fanned out to the cells that their bounding box
+  covers, each point to its one cell of every level present -> join on
+  (size, cx, cy), keep bbox hits;
+* refinement: edges are fanned out to the horizontal bands (a quarter of the
+  feature's cell) that their y-range covers, a candidate pair joins its feature's edges on
   (seq, band of the point) -> even-odd crossing count of a ray to +x, plus
   an exact on-edge test;
 * inside = odd crossings and not on an edge; ``min_by(feature_id, seq)``
   picks the first match per point.
 
-Holes and multi-part polygons fall out of the even-odd rule. The grid size
-defaults to 1/16 of the largest feature extent, so a feature covers at most
-17 x 17 cells.
+Holes and multi-part polygons fall out of the even-odd rule. ``seq`` must be
+unique over the whole layer (``read_features`` makes it so over many files).
 """
 
 from __future__ import annotations
@@ -49,45 +52,52 @@ def feature_edges(layer: DataFrame) -> DataFrame:
     return r.filter(F.size("ring") >= 2).select("seq", "feature_id", F.inline(edges))
 
 
-def default_cell(edges: DataFrame, cells_per_feature: int = 16) -> float:
-    """Grid size: largest feature extent / ``cells_per_feature`` (one scalar)."""
-    ext = edges.groupBy("seq").agg(
-        (F.greatest(F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2")),
-                    F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2")))).alias("e")
-    ).agg(F.max("e")).first()[0]
-    return float(ext) / cells_per_feature if ext else 1.0
+#: Least cell exponent: cells of 2^-30 units keep cell numbers in 64 bits.
+LEAST_LEVEL = -30
 
 
-def _cell(v, g):
-    return F.floor(v / F.lit(g)).cast("long")
+def _cell(v, size):
+    return F.floor(v / size).cast("long")
+
+
+def _boxes(edges: DataFrame, cell: float | None) -> DataFrame:
+    """(seq, feature_id, bounding box, size): a feature without extent holds no point and has no row."""
+    longer = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    level = F.greatest(F.ceil(F.log2(longer)) - 2, F.lit(LEAST_LEVEL))
+    size = F.lit(float(cell)) if cell else F.pow(F.lit(2.0), level.cast("double"))
+    return edges.groupBy("seq", "feature_id").agg(
+        F.min(F.least("x1", "x2")).alias("xmin"), F.max(F.greatest("x1", "x2")).alias("xmax"),
+        F.min(F.least("y1", "y2")).alias("ymin"), F.max(F.greatest("y1", "y2")).alias("ymax"),
+    ).filter(longer > 0).withColumn("size", size)
 
 
 def point_in_polygon(points: DataFrame, layer: DataFrame, x_col: str = "x", y_col: str = "y",
                      key_col: str = "point_id", cell: float | None = None) -> DataFrame:
     """(key, feature_id) for every point contained in some feature
-    (first in file order); points outside every feature get no row."""
+    (first in file order); points outside every feature get no row. ``cell``
+    puts all features on one grid of that size."""
     edges = feature_edges(layer)
-    g = cell or default_cell(edges)
-    bbox = edges.groupBy("seq", "feature_id").agg(
-        F.min(F.least("x1", "x2")).alias("xmin"), F.max(F.greatest("x1", "x2")).alias("xmax"),
-        F.min(F.least("y1", "y2")).alias("ymin"), F.max(F.greatest("y1", "y2")).alias("ymax"),
-    )
-    feat_cells = bbox.select(
-        "seq", "feature_id", "xmin", "xmax", "ymin", "ymax",
-        F.explode(F.sequence(_cell(F.col("xmin"), g), _cell(F.col("xmax"), g))).alias("cx"),
-    ).select("*", F.explode(F.sequence(_cell(F.col("ymin"), g), _cell(F.col("ymax"), g))).alias("cy"))
+    boxes = _boxes(edges, cell)
+    # the levels present: a double has some 2,000 exponents, real layers have a few
+    sizes = sorted(r[0] for r in boxes.select("size").distinct().collect())
+    feat_cells = boxes.select(
+        "*", F.explode(F.sequence(_cell(F.col("xmin"), F.col("size")), _cell(F.col("xmax"), F.col("size")))).alias("cx"),
+    ).select("*", F.explode(F.sequence(_cell(F.col("ymin"), F.col("size")), _cell(F.col("ymax"), F.col("size")))).alias("cy"))
     pts = points.select(F.col(key_col).alias("pid"), F.col(x_col).cast("double").alias("x"),
                         F.col(y_col).cast("double").alias("y")).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull())
-    pts = pts.select("*", _cell(F.col("x"), g).alias("cx"), _cell(F.col("y"), g).alias("cy"))
+    pts = pts.select("*", F.explode(F.lit(sizes).cast("array<double>") if sizes else F.array().cast("array<double>"))
+                     .alias("size"))
+    pts = pts.select("*", _cell(F.col("x"), F.col("size")).alias("cx"), _cell(F.col("y"), F.col("size")).alias("cy"))
     # Cell and band tables derive from the boundary layer alone (bounded by its
     # size, not by the number of points), so they are broadcast after a size check.
-    cand = pts.join(checked_broadcast(feat_cells), ["cx", "cy"]).filter(
+    band = F.col("size") / 4
+    cand = pts.join(checked_broadcast(feat_cells), ["size", "cx", "cy"]).filter(
         F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
-    ).select("pid", "x", "y", "seq", "feature_id", F.col("cy").alias("band"))
-    edge_bands = edges.select(
+    ).select("pid", "x", "y", "seq", "feature_id", _cell(F.col("y"), band).alias("band"))
+    edge_bands = edges.join(checked_broadcast(boxes.select("seq", "size")), "seq").select(
         "seq", "x1", "y1", "x2", "y2",
-        F.explode(F.sequence(_cell(F.least("y1", "y2"), g), _cell(F.greatest("y1", "y2"), g))).alias("band"),
+        F.explode(F.sequence(_cell(F.least("y1", "y2"), band), _cell(F.greatest("y1", "y2"), band))).alias("band"),
     )
     x, y = F.col("x"), F.col("y")
     x1, y1, x2, y2 = F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")

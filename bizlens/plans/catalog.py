@@ -565,6 +565,58 @@ def j5_pip_planning(spark, sf):
     return hits.withColumnRenamed("feature_id", "planning_area_id")
 
 
+#: Areas of one landed file.
+FILE_AREAS = 25
+#: Areas made of suppliers, their corners, and customers as points on a grid of quarter units.
+_AREAS_SQL = """
+WITH area AS (
+  SELECT s_suppkey AS k, s_suppkey * 4 AS x0,
+         CASE WHEN s_suppkey % 50 = 0 THEN 0 ELSE s_suppkey * 91 % 100 END AS y0,
+         CASE WHEN s_suppkey % 50 = 0 THEN 400 ELSE 1 + s_suppkey % 7 END AS w,
+         CASE WHEN s_suppkey % 50 = 0 THEN 100 ELSE 1 + s_suppkey % 11 END AS h FROM supplier),
+place AS (
+  SELECT c_custkey, (c_custkey * 16 // 15) / 4.0 AS x, (c_custkey * 104729 % 400) / 4.0 AS y FROM customer)"""
+
+
+def _write_areas(spark, sf) -> str:
+    """Land an area per supplier, every fiftieth a large one, in files of ``FILE_AREAS``."""
+    k = F.col("s_suppkey").cast("long")
+    large = k % 50 == 0
+    x0, y0 = k * 4, F.when(large, F.lit(0)).otherwise(k * 91 % 100)
+    x1 = x0 + F.when(large, F.lit(400)).otherwise(1 + k % 7)
+    y1 = y0 + F.when(large, F.lit(100)).otherwise(1 + k % 11)
+    ring = F.to_json(F.array(*[F.array(x, y) for x, y in [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"SUBZONE_C":"'), k.cast("string"),
+                       F.lit('"},"geometry":{"type":"Polygon","coordinates":['), ring, F.lit("]}}"))
+    root = shared_dir(spark, "areas")
+    # at most FILE_AREAS features per group
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), feature.alias("f")))), lambda x: x["f"])
+    tpch.table(spark, sf, "supplier").groupBy(
+        F.lpad(F.floor(k / FILE_AREAS).cast("string"), 12, "0").alias("file")
+    ).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}"))
+          .alias("value")).write.partitionBy("file").text(root)
+    return root
+
+
+@register("S3_layer_of_files", _AREAS_SQL + f"""
+SELECT (k // {FILE_AREAS} - min(k // {FILE_AREAS}) OVER ()) * 4294967296
+         + row_number() OVER (PARTITION BY k // {FILE_AREAS} ORDER BY k) - 1 AS seq,
+       CAST(k AS VARCHAR) AS feature_id FROM area""")
+def s3_layer_of_files(spark, sf):
+    return GJ.match_layer(GJ.read_features(spark, _write_areas(spark, sf)), GJ.SUBZONE_MATCH_KEYS).drop("geometry")
+
+
+@register("J5_areas_of_files", _AREAS_SQL + """
+SELECT c_custkey, CAST(min(k) AS VARCHAR) AS feature_id FROM place JOIN area
+ON x > x0 AND x < x0 + w AND y > y0 AND y < y0 + h GROUP BY c_custkey""")
+def j5_areas_of_files(spark, sf):
+    layer = GJ.match_layer(GJ.read_features(spark, _write_areas(spark, sf)), GJ.SUBZONE_MATCH_KEYS)
+    key = F.col("c_custkey").cast("long")
+    places = tpch.table(spark, sf, "customer").select(
+        "c_custkey", (F.floor(key * 16 / 15) / 4.0).alias("x"), (key * 104729 % 400 / 4.0).alias("y"))
+    return SP.point_in_polygon(places, layer, key_col="c_custkey")
+
+
 # ------------------------------------------------------------- pipelines ---
 
 

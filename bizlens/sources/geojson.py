@@ -1,15 +1,17 @@
 """S3: GeoJSON boundary layers -> dimension rows.
 
-A FeatureCollection becomes one row per feature with its file position
+A FeatureCollection becomes one row per feature with its place in the layer
 (``seq``), its properties as a string map and the geometry kept as JSON text.
-Files are read by Spark, values typed as in the file, wherever the file is.
+Files are read by Spark, values typed as in the file, wherever the file is. A
+layer may have many files: ``seq`` is the file's rank by path, times 2^32, plus
+the position in the file, so a layer of one file counts from 0.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PACKAGED_ZONES = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "data", "zones.geojson")
@@ -47,9 +49,15 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     """(seq, properties map<string,string>, geometry JSON text, falsy_keys) per
     feature; ``falsy_keys`` are those whose JSON value is null, false, zero or empty."""
     path = f"file://{path}" if path == PACKAGED_ZONES else path  # shipped with the package
-    raw = spark.read.schema(_FILE_SCHEMA).option("multiLine", True).json(path)
-    f = raw.select(F.posexplode("features").alias("seq", "f")).select(
-        F.col("seq").cast("long").alias("seq"),
+    # the list of files, without their contents; the listing on the driver bounds it
+    files = (
+        spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+        .select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("rank"))
+    )
+    raw = spark.read.schema(_FILE_SCHEMA).option("multiLine", True).json(path).select(
+        F.col("_metadata.file_path").alias("file"), "features")
+    f = raw.join(F.broadcast(files), "file").select("rank", F.posexplode("features").alias("pos", "f")).select(
+        (F.shiftleft("rank", 32) + F.col("pos")).alias("seq"),
         F.coalesce("f.properties", F.create_map().cast("map<string,variant>")).alias("p"), "f.geometry",
     )
     falsy = F.map_filter("p", lambda k, v: v.isNull() | F.to_json(v).rlike(r'^(null|false|-?0(\.0*)?([eE].*)?|""|\[\]|\{\})$'))

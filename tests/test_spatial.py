@@ -78,3 +78,51 @@ def test_falsy_ids_skipped_by_matcher_not_by_dim(spark, tmp_path):
     assert [r.subzone_id for r in subzone_dim(feats).orderBy("seq").collect()] == ["0", "0"]
     ids = [r.feature_id for r in match_layer(feats, SUBZONE_MATCH_KEYS).orderBy("seq").collect()]
     assert ids == ["ALT"]
+
+
+def _boxes_file(path, boxes):
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"SUBZONE_C": name}, "geometry": {"type": "Polygon", "coordinates": [
+            [[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]]}}
+        for name, x, y, w, h in boxes]}))
+
+
+def test_layer_of_many_files(spark, tmp_path):
+    # both files have a feature 0; a point on an edge of one lies inside the other
+    _boxes_file(tmp_path / "a.geojson", [("A0", 0, 0, 10, 10), ("A1", 50, 0, 10, 10)])
+    _boxes_file(tmp_path / "b.geojson", [("B0", 5, 10, 10, 10), ("B1", 8, 2, 10, 10), ("B2", 2, 5, 6, 10)])
+    feats = read_features(spark, str(tmp_path))
+    layer = match_layer(feats, SUBZONE_MATCH_KEYS)
+    assert [(r.seq >> 32, r.seq & 0xFFFFFFFF, r.feature_id) for r in layer.orderBy("seq").collect()] == [
+        (0, 0, "A0"), (0, 1, "A1"), (1, 0, "B0"), (1, 1, "B1"), (1, 2, "B2")]
+    pts = spark.createDataFrame([("edge", 6.0, 10.0), ("tie", 9.0, 5.0), ("far", 55.0, 5.0), ("none", 40.0, 5.0)],
+                                "point_id string, x double, y double")
+    got = dict(point_in_polygon(pts, layer).collect())
+    assert got == {"edge": "B2", "tie": "A0", "far": "A1"}
+
+
+def test_levels_of_very_different_sizes(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    boxes = [(f"s{k}", rng.randrange(240) / 4, rng.randrange(240) / 4, rng.choice([0.25, 1, 3]), rng.choice([0.5, 2]))
+             for k in range(1500)]
+    boxes.insert(700, ("huge", -1e6, -1e6, 2e6, 2e6))
+    boxes.insert(1200, ("tiny", 500.0, 500.0, 2.0**-40, 2.0**-40))
+    boxes.insert(3, ("flat", 1.0, 1.0, 0.0, 0.0))
+    _boxes_file(tmp_path / "z.geojson", boxes)
+    pts = [(k, rng.randrange(480) / 8, rng.randrange(480) / 8) for k in range(800)]
+    pts += [(-1, 500.0 + 2.0**-41, 500.0 + 2.0**-41), (-2, 2e7, 0.0), (-3, None, 1.0)]
+    layer = match_layer(read_features(spark, str(tmp_path)), SUBZONE_MATCH_KEYS)
+    got = dict(point_in_polygon(spark.createDataFrame(pts, "point_id long, x double, y double"), layer).collect())
+    want = {}
+    for k, px, py in pts:
+        for name, x, y, w, h in boxes:
+            if px is not None and x < px < x + w and y < py < y + h:
+                want[k] = name
+                break
+    assert got == want and len(set(want.values())) > 100 and "huge" in want.values()
+    assert point_in_polygon(spark.createDataFrame(pts, "point_id long, x double, y double"),
+                            layer.filter(F.lit(False))).collect() == []
