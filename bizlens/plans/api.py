@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bizlens.operators import analytics as A
 from bizlens.operators import filters as FL
+from bizlens.operators import windows as WN
 from bizlens.operators import questions as QN
 from bizlens.operators.name_index import NameIndex
 from bizlens.schema import DETAIL_COLUMNS, SEARCH_COLUMNS
@@ -42,21 +43,29 @@ def overview(fact: DataFrame, as_of, date_from=None, date_to=None, ssic=None, ss
 
 
 def trends(fact: DataFrame, as_of, date_from=None, date_to=None, ssic=None, ssic_category=None,
-           area=None, area_type="planning_area", categories=None, area_dim=None) -> DataFrame:
-    """Q2: (month, count) of new entities."""
+           area=None, area_type="planning_area", categories=None, area_dim=None,
+           rollups: WN.Rollups | None = None) -> DataFrame:
+    """Q2: (month, count) of new entities; with ``rollups``, whole months come from them."""
     lo, hi = FL.resolve_window(date_from, date_to, as_of, FL.DEFAULT_DAYS["trend"])
-    cond = FL.all_of(FL.date_between(lo, hi), _ssic_cond(ssic, ssic_category, categories),
-                     _area_cond(area, area_type, area_dim))
-    return A.count_by_month(fact, cond)
+    code, place = _ssic_cond(ssic, ssic_category, categories), _area_cond(area, area_type, area_dim)
+    if rollups is not None:
+        return WN.by_month(WN.count_in_keys(fact, rollups, lo, hi, [FL.MONTH_COL], {
+            FL.NORM_COL: code, FL.ALLOWED_AREA_TYPES.get(area_type): place}))
+    return A.count_by_month(fact, FL.all_of(FL.date_between(lo, hi), code, place))
 
 
 def top_ssic(fact: DataFrame, dim_ssic: DataFrame, as_of, date_from=None, date_to=None, ssic=None,
              ssic_category=None, area=None, area_type="planning_area", limit: int = 10,
-             categories=None, area_dim=None) -> DataFrame:
-    """Q3: (ssic_code, ssic_description, count), top ``limit`` codes."""
+             categories=None, area_dim=None, rollups: WN.Rollups | None = None) -> DataFrame:
+    """Q3: (ssic_code, ssic_description, count), top ``limit`` codes; with ``rollups``,
+    whole months come from them."""
     lo, hi = FL.resolve_window(date_from, date_to, as_of, FL.DEFAULT_DAYS["ranking"])
-    cond = FL.all_of(FL.date_between(lo, hi), _ssic_cond(ssic, ssic_category, categories),
-                     _area_cond(area, area_type, area_dim))
+    code, place = _ssic_cond(ssic, ssic_category, categories), _area_cond(area, area_type, area_dim)
+    if rollups is not None:
+        counts = WN.count_in_keys(fact, rollups, lo, hi, [FL.NORM_COL], {
+            FL.NORM_COL: code, FL.ALLOWED_AREA_TYPES.get(area_type): place})
+        return A.with_descriptions(WN.top_of(counts, FL.NORM_COL, limit, alias="ssic_code"), dim_ssic)
+    cond = FL.all_of(FL.date_between(lo, hi), code, place)
     return A.with_descriptions(A.top_by_key(fact, cond, "primary_ssic_norm", limit, alias="ssic_code"), dim_ssic)
 
 

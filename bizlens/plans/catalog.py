@@ -23,6 +23,7 @@ from bizlens.operators import questions as QN
 from bizlens.operators import rollups as RU
 from bizlens.operators import spatial as SP
 from bizlens.operators import taxonomy as TX
+from bizlens.operators import windows as WN
 from bizlens.operators.clean import clean_record as _clean_record
 from bizlens.plans import api as API
 from bizlens.plans import oracle_sql as O
@@ -397,6 +398,39 @@ def a4_top_subzones_in_area(spark, sf):
     return A.top_by_key(W.warehouse_fact(spark, sf), cond, "subzone_id", 10)
 
 
+#: A window that begins and ends inside a month: whole months from R1-R4, edge days from the fact.
+EDGED = (dt.date(1995, 3, 17), dt.date(1998, 8, 20))
+
+
+@register("Q2_trend_by_rollup", O.with_fact() + f"""
+SELECT registration_month AS month, count(*) AS count FROM fact
+WHERE {_w(*EDGED)} AND planning_area_id = 'ASIA' GROUP BY 1""")
+def q2_trend_by_rollup(spark, sf):
+    return API.trends(W.warehouse_fact(spark, sf), as_of=EDGED[1], date_from=EDGED[0], area="ASIA",
+                      rollups=W.rollups(spark, sf))
+
+
+@register("Q3_top_ssic_by_rollup", O.with_fact(O.SSIC_DIM) + f"""
+, top AS (
+  SELECT primary_ssic_norm AS ssic_code, count(*) AS count FROM fact
+  WHERE {_w(*EDGED)} AND planning_area_id = 'ASIA'
+  GROUP BY 1 ORDER BY count DESC, ssic_code ASC NULLS LAST LIMIT 10)
+SELECT t.ssic_code, d.ssic_description, t.count FROM top t
+LEFT JOIN (SELECT ssic_code, min(ssic_description) AS ssic_description FROM ssic_dim
+           WHERE ssic_code IS NOT NULL AND ssic_code <> '' GROUP BY 1) d ON t.ssic_code = d.ssic_code""")
+def q3_top_ssic_by_rollup(spark, sf):
+    return API.top_ssic(W.warehouse_fact(spark, sf), W.ssic_dim(spark, sf), as_of=EDGED[1], date_from=EDGED[0],
+                        area="ASIA", limit=10, rollups=W.rollups(spark, sf))
+
+
+@register("A4_top_subzones_by_rollup", O.with_fact() + f"""
+SELECT subzone_id, count(*) AS count FROM fact WHERE {_w(*EDGED)}
+GROUP BY 1 ORDER BY count DESC, subzone_id ASC NULLS LAST LIMIT 10""")
+def a4_top_subzones_by_rollup(spark, sf):
+    counts = WN.count_in_keys(W.warehouse_fact(spark, sf), W.rollups(spark, sf), *EDGED, ["subzone_id"])
+    return WN.top_of(counts, "subzone_id")
+
+
 @register("A1_count_in_window", O.with_fact() + f"""
 SELECT count(*) AS count FROM fact WHERE {_w(*YEAR_2000)} AND subzone_id = 'NATION_3'""")
 def a1_count_in_window(spark, sf):

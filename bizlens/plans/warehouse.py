@@ -16,6 +16,7 @@ from bizlens.functions.cleaning import normalize_na, normalize_ssic
 from bizlens.operators.clean import clean_for_load, clean_record
 from bizlens.operators.enrich import enrich_geo
 from bizlens.operators.name_index import NameIndex, write_name_index
+from bizlens.operators.windows import Rollups
 from bizlens.sources import tpch
 
 
@@ -130,6 +131,21 @@ def name_index(spark: SparkSession, sf_dir: str) -> NameIndex:
     return NameIndex(spark, _INDEXED[path], fact)
 
 
+_ROLLED: dict[str, str] = {}
+
+
+def rollups(spark: SparkSession, sf_dir: str) -> Rollups:
+    """R1-R4 of the materialised fact (written on first use)."""
+    from bizlens.session import shared_dir
+
+    fact, path = warehouse_fact(spark, sf_dir), warehouse_path(spark, sf_dir)
+    if path not in _ROLLED:
+        root = shared_dir(spark, "rollups")
+        Rollups(spark, root).write(fact)
+        _ROLLED[path] = root
+    return Rollups(spark, _ROLLED[path])
+
+
 def enriched_schema(spark: SparkSession, sf_dir: str):
     return spark.read.parquet(warehouse_path(spark, sf_dir)).schema
 
