@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from bizlens.functions.cleaning import yyyymm_of
 from bizlens.operators.filters import MONTH_COL, date_between
 from bizlens.operators.rollups import COUNT_COL, ROLLUP_KEYS, rollup
+from bizlens.session import cut_lineage
 
 CNT = "count"
 
@@ -52,6 +53,48 @@ class Rollups:
         return self.spark.read.parquet(f"{self.path}/{name}").select(*ROLLUP_KEYS[name], COUNT_COL)
 
 
+def geo_deltas(fact: DataFrame, new_geo: DataFrame, name: str) -> DataFrame:
+    """What new geo rows change in a rollup: minus each changed row's old keys, plus its new ones.
+
+    ``fact`` is the enriched fact before, ``new_geo`` has one row per postal code.
+    Rows are counted per key and postal code first, so a hot code is folded before the join.
+    """
+    keys = ROLLUP_KEYS[name]
+    geo_keys = [k for k in keys if k in ("subzone_id", "planning_area_id")]
+    old = fact.groupBy("postal_code", *keys).agg(F.count(F.lit(1)).alias("n"))
+    new = new_geo.select("postal_code", *[F.col(k).alias(f"new_{k}") for k in geo_keys])
+    hit = old.join(new, "postal_code")
+    plus = hit.select(*[F.col(f"new_{k}").alias(k) if k in geo_keys else F.col(k) for k in keys],
+                      F.col("n").alias(COUNT_COL))
+    return hit.select(*keys, (-F.col("n")).alias(COUNT_COL)).unionByName(plus).groupBy(*keys).agg(
+        F.sum(COUNT_COL).alias(COUNT_COL)).filter(F.col(COUNT_COL) != 0)
+
+
+def stage_refresh(rollups: Rollups, fact: DataFrame, new_geo: DataFrame, stage: str,
+                  names=("new_entities_monthly_by_subzone", "new_entities_monthly_by_planning_area",
+                         "top_ssic_by_area_month")) -> None:
+    """Write the corrected rows of every month that new geo rows change (R2-R4) to ``stage``."""
+    for name in names:
+        keys = ROLLUP_KEYS[name]
+        delta = cut_lineage(geo_deltas(fact, new_geo, name))
+        months = delta.select(F.col(MONTH_COL).alias("_month")).distinct()
+        old = rollups.read(name)
+        old = old.join(months, F.col(MONTH_COL).eqNullSafe(F.col("_month")), "left_semi")
+        old.unionByName(delta).groupBy(*keys).agg(F.sum(COUNT_COL).cast("long").alias(COUNT_COL)).filter(
+            F.col(COUNT_COL) != 0).hint("rebalance", MONTH_COL).write.partitionBy(MONTH_COL).parquet(f"{stage}/{name}")
+
+
+def apply_refresh(rollups: Rollups, stage: str,
+                  names=("new_entities_monthly_by_subzone", "new_entities_monthly_by_planning_area",
+                         "top_ssic_by_area_month")) -> None:
+    """Replace the staged months. The stage stays as it is, so a run that dies is repeated with the
+    same result; a month keeps its rows when geo changes, so none is left to delete."""
+    staged = Rollups(rollups.spark, stage)
+    for name in names:
+        staged.read(name).hint("rebalance", MONTH_COL).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(MONTH_COL).parquet(f"{rollups.path}/{name}")
+
+
 def count_in_keys(fact: DataFrame, rollups: Rollups, lo: _dt.date, hi: _dt.date, keys: list[str],
                   filters: dict[str, Column | None] | None = None) -> DataFrame:
     """(keys..., count) of the window; ``filters`` maps a column to the predicate on it."""

@@ -694,6 +694,23 @@ def t3_rollup_after_geo(spark, sf):
     return RU.rollup(fact, "new_entities_monthly_by_planning_area")
 
 
+@register("R4_refresh_by_deltas", _T3_SQL + """,
+geo2 AS (SELECT postal_code, subzone_id, planning_area_id FROM lgeo
+         UNION ALL SELECT postal_code, subzone_id, planning_area_id FROM newgeo)
+SELECT """ + O.month("r.registration_incorporation_date") + """ AS registration_month, g.planning_area_id,
+       r.primary_ssic_norm, count(*) AS new_entities
+FROM (SELECT registration_incorporation_date, postal_code, primary_ssic_norm FROM fact) r
+LEFT JOIN geo2 g ON r.postal_code = g.postal_code GROUP BY 1, 2, 3""")
+def r4_refresh_by_deltas(spark, sf):
+    fact = W.warehouse_fact(spark, sf)
+    name = "top_ssic_by_area_month"
+    rollups = WN.Rollups(spark, shared_dir(spark, "rollups-refreshed")).write(fact)
+    stage = shared_dir(spark, "rollups-stage")
+    WN.stage_refresh(rollups, fact, cut_lineage(_new_geo(spark, sf)), stage, [name])
+    WN.apply_refresh(rollups, stage, [name])
+    return rollups.read(name)
+
+
 # ------------------------------------------------------ sources (round trip) ---
 
 
