@@ -61,9 +61,17 @@ DIGITS = _python_digit_class()
 _ASCII = r"^[\x00-\x7F]*$"
 
 
+def _bare(c) -> Column:
+    """Whether a text begins and ends with a visible ASCII character."""
+    return F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+
+
 def strip_ws(c) -> Column:
-    """Strip leading/trailing Unicode whitespace (Python ``str.strip``)."""
-    return F.trim(_c(c), F.lit("".join(WHITESPACE)))
+    """Strip leading/trailing Unicode whitespace (Python ``str.strip``). Trimming a set
+    of characters costs far more than a look at both ends, which settles most values."""
+    c = _c(c)
+    spaces = F.trim(c)
+    return F.when(_bare(c), c).when(_bare(spaces), spaces).otherwise(F.trim(c, F.lit("".join(WHITESPACE))))
 
 
 def na_from_stripped(t) -> Column:
@@ -91,7 +99,9 @@ def postal_from_digits(d) -> Column:
 def ssic_from_na(t) -> Column:
     """P4 on an NA-normalised value (all characters isdigit() -> pad to 5)."""
     t = _c(t)
-    return F.when((F.length(t) < 5) & t.rlike(f"^[{DIGITS}]+$"), F.lpad(t, 5, "0")).otherwise(t)
+    # the large character class only for texts beyond ASCII
+    digits = t.rlike("^[0-9]+$") | (~t.rlike(_ASCII) & t.rlike(f"^[{DIGITS}]+$"))
+    return F.when((F.length(t) < 5) & digits, F.lpad(t, 5, "0")).otherwise(t)
 
 
 def _general_iso_date(t) -> Column:
@@ -131,7 +141,10 @@ def date_from_na(t) -> Column:
     t = _c(t)
     digits = F.replace(F.substr(t, F.lit(1), F.when(F.substring(t, 5, 1) == "-", 10).otherwise(8)), F.lit("-"), F.lit(""))
     common = F.when(~t.startswith("0000"), F.try_to_date(digits, "yyyyMMdd"))
-    return F.when(t.rlike(_FAST_ISO), common).otherwise(_general_iso_date(t))
+    # The long rule is kept out of the generated code, which would outgrow the JVM's
+    # method size and run uncompiled; it is called for the rarer forms alone.
+    general = F.get(F.transform(F.array(t), _general_iso_date), F.lit(0))
+    return F.when(t.rlike(_FAST_ISO), common).when(t.isNotNull(), general)
 
 
 # Single-expression forms (handy in ad-hoc selects). Bulk cleaning uses the
