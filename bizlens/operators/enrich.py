@@ -23,6 +23,10 @@ def latest_postal_geo(postal_geo: DataFrame) -> DataFrame:
     ).select("postal_code", *GEO_COLUMNS)
 
 
+#: Rows of the dim that may be broadcast: some 120 bytes each, 64 MB at most.
+MAX_BROADCAST_ROWS = 500_000
+
+
 def left_join_on_key(fact: DataFrame, dim: DataFrame, key: str, max_broadcast_bytes=None) -> DataFrame:
     """Left equi-join where NULL keys never match.
 
@@ -34,6 +38,9 @@ def left_join_on_key(fact: DataFrame, dim: DataFrame, key: str, max_broadcast_by
     """
     extra = [c for c in dim.columns if c != key]
     small = fits_broadcast(dim, max_broadcast_bytes)
+    if not small and max_broadcast_bytes is None:
+        # The estimate of a dim made by joins is their product, so its rows are counted.
+        small = dim.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     if small:
         return fact.join(F.broadcast(dim), key, "left")
     salted = F.coalesce(

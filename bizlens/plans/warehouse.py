@@ -73,6 +73,7 @@ def write_fact(df: DataFrame, path: str) -> None:
         # Point lookups (entity detail, UEN questions) push `uen = ...` to the
         # scan; a bloom filter lets it skip row groups the min/max cannot.
         .option("parquet.bloom.filter.enabled#uen", "true")
+        .option("compression", "zstd")
         .partitionBy("registration_month")
         .parquet(path)
     )
