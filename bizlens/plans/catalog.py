@@ -798,34 +798,40 @@ def _write_pages(spark, sf) -> str:
     root = shared_dir(spark, "api-pages")
     ext = tpch.registry_extract(spark, sf, with_order=True)
     key = F.expr("CAST(substring(uen, 1, length(uen) - 1) AS BIGINT)")
-    rec = F.create_map(*[x for c in KEEP_COLUMNS for x in (F.lit(c), F.col(c))],
-                       F.lit("extra_col"), F.lit("dropped"))
     # Records are listed in line order within a page (a page is at most 100
-    # order keys, so the per-page list is bounded).
+    # order keys, so the per-page list is bounded). They are grouped as plain
+    # values; the column names join them behind the shuffle.
     in_order = F.array_sort(
-        F.collect_list(F.struct(F.col("_ord").alias("o"), F.col("r"))),
+        F.collect_list(F.struct(F.col("_ord").alias("o"), *KEEP_COLUMNS)),
         lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0),
     )
+
+    def named(x):
+        return F.create_map(*[v for c in KEEP_COLUMNS for v in (F.lit(c), x[c])], F.lit("extra_col"), F.lit("dropped"))
+
     failed = (F.col("page") % 7 == 3) | (F.col("page") % 100).isin(0, 99)
+    resource = F.concat(F.lit("res"), (F.col("page") / 100).cast("long").cast("string")).alias("resource_id")
+    # dealt by page before they are listed: no task sorts lists of what it then sends on
+    placed = ext.withColumn("page", (key / 100).cast("long"))
     pages = (
-        ext.select((key / 100).cast("long").alias("page"), "_ord", rec.alias("r"))
-        .groupBy("page").agg(F.transform(in_order, lambda x: x["r"]).alias("records"))
+        placed.repartition("page").groupBy("page").agg(in_order.alias("listed"))
         .select(
-            F.concat(F.lit("res"), (F.col("page") / 100).cast("long").cast("string")).alias("resource_id"),
+            resource,
             ((F.col("page") % 100) * 1000).alias("offset"),
             F.when(failed & (F.col("page") % 2 == 1), F.lit(None).cast("boolean")).otherwise(~failed).alias("success"),
             F.when(failed, F.lit("HTTP 503")).alias("error"),
-            "records",
+            F.transform("listed", named).alias("records"),
         )
     )
-    totals = pages.groupBy("resource_id").agg(F.sum(F.size("records")).alias("total"))
+    # a resource's rows are counted without listing them
+    totals = placed.groupBy(resource).agg(F.count(F.lit(1)).alias("total"))
     closing = totals.select(
         "resource_id", F.lit(100_000).cast("long").alias("offset"), F.lit(True).alias("success"),
         F.lit(None).cast("string").alias("error"), F.slice(F.array(F.create_map(F.lit(""), F.lit(""))), 1, 0).alias("records"))
     pages.unionByName(closing).join(totals, "resource_id").select(
         "resource_id", "offset", "success", "error",
         F.struct(F.col("total").cast("long").alias("total"), "records").alias("result"),
-    ).write.json(root)
+    ).write.option("compression", "gzip").json(root)
     return root
 
 
