@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.cleaning import ssic_norm, yyyymm
 from bizlens.operators.dedup import latest_by_key
-from bizlens.plans.joins import fits_broadcast
+from bizlens.plans.joins import estimated_bytes, fits_broadcast
 from bizlens.schema import ENRICHED_COLUMNS, KEEP_COLUMNS
 
 GEO_COLUMNS = ["latitude", "longitude", "subzone_id", "planning_area_id"]
@@ -38,8 +38,8 @@ def left_join_on_key(fact: DataFrame, dim: DataFrame, key: str, max_broadcast_by
     """
     extra = [c for c in dim.columns if c != key]
     small = fits_broadcast(dim, max_broadcast_bytes)
-    if not small and max_broadcast_bytes is None:
-        # The estimate of a dim made by joins is their product, so its rows are counted.
+    if not small and max_broadcast_bytes is None and 0 <= estimated_bytes(dim) < 2**60:
+        # The estimate of a dim made by joins is their product, so its rows are counted (not of unknown size).
         small = dim.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     if small:
         return fact.join(F.broadcast(dim), key, "left")
