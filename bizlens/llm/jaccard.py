@@ -9,7 +9,11 @@ too few of them are dropped before any pair is made, so that words which meet by
 chance do not multiply. Pairs must share enough prefix shingles and pass the
 positional filter (what can still follow the last of them) and the suffix filter (an
 upper bound of the overlap from how many shingles lie in each of 32 sections of the
-hash range). What is left is verified once per pair on the whole sets.
+hash range). The last join splits both bounds at the shared shingle: before it only prefix
+shingles that some other set has can be common (not the edits of one copy), behind it
+no more than the sections of what is behind it allow. Copies of one text that are
+further from each other than a link allows so do not leave that join as pairs.
+What is left is verified once per pair on the whole sets.
 
 Rarity comes from counts over all documents in a fixed number of hash buckets:
 any one order is right, and frequent shingles stand out in their bucket. Equal sets
@@ -153,15 +157,23 @@ def postings_of(classes: DataFrame, percent: int) -> DataFrame:
     return kept
 
 
-def _alike_sections(x: str, y: str, n_x: str, n_y: str, percent: int) -> Column:
-    """Suffix filter: the overlap is at most the sum of the lesser section counts."""
+def _most_common(x: str, y: str, n_x: str, n_y: str) -> Column:
+    """What two sets can share by their section counts: the sum of the lesser ones."""
     least_n = F.least(n_x, n_y)
     least = lambda p, q: F.when((p == _FULL) & (q == _FULL), least_n).otherwise(F.least(p, q).cast("int"))
-    overlap = F.aggregate(F.zip_with(x, y, least), F.lit(0), lambda acc, v: acc + v)
-    # overlap >= t / (1 + t) * total
+    return F.aggregate(F.zip_with(x, y, least), F.lit(0), lambda acc, v: acc + v)
+
+
+def _enough(overlap: Column, n_x: str, n_y: str, percent: int) -> Column:
+    """overlap >= t / (1 + t) * total"""
     return (100 + percent) * overlap >= percent * (F.col(n_x) + F.col(n_y))
 
 
+def _alike_sections(x: str, y: str, n_x: str, n_y: str, percent: int) -> Column:
+    """Suffix filter: the overlap is at most the sum of the lesser section counts."""
+    return _enough(_most_common(x, y, n_x, n_y), n_x, n_y, percent)
+
+
 def may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """a, b, ka, da, kb, db of those pairs (a, b) that pass the suffix filter."""
     side = lambda c: traits.select(
@@ -242,7 +254,7 @@ def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -
             return links
         current = current.join(open_, "h", "left_semi")
         last = merged is not None and merged < HUB_YIELD * sets
-        pairs = _all_pairs(current, traits, percent) if last else _hub_pairs(current, percent, rounds)
+        pairs = _all_pairs(current, classes, percent) if last else _hub_pairs(current, percent, rounds)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(may_link(pairs, traits, percent), "pairs")
@@ -298,31 +310,73 @@ def _hub_pairs(postings: DataFrame, percent: int, round_: int) -> DataFrame:
     return best.select(F.least("cid", "b.hub").alias("a"), F.greatest("cid", "b.hub").alias("b")).distinct()
 
 
-def _all_pairs(postings: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
-    """Every pair across components with enough common prefix shingles, by the length
-    filter, the suffix filter and the positional filter.
+def _placed(postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """postings with ``rank``, a set's postings before this one, and ``behind``, the
+    section counts of all its shingles behind this one (in or after the prefix)."""
+
+    def make():
+        def step(batch):
+            kept, found, ranks, behind = [], [], [], []
+            columns = [batch.column(k) for k in (3, 4, 5)]
+            for k, (prefix, sections, at) in enumerate(zip(*columns)):
+                prefix = prefix.values.to_numpy().view(np.uint64)
+                sections = sections.values.to_numpy().astype(np.int32)
+                at = np.sort(at.values.to_numpy())
+                passed = np.zeros((len(prefix), SECTIONS), np.int32)
+                passed[np.arange(len(prefix)), (prefix >> np.uint64(59)).astype(np.int64)] = 1
+                left = np.where(sections < _FULL, sections - passed.cumsum(axis=0)[at], _FULL)
+                kept.append(np.full(len(at), k))
+                found.append((prefix[at].view(np.int64), at))
+                ranks.append(np.arange(len(at)))
+                behind.append(left.astype(np.int16))
+            rows = pa.array(np.concatenate(kept))
+            h, pos = (np.concatenate(x) for x in zip(*found))
+            ends = np.arange(0, SECTIONS * len(rows) + 1, SECTIONS, dtype=np.int32)
+            behind = pa.ListArray.from_arrays(ends, np.concatenate(behind).ravel())
+            same = [batch.column(k).take(rows) for k in range(3)]
+            return [*same, pa.array(h), pa.array(pos), pa.array(np.concatenate(ranks)), behind]
+
+        return step
+
+    # a set's positions are at most its prefix
+    held = postings.groupBy("cid", "component").agg(F.collect_list("pos").alias("at"))
+    rows = held.join(classes.select("cid", "n", "prefix", "sections"), "cid")
+    schema = "cid long, component long, n int, h long, pos int, rank int, behind array<short>"
+    return map_batches(rows.select("cid", "component", "n", "prefix", "sections", "at"), schema, make)
 
-    A shared shingle of a linked pair has at most min(positions) common ones before
-    it and the rest of either set behind it, so all of its shared shingles stay in the
-    join and are counted; then the last of them bounds what can follow."""
-    columns = ("cid", "n", "pos", "component", "sections")
-    held = postings.join(traits.select("cid", "sections"), "cid")
+
+def _meetings(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """A row for each prefix shingle that two sets of different components share, by the
+    length filter, the suffix filter and the positional filter.
+
+    A shared shingle of a linked pair has at most min(ranks) common ones before it (what
+    comes before it in either set is in the prefix, and common ones have postings of both)
+    and, behind it, what the rest of either set allows. So all of its shared shingles
+    stay in the join."""
+    columns = ("cid", "n", "pos", "component", "rank", "behind")
+    held = _placed(postings, classes)
     one = lambda n: held.select("h", *[F.col(c).alias(f"{c}_{n}") for c in columns])
     across = (F.col("cid_x") < F.col("cid_y")) & (F.col("component_x") != F.col("component_y"))
-    around = F.expr("least(pos_x, pos_y) + 1 + least(n_x - pos_x - 1, n_y - pos_y - 1)")
+    before = F.expr("least(rank_x, rank_y) + 1")
+    rest = F.expr("least(n_x - pos_x - 1, n_y - pos_y - 1)")
     may = (
         _fitting_lengths("n_x", "n_y", percent)
-        & ((100 + percent) * around >= percent * (F.col("n_x") + F.col("n_y")))
-        & _alike_sections("sections_x", "sections_y", "n_x", "n_y", percent)
+        & _enough(before + rest, "n_x", "n_y", percent)
+        & _enough(before + _most_common("behind_x", "behind_y", "n_x", "n_y"), "n_x", "n_y", percent)
     )
     left, right = one("x"), one("y").withColumnRenamed("h", "h2")
-    joined = left.join(right, (F.col("h") == F.col("h2")) & across & may)
-    shared = joined.groupBy(F.col("cid_x").alias("a"), F.col("cid_y").alias("b"), "n_x", "n_y").agg(
+    return left.join(right, (F.col("h") == F.col("h2")) & across & may)
+
+
+def _all_pairs(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Every pair across components with enough common prefix shingles: they are counted,
+    and the last of them bounds what can follow."""
+    shared = _meetings(postings, classes, percent).groupBy(F.col("cid_x").alias("a"), F.col("cid_y").alias("b"), "n_x", "n_y").agg(
         F.count("*").alias("c"), F.max("pos_x").alias("last_x"), F.max("pos_y").alias("last_y")
     )
     smaller = shared.withColumn("n", F.least("n_x", "n_y"))
     behind = F.least(F.expr("n_x - last_x - 1"), F.expr("n_y - last_y - 1"))
-    enough = (100 + percent) * (F.col("c") + behind) >= percent * (F.col("n_x") + F.col("n_y"))
+    enough = _enough(F.col("c") + behind, "n_x", "n_y", percent)
     return smaller.where((F.col("c") >= _common("n", percent)) & enough).select("a", "b")
 
 

@@ -44,6 +44,30 @@ def test_one_hub_round(spark, monkeypatch):
     _check(spark, _rows(7), 4, 85)
 
 
+def test_far_copies_of_one_text_do_not_meet(spark, monkeypatch):
+    rng = random.Random(13)
+    base, rows = [f"w{k}" for k in range(140)], []
+    for n in range(60):  # about 0.8 of the original's shingles and 0.6 of each other's
+        copy = list(base)
+        for k in rng.sample(range(0, 140, 5), 4):
+            copy[k] = f"x{n}-{k}"
+        rows.append((n, " ".join(copy)))
+    # a pair that the last join must find
+    rows += [(100, " ".join(f"y{k}" for k in range(140))), (101, " ".join(f"y{k}" for k in range(139)))]
+    met, meetings = [], jaccard._meetings
+
+    def counted(*args):
+        joined = meetings(*args)
+        met.append(joined.count())
+        return joined
+
+    monkeypatch.setattr(jaccard, "_meetings", counted)
+    monkeypatch.setattr(jaccard, "HUB_YIELD", 1e9)
+    monkeypatch.setattr(jaccard, "_hub_pairs", lambda postings, *_: postings.selectExpr("cid AS a", "cid AS b").limit(0))
+    _check(spark, rows, 4, 85)
+    assert len(met) == 1 and met[0] < 60 * 59 // 2  # less than once per pair; it was about 13 times
+
+
 def test_linked_sets_share_enough_prefix_shingles():
     rng = random.Random(11)
     for percent in (80, 85):
