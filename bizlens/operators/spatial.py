@@ -56,6 +56,10 @@ def feature_edges(layer: DataFrame) -> DataFrame:
 LEAST_LEVEL = -30
 
 
+#: Cells that may be broadcast, counted: rows of some 100 bytes, 10 MB.
+MAX_BROADCAST_CELLS = 100_000
+
+
 def _cell(v, size):
     return F.floor(v / size).cast("long")
 
@@ -79,7 +83,9 @@ def point_in_polygon(points: DataFrame, layer: DataFrame, x_col: str = "x", y_co
     edges = feature_edges(layer)
     boxes = _boxes(edges, cell)
     # the levels present: a double has some 2,000 exponents, real layers have a few
-    sizes = sorted(r[0] for r in boxes.select("size").distinct().collect())
+    span = lambda lo, hi: _cell(F.col(hi), F.col("size")) - _cell(F.col(lo), F.col("size")) + 1
+    levels = boxes.groupBy("size").agg(F.sum(span("xmin", "xmax") * span("ymin", "ymax")).alias("n")).collect()
+    sizes = sorted(r["size"] for r in levels)
     feat_cells = boxes.select(
         "*", F.explode(F.sequence(_cell(F.col("xmin"), F.col("size")), _cell(F.col("xmax"), F.col("size")))).alias("cx"),
     ).select("*", F.explode(F.sequence(_cell(F.col("ymin"), F.col("size")), _cell(F.col("ymax"), F.col("size")))).alias("cy"))
@@ -89,10 +95,14 @@ def point_in_polygon(points: DataFrame, layer: DataFrame, x_col: str = "x", y_co
     pts = pts.select("*", F.explode(F.lit(sizes).cast("array<double>") if sizes else F.array().cast("array<double>"))
                      .alias("size"))
     pts = pts.select("*", _cell(F.col("x"), F.col("size")).alias("cx"), _cell(F.col("y"), F.col("size")).alias("cy"))
-    # Cell and band tables derive from the boundary layer alone (bounded by its
-    # size, not by the number of points), so they are broadcast after a size check.
+    # A layer of few cells goes to the points. Otherwise neither side may be broadcast: a
+    # point has a row per level, which the planner's estimate (the points' files) does not show.
     band = F.col("size") / 4
-    cand = pts.join(checked_broadcast(feat_cells), ["size", "cx", "cy"]).filter(
+    if sum(r["n"] or 0 for r in levels) <= MAX_BROADCAST_CELLS:
+        met = pts.join(F.broadcast(feat_cells), ["size", "cx", "cy"])
+    else:
+        met = pts.hint("merge").join(feat_cells, ["size", "cx", "cy"])
+    cand = met.filter(
         F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
     ).select("pid", "x", "y", "seq", "feature_id", _cell(F.col("y"), band).alias("band"))
     edge_bands = edges.join(checked_broadcast(boxes.select("seq", "size")), "seq").select(

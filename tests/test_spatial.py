@@ -126,3 +126,23 @@ def test_levels_of_very_different_sizes(spark, tmp_path):
     assert got == want and len(set(want.values())) > 100 and "huge" in want.values()
     assert point_in_polygon(spark.createDataFrame(pts, "point_id long, x double, y double"),
                             layer.filter(F.lit(False))).collect() == []
+
+
+def test_points_of_a_large_layer_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from bizlens.operators import spatial
+
+    _boxes_file(tmp_path / "z.geojson", [("a", 0, 0, 2, 2), ("b", 1, 1, 4, 4), ("c", 90, 90, 64, 64)])
+    layer = match_layer(read_features(spark, str(tmp_path / "z.geojson")), SUBZONE_MATCH_KEYS)
+    spark.createDataFrame([(1, 1.5, 1.5), (2, 3.0, 3.0), (3, 99.0, 95.0), (4, 50.0, 50.0)],
+                          "point_id long, x double, y double").write.parquet(str(tmp_path / "p"))
+    pts = spark.read.parquet(str(tmp_path / "p"))
+
+    def joins():
+        found = spatial.point_in_polygon(pts, layer)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert dict(found.collect()) == {1: "a", 2: "b", 3: "c"}
+        return [line for line in plan.splitlines() if "Join" in line and "cx" in line]
+
+    assert "BroadcastHashJoin" in joins()[0]
+    monkeypatch.setattr(spatial, "MAX_BROADCAST_CELLS", 0)
+    assert "SortMergeJoin" in joins()[0]
