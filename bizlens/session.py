@@ -51,7 +51,13 @@ SCALE_CONF = {
 }
 
 # Runtime SQL settings applied to a caller's session when still at Spark's default.
-RUNTIME_TUNING = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
+# A task sorts or aggregates a whole (coalesced) shuffle partition: 64 MB of compressed
+# narrow rows are some millions of rows, so Spark's default would let a task's memory
+# grow with the table up to gigabytes.
+RUNTIME_TUNING = {
+    "spark.sql.codegen.hugeMethodLimit": ("65535", "8000"),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("64MB", "16MB"),
+}
 
 
 def tune(spark: SparkSession) -> None:

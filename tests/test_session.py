@@ -32,6 +32,20 @@ def test_exploded_rows_are_not_trusted(spark, tmp_path):
     assert "broadcast" not in _plan(checked_broadcast(grown)).lower()
 
 
+def test_tuned_shuffle_partitions_are_small(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        tune(spark)
+        assert spark.conf.get(key) == "16MB"
+        spark.conf.set(key, "256MB")
+        tune(spark)
+        assert spark.conf.get(key) == "256MB"
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_tune_only_touches_defaults(spark):
     key = "spark.sql.codegen.hugeMethodLimit"
     old = spark.conf.get(key)
