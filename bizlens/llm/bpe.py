@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import as_bytes, as_text, map_batches, table
+from bizlens.llm.common import as_bytes, as_text, kept_by, map_batches, table
 from bizlens.llm.token_counts import CACHED_CHARS, WHITE, byte_symbols, merge_list, tokenizer_path
 
 #: The pre-split pattern of word_bpe_49k.json (fixed value).
@@ -259,7 +259,7 @@ class WordBpe:
         return " ".join([label[i] for i in memoryview(ids).cast("I")]) if ids else ""
 
 
-_CODERS: dict[str, WordBpe] = {}
+_CODERS: dict[str, WordBpe] = kept_by(__name__)
 
 
 def coder(path: str) -> WordBpe:

@@ -7,6 +7,7 @@ beyond ASCII never contains an ASCII byte.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -73,6 +74,24 @@ def sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by(owner: str) -> dict:
+    """A dict that a worker keeps between the tasks of one operator (by module name)."""
+    return _KEPT.setdefault(owner, {})
+
+
+def forget_others(owner: str) -> None:
+    """Drop what this worker keeps for operators before ``owner``: Spark gives a worker
+    to one operator after the other, and each one's tables would add up."""
+    others = [held for name, held in _KEPT.items() if name != owner and held]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()
+
+
 def map_batches(
     df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]]
 ) -> DataFrame:
@@ -87,6 +106,7 @@ def map_batches(
     arrow = to_arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(make.__module__)
         step = make()
         for batch in (b for whole in batches for b in sliced(whole)):
             columns = step(batch)
@@ -107,6 +127,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(make.__module__)
         step = make()
         for batch in (b for whole in batches for b in sliced(whole)):
             yield batch.filter(pa.array(step(batch), pa.bool_()))
@@ -170,7 +191,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps: it does so once the driver
     has collected the frames that used them."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import ALNUM, as_bytes, as_text, cut_lineage, keep_rows, map_batches
+from bizlens.llm.common import ALNUM, as_bytes, as_text, cut_lineage, keep_rows, kept_by, map_batches
 
 WINDOW = 10
 #: Words of benchmark text per automaton: about ten trie nodes each, some 100 MB.
@@ -170,7 +170,7 @@ def _gather(frame: DataFrame, items: list, window: int) -> DataFrame:
     )
 
 
-_BUILT: dict = {}
+_BUILT: dict = kept_by(__name__)
 
 
 def _automaton(items: list, window: int) -> ItemAutomaton:

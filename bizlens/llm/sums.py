@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import as_text, ship, sliced
+from bizlens.llm.common import as_text, forget_others, ship, sliced
 
 #: Entries per piece of a vector, and tasks that add up a piece's first sums.
 PIECE = 1 << 16
@@ -58,6 +58,7 @@ def summed_vectors(
     ship(frame.sparkSession)
 
     def run(batches):
+        forget_others(vector.__module__)
         total, rows = np.zeros(size, np.int64), 0
         for b in (part for whole in batches for part in sliced(whole)):
             values = as_text(b.column(0))

@@ -23,7 +23,7 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import as_text, map_batches, table
+from bizlens.llm.common import as_text, kept_by, map_batches, table
 
 #: Pieces longer than this are counted anew each time, to bound the cache.
 CACHED_CHARS = 64
@@ -181,7 +181,7 @@ class _Counts(dict):
         return n
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
+_COUNTERS: dict[str, TokenCounter] = kept_by(__name__)
 
 
 def counter(path: str) -> TokenCounter:

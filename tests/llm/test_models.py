@@ -124,3 +124,21 @@ def test_pipeline_import_errors_are_not_hidden():
     source = open(corpus_pipeline.__file__).read()
     assert "except" not in source and jaccard is not None
     pytest.importorskip("tokenizers")
+
+
+def test_worker_drops_tables_of_the_operator_before():
+    from bizlens.llm import bpe, decontaminate
+    from bizlens.llm.common import forget_others
+
+    held = (bpe._CODERS, decontaminate._BUILT)
+    before = [dict(h) for h in held]
+    try:
+        bpe._CODERS["a"] = decontaminate._BUILT["b"] = object()
+        forget_others(bpe.__name__)
+        assert "a" in bpe._CODERS and not decontaminate._BUILT
+        forget_others("bizlens.llm.quality")
+        assert not bpe._CODERS
+    finally:
+        for h, old in zip(held, before):
+            h.clear()
+            h.update(old)
