@@ -18,7 +18,8 @@ emits the labels of the arcs.
 Words are pre-split (normalised to NFC, lower-cased, cut by the file's pattern).
 Per worker, stretches between white space, words and arcs are kept in two
 generations each: a full table becomes the old one, which is asked before
-anything is worked out anew, and the older one goes.
+anything is worked out anew, and the older one goes. Decoding holds the labels
+only, no automaton.
 
 Defined cases: null or empty text has no ids and decodes to the empty string;
 special strings inside a text are one id each; repeated rows are encoded one by
@@ -173,6 +174,20 @@ class MergeAutomaton:
         return path[::-1]
 
 
+class WordLabels:
+    """Decoder of a word-end BPE file: the labels of its ids and nothing else."""
+
+    def __init__(self, spec: dict) -> None:
+        self.label = {i: t for t, i in spec["model"]["vocab"].items()}
+        self.label |= {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+    def decode(self, ids: bytes | None) -> str:
+        """The labels of the ids, one space between two, as the library gives them
+        for a file without decoder."""
+        label = self.label
+        return " ".join([label[i] for i in memoryview(ids).cast("I")]) if ids else ""
+
+
 class WordBpe:
     """Encoder and decoder of a word-end BPE file."""
 
@@ -196,7 +211,7 @@ class WordBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, cut)) + ")") if cut else None
         self.word = regex.compile(WORD)
         self.space = re.compile(f"[{WHITE}]+")
-        self.label = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
+        self.decode = WordLabels(spec).decode
         self.ids = [self.vocab.get(label, -1) for label in self.automaton.labels]
         self.words = Recent()
         self.known = Recent()
@@ -252,14 +267,8 @@ class WordBpe:
         ids = b"".join(parts)
         return ids, len(ids) // 4
 
-    def decode(self, ids: bytes | None) -> str:
-        """The labels of the ids, one space between two, as the library gives them
-        for a file without decoder."""
-        label = self.label
-        return " ".join([label[i] for i in memoryview(ids).cast("I")]) if ids else ""
 
-
-_CODERS: dict[str, WordBpe] = kept_by(__name__)
+_CODERS: dict[str, WordBpe | WordLabels] = kept_by(__name__)
 
 
 def coder(path: str) -> WordBpe:
@@ -268,6 +277,14 @@ def coder(path: str) -> WordBpe:
     return _CODERS[path]
 
 
+def labels(path: str) -> WordLabels:
+    key = f"labels:{path}"
+    if key not in _CODERS:
+        with open(path, encoding="utf-8") as f:
+            _CODERS[key] = WordLabels(json.load(f))
+    return _CODERS[key]
+
+
 def encode(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers)."""
 
@@ -287,7 +304,7 @@ def decode(encoded: DataFrame, name: str = "word_bpe_49k.json", path: str | None
     """doc_id, n_tokens, ids and decoded: the text that the ids stand for."""
 
     def make():
-        run = coder(path or tokenizer_path(name)).decode
+        run = labels(path or tokenizer_path(name)).decode
 
         def step(batch):
             return [*batch.columns, [run(b) for b in as_bytes(batch.column(2))]]

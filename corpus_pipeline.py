@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bizlens.llm import bpe, decontaminate, jaccard, pii, quality
-from bizlens.llm.common import shared_dir, table
+from bizlens.llm.common import shared_dir, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,9 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text that is left, and the text they decode to."""
-    return bpe.decode(bpe.encode(docs))
+    """Token ids of every text that is left, and the text they decode to. The ids are
+    written in between: in one stage each core would hold two Python workers."""
+    return bpe.decode(stored(bpe.encode(docs), "bpe-ids"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

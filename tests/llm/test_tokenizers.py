@@ -62,3 +62,21 @@ def test_automaton_and_heap_against_plain_merging():
             want = _lowest_rank_first(word, merges)
             assert [automaton.labels[s] for s in automaton.walk(word)] == want, (merges, word)
             assert heap.count(bytes("abc".index(c) for c in word)) == len(want)
+
+
+def test_decoding_holds_labels_only_and_one_python_worker_a_core(spark):
+    """The pipeline's last stage pairs no encoder with a decoder in one stage, and what
+    decodes holds no automaton."""
+    import corpus_pipeline
+
+    text = "Größe and tokens <|endoftext|> 42"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    out = corpus_pipeline.bpe_round_trip(spark, docs, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, labels = bpe.WordBpe(path), bpe.labels(path)
+    assert not hasattr(labels, "automaton")
+    got = {r.doc_id: r for r in out.collect()}
+    ids, n = coder.encode(text)
+    assert (bytes(got[1].ids), got[1].n_tokens, got[1].decoded) == (ids, n, coder.decode(ids))
+    assert labels.decode(ids) == coder.decode(ids) and got[2].decoded == got[3].decoded == ""
