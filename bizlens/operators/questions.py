@@ -12,9 +12,11 @@ from running totals:
    code or area within a ranking's scope -- partial aggregates, so hot keys fold
    map-side;
 3. each of these series is summed up over its spans (at most a calendar of them);
-4. a slot joins the totals on (scope, day) only, and a count is the total at
-   the end minus the total before the begin: rows joined do not depend on the
-   length of the range;
+4. a count is the total at the end minus the total before the begin: rows joined do not
+   depend on the length of the range. A series by month is probed at the days its slots
+   need and joined on (scope, day). A ranking's members stay where their spans were
+   summed up: a total holds until the member's next span, so the days and slots of the
+   scope, broadcast, find it there, and only the top of each task is shuffled;
 5. per-intent group-bys and top-k per slot produce the answer rows.
 """
 
@@ -33,7 +35,7 @@ from bizlens.session import cut_lineage
 _WITH_SSIC = [QF.COMPARE_AREAS, QF.HOTTEST_AREAS_FOR_INDUSTRY, QF.EXPLAIN_CHANGE, QF.NEW_ENTITIES_TREND]
 _WITH_AREA = [QF.TOP_INDUSTRIES_IN_AREA, QF.EXPLAIN_CHANGE, QF.NEW_ENTITIES_TREND]
 
-TOPK_BUCKETS = 64
+TOP = 10
 # Scopes that may be broadcast: rows of some 200 bytes, 64 MB at most.
 MAX_BROADCAST_SCOPES = 300_000
 
@@ -121,7 +123,7 @@ def _scopes(slots: DataFrame) -> DataFrame:
         .otherwise(F.array(F.lit(_ANY)))
     )
     return s.select(
-        "slot_id", "intent", "start_date", "end_date", kind.alias("kind"),
+        "slot", "intent", "start_date", "end_date", kind.alias("kind"),
         F.explode(area_keys).alias("area_key"),
         F.coalesce(_key(F.col("ssic")), F.lit(_ANY)).alias("prefix_key"),
     )
@@ -144,8 +146,8 @@ def _points(scopes: DataFrame) -> DataFrame:
         F.struct(F.date_sub("span.lo", 1).alias("day"), F.lit(-1).alias("sign")),
     )
     return spans.select(
-        "slot_id", "intent", *_SCOPE, F.col("span.month").alias("month"), F.explode(ends).alias("end")
-    ).select("slot_id", "intent", *_SCOPE, "month", "end.day", "end.sign")
+        "slot", "intent", *_SCOPE, F.col("span.month").alias("month"), F.explode(ends).alias("end")
+    ).select("slot", "intent", *_SCOPE, "month", "end.day", "end.sign")
 
 
 def _calendar(spark, days: list[_dt.date]) -> DataFrame:
@@ -157,10 +159,11 @@ def _calendar(spark, days: list[_dt.date]) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "on date, day date"))
 
 
-def _spans(fact: DataFrame, wanted: DataFrame, days: dict[str, set], small: bool) -> DataFrame:
+def _spans(fact: DataFrame, wanted: DataFrame, days: dict[str, set], small: bool) -> tuple[DataFrame, DataFrame]:
     """Counts per span (named by its last day) of every wanted scope and of each member
-    that it ranks. Keys that nobody asks for are dropped before anything is shuffled.
-    ``days``: what the slots of a kind need; ``small``: the scopes may be broadcast."""
+    that it ranks: (series and areas, codes). Keys that nobody asks for are dropped before
+    anything is shuffled. ``days``: what the slots of a kind need; ``small``: the scopes
+    may be broadcast."""
     def asked(kinds, *columns):
         found = wanted.filter(F.col("kind").isin(kinds)).select(*columns)
         return F.broadcast(found) if small else found
@@ -189,31 +192,55 @@ def _spans(fact: DataFrame, wanted: DataFrame, days: dict[str, set], small: bool
     codes = dated([_CODES]).select("day", areas, F.col("norm").alias("member"))
     codes = codes.join(asked([_CODES], "area_key"), "area_key", "left_semi")
     codes = codes.groupBy("area_key", "member", "day").agg(F.count(F.lit(1)).alias("n"))
-    return both.unionByName(codes.select(
-        F.lit(_CODES).alias("kind"), "area_key", F.lit(_ANY).alias("prefix_key"), "member", "day", "n"))
+    return both, codes
 
 
 def _totals(spans: DataFrame, points: DataFrame) -> DataFrame:
-    """(scope, member, day, total): the running total of each series at every day that
-    some slot needs."""
+    """(scope, day, total): the running total of each series at every day that some slot
+    needs."""
     days = points.select(*_SCOPE, "day").distinct()
-    members = spans.select(*_SCOPE, "member").distinct()
-    probes = members.join(days, _SCOPE).select(*_SCOPE, "member", "day", F.lit(0).cast("long").alias("n"),
-                                               F.lit(True).alias("probe"))
-    both = spans.select(*_SCOPE, "member", "day", "n", F.lit(False).alias("probe")).unionByName(probes)
+    found = spans.select(*_SCOPE).distinct()
+    probes = found.join(days, _SCOPE).select(*_SCOPE, "day", F.lit(0).cast("long").alias("n"),
+                                             F.lit(True).alias("probe"))
+    both = spans.select(*_SCOPE, "day", "n", F.lit(False).alias("probe")).unionByName(probes)
     # one series: at most a calendar of spans and one of days asked for
-    w = Window.partitionBy(*_SCOPE, "member").orderBy("day", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*_SCOPE).orderBy("day", "probe").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("total", F.sum("n").over(w)).filter("probe").drop("n", "probe")
 
 
+def _ranked(spans: DataFrame, points: DataFrame, key: str, small: bool) -> DataFrame:
+    """(slot, member, count, row_no): the top members of each slot. ``spans``: (key,
+    member, day, n); ``key`` tells the scopes of the kind apart; ``small``: the points may
+    be broadcast. A member's totals are made, found and subtracted in one task: a total
+    holds from its span's day until the next one, so no day is probed for a member."""
+    def asked(rows):
+        return F.broadcast(rows) if small else rows
+
+    w = Window.partitionBy(key, "member").orderBy("day")
+    totals = spans.select(
+        key, "member", F.col("day").alias("since"), F.lead("day").over(w).alias("until"),
+        F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    holds = (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
+    days = points.select(F.col(key).alias("_k"), "day").distinct()
+    at = totals.join(asked(days), (F.col(key) == F.col("_k")) & holds).drop("_k", "since", "until")
+    ends = points.select(F.col(key).alias("_k"), F.col("day").alias("_d"), "slot", "sign")
+    hits = at.join(asked(ends), (F.col(key) == F.col("_k")) & (F.col("day") == F.col("_d")))
+    counts = hits.groupBy(key, "member", "slot").agg(
+        F.sum(F.col("sign") * F.col("total")).alias("count")).filter("count > 0")
+    # Spark keeps the first TOP per slot of each task before it shuffles for this window.
+    top = Window.partitionBy("slot").orderBy(F.col("count").desc(), F.col("member").asc_nulls_last())
+    return counts.drop(key).withColumn("row_no", F.row_number().over(top)).filter(F.col("row_no") <= TOP)
+
+
 def answer_rows(parsed: DataFrame, fact: DataFrame) -> DataFrame:
     """N9..N12, N14, N16: one row per (question, answer row):
     (question_id, intent, row_no, month, planning_area_id, ssic_code, count).
     """
-    with_id = parsed.filter(F.col("error").isNull() & (F.col("intent") != QF.ENTITY_LOOKUP)).withColumn(
-        "slot_id", _slot_id()
-    )
-    slots = cut_lineage(with_id.select("slot_id", *SLOT_COLUMNS).distinct())
+    with_id = cut_lineage(parsed.filter(
+        F.col("error").isNull() & (F.col("intent") != QF.ENTITY_LOOKUP)
+    ).select("question_id", _slot_id().alias("slot_id"), *SLOT_COLUMNS))
+    slots = cut_lineage(with_id.select("slot_id", *SLOT_COLUMNS).distinct().withColumn(
+        "slot", F.monotonically_increasing_id()))
     scopes = cut_lineage(_scopes(slots))
     points = _points(scopes)
     # The driver sees the days that some slot needs (at most a calendar per kind) and the
@@ -223,38 +250,28 @@ def answer_rows(parsed: DataFrame, fact: DataFrame) -> DataFrame:
     every = set().union(*days.values())
     fact = fact.filter(date_between(min(every), max(every)) if every else F.lit(False))
     small = scopes.count() <= MAX_BROADCAST_SCOPES
-    spans = cut_lineage(_spans(fact, scopes.select(*_SCOPE), days, small))
-    hits = points.join(_totals(spans, points), [*_SCOPE, "day"])
-    # One aggregate for every intent: grouping keys that an intent does not
-    # use are NULL, so they do not split its groups.
-    intent = F.col("intent")
-    by_area = intent.isin(QF.COMPARE_AREAS, QF.HOTTEST_AREAS_FOR_INDUSTRY)
-    by_code = intent == QF.TOP_INDUSTRIES_IN_AREA
-    ranked = intent.isin(QF.TOP_INDUSTRIES_IN_AREA, QF.HOTTEST_AREAS_FOR_INDUSTRY)
-    compared = intent == QF.COMPARE_AREAS
-    area = F.when(compared, F.expr("substring(area_key, 2)")).when(by_area, F.col("member"))
-    groups = hits.groupBy(
-        "slot_id", "intent", F.col("month").alias("g_month"), area.alias("g_area"),
-        F.when(by_code, F.col("member")).alias("g_code"),
-    ).agg(F.sum(F.col("sign") * F.col("total")).alias("count")).filter("count > 0")
-    # Row order per intent: month[, area] for series; count desc then key for rankings.
-    k1 = F.when(ranked, -F.col("count")).otherwise(F.col("g_month").cast("long"))
-    k2 = F.when(by_code, F.col("g_code")).otherwise(F.col("g_area"))
-    # Top 10 per slot in two levels, so a ranking over a large key space is
-    # never one task: first per (slot, hash bucket of the key), then per slot
-    # over at most 10 x buckets candidates. Series slots have <= 242 rows.
-    bucket = F.when(ranked, F.pmod(F.xxhash64("g_area", "g_code"), F.lit(TOPK_BUCKETS))).otherwise(F.lit(0))
-    w1 = Window.partitionBy("slot_id", "_b").orderBy(k1.asc(), k2.asc_nulls_last())
-    w2 = Window.partitionBy("slot_id").orderBy(k1.asc(), k2.asc_nulls_last())
-    answers = (
-        groups.withColumn("_b", bucket)
-        .withColumn("_r1", F.row_number().over(w1))
-        .filter(~ranked | (F.col("_r1") <= 10))
-        .withColumn("row_no", F.row_number().over(w2))
-        .filter(~ranked | (F.col("row_no") <= 10))
-        .select("slot_id", F.col("g_month").alias("month"), F.col("g_area").alias("planning_area_id"),
-                F.col("g_code").alias("ssic_code"), "count", "row_no")
-    )
+    both, codes = _spans(fact, scopes.select(*_SCOPE), days, small)
+    both = cut_lineage(both)
+
+    kind, intent = F.col("kind"), F.col("intent")
+    no_text, no_month = F.lit(None).cast("string"), F.lit(None).cast("int")
+    # Series by month; grouping keys that an intent does not use are NULL, so they do not
+    # split its groups. A slot has at most 242 rows.
+    monthly = points.filter(kind == _SERIES)
+    hits = monthly.join(_totals(both.filter(kind == _SERIES), monthly), [*_SCOPE, "day"])
+    area = F.when(intent == QF.COMPARE_AREAS, F.expr("substring(area_key, 2)"))
+    series = hits.groupBy("slot", "intent", "month", area.alias("planning_area_id")).agg(
+        F.sum(F.col("sign") * F.col("total")).alias("count")).filter("count > 0")
+    in_order = Window.partitionBy("slot").orderBy(F.col("month").asc(), F.col("planning_area_id").asc_nulls_last())
+    series = series.drop("intent").withColumn("row_no", F.row_number().over(in_order)).withColumn("ssic_code", no_text)
+
+    by_area = _ranked(both.filter(kind == _AREAS), points.filter(kind == _AREAS), "prefix_key", small)
+    by_code = _ranked(codes, points.filter(kind == _CODES), "area_key", small)
+    answers = series.unionByName(
+        by_area.withColumn("ssic_code", no_text).withColumnRenamed("member", "planning_area_id").withColumn("month", no_month)
+    ).unionByName(
+        by_code.withColumn("planning_area_id", no_text).withColumnRenamed("member", "ssic_code").withColumn("month", no_month)
+    ).join(slots.select("slot", "slot_id"), "slot")
     return with_id.select("question_id", "intent", "slot_id").join(answers, "slot_id").select(
         "question_id", "intent", F.col("row_no").cast("int").alias("row_no"), "month", "planning_area_id",
         "ssic_code", F.col("count").cast("long").alias("count"),

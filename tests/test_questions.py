@@ -177,3 +177,40 @@ def test_running_totals_against_counting(spark):
         else:
             want = [(m, None, None, c) for m, c in sorted(Counter(r[0].year * 100 + r[0].month for r in held).items())]
         assert sorted(got.get(q.question_id, [])) == [(k + 1, *w) for k, w in enumerate(want)], (q.question, q.intent)
+
+
+def test_ranked_members_are_not_probed_and_each_task_keeps_its_top(spark):
+    """Many codes, few of them with a row in each span: totals hold over the spans a code
+    skips, no row is made for a (code, day) and only the top of a task is shuffled."""
+    day = dt.date(2015, 3, 1)
+    rows = [(day.replace(year=2015 + k % 5), "EAST" if k % 3 else "WEST", f"{k % 400:05d}") for k in range(3000)]
+    rows += [(day.replace(year=2016), "EAST", None)] * 9 + [(dt.date(2018, 7, 1), None, "00007")] * 30
+    fact = spark.createDataFrame(
+        rows, "registration_incorporation_date date, planning_area_id string, primary_ssic_norm string"
+    ).withColumn("registration_month", F.expr(
+        "year(registration_incorporation_date) * 100 + month(registration_incorporation_date)"))
+    texts = [f"Top industries in EAST {a} to {b}" for a in range(2015, 2020) for b in range(a, 2020)]
+    texts += ["Top industries 2018", "Where are ssic 000 firms hottest 2015 to 2018"]
+    df = spark.createDataFrame(list(enumerate(texts)), "question_id long, question string")
+    answers = answer_rows(parse_questions(df, AS_OF), fact)
+    plan = answers._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number(), 10, Partial") == 2  # codes and areas
+    assert "probe" not in plan.split("row_number(), 10, Final", 1)[1]
+    got: dict = {}
+    for r in answers.collect():
+        got.setdefault(r.question_id, []).append((r.row_no, r.planning_area_id, r.ssic_code, r["count"]))
+    from collections import Counter
+
+    def top(held, last=lambda k: (k is None, k or "")):
+        return sorted(Counter(held).items(), key=lambda x: (-x[1], last(x[0])))[:10]
+
+    k = 0
+    for a in range(2015, 2020):
+        for b in range(a, 2020):
+            want = top(c for d, p, c in rows if p == "EAST" and a <= d.year <= b)
+            assert sorted(got[k]) == [(n + 1, None, c, x) for n, (c, x) in enumerate(want)], texts[k]
+            k += 1
+    want = top(c for d, _, c in rows if d.year == 2018)
+    assert sorted(got[k]) == [(n + 1, None, c, x) for n, (c, x) in enumerate(want)]
+    want = top(p for d, p, c in rows if d.year < 2019 and (c or "").startswith("000"))
+    assert sorted(got[k + 1]) == [(n + 1, p, None, x) for n, (p, x) in enumerate(want)]
