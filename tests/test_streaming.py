@@ -2,6 +2,9 @@
 
 import datetime as dt
 import os
+from collections import Counter
+
+from pyspark.sql import types as T
 
 from bizlens.operators.rollups import rollup
 from bizlens.session import shared_dir
@@ -52,3 +55,43 @@ def test_replayed_batch_changes_nothing(spark):
     parts = sorted(f for f in os.listdir(f"{local(out)}/batch_id={last}") if f.startswith("part-"))
     os.remove(f"{local(out)}/batch_id={last}/{parts[0]}")
     assert run() == want
+
+
+def test_batches_count_on_from_written_totals(spark):
+    """Each batch writes the new totals of its own keys, also of keys without a month or code, and after
+    a restart; months come again behind a batch without them. No state store holds the keys."""
+    name, keys = "new_entities_monthly_by_ssic", ["registration_month", "primary_ssic_norm", "entity_status_description"]
+    src, out, ckpt = (shared_dir(spark, f"count-on-{x}") for x in "soc")
+    files = [
+        [(202401, "a", "L"), (202401, None, "L"), (202401, "", "L"), (None, "a", "L")],
+        [(202402, "a", "L"), (202402, "b", None)],
+        [(202401, "a", "L"), (202401, "a", "L"), (202401, None, "L"), (202402, "c", "L"), (None, "a", "L")],
+        [(202401, "a", "L"), (202401, "", "L"), (202401, "b", "L"), (202402, "b", None), (None, None, None)],
+    ]
+    schema = T.StructType.fromDDL("registration_month int, primary_ssic_norm string, entity_status_description string")
+    totals: Counter = Counter()
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        if n == 0:  # the first two files come in one run, each of the others in a run of its own
+            continue
+        got = stream_rollup(spark, src, schema, name, out, ckpt, max_files_per_trigger=1)
+        for k, part in enumerate(files[:2] if n == 1 else [rows], start=n - (n == 1)):
+            totals.update(part)
+            written = spark.read.parquet(f"{out}/batch_id={k}").select(*keys, "new_entities")
+            assert Counter(map(tuple, written.collect())) == Counter((*key, totals[key]) for key in set(part)), k
+        assert Counter(map(tuple, got.collect())) == Counter((*key, c) for key, c in totals.items())
+    assert not os.path.exists(f"{ckpt.removeprefix('file:')}/state")
+
+
+def test_checkpoint_with_a_state_store_goes_on(spark):
+    """Update mode once kept its totals in Spark's state store; such a checkpoint still resumes."""
+    name = "new_entities_monthly_by_subzone"
+    src, out, ckpt = (shared_dir(spark, f"stateful-{x}") for x in "soc")
+    schema = T.StructType.fromDDL("registration_month int, subzone_id string")
+    spark.createDataFrame([(202401, "a"), (202401, None)], schema).coalesce(1).write.parquet(src)
+    (rollup(spark.readStream.schema(schema).parquet(src), name).writeStream.outputMode("update")
+     .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch_id={n}"))
+     .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    spark.createDataFrame([(202401, "a"), (202402, "a")], schema).coalesce(1).write.mode("append").parquet(src)
+    got = stream_rollup(spark, src, schema, name, out, ckpt)
+    assert Counter(map(tuple, got.collect())) == Counter([(202401, "a", 2), (202401, None, 1), (202402, "a", 1)])
